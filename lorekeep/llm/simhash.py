@@ -13,6 +13,10 @@ The search is exact. m is the smallest number of blocks that keeps buckets of ra
 A bucket above LARGE rows is cut into parts, and each pair of parts is a bucket, so no task holds an unbounded group. A
 bucket reports a forest of its linked fingerprints, not their pairs; components over all buckets follow.
 
+Near copies at a shingle resemblance of 0.8 differ in some 15 % of their bits, too many of 64 for blocks that must agree. The
+stage of a pipeline therefore takes WIDE words of 64 bits, buckets by single blocks of them and links by the difference over all words;
+the number of blocks sets how many of the pairs at 0.8 meet (92 %; 99 % at 0.9).
+
 Defined cases: null or empty text, or no words: fingerprint zero, linked like any other; null doc_id: gets its
 fingerprint's component and links nothing; repeated doc_id or rows: one node if their texts are equal, else linked only by their texts; very long
 texts: read in pieces; extra columns stay; empty table: empty result.
@@ -27,40 +31,65 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .components import components
 
 BITS, DIFFER = 64, 4
+#: Words of a wide fingerprint, and bits of these that near copies differ in at most: 15.2 % of 512 are expected at a resemblance of 0.8, with a
+#: standard deviation of 8 bits.
+WIDE, WIDE_DIFFER = 8, 80
 #: Rows of a bucket before it is cut, children of a node, and rows that a task works on at once.
 LARGE, FAN, AT_ONCE = 1024, 8, 1 << 16
 #: Mean number of random fingerprints in a bucket at most.
 BUCKET = 64
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    total, ones = 0, np.zeros(BITS, np.int64)
-    for hashes in common.shingle_hashes(text, words):
-        for at in range(0, len(hashes), 1 << 15):
-            part = hashes[at : at + (1 << 15)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def scrambled(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for each further word of a fingerprint; the first takes them as they are."""
+    if not word:
+        return h
+    with np.errstate(over="ignore"):
+        h = (h ^ np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 255 * 128):
+        bits = np.unpackbits(h[at : at + 255 * 128].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        full = len(bits) // 255 * 255
+        ones += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[full:].sum(axis=0, dtype=np.uint8)
+    return ones
+
+
+def fingerprint(text: bytes, shingle: int, width: int = 1) -> list[int]:
+    """Signed 64-bit integers, one for each word of the fingerprint."""
+    total, ones = 0, np.zeros((width, BITS), np.int64)
+    for hashes in common.shingle_hashes(text, shingle):
+        for word in range(width):
+            ones[word] += bit_counts(scrambled(hashes, word))
         total += len(hashes)
-    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little", signed=True)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def names(width: int) -> list[str]:
+    return [f"s{i}" for i in range(width)]
 
 
-def fingerprinted(docs: DataFrame, words: int, name: str = "simhash") -> DataFrame:
-    """docs with the fingerprint as a signed 64-bit integer; one narrow stage."""
+def fingerprinted(docs: DataFrame, shingle: int, width: int = 1) -> DataFrame:
+    """doc_id and the fingerprint's words s0, s1, ...; one narrow stage."""
     common.bounded_batches(docs.sparkSession)
-    kept = docs.drop(name)
-    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([fingerprint(t, words) for t in common.raw(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+            made = np.array([fingerprint(t, shingle, width) for t in common.raw(batch.column(1))], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(made[:, i]) for i in range(width))], names=["doc_id", *names(width)])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, LongType())]))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names(width)))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -71,21 +100,35 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return r
 
 
-def masks(n: int, differ: int = DIFFER) -> list[int]:
-    """Bits of each choice of blocks that must agree, for n fingerprints."""
+def blocks(m: int) -> list[int]:
+    """The 64 bits as m masks of neighbouring bits."""
+    sizes = [BITS // m + (i < BITS % m) for i in range(m)]
+    return [((1 << s) - 1) << int(a) for s, a in zip(sizes, np.cumsum([0, *sizes]), strict=False)]
+
+
+def exact_choices(n: int, differ: int = DIFFER) -> list[tuple[int, int]]:
+    """(word 0, bits) that must agree, for n fingerprints: pairs within `differ` agree on at least one."""
     for m in range(differ + 1, 17):
-        sizes = [BITS // m + (i < BITS % m) for i in range(m)]
-        if n / 2.0 ** sum(sorted(sizes)[: m - differ]) <= BUCKET:
+        if n / 2.0 ** ((BITS // m) * (m - differ)) <= BUCKET:
+            break
+    return [(0, sum(c)) for c in combinations(blocks(m), m - differ)]
+
+
+def wide_choices(n: int, missed: float = 0.08, agree: float = 0.85) -> list[tuple[int, int]]:
+    """(word, bits) blocks of at least 13 bits, so many that all but `missed` of the pairs whose bits agree with probability `agree` share one."""
+    for m in (5, 4, 3, 2):
+        bits = BITS // m + (BITS % m > 0)
+        if n / 2.0**bits <= 16 * BUCKET:
             break
-    starts = np.cumsum([0, *sizes])
-    blocks = [((1 << s) - 1) << int(a) for s, a in zip(sizes, starts, strict=False)]
-    return [sum(c) for c in combinations(blocks, m - differ)]
+    count = int(np.ceil(np.log(missed) / np.log1p(-(agree**bits))))
+    every = [(w, b) for b in blocks(m) for w in range(WIDE)]
+    return every[: min(count, len(every))]
 
 
 def levels(values: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From single fingerprints up: (shared mask, pattern, first child, end of children) of each node; no node spans two buckets. values are in Gray order within their bucket."""
+    """From single fingerprints up: (shared mask, pattern, first child, end of children) of each node; no node spans two buckets. values (a row of words each) are in Gray order within their bucket."""
     n = len(values)
-    out = [(np.full(n, ~np.uint64(0)), values, np.arange(n), np.arange(n) + 1)]
+    out = [(np.full_like(values, ~np.uint64(0)), values, np.arange(n), np.arange(n) + 1)]
     owner = bucket
     while True:
         mask, pattern, _, _ = out[-1]
@@ -94,13 +137,17 @@ def levels(values: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.
             return out
         place = np.arange(len(owner)) - np.repeat(first_of, np.diff(np.r_[first_of, len(owner)]))
         starts = np.flatnonzero(place % FAN == 0)
-        every = np.bitwise_and.reduceat(pattern & mask, starts)
-        some = np.bitwise_or.reduceat(pattern & mask, starts)
-        shared = np.bitwise_and.reduceat(mask, starts) & ~(every ^ some)
+        every = np.bitwise_and.reduceat(pattern & mask, starts, axis=0)
+        some = np.bitwise_or.reduceat(pattern & mask, starts, axis=0)
+        shared = np.bitwise_and.reduceat(mask, starts, axis=0) & ~(every ^ some)
         out.append((shared, every & shared, starts, np.r_[starts[1:], len(owner)]))
         owner = owner[starts]
 
 
+def count_bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each item its number repeated counts times, and 0, 1, ... within each."""
     which = np.repeat(np.arange(len(counts)), counts)
@@ -135,14 +182,14 @@ def linked(values: np.ndarray, bucket: np.ndarray, differ: int) -> np.ndarray:
     def step(level: int, a: np.ndarray, b: np.ndarray, seen: np.ndarray, acc: np.ndarray) -> None:
         mask, pattern, _, _ = tree[level]
         new = mask[a] & mask[b] & ~seen
-        acc = acc + np.bitwise_count((pattern[a] ^ pattern[b]) & new)
+        acc = acc + count_bits((pattern[a] ^ pattern[b]) & new)
         near = acc <= differ
         a, b, seen, acc = a[near], b[near], (seen | new)[near], acc[near]
         if level == 0:
             apart = a != b
             union(a[apart], b[apart])
             return
-        whole = acc + np.bitwise_count(~seen) <= differ
+        whole = acc + count_bits(~seen) <= differ
         if whole.any():
             for x, y in zip(*(x[whole] for x in (a, b)), strict=True):
                 below = np.r_[under(level, x), under(level, y)]
@@ -163,40 +210,37 @@ def linked(values: np.ndarray, bucket: np.ndarray, differ: int) -> np.ndarray:
 
     top = len(tree) - 1
     every = np.arange(len(tree[top][0]))
-    search(top, every, every, np.zeros(len(every), np.uint64), np.zeros(len(every), np.int64))
+    search(top, every, every, np.zeros((len(every), values.shape[1]), np.uint64), np.zeros(len(every), np.int64))
     return roots
 
 
-def forest(nodes: DataFrame, differ: int = DIFFER) -> DataFrame:
-    """Links a, b between ids of nodes (id, simhash; distinct fingerprints) that join all fingerprints which differ in at most `differ` bits, directly or by others of the same bucket."""
-    spark = nodes.sparkSession
-    choices = masks(nodes.count(), differ)
-    picks = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(choices)])
-    keyed = nodes.select("id", "simhash", F.explode(picks).alias("x")).select("x.choice", "x.key", "id", "simhash")
+def forest(nodes: DataFrame, choices: list[tuple[int, int]], differ: int, width: int = 1) -> DataFrame:
+    """Links a, b between ids of nodes (id, s0, ...; distinct fingerprints) that join all fingerprints which share a choice's bits and differ in at most `differ` bits, directly or by others of the same bucket."""
+    words = names(width)
+    picks = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, (w, m) in enumerate(choices)])
+    keyed = nodes.select("id", *words, F.explode(picks).alias("x")).select("x.choice", "x.key", "id", *words)
     sizes = common.written(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "simhash-large")
     half = LARGE // 2
     if large := sizes.count():
         parts = F.ceil(F.col("n") / half).cast("int")
         keyed = keyed.join(common.small_side(sizes, large), ["choice", "key"], "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
-        own = F.pmod(F.xxhash64("simhash", F.lit(3)), F.col("parts")).cast("int")
+        own = F.pmod(F.xxhash64(*words, F.lit(3)), F.col("parts")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-        keyed = keyed.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("choice", "key", "pair.i", "pair.j", "id", "simhash")
+        keyed = keyed.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("choice", "key", "pair.i", "pair.j", "id", *words)
     else:
-        keyed = keyed.select("choice", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "simhash")
-    names = ["choice", "key", "i", "j"]
-    dealt = keyed.repartition(*names).sortWithinPartitions(*names)
+        keyed = keyed.select("choice", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", *words)
+    place = ["choice", "key", "i", "j"]
+    dealt = keyed.repartition(*place).sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.empty((0, 6), np.int64)
+        held: np.ndarray = np.empty((0, 5 + width), np.int64)
 
         def search(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]
-            bucket = np.cumsum(new)
+            bucket = np.cumsum(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
             many = np.bincount(bucket)[bucket] > 1
             rows, bucket = rows[many], bucket[many]
-            values = rows[:, 5].view(np.uint64) if len(rows) else np.empty(0, np.uint64)
-            values = np.ascontiguousarray(rows[:, 5]).view(np.uint64)
-            order = np.lexsort((gray_rank(values), bucket))
+            values = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            order = np.lexsort((*(gray_rank(values[:, i]) for i in reversed(range(width))), bucket))
             rows, bucket, values = rows[order], bucket[order], values[order]
             roots = linked(values, bucket, differ) if len(rows) else np.empty(0, np.int64)
             far = roots != np.arange(len(roots))
@@ -205,26 +249,37 @@ def forest(nodes: DataFrame, differ: int = DIFFER) -> DataFrame:
         for batch in batches:
             rows = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             held = np.concatenate([held, rows])
-            if len(held) >= AT_ONCE:
-                last = len(held) - 1 - int(np.argmax((held[::-1, :4] != held[-1, :4]).any(axis=1))) if (held[:, :4] != held[-1, :4]).any() else -1
-                if last >= 0:
-                    yield search(held[: last + 1])
-                    held = held[last + 1 :]
+            if len(held) >= AT_ONCE // 4:
+                other = (held[:, :4] != held[-1, :4]).any(axis=1)
+                if other.any():
+                    end = int(np.flatnonzero(other)[-1]) + 1
+                    yield search(held[:end])
+                    held = held[end:]
         if len(held):
             yield search(held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, words: int, differ: int = DIFFER) -> DataFrame:
-    """docs with simhash and component_id, the smallest doc_id that each reaches by links."""
-    marked = common.written(fingerprinted(docs.drop("component_id").select("doc_id", "text"), words).select("doc_id", "simhash"), "simhash")
-    nodes = common.written(marked.groupBy("simhash").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    found = components(forest(nodes.where(F.col("id").isNotNull()), differ))
-    of = nodes.join(found, "id", "left").select(F.col("simhash"), F.coalesce("component", "id").alias("component_id"))
-    return marked.join(of, "simhash").select("doc_id", "simhash", "component_id")
+def grouped(docs: DataFrame, shingle: int, width: int = 1, differ: int = DIFFER) -> DataFrame:
+    """doc_id, the fingerprint's words, and component_id: the smallest doc_id that each document reaches by links."""
+    words = names(width)
+    marked = common.written(fingerprinted(docs, shingle, width), "simhash")
+    nodes = common.written(marked.groupBy(*words).agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    known = nodes.where(F.col("id").isNotNull())
+    n = known.count()
+    found = components(forest(known, exact_choices(n, differ) if width == 1 else wide_choices(n), differ, width))
+    of = nodes.join(found, "id", "left").select(*words, F.coalesce("component", "id").alias("component_id"))
+    return marked.join(of, words).select("doc_id", *words, "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = grouped(common.table(spark, sf_dir, "documents"), words=4)
-    return made.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    made = grouped(common.table(spark, sf_dir, "documents"), shingle=4)
+    return made.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id; rows of one doc_id stay together, as do rows without an id."""
+    made = grouped(docs, shingle=5, width=WIDE, differ=WIDE_DIFFER)
+    away = common.written(made.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    return docs.join(common.small_side(away), "doc_id", "left_anti").select(*docs.columns)
