@@ -186,7 +186,8 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         joined = rows.withColumn("gone", F.lit(None).cast("array<long>"))
     else:
         drops = drops.withColumnRenamed("id", "of_id")
-        joined = rows.drop("gone").join(drops, identity() == F.col("of_id"), "left").drop("of_id")
+        # Dealt by id at every size: the table of hashes grows with the input, so it is never broadcast.
+        joined = rows.drop("gone").join(drops.hint("merge"), identity() == F.col("of_id"), "left").drop("of_id")
     at, n = joined.columns.index("text"), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
