@@ -3,9 +3,9 @@
 A sketch is the k smallest distinct hashes of a text's five-word shingles, in order. Sketches of parts merge into that of
 the whole, and two sketches estimate resemblance, containment and the number of distinct shingles.
 
-The query needs each document's next one, in descending order of doc_id. Documents are dealt by range of doc_id once, and
-each range is read in order, so a document meets its successor in its own task; the last of each range is joined with the
-first of the following range, one row a range. No window over all rows.
+The query needs each document's next one, in descending order of doc_id. Documents are dealt once by ranges of doc_id,
+and the first document of each range goes to the range before it too, so each meets its successor in its own task. No window over all
+rows, and the texts are shuffled once.
 
 Defined cases: null or empty text, or no words: the empty sketch, like itself (1) and unlike others (0); fewer than five
 words: one shingle, the whole sequence; null doc_id: last in order; repeated doc_id: by a hash of the text within it; one
@@ -19,8 +19,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -102,36 +103,53 @@ def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, oth
     return doc_id, len(text), hashlib.sha256(changed).hexdigest(), packed(own), packed(theirs), resemblance(own, theirs), resemblance(own, other)
 
 
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows part, guest, doc_id, text, dealt by part and sorted, so that in each part, read in order, a document's next one follows it; a part's last row is a guest, the first of the next part.
+
+    Parts are ranges of doc_id between quantiles that are ids of documents: the first document of a part is known by its id.
+    """
+    spark = docs.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = [F.lit((i + 1) / parts) for i in range(parts - 1)]
+    row = docs.agg(F.max("doc_id"), F.percentile_approx("doc_id", F.array(*at), F.lit(100 * parts))).head()
+    heads = np.array(sorted({*(row[1] or []), *([row[0]] if row[0] is not None else [])}, reverse=True), np.int64)  # at most `parts` ids
+    last = max(len(heads) - 1, 0)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        """Twice the part, plus 1 for the part's first id; ids without a value come last."""
+        known = ids.notna().to_numpy()
+        d = ids.fillna(0).astype("int64").to_numpy()
+        part = np.where(known, np.searchsorted(-heads, -d, side="right") - 1, last)
+        first = known & (heads[np.maximum(part, 0)] == d) if len(heads) else part == 0
+        return pd.Series((2 * np.maximum(part, 0) + first).astype(np.int32))
+
+    code = F.col("code")
+    own = F.struct((F.floor(code / 2)).cast("int").alias("part"), F.lit(0).alias("guest"))
+    guest = F.struct(F.when(code > 1, F.floor(code / 2) - 1).otherwise(last).cast("int").alias("part"), F.lit(1).alias("guest"))
+    spread = docs.withColumn("code", place("doc_id")).withColumn("at", F.explode(F.when(code % 2 == 1, F.array(own, guest)).otherwise(F.array(own)))).select("at.part", "at.guest", "doc_id", "text")
+    return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bounded_batches(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
-    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    fields = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in NAMES[2:5]], *[(n, pa.float64()) for n in NAMES[5:]], ("part", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+    fields = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in NAMES[2:5]], *[(n, pa.float64()) for n in NAMES[5:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = part = None
+        held, of, closed = None, None, False
         for batch in batches:
-            part = batch.column(2)[0].as_py() if batch.num_rows else part
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for part, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != of:
+                    held, of, closed = None, part, False
+                if closed:
+                    continue  # further rows of the guest's id
                 own = sketch(text.encode())
-                rows.append((*compared(*last, text, own), part, "done", None) if last else (doc_id, *[None] * 6, part, "head", text))
-                last = (doc_id, text, own)
+                if held:
+                    rows.append(compared(*held, text, own))
+                held, closed = (doc_id, text, own), bool(guest)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-        if last:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((last[0], *[None] * 6, part, "tail", last[1]), fields, strict=True)], schema=fields)
-
-    made = common.written(dealt.mapInArrow(run, f"{RESULT}, part int, kind string, text string"), "fingerprints")
-    parts = made.where("kind = 'head'").select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part"))).alias("following"))
-    heads = made.where("kind = 'head'").select(F.col("part").alias("following"), F.col("text").alias("next_text"))
-    edges = made.where("kind = 'tail'").select("doc_id", "text", "part").join(parts, "part").join(heads, "following").select("doc_id", "text", "next_text")
-
-    def join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [compared(d, t, sketch(t.encode()), n, sketch(n.encode())) for d, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(fields)[:7], strict=True)], schema=pa.schema(list(fields)[:7]))
 
-    return made.where("kind = 'done'").select(*NAMES).unionByName(edges.mapInArrow(join_parts, RESULT))
+    return with_next(docs).mapInArrow(run, RESULT)
