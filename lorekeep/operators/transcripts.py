@@ -1,0 +1,96 @@
+"""Conversation logs: normalising, deduplicating, turns, statistics, memo extracts.
+
+Messages have session, seq, type (or role), ts and text; polymorphic JSON messages are flattened by blocks().
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lorekeep.functions import markdown as M
+
+#: Message types that are left out, tags that are stripped, and limits of characters.
+SKIPPED = ("file-history-snapshot", "progress", "summary", "queue-operation", "system")
+TAGS = ("local-command-caveat", "local-command-stdout", "command-name", "command-message", "command-args", "system-reminder")
+TOOL_RESULT, THINKING, USER = 1500, 3000, 5000
+COMMIT = r"\[[\w\-/]+ [a-f0-9]{7,}\]"
+
+
+def timestamp(c: Column) -> Column:
+    """From ISO text or epoch milliseconds, in UTC; null if neither."""
+    return F.coalesce(F.try_to_timestamp(c), F.timestamp_millis(c.try_cast("bigint")))
+
+
+def blocks(messages: DataFrame) -> DataFrame:
+    """file, seq, type, ts, block type, text, id, name, is_error of each content block; content may be text, one block or a list of blocks (message: variant)."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    m = F.col("message")
+    content = F.coalesce(get(m, "$.message.content", "variant"), get(m, "$.content", "variant"), get(m, "$.message", "variant"))
+    head = messages.where(m.isNotNull()).select("file", "seq", get(m, "$.type", "string").alias("type"), get(m, "$.timestamp", "string").alias("ts"), content.alias("content"))
+    many = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array("content"))
+    b = head.select("file", "seq", "type", "ts", F.posexplode(many).alias("nth", "b"))
+    v = F.col("b")
+    plain = get(v, "$", "string")
+    return b.select("file", "seq", "type", "ts", "nth", F.coalesce(get(v, "$.type", "string"), F.lit("text")).alias("block"), F.coalesce(get(v, "$.text", "string"), get(v, "$.thinking", "string"), get(v, "$.content", "string"), plain).alias("text"), F.coalesce(get(v, "$.id", "string"), get(v, "$.tool_use_id", "string")).alias("id"), get(v, "$.name", "string").alias("name"), F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"))
+
+
+def cleaned(text: Column) -> Column:
+    return M.truncated(M.without_system_tags(text, TAGS), USER)
+
+
+def deduplicated(messages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """One row of each key, at the first one's place, with the longest text; rows without a time all stay."""
+    w = Window.partitionBy(*key)
+    first = F.row_number().over(w.orderBy("seq"))
+    richest = F.max_by(text, F.struct(F.length(text), -F.col("seq"))).over(w)
+    m = messages.withColumn("_nth", first).withColumn(text, F.when(F.col("ts").isNull(), F.col(text)).otherwise(richest))
+    return m.where((F.col("_nth") == 1) | F.col("ts").isNull()).drop("_nth")
+
+
+def turns(messages: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
+    """messages with turn: a user text begins one; what comes before the first belongs to turn 1."""
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = messages.where(~F.col("role").isin(*SKIPPED) & (F.coalesce("text", F.lit("")) != ""))
+    return m.withColumn("turn", F.greatest(F.lit(1), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).cast("int"))
+
+
+def turn_table(turned: DataFrame, session: str = "session") -> DataFrame:
+    """One row of each turn: number of messages, characters by role, and the first user text, cleaned."""
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    return turned.groupBy(session, "turn").agg(F.count("*").alias("messages"), F.count_if(reply).alias("responses"), F.sum(F.when(user, F.length("text")).otherwise(0)).alias("user_chars"), F.sum(F.when(reply, F.length("text")).otherwise(0)).alias("reply_chars"), F.min_by(F.when(user, F.col("text")), "seq").alias("prompt"))
+
+
+def tool_calls(found: DataFrame) -> DataFrame:
+    """Tool uses beside their results, matched by id within a session; the first result counts, one without a use is named unknown."""
+    use = found.where("block = 'tool_use'").select("file", "id", "name")
+    result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("text", F.struct("seq", "nth")).alias("result"), F.min_by("is_error", F.struct("seq", "nth")).alias("is_error"))
+    return use.join(result, ["file", "id"], "full_outer").withColumn("name", F.coalesce("name", F.lit("unknown"))).withColumn("result", M.truncated(F.col("result"), TOOL_RESULT))
+
+
+def sessions(messages: DataFrame, session: str = "session") -> DataFrame:
+    """Messages, first and last time, whole minutes (at least 1, null below two times) of each session."""
+    minutes = F.greatest(F.lit(1), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000))
+    return messages.groupBy(session).agg(F.count("*").alias("messages"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.when(F.count("ts") > 1, minutes).cast("long").alias("minutes"))
+
+
+def memo_extract(turned: DataFrame, budget: int = 50_000, session: str = "session") -> DataFrame:
+    """Turns of each session, texts cut (user 1000, reply 1500), up to the first that passes the budget of characters."""
+    text = F.when(F.col("role") == "user", F.left("text", F.lit(1000))).otherwise(F.left("text", F.lit(1500)))
+    t = turned.groupBy(session, "turn").agg(F.sum(F.length(text)).alias("chars"))
+    w = Window.partitionBy(session).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.withColumn("total", F.sum("chars").over(w)).where(F.col("total") <= budget)
+
+
+def rendered(turned: DataFrame, session: str = "session") -> DataFrame:
+    """Markdown of each session; a session's messages are one row, as a file is."""
+    line = F.concat(F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** "), cleaned(F.col("text")))
+    per_turn = turned.groupBy(session, "turn").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("x")).select(session, "turn", F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n\n"), F.concat_ws("\n\n", F.transform("x", lambda r: r["line"]))).alias("md"))
+    return per_turn.groupBy(session).agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "md"))), lambda r: r["md"])).alias("markdown"))
+
+
+def quality(rendered_notes: DataFrame, path: str = "path", text: str = "raw") -> DataFrame:
+    """Checks of converted notes: leaked tags, missing frontmatter, overlong lines."""
+    leak = F.col(text).rlike("<(" + "|".join(TAGS) + ")>")
+    long = F.exists(F.split(text, "\n"), lambda x: F.length(x) > 5000)
+    return rendered_notes.agg(F.count("*").alias("notes"), F.count_if(leak).alias("leaks"), F.count_if(~F.col(text).startswith("---")).alias("no_frontmatter"), F.count_if(long).alias("overlong"))

@@ -1,0 +1,106 @@
+"""Sources: markdown folders, conversation logs, JSON state, and notes made from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> DataFrame:
+    """path (relative to root), raw, modified and bytes of each note below projects/ and directly in topics/.
+
+    Names that begin with an underscore are left out, but for _project.md unless keyword_only; so are templates and, unless
+    keyword_only, views and archived notes. Undecodable bytes become replacement characters.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+    at = F.regexp_replace("path", r"^.*?/(projects|topics)/", "$1/")
+    f = files.select(at.alias("path"), F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    name = F.element_at(F.split("path", "/"), -1)
+    f = f.where((F.col("path").startswith("projects/") | F.col("path").rlike(r"^topics/[^/]+$")) & ~F.col("path").contains("/_templates/"))
+    if keyword_only:
+        return f.where(~name.startswith("_"))
+    archived = F.col("raw").rlike(r"(?s)^---(?:(?!---).)*?\nstatus:\s*[\"']?archived")
+    return f.where((~name.startswith("_") | (name == "_project.md")) & ~F.col("path").contains("/_views/") & ~archived)
+
+
+def jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """file, message (variant, null for a malformed line) of each line that isn't blank."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    return lines.select("file", F.try_parse_json("value").alias("message"))
+
+
+def parse_errors(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("message").isNull()).alias("errors"))
+
+
+def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON state or queue rows; corrupt ones are skipped."""
+    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+
+
+def log_files(spark: SparkSession, root: str, min_bytes: int = 1024) -> DataFrame:
+    """project, count, bytes, first and last change of the conversation logs."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root).drop("content")
+    return f.where(F.col("length") >= min_bytes).groupBy(F.element_at(F.split("path", "/"), -2).alias("project")).agg(F.count("*").alias("sessions"), F.sum("length").alias("bytes"), F.min("modificationTime").alias("first"), F.max("modificationTime").alias("last"))
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, title, content, type, project, date: an archive made from documents by arithmetic."""
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    folder = F.when(i % 10 < 6, "memos").when(i % 10 < 8, "transcripts").otherwise("auto-memory")
+    path = F.when(i % 10 == 8, F.concat(F.lit("topics/d"), s, F.lit(".md"))).otherwise(F.concat(F.lit("projects/"), "source", F.lit("/"), folder, F.lit("/d"), s, F.lit(".md")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        path.alias("path"),
+        F.concat(F.lit("doc-"), s).alias("title"),
+        F.coalesce("text", F.lit("")).alias("content"),
+        F.when(i % 10 < 6, "memo").when(i % 10 < 8, "transcript").when(i % 10 == 8, "concept").otherwise("auto-memory").alias("type"),
+        F.col("source").alias("project"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 60).cast("int")), "yyyy-MM-dd").alias("date"),
+    )
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, raw: the archive as markdown with frontmatter, links and tasks."""
+    d = archive(spark, sf_dir)
+    n = d.count()
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit("---\ntype: "), "type", F.lit('\ntitle: "'), "title", F.lit('"\nproject: '), "project", F.lit("\ndate: "), "date",
+        F.lit("\nstatus: "), F.when(i % 17 == 0, "archived").otherwise("active"), F.lit("\ntags: [t"), (i % 7).cast("string"), F.lit(", u"), (i % 11).cast("string"),
+        F.lit("]\naliases: [doc-"), s, F.lit("]\n---\n## Summary\n"), "content", F.lit("\nSee [[doc-"), ((i * 7 + 3) % (n * 12 // 10)).cast("string"),
+        F.lit("]] and [[projects/"), "project", F.lit("/memos/d"), ((i * 3) % n).cast("string"), F.lit("|other]].\n"),
+        F.when(i % 4 == 0, F.concat(F.lit("About [[topic-"), (i % 37).cast("string"), F.lit("]].\n"))).otherwise(""),
+        F.when(i % 5 == 0, F.concat(F.lit("- [ ] early "), s, F.lit("\n"))).otherwise(""), F.lit("## Open Threads\n- [ ] follow up "), s, F.lit("\n"),
+        F.when(i % 3 == 0, F.concat(F.lit("- [x] closed "), s, F.lit("\n"))).otherwise(""),
+    )
+    return d.select("doc_id", "path", raw.alias("raw"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, path, embedding: several chunk vectors for each of 200 documents."""
+    d = archive(spark, sf_dir).select("doc_id", "path")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 200).alias("doc_id")).join(d, "doc_id").select("vec_id", "path", "embedding")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, seq, role, text, ts (one minute and 40 seconds apart) from conversations."""
+    c = table(spark, sf_dir, "conversations")
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 100)
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text", ts.alias("ts"))
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, ts, memo_saved, kind from events."""
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "ts", "event_id", (F.col("event_type") == "purchase").alias("memo_saved"), F.col("event_type").alias("kind"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_path, link_text, project of each anchor of the pages: links that no page answers."""
+    anchor = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+    p = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit(anchor), F.lit(2))).alias("link_text"))
+    return p.select(F.col("url").alias("source_path"), F.trim("link_text").alias("link_text"), F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/]+)", 1), F.lit("")), F.lit("_vault")).alias("project"))
