@@ -15,6 +15,7 @@ don't matter; empty table: empty result.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Remembered pre-tokens: at most so many, none longer than so many bytes.
-MEMO, MEMO_BYTES = 400_000, 64
+MEMO, MEMO_BYTES = 1_000_000, 64
+#: Up to so many bytes a bucket is one integer, a bit for each position.
+SHORT = 1024
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -84,6 +87,64 @@ class Codec:
         """Token ids of one pre-token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
+        return self.merged_short(piece) if len(piece) <= SHORT else self.merged_long(piece)
+
+    def merged_short(self, piece: bytes) -> list[int]:
+        """The queue in local integers: `top` and `leaves` are the bitmap's levels of 256 ranks each, a bucket is the bits of its positions."""
+        n, ranks = len(piece), self.ranks
+        get = ranks.get
+        top, leaves, buckets = 0, {}, {}
+        ends, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        fresh = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
+        while True:
+            for rank, i in fresh:
+                if rank is None:
+                    pair[i] = -1
+                    continue
+                pair[i] = rank
+                if rank in buckets:
+                    buckets[rank] |= 1 << i
+                else:
+                    buckets[rank] = 1 << i
+                    node = rank >> 8
+                    leaves[node] = leaves.get(node, 0) | 1 << (rank & 255)
+                    top |= 1 << node
+            while top:
+                node = (top & -top).bit_length() - 1
+                word = leaves[node]
+                rank = node << 8 | ((word & -word).bit_length() - 1)
+                bucket = buckets[rank]
+                i = (bucket & -bucket).bit_length() - 1
+                bucket &= bucket - 1
+                if bucket:
+                    buckets[rank] = bucket
+                else:
+                    del buckets[rank]
+                    word &= word - 1
+                    leaves[node] = word
+                    if not word:
+                        top &= top - 1
+                if pair[i] == rank:
+                    break
+            else:
+                break
+            gone = ends[i]
+            end = ends[i] = ends[gone]
+            pair[i] = pair[gone] = -1
+            fresh = []
+            if end < n:
+                before[end] = i
+                fresh.append((get(piece[i : ends[end]]), i))
+            j = before[i]
+            if j >= 0:
+                fresh.append((get(piece[j:end]), j))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : ends[i]]])
+            i = ends[i]
+        return out
+
+    def merged_long(self, piece: bytes) -> list[int]:
         n, get, queue = len(piece), self.ranks.get, RankQueue()
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n  # the rank of the pair that begins here and was pushed last
@@ -132,12 +193,18 @@ class Codec:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One for each worker process, so that its tasks share what is remembered."""
+    return Codec(path)
+
+
 def tokenized(docs: DataFrame, path: str, keep_ids: bool = True, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if keep_ids, ids (binary, 4 bytes each) and decoded (the text made from the ids)."""
     common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             rows = []
             for doc in batch.column(1).to_pylist():
