@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def overviews(spark: SparkSession, root: str) -> DataFrame:
+    """path, raw, modified, bytes of projects/*/_project.md. Spark's readers hide names that begin with an underscore, so the driver lists these names, one a project, and tasks read the files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/projects/*/_project.md")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    rows = [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for uri in batch.column(0).to_pylist():
+                fs, name = FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://"))
+                with fs.open_input_stream(name) as f:
+                    texts.append(f.read().decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[1:]], names=["path", "raw", "ms", "bytes"])
+
+    listed = spark.createDataFrame(rows, "path string, ms long, bytes long").repartition(max(1, len(rows) // 1000))
+    return listed.mapInArrow(read, "path string, raw string, ms long, bytes long").select("path", "raw", F.timestamp_millis("ms").alias("modified"), "bytes")
+
+
 def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> DataFrame:
     """path (relative to root), raw, modified and bytes of each note below projects/ and directly in topics/.
 
@@ -17,8 +40,11 @@ def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> Data
     keyword_only, views and archived notes. Undecodable bytes become replacement characters.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
-    at = F.regexp_replace("path", r"^.*?/(projects|topics)/", "$1/")
-    f = files.select(at.alias("path"), F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    f = files.select("path", text.alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    if not keyword_only:
+        f = f.unionByName(overviews(spark, root))
+    f = f.withColumn("path", F.regexp_replace("path", r"^.*?/(projects|topics)/", "$1/"))
     name = F.element_at(F.split("path", "/"), -1)
     f = f.where((F.col("path").startswith("projects/") | F.col("path").rlike(r"^topics/[^/]+$")) & ~F.col("path").contains("/_templates/"))
     if keyword_only:
