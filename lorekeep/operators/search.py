@@ -32,27 +32,44 @@ def keywords_of(text: Column, most: int = 7) -> Column:
     return F.slice(F.filter(words, lambda w: ~w.isin(*STOPWORDS)), 1, most)
 
 
+WORDS, BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
+    """Lower-cased words; empty ones at the ends of the text."""
+    return F.split(F.lower(F.regexp_replace(text, BETWEEN, " ")), " ")
+
+
+def length(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORDS))
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased words, each between two spaces of its own."""
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(text, BETWEEN, "  ")), F.lit(" "))
 
 
-def occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+def occurrences(words: Column, term: str) -> Column:
+    """How often the term stands among spaced() words: by string functions, which stay in generated code."""
+    return ((F.length(words) - F.length(F.replace(words, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("long")
 
 
 def postings(docs: DataFrame, key: str = "path", *columns: str) -> DataFrame:
     """term, key, tf, length: the inverted index, one row for each word of a document. Written sorted by term, a search reads only its terms' row groups."""
-    t = docs.select(key, tokens(F.concat_ws(" ", *(columns or ("content",)))).alias("t")).withColumn("length", F.size("t"))
-    return t.select(key, "length", F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    text = F.concat_ws(" ", *(columns or ("content",)))
+    t = docs.select(key, length(text).alias("length"), tokens(text).alias("t")).select(key, "length", F.explode("t").alias("term")).where("term <> ''")
+    return t.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str = "path", *columns: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of each document that has one of the terms. One pass over the texts for tf and length, a second for the scores; no rows for each word."""
+    """key, score of each document that has one of the terms. One pass over the texts for the statistics, a second for the scores; no rows for each word."""
     terms = list(dict.fromkeys(terms))
-    t = docs.select(key, tokens(F.concat_ws(" ", *(columns or ("content",)))).alias("t"))
-    tf = t.select(key, F.size("t").alias("length"), *[occurrences("t", w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    text = F.concat_ws(" ", *(columns or ("content",)))
+    # The spaced text is bound once in the lambda, and the generator keeps Spark from inlining it into each use of a count.
+    counts = F.transform(F.array(spaced(text)), lambda w: F.struct(length(w).alias("length"), *[occurrences(w, x).alias(f"tf{i}") for i, x in enumerate(terms)]))
+    tf = docs.select(key, F.explode(counts).alias("c")).select(key, "c.*")
     stats = tf.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    s = tf.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
+    s = tf.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
     part = lambda i: F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
     return s.select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
@@ -60,7 +77,7 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "path", *columns: str, k1
 def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", query_key: str = "item_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best k documents of each query (query_key, terms): postings joined on terms; idf and length norms are columns of the joined rows."""
     p = postings(docs, key)
-    lengths = docs.select(F.size(tokens(F.col("content"))).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avg"))
+    lengths = docs.select(length(F.col("content")).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avg"))
     asked = queries.select(query_key, F.explode(F.array_distinct("terms")).alias("term"))
     wanted = p.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
@@ -73,7 +90,7 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", q
 
 def matches(docs: DataFrame, query: str, column: str = "content") -> DataFrame:
     """Boolean search: words are joined by AND, OR between groups, "quoted" words must stand together."""
-    t = F.concat(F.lit(" "), F.concat_ws(" ", tokens(F.col(column))), F.lit(" "))
+    t = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(column), BETWEEN, " ")), F.lit(" "))
     any_of = None
     for group in re.split(r"\s+OR\s+", query):
         all_of = F.lit(True)
