@@ -37,6 +37,21 @@ def body(raw: Column) -> Column:
     return F.trim(F.regexp_replace(raw, r"(?s)^---.*?---", ""), F.lit(" \n\t\r"))
 
 
+def without_frontmatter(raw: Column) -> Column:
+    """What follows the frontmatter, without blank lines before it; all of raw if there is none."""
+    return F.regexp_replace(raw, r"(?s)^---.*?---\n*", "")
+
+
+def formatted(fields: dict[str, Column]) -> Column:
+    """Frontmatter of the given fields; lists as [a, b], truth values in lower case, null fields left out."""
+    parts = [F.concat(F.lit(f"{key}: "), c.cast("string")) for key, c in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *parts), F.lit("\n---"))
+
+
+def list_text(c: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+
+
 def lines(raw: Column) -> Column:
     return F.split(raw, "\n")
 
@@ -53,6 +68,48 @@ def without_section(text: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"(?ms)^## {name}\s*\n.*?(?=^## |\z)", ""), r"\n{3,}", "\n\n")
 
 
+#: Sections that may hold nothing but a query block, and one that always goes.
+QUERY_SECTIONS = ("Memos Referencing This Topic", "Open Threads", "Connected Topics")
+LISTED_SECTION = r"Recent Transcripts \(Last 7 Days\)"
+
+
+def without_query_sections(text: Column) -> Column:
+    """text without the sections above that hold query blocks and blank lines only; of Open Threads the blocks must ask for tasks."""
+    text = without_section(text, LISTED_SECTION)
+    for n in QUERY_SECTIONS:
+        must = "[^`]*TASK" if n == "Open Threads" else ""
+        text = F.regexp_replace(text, rf"(?m)^## {n}[ \t]*\n(?:\s*^```dataview\b{must}[^`]*^```[ \t]*$)+\s*(?=^## |\z)", "")
+    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+
+def overview(text: Column) -> Column:
+    """The section ## Overview, up to the next second-level heading; null if there is none."""
+    return F.nullif(F.regexp_extract(text, r"(?ms)^## Overview.*?(?=\n## |\z)", 0), F.lit(""))
+
+
+def plain_topics(raw: Column) -> Column:
+    """raw with the quoted links "[[x]]" or "[[?x]]" of the topics list written as x; other lines stay."""
+    block = F.regexp_extract(raw, r"(?m)^topics:[ \t]*\n(?:[ \t]*-.*\n?)+", 0)
+    return F.when(block == "", raw).otherwise(F.replace(raw, block, F.regexp_replace(block, r"[\"']?\[\[\??([^\]|]+)(?:\|[^\]]*)?\]\][\"']?", "$1")))
+
+
+def topics(raw: Column) -> Column:
+    """The topics of the frontmatter, written as [a, b] or as a list of lines."""
+    front = F.regexp_extract(raw, r"(?s)^---(.*?)\n---", 1)
+    block = F.regexp_extract(front, r"(?m)^topics:[ \t]*\n((?:[ \t]*-.*\n?)+)", 1)
+    items = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]*(.+)$"), F.lit(1)), unquoted)
+    return F.when(block != "", F.transform(items, lambda x: F.regexp_replace(x, r"^\[\[\??|\]\]$", ""))).otherwise(listed(frontmatter(raw), "topics"))
+
+
+def highlighted(text: Column, terms: list[str], width: int = 50) -> Column:
+    """At most `width` words from the first one that is a term on, terms between >>> and <<<; the start of the text if there is none."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    hit = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")).isin(*terms)
+    at = F.greatest(F.coalesce(F.array_position(F.transform(words, hit), F.lit(True)), F.lit(0)), F.lit(1)).cast("int")
+    shown = F.transform(F.slice(words, at, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit(">>>"), w, F.lit("<<<"))).otherwise(w))
+    return F.concat(F.when(at > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) - at + 1 > width, "...").otherwise(""))
+
+
 def split_by_headers(text: Column) -> Column:
     """Pieces that begin at second- or third-level headings, and what stands before."""
     return F.split(text, r"(?m)(?=^#{2,3}\s)")

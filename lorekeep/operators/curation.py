@@ -89,3 +89,47 @@ def orphaned_sessions(phases: DataFrame, now: Column) -> DataFrame:
     """Sessions (session_id, phase, at) that were archived over a day ago and never completed."""
     p = phases.groupBy("session_id").agg(F.max(F.when(F.col("phase") == "archived", F.col("at"))).alias("archived"), F.count_if(F.col("phase") == "completed").alias("completed"))
     return p.where((F.col("completed") == 0) & (F.col("archived") < now - F.expr("interval 24 hours")))
+
+
+def suggested(links: DataFrame, source: str = "source_path") -> DataFrame:
+    """Concepts that notes suggest by [[?x]]: mentions and distinct notes."""
+    s = links.where(F.col("link_text").startswith("?")).select(F.trim(F.substring("link_text", 2, 1000)).alias("concept"), source)
+    return s.groupBy("concept").agg(F.count("*").alias("mentions"), F.countDistinct(source).alias("notes"))
+
+
+def cartography(docs: DataFrame, resolved: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, backlinks, lines, maturity of each document; lines: path, lines."""
+    n = resolved.where(F.col("target_path").isNotNull()).groupBy(F.col("target_path").alias("path")).agg(F.countDistinct("source_path").alias("backlinks"))
+    maturity = F.when(F.col("lines") >= 200, "mature").when(F.col("lines") >= 50, "growing").otherwise("stub")
+    return docs.select("path").join(lines, "path").join(n, "path", "left").select("path", F.coalesce("backlinks", F.lit(0)).alias("backlinks"), "lines", maturity.alias("maturity"))
+
+
+def adjacency(tagged: DataFrame) -> DataFrame:
+    """project_a < project_b with how many topics they share. tagged: project, topic; made distinct first, so only projects meet, never their notes."""
+    t = tagged.where(F.col("project") != "").distinct()
+    a, b = t.select("topic", F.col("project").alias("project_a")), t.select("topic", F.col("project").alias("project_b"))
+    return a.join(b, "topic").where("project_a < project_b").groupBy("project_a", "project_b").agg(F.count("*").alias("shared"))
+
+
+def memos_by_topic(tagged: DataFrame, least: int = 2) -> DataFrame:
+    """Topics that at least so many memos hold, candidates for merging. tagged: path, topic."""
+    return tagged.distinct().groupBy("topic").agg(F.count("*").alias("memos")).where(F.col("memos") >= least)
+
+
+def themes_without_topic(tagged: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """Topics of at least `least` projects for which there is no topic note (known: topic)."""
+    t = tagged.where(F.col("project") != "").groupBy("topic").agg(F.countDistinct("project").alias("projects")).where(F.col("projects") >= least)
+    return t.join(known.select("topic").distinct(), "topic", "left_anti")
+
+
+def size_class(bytes: Column) -> Column:
+    return F.when(bytes < 1_000, "tiny").when(bytes < 10_000, "small").when(bytes < 1_000_000, "medium").when(bytes < 10_000_000, "large").otherwise("huge")
+
+
+def by_size(files: DataFrame, bytes: str = "bytes") -> DataFrame:
+    return files.groupBy(size_class(F.col(bytes)).alias("size_class")).agg(F.count("*").alias("files"), F.avg(bytes).alias("mean_bytes"))
+
+
+def properties(fields: DataFrame) -> DataFrame:
+    """How many documents have each frontmatter key, and how many values it takes. fields: path, key, value."""
+    return fields.groupBy("key").agg(F.countDistinct("path").alias("documents"), F.countDistinct("value").alias("distinct_values"))

@@ -88,6 +88,21 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", q
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Words of a title that a keyword query would read as operators.
+RESERVED = ("and", "or", "not", "near")
+
+
+def related(docs: DataFrame, asking: DataFrame, most: int = 5) -> DataFrame:
+    """path, rank, related for each asking note (path, title): of the best most + 2 other documents by the title's first eight words of three letters or more, those that aren't transcripts."""
+    words = F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*RESERVED))
+    q = asking.select(F.col("path").alias("asks"), F.slice(words, 1, 8).alias("terms"))
+    near = bm25_batch(docs, q, most + 3, query_key="asks").where("asks <> path")
+    w = Window.partitionBy("asks").orderBy("rank")
+    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 2)
+    kept = near.join(docs.where("type <> 'transcript'").select("path"), "path", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(F.col("asks").alias("path"), "rank", F.col("path").alias("related"))
+
+
 def matches(docs: DataFrame, query: str, column: str = "content") -> DataFrame:
     """Boolean search: words are joined by AND, OR between groups, "quoted" words must stand together."""
     t = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(column), BETWEEN, " ")), F.lit(" "))

@@ -5,8 +5,13 @@ Messages have session, seq, type (or role), ts and text; polymorphic JSON messag
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorekeep.functions import markdown as M
 
@@ -16,6 +21,15 @@ TAGS = ("local-command-caveat", "local-command-stdout", "command-name", "command
 TOOL_RESULT, THINKING, USER = 1500, 3000, 5000
 COMMIT = r"\[[\w\-/]+ [a-f0-9]{7,}\]"
 
+#: How a prompt begins that a command expanded, what such a prompt holds near its top, and how a continued session begins.
+EXPANDED = r"^#\s+(?:Save Memo|Search|Synthesize|Load|Status|Open|Retry)\s+Command\b"
+EXPANDED_LIKE, EXPANDED_MARK = r"(?m)\A#[ \t]+.+[ \t](?:Command|Workflow|Skill)[ \t]*$", r"(?m)^(?:##\s+Instructions|ARGUMENTS:|##\s+Path Resolution|##\s+When to)"
+CONTINUED = "This session is being continued from a previous conversation"
+#: What counts as verbose output.
+LISTING, LISTING_LINES = re.compile(r"total \d+\n"), 20
+LONG_LINE, LONG_LINES = 50, 10
+JSON_ARRAY = re.compile(r"(\[(?:\n\s*\{[^\n]*\n){10,}[^\]]*\])")
+
 
 def timestamp(c: Column) -> Column:
     """From ISO text or epoch milliseconds, in UTC; null if neither."""
@@ -32,7 +46,7 @@ def blocks(messages: DataFrame) -> DataFrame:
     b = head.select("file", "seq", "type", "ts", F.posexplode(many).alias("nth", "b"))
     v = F.col("b")
     plain = get(v, "$", "string")
-    return b.select("file", "seq", "type", "ts", "nth", F.coalesce(get(v, "$.type", "string"), F.lit("text")).alias("block"), F.coalesce(get(v, "$.text", "string"), get(v, "$.thinking", "string"), get(v, "$.content", "string"), plain).alias("text"), F.coalesce(get(v, "$.id", "string"), get(v, "$.tool_use_id", "string")).alias("id"), get(v, "$.name", "string").alias("name"), F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"))
+    return b.select("file", "seq", "type", "ts", "nth", F.coalesce(get(v, "$.type", "string"), F.lit("text")).alias("block"), F.coalesce(get(v, "$.text", "string"), get(v, "$.thinking", "string"), get(v, "$.content", "string"), plain).alias("text"), F.coalesce(get(v, "$.id", "string"), get(v, "$.tool_use_id", "string")).alias("id"), get(v, "$.name", "string").alias("name"), F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"), F.to_json(get(v, "$.input", "variant")).alias("input"))
 
 
 def cleaned(text: Column) -> Column:
@@ -63,11 +77,122 @@ def turn_table(turned: DataFrame, session: str = "session") -> DataFrame:
 
 def tool_calls(found: DataFrame) -> DataFrame:
     """Tool uses beside their results, matched by id within a session; the first result counts, one without a use is named unknown."""
-    use = found.where("block = 'tool_use'").select("file", "id", "name")
+    use = found.where("block = 'tool_use'").select("file", "id", "name", "input")
     result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("text", F.struct("seq", "nth")).alias("result"), F.min_by("is_error", F.struct("seq", "nth")).alias("is_error"))
     return use.join(result, ["file", "id"], "full_outer").withColumn("name", F.coalesce("name", F.lit("unknown"))).withColumn("result", M.truncated(F.col("result"), TOOL_RESULT))
 
 
+def prompt_summary(text: Column, meta: Column | None = None) -> Column:
+    """A prompt that a command expanded (known by the meta flag, its heading, or a heading and a mark within 500 characters) as one line; other texts stay."""
+    alike = text.rlike(EXPANDED) | (text.rlike(EXPANDED_LIKE) & F.left(text, F.lit(500)).rlike(EXPANDED_MARK))
+    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(text, r"(?m)\A#\s+(.+?)(?:\s+Command|\s+Workflow|\s+Skill)?\s*$", 1)), F.lit("")), F.lit("Unknown"))
+    given = F.trim(F.regexp_extract(text, r"(?m)^ARGUMENTS:[ \t]*(.+)$", 1))
+    short = F.concat(F.lit("[Skill invoked: "), name, F.when(given != "", F.concat(F.lit(" — "), given)).otherwise(""), F.lit("]"))
+    return F.when(F.coalesce(meta, F.lit(False)) | alike if meta is not None else alike, short).otherwise(text)
+
+
+def shortened(text: str) -> str:
+    """Long listings, arrays of objects and runs of long lines as one line each."""
+    found, end = LISTING.search(text), text.rfind("\n") + 1
+    while found and text.count("\n", found.end(), end) < LISTING_LINES:
+        found = LISTING.search(text, found.end())
+    if found:
+        n = text.count("\n", found.start(), end)
+        text = f"{text[: found.start()]}[...{n} lines of file listing...]{text[end:]}"
+    text = JSON_ARRAY.sub("[...large JSON array...]", text)
+    whole, rest = text.split("\n")[:-1], text.split("\n")[-1]
+    out = ""
+    for long, run in groupby(whole, lambda line: len(line) >= LONG_LINE):
+        lines = list(run)
+        out += f"[...{len(lines)} similar lines...]" if long and len(lines) >= LONG_LINES else "".join(f"{line}\n" for line in lines)
+    return out + rest
+
+
+@F.pandas_udf(StringType())
+def collapsed(texts: pd.Series) -> pd.Series:
+    """shortened() of each tool result: the number of lines that a match had can't be put in by a built-in replacement."""
+    return texts.map(shortened, na_action="ignore")
+
+
+def marked(messages: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
+    """messages (with agent and compact) with turn and marker: a user text, a compaction and another agent each begin a turn; marker names the latter two."""
+    w = Window.partitionBy(session).orderBy(order)
+    before = F.last("agent", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    compact = F.coalesce("compact", F.lit(False)) | F.coalesce(F.col("text").startswith(CONTINUED), F.lit(False))
+    marker = F.when(compact, "compaction").when(F.col("agent").isNotNull() & before.isNotNull() & (F.col("agent") != before), "agent")
+    m = messages.where(~F.col("role").isin(*SKIPPED) & (F.coalesce("text", F.lit("")) != "")).withColumn("marker", marker)
+    begins = F.when(F.col("marker").isNotNull() | (F.col("role") == "user"), 1).otherwise(0)
+    return m.withColumn("turn", F.greatest(F.lit(1), F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).cast("int"))
+
+
+def block_stats(found: DataFrame) -> DataFrame:
+    """Of each file: texts by role, tool uses, thoughts and errors, the five tools used most (ties by name), and commits in order of appearance."""
+    is_ = lambda b: F.col("block") == b
+    totals = found.groupBy("file").agg(F.count_if(is_("text") & (F.col("type") == "user")).alias("users"), F.count_if(is_("text") & (F.col("type") == "assistant")).alias("responses"), F.count_if(is_("tool_use")).alias("tools"), F.count_if(is_("thinking")).alias("thoughts"), F.count_if("is_error").alias("errors"))
+    uses = found.where(is_("tool_use")).groupBy("file", "name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy(F.col("n").desc(), "name")
+    best = uses.withColumn("nth", F.row_number().over(w)).where("nth <= 5").groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name", "n"))), lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias("top_tools"))
+    commit = found.where(is_("tool_result")).select("file", F.struct("seq", "nth").alias("at"), F.explode(F.regexp_extract_all("text", F.lit(r"\[[\w\-/]+ ([a-f0-9]{7,})\]"), F.lit(1))).alias("hash"))
+    commits = commit.groupBy("file", "hash").agg(F.min("at").alias("at")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]).alias("commits"))
+    return totals.join(best, "file", "left").join(commits, "file", "left")
+
+
+def signals(lines: DataFrame, session: str = "file") -> DataFrame:
+    """What triage counts in each session's raw lines (session, seq, value): one aggregate, no parsing."""
+    v = F.col("value")
+    has = lambda p: F.count_if(v.rlike(p))
+    named = lambda n: has(rf'"name"\s*:\s*"(?:{n})"')
+    kind = F.when(v.rlike(r'"type"\s*:\s*"user"'), "user").when(v.rlike(r'"type"\s*:\s*"assistant"'), "assistant")
+    ts = F.try_to_timestamp(F.nullif(F.regexp_extract(v, r'"timestamp"\s*:\s*"([^"]+)"', 1), F.lit("")))
+    opus = F.regexp_extract(v, r'"model"\s*:\s*"claude-(opus|sonnet)', 1)
+    at = F.struct("seq")
+    g = lines.where(F.trim("value") != "").withColumn("_kind", kind).withColumn("_ts", ts).withColumn("_model", F.nullif(opus, F.lit("")))
+    out = g.groupBy(session).agg(
+        F.count_if(F.col("_kind") == "user").alias("users"), F.count_if(F.col("_kind") == "assistant").alias("assistants"), has(r'"type"\s*:\s*"tool_use"').alias("tools"),
+        named("Write|Edit").alias("writes"), named("Bash").alias("bash"), named("Read").alias("reads"), named("Task").alias("subagents"), has(COMMIT).alias("commits"),
+        has(r'"is_error"\s*:\s*true').alias("errors"), has(r'"isCompactSummary"\s*:\s*true').alias("compactions"), F.min_by("_model", F.when(F.col("_model").isNotNull(), at)).alias("model"),
+        F.min_by("value", F.when(F.col("_kind") == "user", at)).alias("_first"), F.min_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_from"), F.max_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_to"),
+    )
+    minutes = F.greatest(F.lit(0), F.floor(F.coalesce((F.unix_micros("_to") - F.unix_micros("_from")) / 60_000_000, F.lit(0)))).cast("long")
+    first = F.try_parse_json("_first")
+    content = F.coalesce(*[F.try_variant_get(first, p, "string") for p in ("$.message.content", "$.message", "$.content")], F.lit(""))
+    return out.select("*", minutes.alias("minutes"), F.translate(F.left(M.without_system_tags(content, ("system-reminder",)), F.lit(150)), "\n", " ").alias("first_message")).drop("_first", "_from", "_to")
+
+
+def fenced(text: Column, kind: str = "") -> Column:
+    return F.concat(F.lit(f"```{kind}\n"), text, F.lit("\n```"))
+
+
+def tool_text(calls: DataFrame) -> DataFrame:
+    """calls (name, input as JSON, result, is_error) with text: each tool use as markdown by the tool's own form."""
+    got = lambda key, other="": F.coalesce(F.get_json_object("input", f"$.{key}"), F.lit(other))
+    cut = lambda c, n: F.concat(F.left(c, F.lit(n)), F.when(F.length(c) > n, "...").otherwise(""))
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    path, about = got("file_path"), got("description")
+    forms = {
+        "Bash": F.concat(F.when(about != "", F.concat(F.lit("*"), about, F.lit("*\n\n"))).otherwise(""), fenced(got("command"), "bash")),
+        "Read": F.concat(F.lit("Reading: "), code(path)),
+        "Write": F.concat(F.lit("Writing to: "), code(path), F.when(got("content") != "", F.concat(F.lit("\n\n"), fenced(cut(got("content"), 500)))).otherwise("")),
+        "Edit": F.concat(F.lit("Editing: "), code(path), F.lit("\n\n"), fenced(F.concat(F.lit("- "), cut(got("old_string"), 200), F.lit("\n+ "), cut(got("new_string"), 200)), "diff")),
+        "Grep": F.concat(F.lit("Searching for "), code(got("pattern")), F.lit(" in "), code(got("path", "."))),
+        "Glob": F.concat(F.lit("Finding files: "), code(got("pattern")), F.lit(" in "), code(got("path", "."))),
+        "Task": F.concat(F.lit("Launching "), got("subagent_type"), F.lit(" agent: "), about),
+    }
+    body = F.when(F.coalesce("input", F.lit("{}")) == "{}", "").otherwise(fenced(F.left("input", F.lit(500)), "json"))
+    for name, form in forms.items():
+        body = F.when(F.col("name") == name, form).otherwise(body)
+    result = F.when(F.col("result").isNotNull(), F.concat(F.when(F.col("is_error"), "\n\n**Error:**\n\n").otherwise("\n\n**Result:**\n\n"), fenced(M.truncated(collapsed("result"), TOOL_RESULT))))
+    return calls.withColumn("text", F.concat(F.lit("#### Tool: "), "name", F.lit("\n\n"), body, F.coalesce(result, F.lit(""))))
+
+
+def notes(turned: DataFrame, session: str = "session") -> DataFrame:
+    """session, raw: each session as a note, frontmatter first; its date is that of its first message."""
+    s = sessions(turned, session).join(turned.groupBy(session).agg(F.max("turn").alias("turns")), session)
+    day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("first").cast("timestamp_ntz")), "yyyy-MM-dd")
+    fields = {"type": F.lit("transcript"), "session_id": F.col(session), "date": day, "turns": F.col("turns"), "total_messages": F.col("messages"), "duration_minutes": F.col("minutes")}
+    return rendered(turned, session).join(s, session).select(session, F.concat(M.formatted(fields), F.lit("\n\n"), "markdown", F.lit("\n")).alias("raw"))
+
+
 def sessions(messages: DataFrame, session: str = "session") -> DataFrame:
     """Messages, first and last time, whole minutes (at least 1, null below two times) of each session."""
     minutes = F.greatest(F.lit(1), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
-from lorekeep.operators import chunking, curation, extract, graph, index, search, transcripts
+from lorekeep.operators import chunking, context, curation, extract, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
 from lorekeep.sources import vault
 from lorekeep.streaming import hooks
@@ -85,11 +85,17 @@ def best_chunk_per_doc(s: SparkSession, d: str) -> DataFrame:
     return search.best_chunk(search.nearest(vault.chunk_vectors(s, d), question_vector(s, d), 60)).select("path", "vec_id", "distance")
 
 
-FUSION = CTE + S.words(TERMS) + ", " + S.vectors(60) + ", w AS (SELECT path, score, row_number() OVER (ORDER BY round(score, 6) DESC, path) - 1 AS wr FROM sc ORDER BY round(score, 6) DESC, path LIMIT 60), v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS vr FROM chunk), "
+RANKS = "w AS (SELECT path, score, row_number() OVER (ORDER BY round(score, 6) DESC, path) - 1 AS wr FROM sc ORDER BY round(score, 6) DESC, path LIMIT 60), "
+FUSION = CTE + S.words(TERMS) + ", " + S.vectors(60) + ", " + RANKS + "v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS vr FROM chunk), "
+MEMOS = f"type = 'memo' AND date >= '{SINCE}'"
+FILTERED = CTE + S.words(TERMS, MEMOS) + ", " + S.vectors(60) + ", " + RANKS + f"v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS vr FROM chunk WHERE path IN (SELECT path FROM archive WHERE {MEMOS})), "
 KIND = "CASE WHEN w.path IS NOT NULL AND v.path IS NOT NULL THEN 'hybrid' WHEN w.path IS NULL THEN 'vector_only' ELSE 'fts_only' END AS match_type"
 
 
-@query("hybrid_search", FUSION + f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE / (61 + vr), 0) AS score, {KIND} FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)")
+RRF = f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE / (61 + vr), 0) AS score, {KIND} FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)"
+
+
+@query("hybrid_search", FUSION + RRF)
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d))
 
@@ -99,7 +105,7 @@ def hybrid_linear(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), scoring="linear")
 
 
-@query("hybrid_filtered")
+@query("hybrid_filtered", FILTERED + RRF)
 def hybrid_filtered(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), type="memo", since=SINCE)
 
@@ -132,6 +138,20 @@ def snippets(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", M.snippet(F.col("raw")).alias("snippet"))
 
 
+RELATED = CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(left(content, 60)), '[a-z]{{3,}}'), lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory' AND date >= '{WEEK}'), q AS (SELECT asks, unnest(terms) AS term FROM a),
+tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS term FROM archive), len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT count(*) AS n, avg(l) AS a FROM len),
+tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT asks, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY asks, path),
+r AS (SELECT *, row_number() OVER (PARTITION BY asks ORDER BY round(score, 6) DESC, path) AS nth FROM sc WHERE asks <> path), k AS (SELECT asks, r.path, row_number() OVER (PARTITION BY asks ORDER BY nth) AS rank FROM r JOIN archive USING (path) WHERE nth <= 7 AND type <> 'transcript')
+SELECT asks AS path, rank, path AS related FROM k WHERE rank <= 5"""
+
+
+@query("related_notes", RELATED)
+def related_notes(s: SparkSession, d: str) -> DataFrame:
+    a = vault.archive(s, d)
+    return search.related(a, a.where((F.col("type") == "auto-memory") & (F.col("date") >= WEEK)).select("path", F.left("content", F.lit(60)).alias("title")))
+
+
 # Extraction
 
 
@@ -285,6 +305,45 @@ def file_info(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", F.length(raw).alias("chars"), F.regexp_count(M.body(raw), F.lit(r"(?U)\S+")).alias("words"), F.size(M.lines(raw)).alias("lines"))
 
 
+@query("dead_ends", CTE + S.LINKS + " SELECT path FROM docs WHERE path NOT IN (SELECT source_path FROM resolved WHERE NOT is_broken)")
+def dead_ends(s: SparkSession, d: str) -> DataFrame:
+    _, docs, resolved, _ = graph_tables(s, d)
+    return graph.dead_ends(docs, resolved.where("not is_broken"))
+
+
+@query("frontmatter_properties", CTE + S.NOTES + ", f AS (SELECT path, unnest(string_split(b, chr(10))) AS line FROM fm) SELECT trim(split_part(line, ':', 1)) AS key, count(DISTINCT path) AS documents, count(DISTINCT substr(line, instr(line, ':') + 1)) AS distinct_values FROM f WHERE contains(line, ':') GROUP BY 1")
+def frontmatter_properties(s: SparkSession, d: str) -> DataFrame:
+    f = vault.notes(s, d).select("path", F.explode(M.frontmatter(F.col("raw"))).alias("e"))
+    return curation.properties(f.select("path", "e.key", "e.value"))
+
+
+NEWEST = "n AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY date DESC, path) AS nth FROM docs WHERE type = 'memo')"
+
+
+@query("project_context", CTE + S.NOTES + ", " + NEWEST + r" SELECT project, string_agg('- ' || title, chr(10) ORDER BY nth) FILTER (nth <= 3) AS memos, CAST(sum(len(regexp_extract_all(content, '- \[ \] '))) AS BIGINT) AS open_threads FROM n WHERE nth <= 5 GROUP BY project")
+def project_context(s: SparkSession, d: str) -> DataFrame:
+    return context.standard(extract.documents(vault.notes(s, d)))
+
+
+SECTION = r"regexp_extract(content, '(?s)## Open Threads\s*\n(.*)$', 1)"
+
+
+@query("session_context", CTE + S.NOTES + ", " + NEWEST + rf", i AS (SELECT *, 'From ' || title || ':' || chr(10) || list_aggregate(list_transform(regexp_extract_all({SECTION}, '- \[ \] (.+)', 1), lambda x: '- [ ] ' || x), 'string_agg', chr(10)) AS items, '**' || title || '** (' || date || ')' AS summary FROM n WHERE nth <= 3) SELECT project, string_agg(items, chr(10) || chr(10) ORDER BY nth) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(summary, chr(10) || chr(10) ORDER BY nth) AS context FROM i GROUP BY project")
+def session_context(s: SparkSession, d: str) -> DataFrame:
+    return context.full(extract.documents(vault.notes(s, d)))
+
+
+@query("auto_memory_sources", CTE + S.NOTES + " SELECT path, sha256(raw) AS content_hash, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS line_count, 'D' || doc_id AS title FROM notes WHERE contains(path, '/auto-memory/')")
+def auto_memory_sources(s: SparkSession, d: str) -> DataFrame:
+    return sync.sources(vault.notes(s, d).where(F.col("path").contains("/auto-memory/")))
+
+
+@query("projects_without_memory", CTE + S.ARCHIVE + f" SELECT DISTINCT project FROM archive WHERE type = 'transcript' AND project NOT IN (SELECT project FROM archive WHERE type = 'auto-memory' AND date >= '{WEEK}')")
+def projects_without_memory(s: SparkSession, d: str) -> DataFrame:
+    a = vault.archive(s, d)
+    return sync.without_memory(a.where("type = 'transcript'"), a.where((F.col("type") == "auto-memory") & (F.col("date") >= WEEK)))
+
+
 # Curation
 
 TIER = "CASE WHEN refs >= 5 THEN 'OVERDUE' WHEN refs >= 3 AND projects >= 2 THEN 'READY' WHEN refs >= 2 THEN 'MATURING' ELSE 'SEEDLING' END"
@@ -339,6 +398,54 @@ def missing_memos(s: SparkSession, d: str) -> DataFrame:
     return curation.missing_memos(t, a.where("type = 'memo'").select((F.col("doc_id") % 101).cast("string").alias("suffix"))).select("path", "suffix")
 
 
+@query("cartography", CTE + S.LINKS + ", b AS (SELECT target_path AS path, count(DISTINCT source_path) AS n FROM resolved WHERE target_path IS NOT NULL GROUP BY target_path), l AS (SELECT path, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM notes) SELECT path, coalesce(n, 0) AS backlinks, lines, CASE WHEN lines >= 200 THEN 'mature' WHEN lines >= 50 THEN 'growing' ELSE 'stub' END AS maturity FROM l LEFT JOIN b USING (path)")
+def cartography(s: SparkSession, d: str) -> DataFrame:
+    n, docs, resolved, _ = graph_tables(s, d)
+    return curation.cartography(docs, resolved, n.select("path", F.size(M.lines(F.col("raw"))).alias("lines")))
+
+
+TAGGED_SQL = "g AS (SELECT DISTINCT project, tag AS topic FROM tags JOIN docs ON path = doc_path)"
+
+
+def tagged(s: SparkSession, d: str) -> DataFrame:
+    return extract.documents(vault.notes(s, d)).select("path", "project", "type", "date", F.explode("tags").alias("topic"))
+
+
+@query("project_adjacency", CTE + S.NOTES + ", " + TAGGED_SQL + " SELECT a.project AS project_a, b.project AS project_b, count(*) AS shared FROM g a JOIN g b USING (topic) WHERE a.project < b.project GROUP BY 1, 2")
+def project_adjacency(s: SparkSession, d: str) -> DataFrame:
+    return curation.adjacency(tagged(s, d).select("project", "topic"))
+
+
+@query("memos_by_topic", CTE + S.NOTES + " SELECT tag AS topic, count(*) AS memos FROM tags JOIN docs ON path = doc_path WHERE type = 'memo' GROUP BY tag HAVING count(*) >= 2")
+def memos_by_topic(s: SparkSession, d: str) -> DataFrame:
+    return curation.memos_by_topic(tagged(s, d).where("type = 'memo'").select("path", "topic"))
+
+
+@query("themes_without_topic", CTE + S.NOTES + ", " + TAGGED_SQL + f", k AS (SELECT string_split(tags, ', ')[1] AS topic FROM docs WHERE type = 'concept' AND date >= '{WEEK}') SELECT topic, count(DISTINCT project) AS projects FROM g WHERE topic NOT IN (SELECT topic FROM k) GROUP BY topic HAVING count(DISTINCT project) >= 2")
+def themes_without_topic(s: SparkSession, d: str) -> DataFrame:
+    known = extract.documents(vault.notes(s, d)).where((F.col("type") == "concept") & (F.col("date") >= WEEK)).select(F.col("tags")[0].alias("topic"))
+    return curation.themes_without_topic(tagged(s, d).select("project", "topic"), known)
+
+
+@query("suggested_concepts", CTE + "a AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 2)) AS t FROM pages) SELECT trim(t) AS concept, count(*) AS mentions, count(DISTINCT url) AS notes FROM a GROUP BY trim(t)")
+def suggested_concepts(s: SparkSession, d: str) -> DataFrame:
+    return curation.suggested(vault.page_links(s, d).withColumn("link_text", F.concat(F.lit("?"), "link_text")))
+
+
+@query("note_sizes", CTE + S.NOTES + ", z AS (SELECT strlen(raw) AS bytes FROM notes) SELECT CASE WHEN bytes < 1000 THEN 'tiny' WHEN bytes < 10000 THEN 'small' WHEN bytes < 1000000 THEN 'medium' WHEN bytes < 10000000 THEN 'large' ELSE 'huge' END AS size_class, count(*) AS files, round(avg(bytes), 6) AS mean_bytes FROM z GROUP BY 1")
+def note_sizes(s: SparkSession, d: str) -> DataFrame:
+    return curation.by_size(vault.notes(s, d).select(F.octet_length("raw").alias("bytes")))
+
+
+@query("orphaned_sessions", "WITH p AS (SELECT 's' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, max(ts) FILTER (event_type = 'error') AS archived, count(*) FILTER (event_type = 'purchase') AS completed FROM events GROUP BY 1) SELECT session_id, strftime(archived, '%Y-%m-%d %H:%M:%S') AS archived FROM p WHERE completed = 0 AND archived < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+def orphaned_sessions(s: SparkSession, d: str) -> DataFrame:
+    e = vault.session_events(s, d)
+    last = e.agg(F.max("ts")).head()[0]
+    phase = F.when(F.col("kind") == "error", "archived").when(F.col("kind") == "purchase", "completed")
+    p = e.select(F.concat("session_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"), phase.alias("phase"), F.col("ts").alias("at"))
+    return curation.orphaned_sessions(p, F.lit(last).cast("timestamp_ntz")).select("session_id", F.date_format("archived", "yyyy-MM-dd HH:mm:ss").alias("archived"))
+
+
 # Conversations
 
 MSG = """msg AS (SELECT conv_id AS session, turn AS seq, role, text, make_timestamp((1704067200 + conv_id * 3600 + turn * 100) * 1000000) AS ts FROM conversations),
@@ -370,11 +477,43 @@ def message_dedupe(s: SparkSession, d: str) -> DataFrame:
     return transcripts.deduplicated(m, ["session", "role", "slot"]).select("session", "seq", "role", "slot", F.length("text").alias("chars"))
 
 
-@query("rendered_sessions")
+TAGGED = "text"
+for _tag in transcripts.TAGS:
+    TAGGED = f"regexp_replace({TAGGED}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g')"
+RENDERED = (
+    MSG
+    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM turned), ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' || chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
+tm AS (SELECT session, turn, '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t, chr(10) || chr(10) ORDER BY seq) AS md FROM ct GROUP BY session, turn), rd AS (SELECT session, string_agg(md, chr(10) || chr(10) ORDER BY turn) AS markdown, CAST(max(turn) AS BIGINT) AS turns FROM tm GROUP BY session)"""
+)
+
+
+@query("rendered_sessions", CTE + RENDERED + " SELECT session, markdown FROM rd")
 def rendered_sessions(s: SparkSession, d: str) -> DataFrame:
     return transcripts.rendered(transcripts.turns(vault.messages(s, d)))
 
 
+NOTE = """, ss AS (SELECT session, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS day, CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM turned GROUP BY session)
+SELECT session, concat_ws(chr(10), '---', 'type: transcript', 'session_id: ' || session, 'date: ' || day, 'turns: ' || turns, 'total_messages: ' || n, 'duration_minutes: ' || minutes, '---', '', markdown) || chr(10) AS raw FROM rd JOIN ss USING (session)"""
+
+
+@query("session_notes", CTE + RENDERED + NOTE)
+def session_notes(s: SparkSession, d: str) -> DataFrame:
+    return transcripts.notes(transcripts.turns(vault.messages(s, d)))
+
+
+@query("message_signals", CTE + MSG + r""" SELECT session, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT) AS minutes, coalesce(translate(left(trim(regexp_replace(arg_min(text, seq) FILTER (role = 'user'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), 150), chr(10), ' '), '') AS first_message FROM msg GROUP BY session""")
+def message_signals(s: SparkSession, d: str) -> DataFrame:
+    m = vault.messages(s, d)
+    at = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(F.col("role").alias("type"), at.alias("timestamp"), F.struct(F.col("text").alias("content")).alias("message")))
+    return transcripts.signals(m.select("session", "seq", line.alias("value")), "session").select("session", "users", "assistants", "minutes", "first_message")
+
+
+@query("viable_sessions", "SELECT conv_id AS session_id, count(*) AS lines, count(*) FILTER (contains(text, 'tool_use')) AS tools FROM conversations GROUP BY conv_id HAVING count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0")
+def viable_sessions(s: SparkSession, d: str) -> DataFrame:
+    return hooks.viable(vault.messages(s, d).select(F.col("session").alias("session_id"), "text"))
+
+
 SIGNALS = """sg AS (SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'purchase') AS writes, count(*) FILTER (event_type = 'signup') AS commits, count(*) FILTER (event_type = 'click') AS bash, count(*) FILTER (event_type = 'view') AS users, count(*) FILTER (event_type = 'error') AS errors, epoch(max(ts) - min(ts)) / 60 AS minutes FROM events GROUP BY user_id),
 sc AS (SELECT session_id, CAST(greatest(0, least(writes * 3, 15) + least(commits * 5, 15) + least(bash, 5) + least(users, 10) + CASE WHEN minutes >= 60 THEN 8 WHEN minutes >= 30 THEN 5 WHEN minutes >= 10 THEN 3 WHEN minutes >= 5 THEN 1 ELSE 0 END - least(errors, 3)) AS BIGINT) AS score FROM sg), g AS (SELECT *, CASE WHEN score >= 16 THEN 'high' WHEN score >= 9 THEN 'moderate' WHEN score >= 4 THEN 'low' ELSE 'skip' END AS grade FROM sc)"""
 

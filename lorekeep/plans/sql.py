@@ -37,11 +37,11 @@ tasks AS (SELECT path AS doc_path, trim(regexp_extract(line, '^(\s*)-\s*\[([ xX]
 GRAPH = LINKS + ", " + HEADINGS + ", " + TASKS
 
 
-def words(terms: list[str]) -> str:
+def words(terms: list[str], where: str = "TRUE") -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
     return (
         ARCHIVE
-        + rf""", tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS term FROM archive),
+        + rf""", tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS term FROM archive WHERE {where}),
 len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT count(*) AS n, avg(l) AS a FROM len),
 tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN ({listed}) GROUP BY path, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN df USING (term) JOIN len USING (path), st GROUP BY path)"""
