@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.words import folded, stems
+
 #: Words that a keyword query leaves out.
 STOPWORDS = (
     "why", "what", "how", "when", "where", "who", "which",
@@ -54,11 +56,16 @@ def occurrences(words: Column, term: str) -> Column:
     return ((F.length(words) - F.length(F.replace(words, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("long")
 
 
-def postings(docs: DataFrame, key: str = "path", *columns: str) -> DataFrame:
-    """term, key, tf, length: the inverted index, one row for each word of a document. Written sorted by term, a search reads only its terms' row groups."""
+def postings(docs: DataFrame, key: str = "path", *columns: str, stemmed: bool = False) -> DataFrame:
+    """term, key, tf, length: the inverted index, one row for each word of a document. Written sorted by term, a search reads only its terms' row groups.
+
+    stemmed: terms are stems of words without accents. Words are counted by document first, so each goes to Python once for each document that has it.
+    """
     text = F.concat_ws(" ", *(columns or ("content",)))
+    text = folded(text) if stemmed else text
     t = docs.select(key, length(text).alias("length"), tokens(text).alias("t")).select(key, "length", F.explode("t").alias("term")).where("term <> ''")
-    return t.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    p = t.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return p.withColumn("term", stems("term")).groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if stemmed else p
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str = "path", *columns: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -74,11 +81,13 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "path", *columns: str, k1
     return s.select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", query_key: str = "item_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", query_key: str = "item_id", k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
     """Best k documents of each query (query_key, terms): postings joined on terms; idf and length norms are columns of the joined rows."""
-    p = postings(docs, key)
+    p = postings(docs, key, stemmed=stemmed)
     lengths = docs.select(length(F.col("content")).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avg"))
     asked = queries.select(query_key, F.explode(F.array_distinct("terms")).alias("term"))
+    if stemmed:
+        asked = asked.withColumn("term", stems(folded(F.col("term")))).distinct()
     wanted = p.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     hits = asked.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(lengths))

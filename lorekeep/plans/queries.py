@@ -133,6 +133,12 @@ def bm25_batch(s: SparkSession, d: str) -> DataFrame:
     return search.bm25_batch(vault.archive(s, d), b, 3)
 
 
+@query("bm25_stemmed")
+def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
+    b = vault.table(s, d, "benchmark").select("item_id", search.keywords_of(F.col("text")).alias("terms"))
+    return search.bm25_batch(vault.archive(s, d), b, 3, stemmed=True)
+
+
 @query("snippets", CTE + S.NOTES + r""" SELECT path, substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 200) || CASE WHEN length(content) > 200 THEN '...' ELSE '' END AS snippet FROM docs""")
 def snippets(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", M.snippet(F.col("raw")).alias("snippet"))

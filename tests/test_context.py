@@ -1,10 +1,14 @@
 """Session context, kept copies, rendering, triage signals and curation reports on small fixtures."""
 
 import json
+import math
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
+from lorekeep.functions.words import folded, stem
 from lorekeep.operators import context, curation, extract, search, sync, transcripts
 
 
@@ -150,6 +154,26 @@ def test_related(spark):
     assert search.related(docs, asking.withColumn("title", F.lit("of"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("word", "expected"),
+    [("caresses", "caress"), ("ponies", "poni"), ("feed", "feed"), ("agreed", "agre"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("rational", "ration"), ("digitizer", "digit"), ("vietnamization", "vietnam"), ("decisiveness", "decis"), ("sensibiliti", "sensibl"), ("electrical", "electr"), ("goodness", "good"), ("adoption", "adopt"), ("replacement", "replac"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("is", "is"), ("", ""), ("2024s", "2024")],
+)
+def test_stem(word, expected):
+    assert stem(word) == expected
+
+
+def test_stemmed_search(spark):
+    texts = {"a": "Connected connections, café", "b": "connecting the cafes", "c": "other words", "d": ""}
+    docs = spark.createDataFrame(list(texts.items()), "path string, content string")
+    asked = spark.createDataFrame([(1, ["connection", "cafés"])], "item_id long, terms array<string>")
+    got = {r.path: r.score for r in search.bm25_batch(docs, asked, 9, stemmed=True).collect()}
+    words = {k: [stem(w) for w in v.replace("é", "e").replace(",", "").lower().split()] for k, v in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    score = lambda ws: sum(max(math.log((4 - 2 + 0.5) / (2 + 0.5)), 1e-6) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in ("connect", "cafe"))
+    assert set(got) == {"a", "b"} and all(abs(got[k] - score(words[k])) < 1e-12 for k in got)
+    assert one(spark, "Ünïcode šč ø 漢", folded) == "Unicode sc ø 漢"
+
+
 def test_curation_reports(spark):
     links = spark.createDataFrame([("a", "?x"), ("a", "? x"), ("b", "?x"), ("b", "y")], "source_path string, link_text string")
     assert [tuple(r) for r in curation.suggested(links).collect()] == [("x", 3, 2)]
