@@ -14,8 +14,8 @@ A bucket above LARGE rows is cut into parts, and each pair of parts is a bucket,
 bucket reports a forest of its linked fingerprints, not their pairs; components over all buckets follow.
 
 Near copies at a shingle resemblance of 0.8 differ in some 15 % of their bits, too many of 64 for blocks that must agree. The
-stage of a pipeline therefore takes WIDE words of 64 bits, buckets by single blocks of them and links by the difference over all words;
-the number of blocks sets how many of the pairs at 0.8 meet (92 %; 99 % at 0.9).
+stage of a pipeline therefore takes WIDE words of 64 bits, buckets by runs of bits dealt over pairs of words and links by the difference over all
+words; the number of runs sets how many of the pairs at 0.8 meet (92 %; 99 % at 0.9), at every number of documents.
 
 Defined cases: null or empty text, or no words: fingerprint zero, linked like any other; null doc_id: gets its
 fingerprint's component and links nothing; repeated doc_id or rows: one node if their texts are equal, else linked only by their texts; very long
@@ -106,23 +106,34 @@ def blocks(m: int) -> list[int]:
     return [((1 << s) - 1) << int(a) for s, a in zip(sizes, np.cumsum([0, *sizes]), strict=False)]
 
 
-def exact_choices(n: int, differ: int = DIFFER) -> list[tuple[int, int]]:
-    """(word 0, bits) that must agree, for n fingerprints: pairs within `differ` agree on at least one."""
+#: Bits that must agree, as masks of words of the fingerprint.
+Choice = list[tuple[int, int]]
+
+
+def exact_choices(n: int, differ: int = DIFFER) -> list[Choice]:
+    """Bits of word 0 that must agree, for n fingerprints: pairs within `differ` agree on at least one choice."""
     for m in range(differ + 1, 17):
         if n / 2.0 ** ((BITS // m) * (m - differ)) <= BUCKET:
             break
-    return [(0, sum(c)) for c in combinations(blocks(m), m - differ)]
+    return [[(0, sum(c))] for c in combinations(blocks(m), m - differ)]
 
 
-def wide_choices(n: int, missed: float = 0.08, agree: float = 0.85) -> list[tuple[int, int]]:
-    """(word, bits) blocks of at least 13 bits, so many that all but `missed` of the pairs whose bits agree with probability `agree` share one."""
-    for m in (5, 4, 3, 2):
-        bits = BITS // m + (BITS % m > 0)
-        if n / 2.0**bits <= 16 * BUCKET:
-            break
+def wide_choices(n: int, missed: float = 0.08, agree: float = 0.85, seed: int = 7) -> list[Choice]:
+    """Runs of bits, dealt within pairs of words, so many that all but `missed` of the pairs whose bits agree with probability `agree` share one.
+
+    A run has 13 bits, more as n grows so that buckets stay small; then there are more runs, so the share that meets doesn't depend on n.
+    """
+    bits = max(13, int(np.ceil(np.log2(max(n, 1) / (16 * BUCKET)))))
     count = int(np.ceil(np.log(missed) / np.log1p(-(agree**bits))))
-    every = [(w, b) for b in blocks(m) for w in range(WIDE)]
-    return every[: min(count, len(every))]
+    draw, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        dealt = [draw.permutation(2 * BITS) for _ in range(WIDE // 2)]
+        for at in range(0, 2 * BITS - bits + 1, bits):
+            for pair, order in enumerate(dealt):
+                run = [int(x) for x in order[at : at + bits]]
+                masks = [(2 * pair + side, sum(1 << (x % BITS) for x in run if x // BITS == side)) for side in (0, 1)]
+                out.append([(word, mask) for word, mask in masks if mask])
+    return out[:count]
 
 
 def levels(values: np.ndarray, bucket: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,10 +225,16 @@ def linked(values: np.ndarray, bucket: np.ndarray, differ: int) -> np.ndarray:
     return roots
 
 
-def forest(nodes: DataFrame, choices: list[tuple[int, int]], differ: int, width: int = 1) -> DataFrame:
+def agreeing(choice: Choice) -> F.Column:
+    """The choice's bits, or a hash of them if they stand in two words: equal for fingerprints that agree on them; what differs is told apart later."""
+    kept = [F.col(f"s{w}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for w, m in choice]
+    return kept[0] if len(kept) == 1 else F.xxhash64(*kept)
+
+
+def forest(nodes: DataFrame, choices: list[Choice], differ: int, width: int = 1) -> DataFrame:
     """Links a, b between ids of nodes (id, s0, ...; distinct fingerprints) that join all fingerprints which share a choice's bits and differ in at most `differ` bits, directly or by others of the same bucket."""
     words = names(width)
-    picks = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(words[w]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, (w, m) in enumerate(choices)])
+    picks = F.array(*[F.struct(F.lit(i).alias("choice"), agreeing(c).alias("key")) for i, c in enumerate(choices)])
     keyed = nodes.select("id", *words, F.explode(picks).alias("x")).select("x.choice", "x.key", "id", *words)
     sizes = common.written(keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "simhash-large")
     half = LARGE // 2

@@ -222,6 +222,16 @@ def test_simhash_large_bucket(spark):
     assert [found.get(i, i) for i in range(len(v))] == union_find(len(v), pairs)
 
 
+def test_wide_choices_meet_at_every_size():
+    for n in (0, 1, 10**4, 10**7, 10**8, 10**10, 10**12):
+        made = simhash.wide_choices(n)
+        bits = {sum(m.bit_count() for _, m in c) for c in made}
+        assert len(bits) == 1 and all(0 <= w < simhash.WIDE and 0 < m < 1 << 64 for c in made for w, m in c)
+        b = bits.pop()
+        assert (1 - 0.85**b) ** len(made) <= 0.08 and n / 2.0**b <= 16 * simhash.BUCKET
+        assert len({tuple(c) for c in made}) == len(made)
+
+
 def test_near_copies_stage(spark):
     draw = random.Random(2)
     docs = []
