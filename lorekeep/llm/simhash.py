@@ -15,7 +15,7 @@ bucket reports a forest of its linked fingerprints, not their pairs; components
 
 Near copies at a shingle resemblance of 0.8 differ in some 15 % of their bits, too many of 64 for blocks that must agree. The
 stage of a pipeline therefore takes WIDE words of 64 bits, buckets by runs of bits dealt over pairs of words and links by the difference over all
-words; the number of runs sets how many of the pairs at 0.8 meet (92 %; 99 % at 0.9), at every number of documents.
+words; the number of runs sets how many of the pairs at 0.8 meet (95 %; more above), at every number of documents.
 
 Defined cases: null or empty text, or no words: fingerprint zero, linked like any other; null doc_id: gets its
 fingerprint's component and links nothing; repeated doc_id or rows: one node if their texts are equal, else linked only by their texts; very long
@@ -36,9 +36,9 @@ from . import common
 from .components import components
 
 BITS, DIFFER = 64, 4
-#: Words of a wide fingerprint, and bits of these that near copies differ in at most: 15.2 % of 512 are expected at a resemblance of 0.8, with a
-#: standard deviation of 8 bits.
-WIDE, WIDE_DIFFER = 8, 80
+#: Words of a wide fingerprint, and bits of these that near copies differ in at most: 15.1 % of 1,024 are expected at a resemblance of 0.8, with a
+#: standard deviation of 11 bits.
+WIDE, WIDE_DIFFER = 16, 160
 #: Rows of a bucket before it is cut, children of a node, and rows that a task works on at once.
 LARGE, FAN, AT_ONCE = 1024, 8, 1 << 16
 #: Mean number of random fingerprints in a bucket at most.
@@ -118,7 +118,7 @@ def exact_choices(n: int, differ: int = DIFFER) -> list[Choice]:
     return [[(0, sum(c))] for c in combinations(blocks(m), m - differ)]
 
 
-def wide_choices(n: int, missed: float = 0.08, agree: float = 0.85, seed: int = 7) -> list[Choice]:
+def wide_choices(n: int, missed: float = 0.05, agree: float = 0.85, seed: int = 7) -> list[Choice]:
     """Runs of bits, dealt within pairs of words, so many that all but `missed` of the pairs whose bits agree with probability `agree` share one.
 
     A run has 13 bits, more as n grows so that buckets stay small; then there are more runs, so the share that meets doesn't depend on n.
@@ -187,8 +187,9 @@ def linked(values: np.ndarray, bucket: np.ndarray, differ: int) -> np.ndarray:
 
     def search(level: int, a: np.ndarray, b: np.ndarray, seen: np.ndarray, acc: np.ndarray) -> None:
         """Pairs of nodes, bits compared so far and differences among them."""
-        for at in range(0, len(a), AT_ONCE):
-            step(level, a[at : at + AT_ONCE], b[at : at + AT_ONCE], seen[at : at + AT_ONCE], acc[at : at + AT_ONCE])
+        size = AT_ONCE // values.shape[1]
+        for at in range(0, len(a), size):
+            step(level, *(x[at : at + size] for x in (a, b, seen, acc)))
 
     def step(level: int, a: np.ndarray, b: np.ndarray, seen: np.ndarray, acc: np.ndarray) -> None:
         mask, pattern, _, _ = tree[level]

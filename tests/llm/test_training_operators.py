@@ -228,7 +228,7 @@ def test_wide_choices_meet_at_every_size():
         bits = {sum(m.bit_count() for _, m in c) for c in made}
         assert len(bits) == 1 and all(0 <= w < simhash.WIDE and 0 < m < 1 << 64 for c in made for w, m in c)
         b = bits.pop()
-        assert (1 - 0.85**b) ** len(made) <= 0.08 and n / 2.0**b <= 16 * simhash.BUCKET
+        assert (1 - 0.85**b) ** len(made) <= 0.05 and n / 2.0**b <= 16 * simhash.BUCKET
         assert len({tuple(c) for c in made}) == len(made)
 
 
