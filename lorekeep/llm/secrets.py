@@ -1,10 +1,12 @@
 """Secret scans by grammar inference.
 
 From labelled credentials of each format a prefix tree is built; its statistically compatible states are merged (Hoeffding
-bound on the frequencies of each symbol and of ending, as far as the evidence goes) into a probabilistic automaton. Every
-candidate of a text, a long enough run of credential characters, is scored by each automaton: the mean over its characters
-of the log likelihood ratio against ordinary text. The best format above the threshold is reported. The base patterns are
-always reported; spans of the method lie outside them.
+bound on the frequencies of each symbol and of ending, as far as the evidence goes) into a probabilistic automaton. A
+candidate starts wherever a format's literal stands in a run of credential characters, or, for a format without one, at the
+run's start and after each of its marks; its automaton walks on from there and ends it in a state that samples ended in, at a
+length that the format has. The score is the mean over its characters of the log likelihood ratio against ordinary text; of
+candidates above the threshold that overlap, the first one with a literal stays, or else the best. The base
+patterns are always reported; spans of the method lie outside them, and what a base span leaves of a run is scanned.
 
 The labelled credentials are drawn by a seed from the public formats listed below, a few hundred each, so the automata
 have a fixed size; they are inferred once and sent with the tasks. One narrow Python stage, no shuffle.
@@ -15,6 +17,7 @@ matter; empty table: empty result. Offsets count code points.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -46,10 +49,15 @@ FORMATS: dict[str, list[str | tuple[str, int, int]]] = {
     "mail_key": ["SG.", (URL, 22, 22), ".", (URL, 43, 43)],
     "package_index": ["pypi-AgEIcHlwaS5vcmc", (URL, 50, 90)],
     "package_registry": ["npm_", (ALNUM, 36, 36)],
-    "web_token": ["eyJ", (URL, 17, 40), ".eyJ", (URL, 20, 80), ".", (URL, 43, 43)],
+    "web_token": ["eyJ", (URL, 17, 120), ".eyJ", (URL, 20, 600), ".", (URL, 43, 342)],
     "cloud_secret": [(ALNUM + "+/", 40, 40)],
 }
 KINDS = (*BASE_KINDS, *FORMATS)
+#: Formats whose parts may be longer than the drawn ones.
+OPEN = {"package_index", "web_token"}
+LITERALS = {kind: parts[0] for kind, parts in FORMATS.items() if isinstance(parts[0], str)}
+MARKS = re.compile("[^A-Za-z0-9]")
+STARTS = re.compile("|".join(f"(?={re.escape(x)})" for x in LITERALS.values()))
 
 
 def labelled(seed: int = 7, each: int = 240) -> list[tuple[str, str]]:
@@ -62,7 +70,7 @@ class Automaton:
     """Probabilistic automaton of one format, inferred by merging the states of a prefix tree in breadth-first order."""
 
     def __init__(self, samples: list[str], alpha: float = 0.05) -> None:
-        self.seen, self.ends = [0], [0]
+        self.seen, self.ends, self.dots = [0], [0], [0]
         self.next: list[dict[str, int]] = [{}]
         self.uses: list[dict[str, int]] = [{}]
         self.bound = math.sqrt(0.5 * math.log(2.0 / alpha))
@@ -73,7 +81,7 @@ class Automaton:
                 self.uses[at][c] = self.uses[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.seen)
-                    self.seen.append(0), self.ends.append(0), self.next.append({}), self.uses.append({})
+                    self.seen.append(0), self.ends.append(0), self.next.append({}), self.uses.append({}), self.dots.append(self.dots[at] + (c == "."))
                 at = self.next[at][c]
                 self.seen[at] += 1
             self.ends[at] += 1
@@ -82,7 +90,8 @@ class Automaton:
             b = blue[0]
             parent, symbol = next((r, c) for r in red for c, x in self.next[r].items() if x == b)
             for r in reversed(red):
-                if self.compatible(r, b):
+                # Only with as many dots before: else a token's parts become one and it may end in any of them.
+                if self.dots[r] == self.dots[b] and self.compatible(r, b):
                     self.next[parent][symbol] = r
                     self.fold(r, b)
                     break
@@ -149,7 +158,8 @@ class Grammar:
         for kind, s in labelled():
             by.setdefault(kind, []).append(s)
         self.automata = {kind: Automaton(s) for kind, s in by.items()}
-        self.lengths = {kind: (min(map(len, s)), max(map(len, s))) for kind, s in by.items()}
+        self.lengths = {kind: tuple(sum(len(p) if isinstance(p, str) else p[i] for p in parts) for i in (1, 2)) for kind, parts in FORMATS.items()}
+        self.lengths |= {kind: (self.lengths[kind][0], math.inf) for kind in OPEN}
         self.plain = {c: math.log(0.85 / 26) for c in LOWER} | {c: math.log(0.06 / 26) for c in UPPER} | {c: math.log(0.04 / 10) for c in DIGIT} | {c: math.log(0.05 / 6) for c in "+/_.=-"}
         self.threshold = threshold
 
@@ -158,6 +168,60 @@ class Grammar:
         ordinary = sum(map(self.plain.__getitem__, s))
         return max(((kind, (a.log_likelihood(s) - ordinary) / len(s)) for kind, a in self.automata.items() if self.lengths[kind][0] <= len(s) <= self.lengths[kind][1]), key=lambda x: x[1], default=("", -99.0))
 
+    def walk(self, kind: str, s: str, start: int, met: dict[tuple[int, int], tuple[list, int]]) -> tuple[int, float]:
+        """End and mean log likelihood ratio of the format's candidate at start; (-1, -99.0): none.
+
+        met has the states of earlier walks of an open format in s: a walk that meets one goes on as that did, so each place and state is walked once.
+        """
+        a, (least, most) = self.automata[kind], self.lengths[kind]
+        state, total, path, best = 0, 0.0, [], None
+        last = min(len(s), start + most)
+        at = start
+        while True:
+            if kind in OPEN:
+                if (at, state) in met:
+                    other, nth = met[at, state]
+                    end, to = other[-1]
+                    best = (end, total + to - other[nth]) if end > at else best
+                    path.append(total)
+                    break
+                met[at, state] = (path, len(path))
+                path.append(total)
+            if a.ends[state] and (kind in OPEN or at - start >= least):
+                bounded = at == len(s) or not s[at].isalnum()
+                if kind in OPEN:
+                    best = (at, total + a.table[state][1])
+                elif (bounded or kind in LITERALS) and (best is None or bounded >= best[2]):
+                    best = (at, total + a.table[state][1], bounded)
+            if at == last or s[at] not in a.table[state][0] or s[at] not in a.next[state]:
+                break
+            total += a.table[state][0][s[at]] - self.plain[s[at]]
+            state = a.next[state][s[at]]
+            at += 1
+        if kind in OPEN:
+            path.append(best[:2] if best else (-1, 0.0))
+        if best is None or best[0] - start < least:
+            return -1, -99.0
+        return best[0], best[1] / (best[0] - start)
+
+    def found(self, s: str) -> list[tuple[int, int, str]]:
+        """Candidates of a run of credential characters above the threshold; of those that overlap, one with a literal goes before one without; of the former the first stays, of the latter the best."""
+        scored: dict[tuple[int, str], tuple[float, int]] = {}
+        starts = [(m.start(), kind) for m in STARTS.finditer(s) for kind, x in LITERALS.items() if s.startswith(x, m.start())]
+        starts += [(i, kind) for kind in FORMATS.keys() - LITERALS.keys() for i in (0, *(m.end() for m in MARKS.finditer(s)))]
+        met: dict[str, dict] = {kind: {} for kind in FORMATS}
+        for start, kind in starts:
+            end, score = self.walk(kind, s, start, met[kind])
+            if score >= self.threshold:
+                scored.setdefault((end, kind), (-score, start))
+        out: list[tuple[int, int, str]] = []
+        first = lambda x: (False, x[1], x[0]) if x[3] in LITERALS else (True, *x)
+        for _, start, end, kind in sorted(((score, start, end, kind) for (end, kind), (score, start) in scored.items()), key=first):
+            i = bisect.bisect(out, (start, end, kind))
+            if (i == 0 or out[i - 1][1] <= start) and (i == len(out) or end <= out[i][0]):
+                out.insert(i, (start, end, kind))
+        return out
+
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     """Byte spans of the base patterns."""
@@ -183,17 +247,21 @@ def spans(text: bytes, grammar: Grammar) -> list[tuple[int, int, str]]:
     at = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        a, b = a + len(m[0]) - len(m[0].lstrip(b"=./+")), b - len(m[0]) + len(m[0].rstrip(b".="))
-        word = text[a:b]
-        if b - a < 16 or word.isalpha() and (word[1:].islower() or word.isupper()):
+        if m[0].isalpha() and (m[0][1:].islower() or m[0].isupper()):
             continue  # ordinary words: no automaton rates them above the threshold
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue
-        kind, score = grammar.score(word.decode("ascii"))
-        if score >= grammar.threshold:
-            out.append((a, b, kind))
+        while a < b:
+            # The part up to the next base span, then what follows it.
+            inside = at < len(taken) and taken[at][0] < b
+            end = max(a, taken[at][0]) if inside else b
+            if end - a >= 16:
+                out += [(a + x, a + y, kind) for x, y, kind in grammar.found(text[a:end].decode("ascii"))]
+            if not inside:
+                break
+            a = taken[at][1]
+            if a < b:
+                at += 1
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

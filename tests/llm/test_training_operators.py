@@ -289,6 +289,22 @@ def test_grammar():
     assert [(k, text[a:b][:4]) for a, b, k in found] == [("source_host", "ghp_")]
 
 
+def test_glued_credentials():
+    g, draw = secrets.Grammar(), random.Random(17)
+    of = lambda k: "".join(draw.choices(secrets.URL, k=k))
+    tokens = [("web_token", f"eyJ{of(33)}.eyJ{of(n)}.{of(m)}") for n, m in ((60, 43), (300, 86), (500, 342), (1500, 683))]
+    known = [x for x in secrets.labelled(seed=4242, each=4) if x[0] not in ("web_token", "cloud_secret")] + tokens
+    known.append(("cloud_secret", "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6+L9n"))
+    for kind, s in known:
+        for around in ("{}", "https://h.io/x?key={}", "GITHUB_PAT={}", "/path/to/{}", "/path/{}/more", "a.b.{}.", "deadbeefdeadbeefdeadbeef/{}"):
+            text = around.format(s)
+            at = text.index(s)
+            assert (at, at + len(s), kind) in secrets.spans(text.encode(), g), (kind, text)
+    assert secrets.spans(b"/usr/share/ordinary/paths/of.things/and-words_with=marks/eyJust/SG.nothing", g) == []
+    for part in ("eyJ", "a.eyJ", "aB3/"):  # each place and state once
+        secrets.spans(part.encode() * 50_000, g)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(600, 900)] + [(7, 7)]
     r = components.components(spark.createDataFrame(chain, "a long, b long")).toPandas().set_index("id").component
