@@ -15,7 +15,10 @@ bucket reports a forest of its linked fingerprints, not their pairs; components
 
 Near copies at a shingle resemblance of 0.8 differ in some 15 % of their bits, too many of 64 for blocks that must agree. The
 stage of a pipeline therefore takes WIDE words of 64 bits, buckets by runs of bits dealt over pairs of words and links by the difference over all
-words; the number of runs sets how many of the pairs at 0.8 meet (95 %; more above), at every number of documents.
+words; the number of runs sets how many of the pairs at 0.8 meet (99 %, one standard deviation below their mean; more above), at every number of
+documents. These links make groups of candidates only: within a group sets of shingles are compared, and a document goes if its resemblance to
+one that stays is 0.8 or more. A group of up to PART distinct sets is one step, by doc_id; a larger one goes in rounds, each against up to LEADERS
+of its sets, until all are decided. So the work in a group is its size times the number of its sets that stay.
 
 Defined cases: null or empty text, or no words: fingerprint zero, linked like any other; null doc_id: gets its
 fingerprint's component and links nothing; repeated doc_id or rows: one node if their texts are equal, else linked only by their texts; very long
@@ -24,11 +27,13 @@ texts: read in pieces; extra columns stay; empty table: empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +41,11 @@ from . import common
 from .components import components
 
 BITS, DIFFER = 64, 4
-#: Words of a wide fingerprint, and bits of these that near copies differ in at most: 15.1 % of 1,024 are expected at a resemblance of 0.8, with a
-#: standard deviation of 11 bits.
-WIDE, WIDE_DIFFER = 16, 160
+#: Words of a wide fingerprint, and bits of these that candidates differ in at most: 15.1 % of 1,024 are expected at a resemblance of 0.8, with a
+#: standard deviation of 11.5 bits; three of these are added.
+WIDE, WIDE_DIFFER = 16, 190
+#: Distinct sets of a group that one task compares, and sets of a larger group that a round compares the others with.
+PART, LEADERS = 256, 64
 #: Rows of a bucket before it is cut, children of a node, and rows that a task works on at once.
 LARGE, FAN, AT_ONCE = 1024, 8, 1 << 16
 #: Mean number of random fingerprints in a bucket at most.
@@ -118,7 +125,7 @@ def exact_choices(n: int, differ: int = DIFFER) -> list[Choice]:
     return [[(0, sum(c))] for c in combinations(blocks(m), m - differ)]
 
 
-def wide_choices(n: int, missed: float = 0.05, agree: float = 0.85, seed: int = 7) -> list[Choice]:
+def wide_choices(n: int, missed: float = 0.01, agree: float = 0.84, seed: int = 7) -> list[Choice]:
     """Runs of bits, dealt within pairs of words, so many that all but `missed` of the pairs whose bits agree with probability `agree` share one.
 
     A run has 13 bits, more as n grows so that buckets stay small; then there are more runs, so the share that meets doesn't depend on n.
@@ -296,8 +303,107 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *common.shingle_hashes(text, shingle)]))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a set; it tells apart sets with one fingerprint or doc_id."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), common.SEED)).view(np.int64)))
+
+
+def with_sets(docs: DataFrame, keep: bool) -> DataFrame:
+    """doc_id, wide fingerprint and the set's name; or (keep) doc_id, name and the set itself. One narrow stage."""
+    common.bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.raw(batch.column(1))
+            sets = [shingle_set(t) for t in texts]
+            named = pa.array([set_name(x) for x in sets], pa.int64())
+            ids = batch.column(0).cast(pa.int64())
+            if keep:
+                yield pa.RecordBatch.from_arrays([ids, named, pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "name", "hashes"])
+            else:
+                made = np.array([fingerprint(t, 5, WIDE) for t in texts], np.int64).reshape(-1, WIDE)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(made[:, i]) for i in range(WIDE)), named], names=["doc_id", *names(WIDE), "name"])
+
+    made = "doc_id long, name long, hashes binary" if keep else "doc_id long, " + ", ".join(f"{c} long" for c in names(WIDE)) + ", name long"
+    return docs.select("doc_id", "text").mapInArrow(run, made)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the resemblance of two sets is 0.8 or more."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def decided(sets: DataFrame) -> DataFrame:
+    """id and name of the sets of each group (grp, id, name, hashes) that go: each is alike one of its group that stays, and no two that stay are alike."""
+    left, gone = sets, []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, stay, leaders, out = None, [], {}, []
+        for batch in batches:
+            for grp, part, parts, lead, i, name, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, part) != place:
+                    place, stay, leaders = (grp, part), [], {}
+                h = np.frombuffer(h, np.uint64)
+                if parts > 1 and not lead:
+                    state = leaders.get((i, name))
+                    out.append((i, name, state if state is not None else 2 if any(alike(h, x) for x in stay) else 0))
+                    continue
+                state = leaders.get((i, name))
+                if state is None:
+                    state = leaders[i, name] = 2 if any(alike(h, x) for x in stay) else 1
+                    if state == 1:
+                        stay.append(h)
+                if parts == 1:
+                    out.append((i, name, state))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["id", "name", "state"])
+                out = []
+
+    while True:
+        sizes = common.written(left.groupBy("grp").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "near-copy-groups")
+        spread = left.join(common.small_side(sizes), "grp").withColumn("part", F.pmod(F.xxhash64("id", "name", F.lit(3)), F.col("parts")).cast("int"))
+        rows = spread.withColumn("lead", F.lit(False))
+        if large := sizes.where("parts > 1").count():
+            cell = F.pmod(F.xxhash64("id", "name", F.lit(7)), F.lit(LEADERS))
+            picked = left.join(common.small_side(sizes.where("parts > 1"), large), "grp").groupBy("grp", "parts", cell.alias("cell")).agg(F.min(F.struct("id", "name")).alias("x"))
+            picked = common.written(picked.select("grp", "parts", "x.id", "x.name"), "near-copy-leaders")
+            lead = left.join(common.small_side(picked), ["grp", "id", "name"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lead", F.lit(True))
+            rows = rows.unionByName(lead)
+        dealt = rows.select("grp", "part", "parts", "lead", "id", "name", "hashes").repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lead").desc(), "id", "name")
+        made = common.written(dealt.mapInArrow(run, "id long, name long, state long"), "near-copy-states")
+        gone.append(made.where("state = 2").select("id", "name"))
+        if not large:
+            break
+        left = common.written(left.join(made.where("state = 0").select("id", "name").distinct(), ["id", "name"], "left_semi"), "near-copies-left")
+    return gone[0] if len(gone) == 1 else common.written(functools.reduce(DataFrame.unionByName, gone), "near-copy-sets-gone")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id; rows of one doc_id stay together, as do rows without an id."""
-    made = grouped(docs, shingle=5, width=WIDE, differ=WIDE_DIFFER)
-    away = common.written(made.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    """Of documents whose five-word shingles resemble each other by 0.8 or more one stays, in groups of up to PART sets the smallest doc_id; rows of one doc_id stay together, as do rows without an id."""
+    words = names(WIDE)
+    marked = common.written(with_sets(docs, keep=False), "simhash")
+    nodes = common.written(marked.groupBy(*words).agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    known = nodes.where(F.col("id").isNotNull())
+    n = known.count()
+    found = components(forest(known, wide_choices(n), WIDE_DIFFER, WIDE))
+    of = known.join(found, "id", "left").select(*words, F.coalesce("component", "id").alias("grp"))
+    first = marked.where(F.col("doc_id").isNotNull()).groupBy(*words, "name").agg(F.min("doc_id").alias("id"))
+    rows = common.written(marked.join(first, [*words, "name"]).join(of, words).select("doc_id", "grp", "id", "name"), "near-copy-rows")
+    items = rows.where("doc_id = id").select("grp", "id", "name").distinct()
+    several = rows.groupBy("grp").agg(F.min(F.struct("id", "name")).alias("low"), F.max(F.struct("id", "name")).alias("high")).where("low <> high").select("grp")
+    asked = common.written(items.join(common.small_side(common.written(several, "near-copy-several")), "grp"), "near-copy-items")
+    texts = docs.join(common.small_side(common.written(asked.select(F.col("id").alias("doc_id")).distinct(), "near-copy-ids")), "doc_id", "left_semi")
+    sets = with_sets(texts, keep=True).withColumnRenamed("doc_id", "id").join(common.small_side(asked), ["id", "name"])
+    gone = decided(common.written(sets, "near-copy-sets"))
+    states = rows.join(common.small_side(gone.distinct().withColumn("gone", F.lit(True))), ["id", "name"], "left")
+    goes = states.groupBy("doc_id").agg(F.min(F.coalesce("gone", F.lit(False)) | (F.col("doc_id") != F.col("id"))).alias("goes"))
+    away = common.written(goes.where("goes").select("doc_id"), "near-copies")
     return docs.join(common.small_side(away), "doc_id", "left_anti").select(*docs.columns)

@@ -245,6 +245,30 @@ def test_near_copies_stage(spark):
     assert (kept.doc_id % 2 == 0).mean() >= 0.98 and (kept.doc_id % 2 == 0).sum() == 300
 
 
+@pytest.mark.parametrize("part", [simhash.PART, 20])
+def test_near_copies_are_exact(spark, monkeypatch, part):
+    """Pairs at a resemblance around 0.8, chains of them and a large group: none at 0.8 or more stays beside another, none goes without one that stays."""
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    draw, texts = random.Random(6), []
+    for i in range(120):
+        w = [f"w{draw.randrange(9000)}" for _ in range(300)]
+        texts.append(" ".join(w))
+        for _ in range(60 if i == 0 else draw.randrange(1, 4)):
+            for at in draw.sample(range(0, 300, 6), draw.choice((5, 6, 7, 8))):
+                w[at] = f"x{draw.randrange(9000)}"
+            texts.append(" ".join(w))
+            if i == 0:
+                w = texts[0].split()
+    texts += ["a b c d e", "a b c d e a b c d e a b c d e f", "", ""]
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) if a or b else True for b in sets] for a in sets]
+    assert sum(map(sum, near)) > len(texts) + 200
+    kept = set(simhash.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").toPandas().doc_id)
+    assert [(i, j) for i in kept for j in kept if i < j and near[i][j]] == []
+    assert [i for i in set(range(len(texts))) - kept if not any(near[i][j] for j in kept)] == []
+
+
 def test_perfect_hash():
     v = np.random.default_rng(5).integers(0, 2**63, 20_000).astype(np.uint64)
     index = lines.PerfectHash.unpacked(*lines.PerfectHash.over(v).packed())
