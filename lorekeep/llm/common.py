@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be broadcast; the callers count first.
@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Unset: a new local one if driver and executors are one process, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -51,6 +54,35 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores added while one of the frames has a column of that name."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: list[Column], sums: tuple[str, ...] = (), nth: str = "nth") -> DataFrame:
+    """df with its place (from 1) in an order that has no ties, and for each of `sums` the sum over the rows before as <name>_before.
+
+    A table of at most BROADCAST_ROWS rows is one window; a larger one is dealt by ranges, numbered within each and moved on by what the ranges before hold, a row for each range.
+    """
+    def before(w: WindowSpec) -> list[Column]:
+        up_to = w.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.row_number().over(w).alias(nth), *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(f"{c}_before") for c in sums]]
+
+    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.select("*", *before(Window.orderBy(*order)))
+    dealt = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    own = dealt.select("*", *before(Window.partitionBy("range").orderBy(*order)))
+    per = dealt.groupBy("range").agg(F.count("*").alias("rows"), *[F.sum(c).alias(f"{c}_all") for c in sums])
+    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = per.select("range", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(f"{c}_moved") for c in ("rows", *(f"{c}_all" for c in sums))])
+    out = own.join(F.broadcast(moved), "range")  # a row for each shuffle partition
+    kept = [F.col(c) for c in df.columns]
+    return out.select(*kept, (F.col(nth) + F.col("rows_moved")).alias(nth), *[(F.col(f"{c}_before") + F.col(f"{c}_all_moved")).alias(f"{c}_before") for c in sums])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -5,16 +5,16 @@ plus once more with the remaining fraction as probability, drawn by a hash of it
 
 Only DataFrame operations. The one shuffle is the aggregate by source, combined on the map side, so a source that holds a
 third of all rows is one row of each map task. The table of targets has a row for each source; it is broadcast only if
-counted as small, else joined.
+counted as small, else joined. Sources are numbered and summed up in order by common.numbered, by ranges if they are many.
 
 Defined cases: null or empty text: size 0, still emitted as often as its source's rate says; null source: a source of its
 own, last in order; a source without words: target 0, no copies; null or repeated doc_id: allowed, rows of the same id share their
-draw; empty table: empty result. Columns of the input named like the added ones are replaced.
+draw; empty table: empty result. Extra columns stay; those named like the added ones (ADDED, copy_no) are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,35 +29,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     Sorted by cap / weight the sources that stop at their cap come first. The level of the others is what these leave,
     by the weight that they leave; the first source below its cap at that level sets it.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    picked = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("long")
-    t = sizes.select("source", "source_size", picked.alias("weight"), (F.col("source_size") * cap).alias("most"))
-    by_level = Window.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(
-        "*",
-        F.row_number().over(by_level).alias("nth"),
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))).alias("left_words"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("left_weight"),
-    )
-    below = F.col("most") * F.col("left_weight") > F.col("left_words") * F.col("weight")
-    t = t.select("*", F.min(F.when(below, F.col("nth"))).over(everything).alias("first"))
-    at_first = F.col("nth") == F.col("first")
-    t = t.select("*", F.max(F.when(at_first, F.col("left_words"))).over(everything).alias("words"), F.max(F.when(at_first, F.col("left_weight"))).over(everything).alias("of_weight"))
-    shared = F.col("words").cast("double") * F.col("weight") / F.col("of_weight")
-    return t.select("source", "source_size", F.when(F.col("nth") >= F.col("first"), shared).otherwise(F.col("most").cast("double")).alias("target"))
+    by_name = common.numbered(sizes, [F.col("source").asc_nulls_last()])
+    picked = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long")
+    t = by_name.select("source", "source_size", picked.alias("weight"), (F.col("source_size") * cap).alias("most"))
+    t = common.written(t, "mix-weights")
+    level = (F.col("most") / F.col("weight")).asc()
+    t = common.written(common.numbered(t, [level, F.col("source").asc_nulls_last()], ("most", "weight")), "mix-levels")
+    every = t.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).head()
+    exact = lambda c: c.cast("decimal(19,0)")
+    left_words, left_weight = F.lit(every[0]) - F.col("most_before"), F.lit(every[1]) - F.col("weight_before")
+    below = exact(F.col("most")) * exact(left_weight).cast("decimal(18,0)") > exact(left_words) * F.col("weight").cast("decimal(18,0)")
+    first = t.where(below).agg(F.min(F.struct("nth", left_words.alias("words"), left_weight.alias("weight")))).head()[0]
+    most = F.col("most").cast("double")
+    if first is None:
+        return t.select("source", "source_size", most.alias("target"))
+    shared = F.lit(float(first.words)) * F.col("weight") / F.lit(first.weight)
+    return t.select("source", "source_size", F.when(F.col("nth") >= first.nth, shared).otherwise(most).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source and any others) with size, source_size, target, copies and taken (size times copies)."""
     sized = docs.drop(*ADDED).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     totals = common.written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    goals = common.written(source_targets(totals, weights, cap), "mix-targets").withColumnRenamed("source", "of_source")
+    of_source = common.free("of_source", sized)
+    goals = common.written(source_targets(totals, weights, cap), "mix-targets").withColumnRenamed("source", of_source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 12)
     draw = F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
-    mixed = sized.join(common.small_side(goals), F.col("source").eqNullSafe(F.col("of_source")), "inner").drop("of_source")
+    mixed = sized.join(common.small_side(goals), F.col("source").eqNullSafe(F.col(of_source)), "inner").drop(of_source)
     copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return mixed.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
 
