@@ -3,36 +3,40 @@
 A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least MIN_CHARS code points are hashed to 128
 bits and counted by document. The distinct hashes that reach the limit are dealt to shards; each shard builds a minimal
 perfect hash over them, which indexes compact arrays: a 64-bit fingerprint, the count, and the largest doc_id that holds the line.
-Documents then probe the arrays: their line hashes go to the shards, salted so that a line which a third of all
-documents hold meets SALTS or more copies of its shard, and what must go comes back as a list of hashes for each document.
-No table of lines is joined. A hash that isn't in a shard is told by its fingerprint (64 bits beside the 64 of the shard's).
+Documents then probe the arrays: their line hashes go to the shards, and what must go (its count reaches the limit and another doc_id holds
+it) comes back as a list of hashes for each document. No table of lines is joined. A hash that isn't in a shard is told by its fingerprint (64
+bits beside the 64 of the shard's).
+
+Each shard has copies, and a probe goes to one of them: so many that a copy answers GROUP_PROBES probes on average, whatever the share of lines that
+repeat, and more of a shard whose hottest line alone has more. The number of probes is counted while the lines are.
 
 All counts are exact; nothing is sampled or capped. Python works on batches inside tasks, Spark deals, counts and joins.
 
 Defined cases: null or empty text: one empty line, kept; rows are documents, also when a doc_id repeats; rows with the
-holder's doc_id all keep the line; null doc_id: smaller than any other; very long texts: one text at a time; extra columns
-stay; empty table: empty result.
+holder's doc_id all keep the line; null doc_id: smaller than any other; what a row loses is kept by its doc_id and a hash of its text, so rows
+without an id are apart; very long texts: one text at a time; extra columns stay, but kept_text, n_lines and n_dropped are replaced; in the stage all
+columns stay; empty table: empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import common
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys of a shard at most, on average; copies of a shard at least; probes that one copy answers for a single line.
-SHARD_KEYS, SALTS, COPY_PROBES = 65_536, 8, 1_000_000
+#: Keys of a shard, copies of it at least, and probes that a copy answers, on average.
+SHARD_KEYS, SALTS, GROUP_PROBES = 65_536, 2, 1_000_000
 WHITE = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+ADDED = ("kept_text", "n_lines", "n_dropped")
 GAMMA, LEVELS = 2.0, 48
 
 
@@ -120,92 +124,110 @@ def built(table: pa.Table) -> pa.Table:
     return pa.table({"shard": [table["shard"][0].as_py()], "most": [int(table["count"].to_numpy().max())], "bits": [data], "sizes": pa.array([sizes], pa.list_(pa.int64())), "fingerprints": [prints.tobytes()], "counts": [counts.tobytes()], "holders": [holders.tobytes()]})
 
 
-def probed(probes: pa.Table, shard: pa.Table) -> pa.Table:
-    """Rows id, h1 of the probes that must go."""
-    fields = pa.schema([("id", pa.int64()), ("h1", pa.int64())])
-    if not probes.num_rows or not shard.num_rows:
-        return fields.empty_table()
-    row = {c: shard[c][0].as_py() for c in ("bits", "sizes", "fingerprints", "holders")}
-    index = PerfectHash.unpacked(row["bits"], row["sizes"])
-    h1, h2, ids = (probes[c].to_numpy() for c in ("h1", "h2", "id"))
-    at = index.find(h1.view(np.uint64) ^ mixed(h2.view(np.uint64), 97))
-    prints, holders = np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["holders"], np.int64)
-    gone = (at >= 0) & (prints[at] == h2.view(np.uint64)) & (holders[at] != ids)
-    return pa.table({"id": ids[gone], "h1": h1[gone]}, schema=fields)
+PROBE = "id long, of long, h1 long"
+
+
+def probed(min_docs: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of the probes id, of, h1, h2 of a copy of a shard those that must go."""
+    fields = pa.schema([("id", pa.int64()), ("of", pa.int64()), ("h1", pa.int64())])
+
+    def run(probes: pa.Table, shard: pa.Table) -> pa.Table:
+        if not probes.num_rows or not shard.num_rows:
+            return fields.empty_table()
+        row = {c: shard[c][0].as_py() for c in ("bits", "sizes", "fingerprints", "counts", "holders")}
+        index = PerfectHash.unpacked(row["bits"], row["sizes"])
+        h1, h2, ids = (probes[c].to_numpy() for c in ("h1", "h2", "id"))
+        at = index.find(h1.view(np.uint64) ^ mixed(h2.view(np.uint64), 97))
+        prints, counts, holders = (np.frombuffer(row[c], t) for c, t in (("fingerprints", np.uint64), ("counts", np.uint32), ("holders", np.int64)))
+        known = (at >= 0) & (prints[at] == h2.view(np.uint64))
+        gone = known & (counts[at] >= min_docs) & (holders[at] != ids)
+        return pa.table({"id": ids[gone], "of": probes["of"].to_numpy()[gone], "h1": h1[gone]}, schema=fields)
+
+    return run
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """id, h1, h2: the distinct line hashes of each row."""
+    """id, of (a hash of the text), h1, h2: the distinct line hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.raw(batch.column(1)), strict=True):
+            sizes, digests = [], []
+            for text in common.raw(batch.column(2)):
                 own = set(keys(text)) - {None}
-                ids += [doc_id] * len(own)
+                sizes.append(len(own))
                 digests += own
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "h1": pa.array(both[:, 0]), "h2": pa.array(both[:, 1])})
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(rows), "of": batch.column(1).take(rows), "h1": pa.array(both[:, 0]), "h2": pa.array(both[:, 1])})
 
-    return docs.select(identity(), "text").mapInArrow(run, "id long, h1 long, h2 long")
+    return docs.select(identity().alias("id"), text_hash().alias("of"), "text").mapInArrow(run, "id long, of long, h1 long, h2 long")
 
 
-def identity() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
+def identity() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def dropped_hashes(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame | None:
-    """id and the h1 of the lines that its documents lose; None if no line repeats often enough."""
+    """id, of and the h1 of the lines that its documents lose; None if no line repeats often enough."""
     spark = docs.sparkSession
-    lines = hashed(docs)
-    counts = common.written(lines.groupBy("h1", "h2").agg(F.count("*").alias("count"), F.max("id").alias("holder")).where(F.col("count") >= min_docs), "line-counts")
+    lines, seen = hashed(docs), Observation()
+    counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("count"), F.max("id").alias("holder")).observe(seen, F.sum("count").alias("probes"))
+    counts = common.written(counted.where(F.col("count") >= min_docs), "line-counts")
     n = counts.count()
     if not n:
         return None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, -(-n // SHARD_KEYS))
+    least = max(SALTS, -(-seen.get["probes"] // (shards * GROUP_PROBES)))
     shard = F.pmod("h1", F.lit(shards)).alias("shard")
     index = common.written(counts.select(shard, "*").groupBy("shard").applyInArrow(built, INDEX), "line-index")
-    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("most") / COPY_PROBES)).cast("int")
-    wide = common.written(index.select("shard", salts.alias("salts")).where(F.col("salts") > SALTS), "line-hot-shards")
+    salts = F.greatest(F.lit(least), F.ceil(F.col("most") / GROUP_PROBES)).cast("int")
+    hot = common.written(index.select("shard", salts.alias("salts")).where(F.col("salts") > least), "line-hot-shards")
     probes = lines.select(shard, "*")
-    probes = probes.join(common.small_side(wide), "shard", "left") if wide.head(1) else probes.withColumn("salts", F.lit(None).cast("int"))
-    probes = probes.select("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("salts", F.lit(SALTS))).alias("salt"), "id", "h1", "h2")
+    probes = probes.join(common.small_side(hot), "shard", "left") if hot.head(1) else probes.withColumn("salts", F.lit(None).cast("int"))
+    salt = F.pmod(F.xxhash64("id", "of", F.lit(5)), F.coalesce("salts", F.lit(least))).cast("long")
+    probes = probes.select("shard", salt.alias("salt"), "id", "of", "h1", "h2")
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
-    hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probed, "id long, h1 long")
-    return common.written(hits.groupBy("id").agg(F.collect_set("h1").alias("gone")), "line-drops")
+    hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probed(min_docs), PROBE)
+    return common.written(hits.groupBy("id", "of").agg(F.collect_set("h1").alias("gone")), "line-drops")
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with kept_text, n_lines and n_dropped: every repeated line stays only with its last holder."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark)
-    rows = docs.drop("kept_text", "n_lines", "n_dropped")
+    common.bounded_batches(docs.sparkSession)
+    rows = docs.drop(*ADDED)
     drops = dropped_hashes(rows, min_docs)
+    gone = common.free("gone", rows)
     if drops is None:
-        joined = rows.withColumn("gone", F.lit(None).cast("array<long>"))
+        joined = rows.withColumn(gone, F.lit(None).cast("array<long>"))
     else:
-        drops = drops.withColumnRenamed("id", "of_id")
+        id_, of = common.free("id_", rows), common.free("of_", rows)
         # Dealt by id at every size: the table of hashes grows with the input, so it is never broadcast.
-        joined = rows.drop("gone").join(drops.hint("merge"), identity() == F.col("of_id"), "left").drop("of_id")
+        drops = drops.select(F.col("id").alias(id_), F.col("of").alias(of), F.col("gone").alias(gone)).hint("merge")
+        joined = rows.join(drops, (identity() == F.col(id_)) & (text_hash() == F.col(of)), "left").drop(id_, of)
     at, n = joined.columns.index("text"), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, lost = [], [], []
-            for text, gone in zip(common.raw(batch.column(at)), batch.column(n).to_pylist(), strict=True):
+            for text, away in zip(common.raw(batch.column(at)), batch.column(n).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 counts.append(len(lines))
-                if gone:
-                    away = set(gone)
+                if away:
+                    away = set(away)
                     lines = [x for x, k in zip(lines, keys(text), strict=True) if k is None or int.from_bytes(k[:8], "little", signed=True) not in away]
                     text = b"\n".join(lines)
                 texts.append(text)
                 lost.append(counts[-1] - len(lines))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:n], "kept_text", "n_lines", "n_dropped"])
-
+            made = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *ADDED])
 
-    return joined.mapInArrow(run, StructType([*rows.drop("gone").schema.fields, StructField("kept_text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
+    added = [StructField(c, t) for c, t in zip(ADDED, (StringType(), LongType(), LongType()), strict=True)]
+    return joined.mapInArrow(run, StructType([*rows.schema.fields, *added]))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +236,15 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their kept lines; a document that loses all its text goes."""
-    kept = deduplicated(docs).where((F.col("n_dropped") == 0) | (F.length("kept_text") > 0))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents with their kept lines, n_chars (if there is one) anew where lines went; a document that loses all its text goes."""
+    row, none = common.free("row", docs), common.free("none", docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = deduplicated(docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias(none), *rest).alias(row)))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.length("kept_text") > 0))
+    made = {c: F.col(row)[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col(row)[none], F.col("kept_text"))}
+    if "n_chars" in rest:
+        made["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(made["n_chars"])
+    return kept.select(*[made[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""
