@@ -3,13 +3,13 @@
 A sketch is the k smallest distinct hashes of a text's five-word shingles, in order. Sketches of parts merge into that of
 the whole, and two sketches estimate resemblance, containment and the number of distinct shingles.
 
-The query needs each document's next one, in descending order of doc_id. Documents are dealt once by ranges of doc_id,
-and the first document of each range goes to the range before it too, so each meets its successor in its own task. No window over all
-rows, and the texts are shuffled once.
+The query needs each document's next one, in descending order of doc_id. Documents are dealt once by ranges of doc_id and, within
+an id, of a hash of the text, so many rows of one id, or without one, are many ranges. The first document of each range goes to the range before it
+too, so each meets its successor in its own task. No window over all rows, and the texts are shuffled once.
 
 Defined cases: null or empty text, or no words: the empty sketch, like itself (1) and unlike others (0); fewer than five
-words: one shingle, the whole sequence; null doc_id: last in order; repeated doc_id: by a hash of the text within it; one
-row: its own successor; empty table: empty result. Extra columns are not read.
+words: one shingle, the whole sequence; null doc_id: last in order; repeated doc_id: by a hash of the text within it; rows
+with the same doc_id and text follow one another, in one task; one row: its own successor; empty table: empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -103,32 +103,53 @@ def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, oth
     return doc_id, len(text), hashlib.sha256(changed).hexdigest(), packed(own), packed(theirs), resemblance(own, theirs), resemblance(own, other)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows part, guest, doc_id, text, dealt by part and sorted, so that in each part, read in order, a document's next one follows it; a part's last row is a guest, the first of the next part.
+#: Sampled rows for each range, from which the ranges' bounds are taken.
+PER_RANGE = 64
+
+
+def ranges(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many bounds are not above each key; both have rows that are compared from the first column on, and bounds are in order."""
+    both = np.concatenate([bounds, keys])
+    is_key = np.arange(len(both)) >= len(bounds)
+    order = np.lexsort((is_key, *both.T[::-1]))
+    below = np.cumsum(~is_key[order])
+    out = np.empty(len(both), np.int64)
+    out[order] = below
+    return out[len(bounds) :]
+
 
-    Parts are ranges of doc_id between quantiles that are ids of documents: the first document of a part is known by its id.
-    """
+def order_keys(ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+    """Rows of numbers in the order of the documents: those with an id first, ids descending, then the text's hash."""
+    none = ids.isna().to_numpy()
+    return np.stack([none.astype(np.int64), np.where(none, 0, ~ids.fillna(0).astype("int64").to_numpy()), hashes.to_numpy()], axis=1)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows part, guest, doc_id, text, dealt by part and sorted, so that in each part, read in order, a document's next one follows it; a part's last row is a guest, the first of the next part."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [F.lit((i + 1) / parts) for i in range(parts - 1)]
-    row = docs.agg(F.max("doc_id"), F.percentile_approx("doc_id", F.array(*at), F.lit(100 * parts))).head()
-    heads = np.array(sorted({*(row[1] or []), *([row[0]] if row[0] is not None else [])}, reverse=True), np.int64)  # at most `parts` ids
-    last = max(len(heads) - 1, 0)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the part, plus 1 for the part's first id; ids without a value come last."""
-        known = ids.notna().to_numpy()
-        d = ids.fillna(0).astype("int64").to_numpy()
-        part = np.where(known, np.searchsorted(-heads, -d, side="right") - 1, last)
-        first = known & (heads[np.maximum(part, 0)] == d) if len(heads) else part == 0
-        return pd.Series((2 * np.maximum(part, 0) + first).astype(np.int32))
-
-    code = F.col("code")
-    own = F.struct((F.floor(code / 2)).cast("int").alias("part"), F.lit(0).alias("guest"))
-    guest = F.struct(F.when(code > 1, F.floor(code / 2) - 1).otherwise(last).cast("int").alias("part"), F.lit(1).alias("guest"))
-    spread = docs.withColumn("code", place("doc_id")).withColumn("at", F.explode(F.when(code % 2 == 1, F.array(own, guest)).otherwise(F.array(own)))).select("at.part", "at.guest", "doc_id", "text")
-    return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    count = docs.count()
+    # Bounds of the ranges, as a sort by ranges takes them: from a sample of keys whose size is bounded by the number of ranges.
+    share = min(1.0, PER_RANGE * parts / max(count, 1))
+    sample = hashed.where(F.rand(7) < share).select(F.col("doc_id").cast("long"), "hash").toPandas()
+    keys = order_keys(sample["doc_id"].astype("Int64"), sample["hash"])
+    keys = keys[np.lexsort(keys.T[::-1])]
+    bounds = np.unique(keys[:: max(1, len(keys) // parts)][1:], axis=0) if len(keys) else np.empty((0, 3), np.int64)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges(order_keys(ids, hashes), bounds))
+
+    marked = hashed.withColumn("range", place(F.col("doc_id").cast("long"), "hash"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.bitwise_not(F.col("doc_id").cast("long")).alias("down"), "hash"))
+    heads = sorted((r["range"], r["first"]) for r in marked.groupBy("range").agg(first.alias("first")).collect())  # a row for each range
+    spans = spark.createDataFrame([(r, i, (i or len(heads)) - 1, f["none"], f["down"], f["hash"]) for i, (r, f) in enumerate(heads)], "range long, part int, before int, none boolean, down long, first long")
+    joined = marked.join(F.broadcast(spans), "range")
+    is_head = (F.col("hash") == F.col("first")) & (F.isnull("doc_id") == F.col("none")) & F.bitwise_not(F.col("doc_id").cast("long")).eqNullSafe(F.col("down"))
+    own, guest = (F.struct(F.col(c).alias("part"), F.lit(n).alias("guest")) for c, n in (("part", 0), ("before", 1)))
+    spread = joined.withColumn("at", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own)))).select("at.part", "at.guest", "doc_id", "text", "hash")
+    return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
