@@ -9,8 +9,9 @@ order); their features are computed by Spark and one task fits the weights, whic
 narrow stage.
 
 Defined cases: null or empty text: scored on its structure alone; null labels don't take part; several labels for one id:
-the smallest; no usable labels: every score is 0.5; null doc_id: never learnt from, held_out false; texts of any length: read in
-pieces; empty table: empty result.
+the smallest; several documents for one id: one is learnt from; no usable labels: every score is 0.5, so the stage keeps all; null doc_id: never
+learnt from, held_out false; texts of any length: read in pieces; extra columns stay, but quality_score is replaced (in the stage it stays);
+empty table: empty result.
 """
 
 from __future__ import annotations
@@ -120,7 +121,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     common.bounded_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = common.written(usable.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample), "quality-sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    # At most `sample` rows: of several documents with one id the one whose text has the smallest hash.
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = joined.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
@@ -169,6 +172,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; all their columns as they were."""
     model = trained(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
-    return scored(docs, model).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    own = common.free("own_score", docs)
+    kept = docs.withColumnsRenamed({c: own for c in docs.columns if c.lower() == "quality_score"})
+    good = scored(kept, model).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    return good.toDF(*docs.columns)
