@@ -400,7 +400,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = rows.where("doc_id = id").select("grp", "id", "name").distinct()
     several = rows.groupBy("grp").agg(F.min(F.struct("id", "name")).alias("low"), F.max(F.struct("id", "name")).alias("high")).where("low <> high").select("grp")
     asked = common.written(items.join(common.small_side(common.written(several, "near-copy-several")), "grp"), "near-copy-items")
-    texts = docs.join(common.small_side(common.written(asked.select(F.col("id").alias("doc_id")).distinct(), "near-copy-ids")), "doc_id", "left_semi")
+    # Texts of candidates are dealt by id at every size, as their number grows with the input.
+    texts = docs.join(asked.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = with_sets(texts, keep=True).withColumnRenamed("doc_id", "id").join(common.small_side(asked), ["id", "name"])
     gone = decided(common.written(sets, "near-copy-sets"))
     states = rows.join(common.small_side(gone.distinct().withColumn("gone", F.lit(True))), ["id", "name"], "left")
