@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.llm import bpe, common, lines, mixing, quality, simhash
 
@@ -29,7 +30,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    row = common.free("row", docs)
+    own = ["doc_id", "text", "source"]
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, F.struct(F.lit(0).alias(common.free("none", docs)), *rest).alias(row))
+    return mixing.emit(mixing.mix(packed)).select(*[F.col(c) if c in own else F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
