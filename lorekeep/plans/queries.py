@@ -60,12 +60,15 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return top(search.bm25(vault.archive(s, d), TERMS), 10)
 
 
-@query("fts_boolean", CTE + S.ARCHIVE + r", t AS (SELECT path, type, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS w FROM archive) SELECT path, type FROM t WHERE (contains(w, ' of the ') AND contains(w, ' hand ')) OR contains(w, ' la que ')")
+@query("fts_boolean", CTE + S.ARCHIVE + r", t AS (SELECT path, type, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', "
+    r"'g'))) || ' ' AS w FROM archive) SELECT path, type FROM t WHERE (contains(w, ' of the ') AND contains(w, ' hand ')) OR contains(w, ' la que "
+    r"')")
 def fts_boolean(s: SparkSession, d: str) -> DataFrame:
     return search.matches(vault.archive(s, d), '"of the" hand OR "la que"').select("path", "type")
 
 
-@query("like_fallback", CTE + S.ARCHIVE + " SELECT path, -1.0::DOUBLE AS score, substr(content, 1, 200) AS snippet FROM archive WHERE contains(lower(content), 'thing,')")
+@query("like_fallback", CTE + S.ARCHIVE + " SELECT path, -1.0::DOUBLE AS score, substr(content, 1, 200) AS snippet FROM archive WHERE "
+    "contains(lower(content), 'thing,')")
 def like_fallback(s: SparkSession, d: str) -> DataFrame:
     return search.contains(vault.archive(s, d), "thing,").select("path", "score", "snippet")
 
@@ -86,13 +89,23 @@ def best_chunk_per_doc(s: SparkSession, d: str) -> DataFrame:
 
 
 RANKS = "w AS (SELECT path, score, row_number() OVER (ORDER BY round(score, 6) DESC, path) - 1 AS wr FROM sc ORDER BY round(score, 6) DESC, path LIMIT 60), "
-FUSION = CTE + S.words(TERMS) + ", " + S.vectors(60) + ", " + RANKS + "v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS vr FROM chunk), "
+FUSION = (
+    CTE + S.words(TERMS) + ", " + S.vectors(60) + ", " + RANKS + "v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS "
+    "vr FROM chunk), "
+)
 MEMOS = f"type = 'memo' AND date >= '{SINCE}'"
-FILTERED = CTE + S.words(TERMS, MEMOS) + ", " + S.vectors(60) + ", " + RANKS + f"v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS vr FROM chunk WHERE path IN (SELECT path FROM archive WHERE {MEMOS})), "
+FILTERED = (
+    CTE + S.words(TERMS, MEMOS) + ", " + S.vectors(60) + ", " + RANKS + f"v AS (SELECT path, distance, row_number() OVER (ORDER BY round(distance, 9), path) - 1 AS "
+    f"vr FROM chunk WHERE path IN (SELECT path FROM archive WHERE {MEMOS})), "
+)
 KIND = "CASE WHEN w.path IS NOT NULL AND v.path IS NOT NULL THEN 'hybrid' WHEN w.path IS NULL THEN 'vector_only' ELSE 'fts_only' END AS match_type"
 
 
-RRF = f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE / (61 + vr), 0) AS score, {KIND} FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)"
+RRF = (
+    f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE "
+    f"/ (61 + vr), 0) AS score, {KIND} FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT "
+    f"20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)"
+)
 
 
 @query("hybrid_search", FUSION + RRF)
@@ -100,7 +113,11 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d))
 
 
-@query("hybrid_linear", FUSION + f"m AS (SELECT path, CASE WHEN max(score) OVER () - min(score) OVER () < 0.1 THEN 0.5 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM w), f0 AS (SELECT coalesce(w.path, v.path) AS path, CASE WHEN w.path IS NOT NULL AND v.path IS NOT NULL THEN (1 - distance / 2) * 0.7 + w.score * 0.3 ELSE coalesce(1 - distance / 2, w.score) END AS score, {KIND} FROM m AS w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)")
+@query("hybrid_linear", FUSION + f"m AS (SELECT path, CASE WHEN max(score) OVER () - min(score) OVER () < 0.1 THEN 0.5 ELSE (score "
+    f"- min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM w), f0 AS (SELECT coalesce(w.path, v.path) AS path, CASE "
+    f"WHEN w.path IS NOT NULL AND v.path IS NOT NULL THEN (1 - distance / 2) * 0.7 + w.score * 0.3 ELSE coalesce(1 - distance / 2, w.score) END AS "
+    f"score, {KIND} FROM m AS w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT "
+    f"path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)")
 def hybrid_linear(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), scoring="linear")
 
@@ -111,8 +128,13 @@ def hybrid_filtered(s: SparkSession, d: str) -> DataFrame:
 
 
 STOP = ", ".join(f"'{w}'" for w in search.STOPWORDS)
-ASKED = rf"""q0 AS (SELECT item_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+')) AS term, generate_subscripts(regexp_split_to_array(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), 1) AS n FROM benchmark),
-q1 AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n) AS n FROM q0 WHERE length(term) > 2 AND term NOT IN ({STOP})), q AS (SELECT DISTINCT item_id, term FROM q1 WHERE n <= 7)"""
+ASKED = (
+    rf"""q0 AS (SELECT item_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')),
+  '\s+')) AS term, generate_subscripts(regexp_split_to_array(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]',
+  ' ', 'g')), '\s+'), 1) AS n FROM benchmark),
+q1 AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n) AS n FROM q0 WHERE length(term)
+  > 2 AND term NOT IN ({STOP})), q AS (SELECT DISTINCT item_id, term FROM q1 WHERE n <= 7)"""
+)
 
 
 @query("query_keywords", CTE + ASKED + " SELECT item_id, term FROM q")
@@ -121,10 +143,18 @@ def query_keywords(s: SparkSession, d: str) -> DataFrame:
     return b.select("item_id", F.explode(F.array_distinct(search.keywords_of(F.col("text")))).alias("term"))
 
 
-BATCH = CTE + S.ARCHIVE + ", " + ASKED + r""", tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term FROM archive),
-len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT count(*) AS n, avg(l) AS a FROM len), tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT item_id, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY item_id, path)
-SELECT item_id, path, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, path) AS rank FROM sc) WHERE rank <= 3"""
+BATCH = (
+    CTE + S.ARCHIVE + ", " + ASKED + r""", tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term
+  FROM archive),
+len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT count(*) AS n, avg(l)
+  AS a FROM len), tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path,
+  term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT item_id, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25
+  + 0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY
+  item_id, path)
+SELECT item_id, path, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
+  BY round(score, 6) DESC, path) AS rank FROM sc) WHERE rank <= 3"""
+)
 
 
 @query("bm25_batch", BATCH)
@@ -139,17 +169,29 @@ def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
     return search.bm25_batch(vault.archive(s, d), b, 3, stemmed=True)
 
 
-@query("snippets", CTE + S.NOTES + r""" SELECT path, substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 200) || CASE WHEN length(content) > 200 THEN '...' ELSE '' END AS snippet FROM docs""")
+@query("snippets", CTE + S.NOTES + r""" SELECT path, substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 200) || CASE WHEN length(content) > 200 THEN '...'
+  ELSE '' END AS snippet FROM docs""")
 def snippets(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", M.snippet(F.col("raw")).alias("snippet"))
 
 
-RELATED = CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(left(content, 60)), '[a-z]{{3,}}'), lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory' AND date >= '{WEEK}'), q AS (SELECT asks, unnest(terms) AS term FROM a),
-tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS term FROM archive), len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT count(*) AS n, avg(l) AS a FROM len),
-tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT asks, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY asks, path),
-r AS (SELECT *, row_number() OVER (PARTITION BY asks ORDER BY round(score, 6) DESC, path) AS nth FROM sc WHERE asks <> path), k AS (SELECT asks, r.path, row_number() OVER (PARTITION BY asks ORDER BY nth) AS rank FROM r JOIN archive USING (path) WHERE nth <= 7 AND type <> 'transcript')
+RELATED = (
+    CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(left(content, 60)), '[a-z]{{3,}}'),
+  lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory' AND
+  date >= '{WEEK}'), q AS (SELECT asks, unnest(terms) AS term FROM a),
+tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS
+  term FROM archive), len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT
+  count(*) AS n, avg(l) AS a FROM len),
+tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path, term), df AS
+  (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT asks, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 +
+  0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY asks,
+  path),
+r AS (SELECT *, row_number() OVER (PARTITION BY asks ORDER BY round(score, 6) DESC, path) AS nth FROM sc WHERE
+  asks <> path), k AS (SELECT asks, r.path, row_number() OVER (PARTITION BY asks ORDER BY nth) AS rank FROM r JOIN
+  archive USING (path) WHERE nth <= 7 AND type <> 'transcript')
 SELECT asks AS path, rank, path AS related FROM k WHERE rank <= 5"""
+)
 
 
 @query("related_notes", RELATED)
@@ -206,7 +248,8 @@ def open_thread_sections(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", M.section(F.col("raw"), "Key Decisions", "Open Threads").alias("section"))
 
 
-@query("without_threads", CTE + S.NOTES + r""" SELECT path, sha256(regexp_replace(regexp_replace(raw, '(?s)## Open Threads\n.*$', ''), '\n{3,}', chr(10) || chr(10), 'g')) AS kept FROM notes""")
+@query("without_threads", CTE + S.NOTES + r""" SELECT path, sha256(regexp_replace(regexp_replace(raw, '(?s)## Open Threads\n.*$', ''), '\n{3,}', chr(10) || chr(10),
+  'g')) AS kept FROM notes""")
 def without_threads(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", F.sha2(M.without_section(F.col("raw"), "Open Threads"), 256).alias("kept"))
 
@@ -224,7 +267,10 @@ def chunk_embeddings(s: SparkSession, d: str) -> DataFrame:
 # Graph
 
 
-@query("backlinks", CTE + S.LINKS + r""", nm AS (SELECT path, path AS link_text FROM docs UNION SELECT path, regexp_replace(regexp_extract(path, '[^/]+$'), '\.md$', '') FROM docs) SELECT path, count(*) AS backlinks, count(DISTINCT source_path) AS sources FROM (SELECT target_path AS path, source_path, link_text, line_number FROM resolved WHERE target_path IS NOT NULL UNION SELECT nm.path, source_path, link_text, line_number FROM resolved JOIN nm USING (link_text)) GROUP BY path""")
+@query("backlinks", CTE + S.LINKS + r""", nm AS (SELECT path, path AS link_text FROM docs UNION SELECT path, regexp_replace(regexp_extract(path, '[^/]+$'),
+  '\.md$', '') FROM docs) SELECT path, count(*) AS backlinks, count(DISTINCT source_path) AS sources FROM (SELECT
+  target_path AS path, source_path, link_text, line_number FROM resolved WHERE target_path IS NOT NULL UNION SELECT
+  nm.path, source_path, link_text, line_number FROM resolved JOIN nm USING (link_text)) GROUP BY path""")
 def backlinks(s: SparkSession, d: str) -> DataFrame:
     _, docs, resolved, _ = graph_tables(s, d)
     return graph.backlinks(resolved, docs).groupBy("path").agg(F.count("*").alias("backlinks"), F.countDistinct("source_path").alias("sources"))
@@ -235,7 +281,9 @@ def broken_links(s: SparkSession, d: str) -> DataFrame:
     return graph.broken(graph_tables(s, d)[2]).select("source_path", "link_text", "line_number")
 
 
-@query("open_tasks", CTE + S.GRAPH + f" SELECT doc_path, task_text, line_number, title, project, date FROM tasks LEFT JOIN docs ON path = doc_path WHERE NOT completed AND NOT contains(doc_path, '/transcripts/') AND section = 'Open Threads' AND (date >= '{SINCE}' OR date IS NULL)")
+@query("open_tasks", CTE + S.GRAPH + f" SELECT doc_path, task_text, line_number, title, project, date FROM tasks LEFT JOIN docs ON "
+    f"path = doc_path WHERE NOT completed AND NOT contains(doc_path, '/transcripts/') AND section = 'Open Threads' AND (date >= '{SINCE}' OR date "
+    f"IS NULL)")
 def open_tasks(s: SparkSession, d: str) -> DataFrame:
     _, docs, _, tasks = graph_tables(s, d)
     return graph.open_tasks(tasks, docs, SINCE).select("doc_path", "task_text", "line_number", "title", "project", "date")
@@ -251,38 +299,56 @@ def alias_map(s: SparkSession, d: str) -> DataFrame:
     return graph.alias_map(extract.tags(extract.documents(vault.notes(s, d)), "aliases", "alias"))
 
 
-@query("topic_connections", CTE + S.GRAPH + ", o AS (SELECT doc_path AS source_path, task_text FROM tasks WHERE NOT completed) SELECT target_path AS path, count(*) AS task_rows, count(DISTINCT source_path) AS sources FROM resolved JOIN o USING (source_path) WHERE target_path IS NOT NULL GROUP BY target_path")
+@query("topic_connections", CTE + S.GRAPH + ", o AS (SELECT doc_path AS source_path, task_text FROM tasks WHERE NOT completed) SELECT target_path "
+    "AS path, count(*) AS task_rows, count(DISTINCT source_path) AS sources FROM resolved JOIN o USING (source_path) WHERE target_path IS NOT NULL "
+    "GROUP BY target_path")
 def topic_connections(s: SparkSession, d: str) -> DataFrame:
     _, _, resolved, tasks = graph_tables(s, d)
     back = resolved.where(F.col("target_path").isNotNull()).select(F.col("target_path").alias("path"), "source_path", "link_text", "line_number")
     return graph.topic_connections(back, tasks)
 
 
-@query("cross_project_links", CTE + S.LINKS + ", c AS (SELECT source_path, target_path, line_number, split_part(source_path, '/', 2) AS source_project, split_part(target_path, '/', 2) AS target_project FROM resolved WHERE target_path LIKE 'projects/%' AND source_path LIKE 'projects/%') SELECT * FROM c WHERE source_project <> target_project")
+@query("cross_project_links", CTE + S.LINKS + ", c AS (SELECT source_path, target_path, line_number, split_part(source_path, '/', 2) AS source_project, "
+    "split_part(target_path, '/', 2) AS target_project FROM resolved WHERE target_path LIKE 'projects/%' AND source_path LIKE 'projects/%') SELECT "
+    "* FROM c WHERE source_project <> target_project")
 def cross_project_links(s: SparkSession, d: str) -> DataFrame:
     return graph.cross_project(graph_tables(s, d)[2])
 
 
-@query("graph_stats", CTE + S.GRAPH + " SELECT * FROM (SELECT count(*) AS documents, count(DISTINCT project) AS projects, count(*) FILTER (type = 'memo') AS memos FROM docs), (SELECT count(*) AS links, count(*) FILTER (is_broken) AS broken_links, count(DISTINCT target_path) AS linked_documents FROM resolved), (SELECT count(*) AS tasks, count(*) FILTER (NOT completed) AS open_tasks, count(*) FILTER (NOT completed AND section = 'Open Threads' AND NOT contains(doc_path, '/transcripts/')) AS actionable_tasks FROM tasks), (SELECT count(DISTINCT tag) AS tags FROM tags)")
+@query("graph_stats", CTE + S.GRAPH + " SELECT * FROM (SELECT count(*) AS documents, count(DISTINCT project) AS projects, count(*) "
+    "FILTER (type = 'memo') AS memos FROM docs), (SELECT count(*) AS links, count(*) FILTER (is_broken) AS broken_links, count(DISTINCT target_path) "
+    "AS linked_documents FROM resolved), (SELECT count(*) AS tasks, count(*) FILTER (NOT completed) AS open_tasks, count(*) FILTER (NOT completed "
+    "AND section = 'Open Threads' AND NOT contains(doc_path, '/transcripts/')) AS actionable_tasks FROM tasks), (SELECT count(DISTINCT tag) AS tags "
+    "FROM tags)")
 def graph_stats(s: SparkSession, d: str) -> DataFrame:
     _, docs, resolved, tasks = graph_tables(s, d)
     return graph.stats(docs, resolved, tasks, extract.tags(docs))
 
 
-@query("recent_activity", CTE + S.GRAPH + f", o AS (SELECT doc_path AS path, count(*) AS open_tasks FROM tasks WHERE NOT completed GROUP BY doc_path) SELECT path, title, type, project, date, coalesce(open_tasks, 0) AS open_tasks FROM docs LEFT JOIN o USING (path) WHERE date >= '{WEEK}'")
+@query("recent_activity", CTE + S.GRAPH + f", o AS (SELECT doc_path AS path, count(*) AS open_tasks FROM tasks WHERE NOT completed GROUP "
+    f"BY doc_path) SELECT path, title, type, project, date, coalesce(open_tasks, 0) AS open_tasks FROM docs LEFT JOIN o USING (path) WHERE date >= "
+    f"'{WEEK}'")
 def recent_activity(s: SparkSession, d: str) -> DataFrame:
     _, docs, _, tasks = graph_tables(s, d)
     return graph.recent(docs, tasks, WEEK)
 
 
-@query("project_status", CTE + S.GRAPH + f""", p AS (SELECT project, count(*) FILTER (date >= '{WEEK}') AS last_week, count(*) FILTER (date >= '{SINCE}') AS last_month, count(*) FILTER (type = 'memo') AS memos, count(*) FILTER (type = 'transcript') AS transcripts, max(date) AS latest FROM docs GROUP BY project), o AS (SELECT split_part(doc_path, '/', 2) AS project, count(*) AS n FROM tasks WHERE doc_path LIKE 'projects/%' AND NOT completed AND section = 'Open Threads' AND NOT contains(doc_path, '/transcripts/') GROUP BY 1)
-SELECT p.*, coalesce(n, 0) AS open_tasks, CASE WHEN last_week > 0 THEN 'active' WHEN last_month > 0 THEN 'recent' WHEN memos + transcripts > 0 THEN 'dormant' ELSE 'empty' END AS state FROM p LEFT JOIN o USING (project)""")
+@query("project_status", CTE + S.GRAPH + f""", p AS (SELECT project, count(*) FILTER (date >= '{WEEK}') AS last_week, count(*) FILTER (date >= '{SINCE}') AS
+  last_month, count(*) FILTER (type = 'memo') AS memos, count(*) FILTER (type = 'transcript') AS transcripts, max(date)
+  AS latest FROM docs GROUP BY project), o AS (SELECT split_part(doc_path, '/', 2) AS project, count(*) AS n FROM
+  tasks WHERE doc_path LIKE 'projects/%' AND NOT completed AND section = 'Open Threads' AND NOT contains(doc_path,
+  '/transcripts/') GROUP BY 1)
+SELECT p.*, coalesce(n, 0) AS open_tasks, CASE WHEN last_week > 0 THEN 'active' WHEN last_month > 0 THEN 'recent'
+  WHEN memos + transcripts > 0 THEN 'dormant' ELSE 'empty' END AS state FROM p LEFT JOIN o USING (project)""")
 def project_status(s: SparkSession, d: str) -> DataFrame:
     _, docs, _, tasks = graph_tables(s, d)
     return graph.project_status(docs, tasks, WEEK, SINCE)
 
 
-@query("project_activity", CTE + S.GRAPH + f", p AS (SELECT project, count(*) AS documents FROM docs WHERE date >= '{SINCE}' GROUP BY project), o AS (SELECT split_part(doc_path, '/', 2) AS project, count(*) FILTER (completed) AS done, count(*) FILTER (NOT completed) AS open FROM tasks WHERE doc_path LIKE 'projects/%' GROUP BY 1) SELECT project, documents, coalesce(done, 0) AS done, coalesce(open, 0) AS open FROM p LEFT JOIN o USING (project)")
+@query("project_activity", CTE + S.GRAPH + f", p AS (SELECT project, count(*) AS documents FROM docs WHERE date >= '{SINCE}' GROUP BY project), "
+    f"o AS (SELECT split_part(doc_path, '/', 2) AS project, count(*) FILTER (completed) AS done, count(*) FILTER (NOT completed) AS open FROM tasks "
+    f"WHERE doc_path LIKE 'projects/%' GROUP BY 1) SELECT project, documents, coalesce(done, 0) AS done, coalesce(open, 0) AS open FROM p LEFT JOIN "
+    f"o USING (project)")
 def project_activity(s: SparkSession, d: str) -> DataFrame:
     _, docs, _, tasks = graph_tables(s, d)
     return graph.project_activity(docs, tasks, SINCE)
@@ -299,13 +365,16 @@ def link_check(s: SparkSession, d: str) -> DataFrame:
     return graph.link_check(graph_tables(s, d)[2])
 
 
-@query("link_density", CTE + S.LINKS + ", c AS (SELECT source_path AS path, count(*) AS links FROM links GROUP BY source_path) SELECT path, coalesce(links, 0) AS links, CASE WHEN coalesce(links, 0) < 3 THEN 'isolated' WHEN links <= 10 THEN 'typical' WHEN links > 15 THEN 'over-linked' ELSE 'dense' END AS density FROM docs LEFT JOIN c USING (path)")
+@query("link_density", CTE + S.LINKS + ", c AS (SELECT source_path AS path, count(*) AS links FROM links GROUP BY source_path) SELECT "
+    "path, coalesce(links, 0) AS links, CASE WHEN coalesce(links, 0) < 3 THEN 'isolated' WHEN links <= 10 THEN 'typical' WHEN links > 15 THEN 'over-linked' "
+    "ELSE 'dense' END AS density FROM docs LEFT JOIN c USING (path)")
 def link_density(s: SparkSession, d: str) -> DataFrame:
     n = vault.notes(s, d)
     return curation.link_density(extract.documents(n), extract.links(n))
 
 
-@query("file_info", CTE + S.NOTES + r""" SELECT path, CAST(length(raw) AS BIGINT) AS chars, CAST(len(regexp_extract_all(content, '\S+')) AS BIGINT) AS words, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM docs JOIN notes USING (path)""")
+@query("file_info", CTE + S.NOTES + r""" SELECT path, CAST(length(raw) AS BIGINT) AS chars, CAST(len(regexp_extract_all(content, '\S+')) AS BIGINT) AS words,
+  CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM docs JOIN notes USING (path)""")
 def file_info(s: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
     return vault.notes(s, d).select("path", F.length(raw).alias("chars"), F.regexp_count(M.body(raw), F.lit(r"(?U)\S+")).alias("words"), F.size(M.lines(raw)).alias("lines"))
@@ -317,7 +386,9 @@ def dead_ends(s: SparkSession, d: str) -> DataFrame:
     return graph.dead_ends(docs, resolved.where("not is_broken"))
 
 
-@query("frontmatter_properties", CTE + S.NOTES + ", f AS (SELECT path, unnest(string_split(b, chr(10))) AS line FROM fm) SELECT trim(split_part(line, ':', 1)) AS key, count(DISTINCT path) AS documents, count(DISTINCT substr(line, instr(line, ':') + 1)) AS distinct_values FROM f WHERE contains(line, ':') GROUP BY 1")
+@query("frontmatter_properties", CTE + S.NOTES + ", f AS (SELECT path, unnest(string_split(b, chr(10))) AS line FROM fm) SELECT trim(split_part(line, "
+    "':', 1)) AS key, count(DISTINCT path) AS documents, count(DISTINCT substr(line, instr(line, ':') + 1)) AS distinct_values FROM f WHERE contains(line, "
+    "':') GROUP BY 1")
 def frontmatter_properties(s: SparkSession, d: str) -> DataFrame:
     f = vault.notes(s, d).select("path", F.explode(M.frontmatter(F.col("raw"))).alias("e"))
     return curation.properties(f.select("path", "e.key", "e.value"))
@@ -326,7 +397,8 @@ def frontmatter_properties(s: SparkSession, d: str) -> DataFrame:
 NEWEST = "n AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY date DESC, path) AS nth FROM docs WHERE type = 'memo')"
 
 
-@query("project_context", CTE + S.NOTES + ", " + NEWEST + r" SELECT project, string_agg('- ' || title, chr(10) ORDER BY nth) FILTER (nth <= 3) AS memos, CAST(sum(len(regexp_extract_all(content, '- \[ \] '))) AS BIGINT) AS open_threads FROM n WHERE nth <= 5 GROUP BY project")
+@query("project_context", CTE + S.NOTES + ", " + NEWEST + r" SELECT project, string_agg('- ' || title, chr(10) ORDER BY nth) FILTER (nth <= 3) AS memos, "
+    r"CAST(sum(len(regexp_extract_all(content, '- \[ \] '))) AS BIGINT) AS open_threads FROM n WHERE nth <= 5 GROUP BY project")
 def project_context(s: SparkSession, d: str) -> DataFrame:
     return context.standard(extract.documents(vault.notes(s, d)))
 
@@ -334,17 +406,22 @@ def project_context(s: SparkSession, d: str) -> DataFrame:
 SECTION = r"regexp_extract(content, '(?s)## Open Threads\s*\n(.*)$', 1)"
 
 
-@query("session_context", CTE + S.NOTES + ", " + NEWEST + rf", i AS (SELECT *, 'From ' || title || ':' || chr(10) || list_aggregate(list_transform(regexp_extract_all({SECTION}, '- \[ \] (.+)', 1), lambda x: '- [ ] ' || x), 'string_agg', chr(10)) AS items, '**' || title || '** (' || date || ')' AS summary FROM n WHERE nth <= 3) SELECT project, string_agg(items, chr(10) || chr(10) ORDER BY nth) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(summary, chr(10) || chr(10) ORDER BY nth) AS context FROM i GROUP BY project")
+@query("session_context", CTE + S.NOTES + ", " + NEWEST + rf", i AS (SELECT *, 'From ' || title || ':' || chr(10) || list_aggregate(list_transform(regexp_extract_all({SECTION}, "
+    rf"'- \[ \] (.+)', 1), lambda x: '- [ ] ' || x), 'string_agg', chr(10)) AS items, '**' || title || '** (' || date || ')' AS summary FROM n WHERE "
+    rf"nth <= 3) SELECT project, string_agg(items, chr(10) || chr(10) ORDER BY nth) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(summary, "
+    rf"chr(10) || chr(10) ORDER BY nth) AS context FROM i GROUP BY project")
 def session_context(s: SparkSession, d: str) -> DataFrame:
     return context.full(extract.documents(vault.notes(s, d)))
 
 
-@query("auto_memory_sources", CTE + S.NOTES + " SELECT path, sha256(raw) AS content_hash, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS line_count, 'D' || doc_id AS title FROM notes WHERE contains(path, '/auto-memory/')")
+@query("auto_memory_sources", CTE + S.NOTES + " SELECT path, sha256(raw) AS content_hash, CAST(len(string_split(raw, chr(10))) AS BIGINT) "
+    "AS line_count, 'D' || doc_id AS title FROM notes WHERE contains(path, '/auto-memory/')")
 def auto_memory_sources(s: SparkSession, d: str) -> DataFrame:
     return sync.sources(vault.notes(s, d).where(F.col("path").contains("/auto-memory/")))
 
 
-@query("projects_without_memory", CTE + S.ARCHIVE + f" SELECT DISTINCT project FROM archive WHERE type = 'transcript' AND project NOT IN (SELECT project FROM archive WHERE type = 'auto-memory' AND date >= '{WEEK}')")
+@query("projects_without_memory", CTE + S.ARCHIVE + f" SELECT DISTINCT project FROM archive WHERE type = 'transcript' AND project NOT IN (SELECT "
+    f"project FROM archive WHERE type = 'auto-memory' AND date >= '{WEEK}')")
 def projects_without_memory(s: SparkSession, d: str) -> DataFrame:
     a = vault.archive(s, d)
     return sync.without_memory(a.where("type = 'transcript'"), a.where((F.col("type") == "auto-memory") & (F.col("date") >= WEEK)))
@@ -354,8 +431,14 @@ def projects_without_memory(s: SparkSession, d: str) -> DataFrame:
 
 TIER = "CASE WHEN refs >= 5 THEN 'OVERDUE' WHEN refs >= 3 AND projects >= 2 THEN 'READY' WHEN refs >= 2 THEN 'MATURING' ELSE 'SEEDLING' END"
 NOISE = ", ".join(f"'{x}'" for x in curation.NOISE)
-PAGES = rf"""a AS (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t FROM pages), u AS (SELECT DISTINCT trim(t) AS link, url, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)', 1), ''), '_vault') AS project FROM a),
-refs AS (SELECT link, count(DISTINCT url) AS refs, count(DISTINCT CASE WHEN project NOT LIKE '\_%' ESCAPE '\' THEN project END) AS projects FROM u WHERE lower(link) NOT IN ({NOISE}) AND NOT regexp_matches(link, '^\?|/|^\d{{8}}|^https?://|^\d+$') GROUP BY link)"""
+PAGES = (
+    rf"""a AS (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t FROM pages),
+  u AS (SELECT DISTINCT trim(t) AS link, url, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([^/]+)', 1),
+  ''), '_vault') AS project FROM a),
+refs AS (SELECT link, count(DISTINCT url) AS refs, count(DISTINCT CASE WHEN project NOT LIKE '\_%' ESCAPE '\' THEN
+  project END) AS projects FROM u WHERE lower(link) NOT IN ({NOISE}) AND NOT regexp_matches(link, '^\?|/|^\d{{8}}|^https?://|^\d+$')
+  GROUP BY link)"""
+)
 
 
 @query("crystallization_tiers", CTE + PAGES + f" SELECT link, refs, projects, {TIER} AS tier FROM refs")
@@ -364,20 +447,29 @@ def crystallization_tiers(s: SparkSession, d: str) -> DataFrame:
     return r.withColumn("tier", curation.tier(F.col("refs"), F.col("projects")))
 
 
-@query("crystallization_delta", CTE + PAGES + ", n AS (SELECT link, refs FROM refs WHERE length(link) % 5 <> 0), b AS (SELECT link, refs - length(link) % 2 AS refs FROM refs WHERE length(link) % 7 <> 0) SELECT * FROM (SELECT coalesce(n.link, b.link) AS link, n.refs AS refs_now, b.refs AS refs_before, CASE WHEN b.refs IS NULL THEN 'new' WHEN n.refs IS NULL THEN 'resolved' WHEN n.refs > b.refs THEN 'grown' END AS change FROM n FULL OUTER JOIN b ON n.link = b.link) WHERE change IS NOT NULL")
+@query("crystallization_delta", CTE + PAGES + ", n AS (SELECT link, refs FROM refs WHERE length(link) % 5 <> 0), b AS (SELECT link, refs "
+    "- length(link) % 2 AS refs FROM refs WHERE length(link) % 7 <> 0) SELECT * FROM (SELECT coalesce(n.link, b.link) AS link, n.refs AS refs_now, "
+    "b.refs AS refs_before, CASE WHEN b.refs IS NULL THEN 'new' WHEN n.refs IS NULL THEN 'resolved' WHEN n.refs > b.refs THEN 'grown' END AS change "
+    "FROM n FULL OUTER JOIN b ON n.link = b.link) WHERE change IS NOT NULL")
 def crystallization_delta(s: SparkSession, d: str) -> DataFrame:
     r = curation.link_refs(vault.page_links(s, d)).select("link", "refs")
     n = F.length("link")
     return curation.delta(r.where(n % 5 != 0), r.where(n % 7 != 0).withColumn("refs", F.col("refs") - n % 2))
 
 
-@query("unresolved_concepts", CTE + S.LINKS + f", u AS (SELECT DISTINCT link_text AS link, source_path, CASE WHEN source_path LIKE 'projects/%' THEN split_part(source_path, '/', 2) ELSE '_topics' END AS project FROM resolved WHERE is_broken AND NOT contains(link_text, '/')), refs AS (SELECT link, count(DISTINCT source_path) AS refs, count(DISTINCT CASE WHEN project <> '_topics' THEN project END) AS projects FROM u GROUP BY link) SELECT link, refs, projects, {TIER} AS tier FROM refs")
+@query("unresolved_concepts", CTE + S.LINKS + f", u AS (SELECT DISTINCT link_text AS link, source_path, CASE WHEN source_path LIKE 'projects/%' "
+    f"THEN split_part(source_path, '/', 2) ELSE '_topics' END AS project FROM resolved WHERE is_broken AND NOT contains(link_text, '/')), refs AS "
+    f"(SELECT link, count(DISTINCT source_path) AS refs, count(DISTINCT CASE WHEN project <> '_topics' THEN project END) AS projects FROM u GROUP "
+    f"BY link) SELECT link, refs, projects, {TIER} AS tier FROM refs")
 def unresolved_concepts(s: SparkSession, d: str) -> DataFrame:
     b = graph.broken(graph_tables(s, d)[2]).withColumn("project", F.coalesce(graph.project_of(F.col("source_path")), F.lit("_topics")))
     return curation.link_refs(b).withColumn("tier", curation.tier(F.col("refs"), F.col("projects")))
 
 
-@query("index_plan", CTE + S.NOTES + ", h AS (SELECT doc_id, path, sha256(raw) AS a FROM notes), n AS (SELECT * FROM h WHERE doc_id % 13 <> 0), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE a END AS b FROM h WHERE doc_id % 11 <> 0) SELECT coalesce(n.path, b.path) AS path, CASE WHEN b.b IS NULL THEN 'new' WHEN n.a IS NULL THEN 'deleted' WHEN a <> b THEN 'updated' ELSE 'unchanged' END AS action FROM n FULL OUTER JOIN b ON n.path = b.path")
+@query("index_plan", CTE + S.NOTES + ", h AS (SELECT doc_id, path, sha256(raw) AS a FROM notes), n AS (SELECT * FROM h WHERE doc_id "
+    "% 13 <> 0), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE a END AS b FROM h WHERE doc_id % 11 <> 0) SELECT coalesce(n.path, b.path) "
+    "AS path, CASE WHEN b.b IS NULL THEN 'new' WHEN n.a IS NULL THEN 'deleted' WHEN a <> b THEN 'updated' ELSE 'unchanged' END AS action FROM n FULL "
+    "OUTER JOIN b ON n.path = b.path")
 def index_plan(s: SparkSession, d: str) -> DataFrame:
     n = vault.notes(s, d)
     i = F.col("doc_id")
@@ -385,26 +477,34 @@ def index_plan(s: SparkSession, d: str) -> DataFrame:
     return curation.hash_plan(h.where(i % 13 != 0), h.where(i % 11 != 0).withColumn("content_hash", F.when(i % 5 == 0, "old").otherwise(F.col("content_hash"))))
 
 
-@query("condensation", CTE + S.ARCHIVE + ", o AS (SELECT project, min(date) AS condensed FROM archive WHERE type = 'auto-memory' GROUP BY project) SELECT project, count(*) FILTER (condensed IS NULL OR date > condensed) AS undigested, count(*) FILTER (condensed IS NULL OR date > condensed) >= 5 AS condense FROM archive LEFT JOIN o USING (project) WHERE type = 'memo' GROUP BY project")
+@query("condensation", CTE + S.ARCHIVE + ", o AS (SELECT project, min(date) AS condensed FROM archive WHERE type = 'auto-memory' GROUP "
+    "BY project) SELECT project, count(*) FILTER (condensed IS NULL OR date > condensed) AS undigested, count(*) FILTER (condensed IS NULL OR date "
+    "> condensed) >= 5 AS condense FROM archive LEFT JOIN o USING (project) WHERE type = 'memo' GROUP BY project")
 def condensation(s: SparkSession, d: str) -> DataFrame:
     a = vault.archive(s, d)
     return curation.staleness(a, a.where("type = 'auto-memory'").groupBy("project").agg(F.min("date").alias("condensed")))
 
 
-@query("stale_topics", CTE + S.LINKS + f", r AS (SELECT target_path AS path, max(date) AS latest FROM resolved JOIN docs ON docs.path = source_path WHERE target_path IS NOT NULL GROUP BY target_path) SELECT path, latest FROM docs LEFT JOIN r USING (path) WHERE type = 'concept' AND (latest IS NULL OR latest < '{SINCE}')")
+@query("stale_topics", CTE + S.LINKS + f", r AS (SELECT target_path AS path, max(date) AS latest FROM resolved JOIN docs ON docs.path "
+    f"= source_path WHERE target_path IS NOT NULL GROUP BY target_path) SELECT path, latest FROM docs LEFT JOIN r USING (path) WHERE type = 'concept' "
+    f"AND (latest IS NULL OR latest < '{SINCE}')")
 def stale_topics(s: SparkSession, d: str) -> DataFrame:
     _, docs, resolved, _ = graph_tables(s, d)
     return curation.stale_topics(resolved, docs, SINCE)
 
 
-@query("missing_memos", CTE + S.ARCHIVE + ", t AS (SELECT path, CAST(doc_id % 97 AS VARCHAR) AS suffix FROM archive WHERE type = 'transcript') SELECT path, suffix FROM t WHERE suffix IN (SELECT CAST(doc_id % 101 AS VARCHAR) FROM archive WHERE type = 'memo')")
+@query("missing_memos", CTE + S.ARCHIVE + ", t AS (SELECT path, CAST(doc_id % 97 AS VARCHAR) AS suffix FROM archive WHERE type = 'transcript') "
+    "SELECT path, suffix FROM t WHERE suffix IN (SELECT CAST(doc_id % 101 AS VARCHAR) FROM archive WHERE type = 'memo')")
 def missing_memos(s: SparkSession, d: str) -> DataFrame:
     a = vault.archive(s, d)
     t = a.where("type = 'transcript'").select("path", (F.col("doc_id") % 97).cast("string").alias("suffix"))
     return curation.missing_memos(t, a.where("type = 'memo'").select((F.col("doc_id") % 101).cast("string").alias("suffix"))).select("path", "suffix")
 
 
-@query("cartography", CTE + S.LINKS + ", b AS (SELECT target_path AS path, count(DISTINCT source_path) AS n FROM resolved WHERE target_path IS NOT NULL GROUP BY target_path), l AS (SELECT path, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM notes) SELECT path, coalesce(n, 0) AS backlinks, lines, CASE WHEN lines >= 200 THEN 'mature' WHEN lines >= 50 THEN 'growing' ELSE 'stub' END AS maturity FROM l LEFT JOIN b USING (path)")
+@query("cartography", CTE + S.LINKS + ", b AS (SELECT target_path AS path, count(DISTINCT source_path) AS n FROM resolved WHERE target_path "
+    "IS NOT NULL GROUP BY target_path), l AS (SELECT path, CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM notes) SELECT path, coalesce(n, "
+    "0) AS backlinks, lines, CASE WHEN lines >= 200 THEN 'mature' WHEN lines >= 50 THEN 'growing' ELSE 'stub' END AS maturity FROM l LEFT JOIN b "
+    "USING (path)")
 def cartography(s: SparkSession, d: str) -> DataFrame:
     n, docs, resolved, _ = graph_tables(s, d)
     return curation.cartography(docs, resolved, n.select("path", F.size(M.lines(F.col("raw"))).alias("lines")))
@@ -417,33 +517,42 @@ def tagged(s: SparkSession, d: str) -> DataFrame:
     return extract.documents(vault.notes(s, d)).select("path", "project", "type", "date", F.explode("tags").alias("topic"))
 
 
-@query("project_adjacency", CTE + S.NOTES + ", " + TAGGED_SQL + " SELECT a.project AS project_a, b.project AS project_b, count(*) AS shared FROM g a JOIN g b USING (topic) WHERE a.project < b.project GROUP BY 1, 2")
+@query("project_adjacency", CTE + S.NOTES + ", " + TAGGED_SQL + " SELECT a.project AS project_a, b.project AS project_b, count(*) AS shared FROM g a JOIN g "
+    "b USING (topic) WHERE a.project < b.project GROUP BY 1, 2")
 def project_adjacency(s: SparkSession, d: str) -> DataFrame:
     return curation.adjacency(tagged(s, d).select("project", "topic"))
 
 
-@query("memos_by_topic", CTE + S.NOTES + " SELECT tag AS topic, count(*) AS memos FROM tags JOIN docs ON path = doc_path WHERE type = 'memo' GROUP BY tag HAVING count(*) >= 2")
+@query("memos_by_topic", CTE + S.NOTES + " SELECT tag AS topic, count(*) AS memos FROM tags JOIN docs ON path = doc_path WHERE type "
+    "= 'memo' GROUP BY tag HAVING count(*) >= 2")
 def memos_by_topic(s: SparkSession, d: str) -> DataFrame:
     return curation.memos_by_topic(tagged(s, d).where("type = 'memo'").select("path", "topic"))
 
 
-@query("themes_without_topic", CTE + S.NOTES + ", " + TAGGED_SQL + f", k AS (SELECT string_split(tags, ', ')[1] AS topic FROM docs WHERE type = 'concept' AND date >= '{WEEK}') SELECT topic, count(DISTINCT project) AS projects FROM g WHERE topic NOT IN (SELECT topic FROM k) GROUP BY topic HAVING count(DISTINCT project) >= 2")
+@query("themes_without_topic", CTE + S.NOTES + ", " + TAGGED_SQL + f", k AS (SELECT string_split(tags, ', ')[1] AS topic FROM docs WHERE type = 'concept' AND date "
+    f">= '{WEEK}') SELECT topic, count(DISTINCT project) AS projects FROM g WHERE topic NOT IN (SELECT topic FROM k) GROUP BY topic HAVING count(DISTINCT "
+    f"project) >= 2")
 def themes_without_topic(s: SparkSession, d: str) -> DataFrame:
     known = extract.documents(vault.notes(s, d)).where((F.col("type") == "concept") & (F.col("date") >= WEEK)).select(F.col("tags")[0].alias("topic"))
     return curation.themes_without_topic(tagged(s, d).select("project", "topic"), known)
 
 
-@query("suggested_concepts", CTE + "a AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 2)) AS t FROM pages) SELECT trim(t) AS concept, count(*) AS mentions, count(DISTINCT url) AS notes FROM a GROUP BY trim(t)")
+@query("suggested_concepts", CTE + "a AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>', "
+    "2)) AS t FROM pages) SELECT trim(t) AS concept, count(*) AS mentions, count(DISTINCT url) AS notes FROM a GROUP BY trim(t)")
 def suggested_concepts(s: SparkSession, d: str) -> DataFrame:
     return curation.suggested(vault.page_links(s, d).withColumn("link_text", F.concat(F.lit("?"), "link_text")))
 
 
-@query("note_sizes", CTE + S.NOTES + ", z AS (SELECT strlen(raw) AS bytes FROM notes) SELECT CASE WHEN bytes < 1000 THEN 'tiny' WHEN bytes < 10000 THEN 'small' WHEN bytes < 1000000 THEN 'medium' WHEN bytes < 10000000 THEN 'large' ELSE 'huge' END AS size_class, count(*) AS files, round(avg(bytes), 6) AS mean_bytes FROM z GROUP BY 1")
+@query("note_sizes", CTE + S.NOTES + ", z AS (SELECT strlen(raw) AS bytes FROM notes) SELECT CASE WHEN bytes < 1000 THEN 'tiny' "
+    "WHEN bytes < 10000 THEN 'small' WHEN bytes < 1000000 THEN 'medium' WHEN bytes < 10000000 THEN 'large' ELSE 'huge' END AS size_class, count(*) "
+    "AS files, round(avg(bytes), 6) AS mean_bytes FROM z GROUP BY 1")
 def note_sizes(s: SparkSession, d: str) -> DataFrame:
     return curation.by_size(vault.notes(s, d).select(F.octet_length("raw").alias("bytes")))
 
 
-@query("orphaned_sessions", "WITH p AS (SELECT 's' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, max(ts) FILTER (event_type = 'error') AS archived, count(*) FILTER (event_type = 'purchase') AS completed FROM events GROUP BY 1) SELECT session_id, strftime(archived, '%Y-%m-%d %H:%M:%S') AS archived FROM p WHERE completed = 0 AND archived < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+@query("orphaned_sessions", "WITH p AS (SELECT 's' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, max(ts) "
+    "FILTER (event_type = 'error') AS archived, count(*) FILTER (event_type = 'purchase') AS completed FROM events GROUP BY 1) SELECT session_id, "
+    "strftime(archived, '%Y-%m-%d %H:%M:%S') AS archived FROM p WHERE completed = 0 AND archived < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 def orphaned_sessions(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
     last = e.agg(F.max("ts")).head()[0]
@@ -454,11 +563,18 @@ def orphaned_sessions(s: SparkSession, d: str) -> DataFrame:
 
 # Conversations
 
-MSG = """msg AS (SELECT conv_id AS session, turn AS seq, role, text, make_timestamp((1704067200 + conv_id * 3600 + turn * 100) * 1000000) AS ts FROM conversations),
-kept AS (SELECT * FROM msg WHERE role <> 'system' AND coalesce(text, '') <> ''), turned AS (SELECT *, greatest(1, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq)) AS turn FROM kept)"""
+MSG = (
+    """msg AS (SELECT conv_id AS session, turn AS seq, role, text, make_timestamp((1704067200 + conv_id * 3600 + turn *
+  100) * 1000000) AS ts FROM conversations),
+kept AS (SELECT * FROM msg WHERE role <> 'system' AND coalesce(text, '') <> ''), turned AS (SELECT *, greatest(1,
+  sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq)) AS turn FROM kept)"""
+)
 
 
-@query("conversation_turns", CTE + MSG + " SELECT session, CAST(turn AS BIGINT) AS turn, count(*) AS messages, count(*) FILTER (role = 'assistant') AS responses, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS user_chars, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS reply_chars, arg_min(text, seq) FILTER (role = 'user') AS prompt FROM turned GROUP BY session, turn")
+@query("conversation_turns", CTE + MSG + " SELECT session, CAST(turn AS BIGINT) AS turn, count(*) AS messages, count(*) FILTER (role "
+    "= 'assistant') AS responses, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS user_chars, CAST(sum(CASE WHEN role "
+    "= 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS reply_chars, arg_min(text, seq) FILTER (role = 'user') AS prompt FROM turned GROUP "
+    "BY session, turn")
 def conversation_turns(s: SparkSession, d: str) -> DataFrame:
     turned = transcripts.turns(vault.messages(s, d))
     prompts = transcripts.turn_table(turned).drop("prompt")
@@ -466,18 +582,23 @@ def conversation_turns(s: SparkSession, d: str) -> DataFrame:
     return prompts.join(first, ["session", "turn"], "left")
 
 
-@query("conversation_sessions", CTE + MSG + " SELECT session, count(*) AS messages, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM msg GROUP BY session")
+@query("conversation_sessions", CTE + MSG + " SELECT session, count(*) AS messages, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), "
+    "'%Y-%m-%d %H:%M:%S') AS last, CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM "
+    "msg GROUP BY session")
 def conversation_sessions(s: SparkSession, d: str) -> DataFrame:
     at = lambda c: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss").alias(c)
     return transcripts.sessions(vault.messages(s, d)).select("session", "messages", at("first"), at("last"), "minutes")
 
 
-@query("memo_extract", CTE + MSG + ", c AS (SELECT session, turn, sum(least(length(text), CASE WHEN role = 'user' THEN 1000 ELSE 1500 END)) AS chars FROM turned GROUP BY session, turn), r AS (SELECT *, sum(chars) OVER (PARTITION BY session ORDER BY turn) AS total FROM c) SELECT session, CAST(turn AS BIGINT) AS turn, CAST(chars AS BIGINT) AS chars, CAST(total AS BIGINT) AS total FROM r WHERE total <= 3000")
+@query("memo_extract", CTE + MSG + ", c AS (SELECT session, turn, sum(least(length(text), CASE WHEN role = 'user' THEN 1000 ELSE "
+    "1500 END)) AS chars FROM turned GROUP BY session, turn), r AS (SELECT *, sum(chars) OVER (PARTITION BY session ORDER BY turn) AS total FROM "
+    "c) SELECT session, CAST(turn AS BIGINT) AS turn, CAST(chars AS BIGINT) AS chars, CAST(total AS BIGINT) AS total FROM r WHERE total <= 3000")
 def memo_extract(s: SparkSession, d: str) -> DataFrame:
     return transcripts.memo_extract(transcripts.turns(vault.messages(s, d)), 3000)
 
 
-@query("message_dedupe", CTE + MSG + ", k AS (SELECT session, min(seq) AS seq, role, CAST(seq // 2 AS BIGINT) AS slot, max(length(text)) AS chars FROM msg GROUP BY session, role, seq // 2) SELECT session, seq, role, slot, chars FROM k")
+@query("message_dedupe", CTE + MSG + ", k AS (SELECT session, min(seq) AS seq, role, CAST(seq // 2 AS BIGINT) AS slot, max(length(text)) "
+    "AS chars FROM msg GROUP BY session, role, seq // 2) SELECT session, seq, role, slot, chars FROM k")
 def message_dedupe(s: SparkSession, d: str) -> DataFrame:
     m = vault.messages(s, d).withColumn("slot", F.floor(F.col("seq") / 2))
     return transcripts.deduplicated(m, ["session", "role", "slot"]).select("session", "seq", "role", "slot", F.length("text").alias("chars"))
@@ -487,9 +608,16 @@ TAGGED = "text"
 for _tag in transcripts.TAGS:
     TAGGED = f"regexp_replace({TAGGED}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g')"
 RENDERED = (
+    (
     MSG
-    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM turned), ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' || chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
-tm AS (SELECT session, turn, '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t, chr(10) || chr(10) ORDER BY seq) AS md FROM ct GROUP BY session, turn), rd AS (SELECT session, string_agg(md, chr(10) || chr(10) ORDER BY turn) AS markdown, CAST(max(turn) AS BIGINT) AS turns FROM tm GROUP BY session)"""
+    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM
+  turned), ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' ||
+  chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
+tm AS (SELECT session, turn, '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) || string_agg(CASE WHEN role
+  = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t, chr(10) || chr(10) ORDER BY seq) AS md FROM ct GROUP
+  BY session, turn), rd AS (SELECT session, string_agg(md, chr(10) || chr(10) ORDER BY turn) AS markdown, CAST(max(turn)
+  AS BIGINT) AS turns FROM tm GROUP BY session)"""
+)
 )
 
 
@@ -498,8 +626,13 @@ def rendered_sessions(s: SparkSession, d: str) -> DataFrame:
     return transcripts.rendered(transcripts.turns(vault.messages(s, d)))
 
 
-NOTE = """, ss AS (SELECT session, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS day, CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM turned GROUP BY session)
-SELECT session, concat_ws(chr(10), '---', 'type: transcript', 'session_id: ' || session, 'date: ' || day, 'turns: ' || turns, 'total_messages: ' || n, 'duration_minutes: ' || minutes, '---', '', markdown) || chr(10) AS raw FROM rd JOIN ss USING (session)"""
+NOTE = (
+    """, ss AS (SELECT session, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS day, CASE WHEN count(*) > 1 THEN greatest(1,
+  CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM turned GROUP BY session)
+SELECT session, concat_ws(chr(10), '---', 'type: transcript', 'session_id: ' || session, 'date: ' || day, 'turns: '
+  || turns, 'total_messages: ' || n, 'duration_minutes: ' || minutes, '---', '', markdown) || chr(10) AS raw FROM
+  rd JOIN ss USING (session)"""
+)
 
 
 @query("session_notes", CTE + RENDERED + NOTE)
@@ -507,7 +640,10 @@ def session_notes(s: SparkSession, d: str) -> DataFrame:
     return transcripts.notes(transcripts.turns(vault.messages(s, d)))
 
 
-@query("message_signals", CTE + MSG + r""" SELECT session, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT) AS minutes, coalesce(translate(left(trim(regexp_replace(arg_min(text, seq) FILTER (role = 'user'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), 150), chr(10), ' '), '') AS first_message FROM msg GROUP BY session""")
+@query("message_signals", CTE + MSG + r""" SELECT session, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, CAST(floor(epoch(max(ts)
+  - min(ts)) / 60) AS BIGINT) AS minutes, coalesce(translate(left(trim(regexp_replace(arg_min(text, seq) FILTER
+  (role = 'user'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), 150), chr(10), ' '), '') AS first_message
+  FROM msg GROUP BY session""")
 def message_signals(s: SparkSession, d: str) -> DataFrame:
     m = vault.messages(s, d)
     at = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -515,13 +651,22 @@ def message_signals(s: SparkSession, d: str) -> DataFrame:
     return transcripts.signals(m.select("session", "seq", line.alias("value")), "session").select("session", "users", "assistants", "minutes", "first_message")
 
 
-@query("viable_sessions", "SELECT conv_id AS session_id, count(*) AS lines, count(*) FILTER (contains(text, 'tool_use')) AS tools FROM conversations GROUP BY conv_id HAVING count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0")
+@query("viable_sessions", "SELECT conv_id AS session_id, count(*) AS lines, count(*) FILTER (contains(text, 'tool_use')) "
+    "AS tools FROM conversations GROUP BY conv_id HAVING count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0")
 def viable_sessions(s: SparkSession, d: str) -> DataFrame:
     return hooks.viable(vault.messages(s, d).select(F.col("session").alias("session_id"), "text"))
 
 
-SIGNALS = """sg AS (SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'purchase') AS writes, count(*) FILTER (event_type = 'signup') AS commits, count(*) FILTER (event_type = 'click') AS bash, count(*) FILTER (event_type = 'view') AS users, count(*) FILTER (event_type = 'error') AS errors, epoch(max(ts) - min(ts)) / 60 AS minutes FROM events GROUP BY user_id),
-sc AS (SELECT session_id, CAST(greatest(0, least(writes * 3, 15) + least(commits * 5, 15) + least(bash, 5) + least(users, 10) + CASE WHEN minutes >= 60 THEN 8 WHEN minutes >= 30 THEN 5 WHEN minutes >= 10 THEN 3 WHEN minutes >= 5 THEN 1 ELSE 0 END - least(errors, 3)) AS BIGINT) AS score FROM sg), g AS (SELECT *, CASE WHEN score >= 16 THEN 'high' WHEN score >= 9 THEN 'moderate' WHEN score >= 4 THEN 'low' ELSE 'skip' END AS grade FROM sc)"""
+SIGNALS = (
+    """sg AS (SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'purchase') AS writes, count(*) FILTER
+  (event_type = 'signup') AS commits, count(*) FILTER (event_type = 'click') AS bash, count(*) FILTER (event_type
+  = 'view') AS users, count(*) FILTER (event_type = 'error') AS errors, epoch(max(ts) - min(ts)) / 60 AS minutes
+  FROM events GROUP BY user_id),
+sc AS (SELECT session_id, CAST(greatest(0, least(writes * 3, 15) + least(commits * 5, 15) + least(bash, 5) + least(users,
+  10) + CASE WHEN minutes >= 60 THEN 8 WHEN minutes >= 30 THEN 5 WHEN minutes >= 10 THEN 3 WHEN minutes >= 5 THEN
+  1 ELSE 0 END - least(errors, 3)) AS BIGINT) AS score FROM sg), g AS (SELECT *, CASE WHEN score >= 16 THEN 'high'
+  WHEN score >= 9 THEN 'moderate' WHEN score >= 4 THEN 'low' ELSE 'skip' END AS grade FROM sc)"""
+)
 
 
 @query("triage_scores", CTE + SIGNALS + " SELECT session_id, score, grade FROM g")
@@ -539,14 +684,17 @@ def triage_histogram(s: SparkSession, d: str) -> DataFrame:
     return triage_scores(s, d).groupBy("grade").agg(F.count("*").alias("sessions"))
 
 
-@query("import_plan", CTE + SIGNALS + ", k AS (SELECT * FROM g WHERE CAST(substr(session_id, 2) AS BIGINT) % 3 <> 0) SELECT session_id, score, grade, CASE WHEN grade = 'skip' THEN 'skipped' ELSE 'would_import' END AS action FROM k")
+@query("import_plan", CTE + SIGNALS + ", k AS (SELECT * FROM g WHERE CAST(substr(session_id, 2) AS BIGINT) % 3 <> 0) SELECT session_id, "
+    "score, grade, CASE WHEN grade = 'skip' THEN 'skipped' ELSE 'would_import' END AS action FROM k")
 def import_plan(s: SparkSession, d: str) -> DataFrame:
     t = triage_scores(s, d)
     archived = t.select("session_id").where(F.substring("session_id", 2, 20).cast("long") % 3 == 0)
     return curation.unarchived(t, archived).withColumn("action", F.when(F.col("grade") == "skip", "skipped").otherwise("would_import"))
 
 
-@query("nudges", CTE + "e AS (SELECT 's' || user_id AS session_id, count(*) OVER w AS n, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS saved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT session_id, n AS \"count\" FROM e WHERE saved = 0 AND n >= 5 AND (n - 5) % 3 = 0")
+@query("nudges", CTE + "e AS (SELECT 's' || user_id AS session_id, count(*) OVER w AS n, max(CASE WHEN event_type "
+    "= 'purchase' THEN 1 ELSE 0 END) OVER w AS saved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT session_id, n AS "
+    "\"count\" FROM e WHERE saved = 0 AND n >= 5 AND (n - 5) % 3 = 0")
 def nudges(s: SparkSession, d: str) -> DataFrame:
     return hooks.nudges_batch(vault.session_events(s, d), 5, 3)
 
@@ -558,7 +706,9 @@ def phases_once(s: SparkSession, d: str) -> DataFrame:
     return e.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("session_id", F.col("kind").alias("phase"), "event_id")
 
 
-@query("queue_drain", "SELECT 's' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id ORDER BY min(ts), path LIMIT 10")
+@query("queue_drain", "SELECT 's' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM "
+    "events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id ORDER BY min(ts), "
+    "path LIMIT 10")
 def queue_drain(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
     queue = e.where("kind = 'error'").select(F.col("session_id").alias("path"), F.col("ts").alias("enqueued_at"))
@@ -566,7 +716,8 @@ def queue_drain(s: SparkSession, d: str) -> DataFrame:
     return hooks.drained(queue, done, 10).select("path", F.date_format("enqueued_at", "yyyy-MM-dd HH:mm:ss").alias("enqueued_at"))
 
 
-@query("activity_windows", "SELECT event_type AS kind, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+@query("activity_windows", "SELECT event_type AS kind, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) "
+    "AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
 def activity_windows(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
     return e.groupBy("kind", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("users"))
