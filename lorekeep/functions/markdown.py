@@ -120,10 +120,50 @@ def snippet(text: Column, width: int = 200) -> Column:
     return F.concat(F.left(F.regexp_replace(b, r"\s+", " "), F.lit(width)), F.when(F.length(b) > width, "...").otherwise(""))
 
 
+#: Names that stand for no project, and folders of a home that hold projects.
+RESERVED = ("", "_", "tmp", "temp", "downloads", "desktop", "home", "documents", "users", "var", "etc", "usr", "bin")
+HOME_FOLDERS = ("Documents", "Downloads", "Desktop")
+
+
 def project_name(c: Column) -> Column:
     """Safe name: letters, digits, _ and -, at most 50 characters; empty or reserved: _uncategorized."""
     n = F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w-]", "_"), "_+", "_"), "^_|_$", ""), F.lit(50))
-    return F.when((n == "") | n.isin("con", "prn", "aux", "nul"), "_uncategorized").otherwise(n)
+    return F.when(F.lower(n).isin(*RESERVED), "_uncategorized").otherwise(n)
+
+
+def folder_project(c: Column) -> Column:
+    """The project of a log folder, whose name is a path with - for /: what follows the user's home and a folder of HOME_FOLDERS in it; ~home or ~Folder if nothing does."""
+    parts = F.split(F.regexp_replace(c, "^-+", ""), "-")
+    n, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    rest = lambda start: F.array_join(F.slice(parts, start + 1, F.greatest(n - start, F.lit(0))), "-")
+    common = at(2).isin(*HOME_FOLDERS)
+    in_users = F.when((n >= 4) & common, rest(3)).when((n >= 3) & ~common, rest(2)).otherwise("")
+    found = F.when((at(0) == "Users") & (n >= 2), in_users).when((at(0) == "home") & (n >= 2), F.when(n > 2, rest(2)).otherwise("")).otherwise(rest(0))
+    none = F.when((n == 2) & at(0).isin("Users", "home"), "~home").when((n == 3) & at(0).isin("Users", "home") & common, F.concat(F.lit("~"), at(2)))
+    bare = F.coalesce(F.nullif(F.regexp_replace(c, "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
+    return F.when(found != "", found).otherwise(F.coalesce(none, bare))
+
+
+def remote_project(c: Column) -> Column:
+    """The project of a repository's address, by ssh or http; null if it is neither."""
+    found = [F.regexp_extract(c, p, 1) for p in (r"^git@[^:]+:[^/]+/([^/]+?)(?:\.git)?$", r"^https?://[^/]+/[^/]+/([^/]+?)(?:\.git)?$")]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+
+
+def unique_name(name: Column, folder: Column, taken_by_other: Column) -> Column:
+    """The safe name, with six digits of the folder's hash if another folder has it."""
+    safe = project_name(name)
+    return F.when(taken_by_other, F.concat(safe, F.lit("-"), F.left(F.md5(folder.cast("binary")), F.lit(6)))).otherwise(safe)
+
+
+def stamped(raw: Column, fields: dict[str, Column]) -> Column:
+    """raw with the fields at the end of its frontmatter, those that are null or 0 left out; as it was if it has no frontmatter or the first of them already."""
+    lines = F.concat_ws("\n", *[F.when(c != 0, F.concat(F.lit(f"{key}: "), c.cast("string"))) for key, c in fields.items()])
+    front = F.trim(F.regexp_extract(raw, r"(?s)^---(.*?)---", 1), F.lit(" \n\r\t"))
+    rest = F.regexp_replace(raw, r"(?s)^---.*?(?=---)", "")
+    known = F.left(raw, F.lit(1000)).contains(f"{next(iter(fields))}:")
+    new = F.concat(F.lit("---\n"), front, F.lit("\n"), lines, F.lit("\n"), rest)
+    return F.when(raw.rlike(r"(?s)^---.*?---") & ~known & (lines != ""), new).otherwise(raw)
 
 
 def session_suffix(name: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
+from lorekeep.operators.chunking import first_words
 
 #: Section names in the order in which they are looked for.
 DECISIONS = ("Key Decisions", "Decisions", "Key Points")
@@ -53,11 +54,6 @@ def joined(rows: DataFrame, text: Column, name: str, between: str) -> DataFrame:
     return rows.groupBy("project").agg(F.concat_ws(between, F.transform(parts, lambda p: p["part"])).alias(name))
 
 
-def first_words(text: Column, most: int) -> Column:
-    """text up to its word number `most`."""
-    return F.when(F.regexp_count(text, F.lit(r"\S+")) <= most, text).otherwise(F.regexp_extract(text, rf"^(?:\s*+\S++){{{most}}}", 0))
-
-
 def standard(docs: DataFrame) -> DataFrame:
     """project, memos (titles of the newest three), open_threads."""
     titles = joined(newest(docs, 3), F.concat(F.lit("- "), "title"), "memos", "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,21 @@ def tier(refs: Column, projects: Column) -> Column:
     return F.when(refs >= 5, "OVERDUE").when((refs >= 3) & (projects >= 2), "READY").when(refs >= 2, "MATURING").otherwise("SEEDLING")
 
 
+#: Tiers in the order of a report.
+TIERS = ("OVERDUE", "READY", "MATURING", "SEEDLING")
+
+
+def ranked(tiers: DataFrame, most: int | None = None) -> DataFrame:
+    """Links (link, refs, tier) as a report lists them: by tier, then most references, then text."""
+    listed = tiers.orderBy(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.col("refs").desc(), "link")
+    return listed.limit(most) if most else listed
+
+
+def known_suffixes(*sources: DataFrame) -> DataFrame:
+    """Distinct session suffixes (suffix) of several sources."""
+    return functools.reduce(DataFrame.unionByName, [s.select("suffix") for s in sources]).where(F.col("suffix").isNotNull()).distinct()
+
+
 def without_aliases(refs: DataFrame, aliases: DataFrame) -> DataFrame:
     return refs.join(aliases.select(F.lower("alias").alias("a")).distinct(), F.lower("link") == F.col("a"), "left_anti")
 
@@ -85,15 +102,16 @@ def grade(score: Column) -> Column:
     return F.when(score >= 16, "high").when(score >= 9, "moderate").when(score >= 4, "low").otherwise("skip")
 
 
-def orphaned_sessions(phases: DataFrame, now: Column) -> DataFrame:
-    """Sessions (session_id, phase, at) that were archived over a day ago and never completed."""
-    p = phases.groupBy("session_id").agg(F.max(F.when(F.col("phase") == "archived", F.col("at"))).alias("archived"), F.count_if(F.col("phase") == "completed").alias("completed"))
-    return p.where((F.col("completed") == 0) & (F.col("archived") < now - F.expr("interval 24 hours")))
+def orphaned_sessions(phases: DataFrame) -> DataFrame:
+    """Sessions (session_id, phase, at, and now: the time to look from) that were archived over a day ago and never completed."""
+    archived = F.max(F.when(F.col("phase") == "archived", F.col("at")))
+    p = phases.groupBy("session_id").agg(archived.alias("archived"), F.count_if(F.col("phase") == "completed").alias("completed"), F.max("now").alias("now"))
+    return p.where((F.col("completed") == 0) & (F.col("archived") < F.col("now") - F.expr("interval 24 hours")))
 
 
 def suggested(links: DataFrame, source: str = "source_path") -> DataFrame:
     """Concepts that notes suggest by [[?x]]: mentions and distinct notes."""
-    s = links.where(F.col("link_text").startswith("?")).select(F.trim(F.substring("link_text", 2, 1000)).alias("concept"), source)
+    s = links.where(F.col("link_text").startswith("?")).select(F.trim(F.substring("link_text", F.lit(2), F.length("link_text"))).alias("concept"), source)
     return s.groupBy("concept").agg(F.count("*").alias("mentions"), F.countDistinct(source).alias("notes"))
 
 

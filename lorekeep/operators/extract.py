@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
@@ -35,11 +35,16 @@ def numbered(notes: DataFrame) -> DataFrame:
 
 
 def links(notes: DataFrame) -> DataFrame:
-    """source_path, link_text, display_text (null if none), line_number; once for each text and line."""
-    found = numbered(notes.where(F.col("raw").contains("[["))).where(F.col("line").contains("[["))
-    both = F.arrays_zip(F.regexp_extract_all("line", F.lit(M.LINK), F.lit(1)).alias("a"), F.regexp_extract_all("line", F.lit(M.LINK), F.lit(2)).alias("b"))
-    x = found.select("path", "line_number", F.explode(both).alias("x"))
-    return x.select(F.col("path").alias("source_path"), F.trim("x.a").alias("link_text"), F.nullif(F.trim("x.b"), F.lit("")).alias("display_text"), "line_number").groupBy("source_path", "link_text", "line_number").agg(F.min("display_text").alias("display_text"))
+    """source_path, link_text, display_text (null if none), line_number; once for each text and line. Each note's row gives its links: nothing is shuffled."""
+    numbered_lines = F.transform(M.lines(F.col("raw")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    linked = F.filter(numbered_lines, lambda x: x["line"].contains("[["))
+    found = notes.where(F.col("raw").contains("[[")).select("path", F.explode(linked).alias("x")).select("path", F.col("x.n").alias("line_number"), "x.line")
+    texts = F.transform(F.regexp_extract_all("line", F.lit(M.LINK), F.lit(1)), lambda x: F.trim(x))  # noqa: PLW0108
+    shown = F.transform(F.regexp_extract_all("line", F.lit(M.LINK), F.lit(2)), lambda x: F.nullif(F.trim(x), F.lit("")))
+    both = found.select("path", "line_number", texts.alias("texts"), shown.alias("shown")).select("*", F.explode(F.array_distinct("texts")).alias("link_text"))
+    own = F.filter(F.arrays_zip("texts", "shown"), lambda x: x["texts"] == F.col("link_text"))
+    display = F.array_min(F.transform(own, lambda x: x["shown"]))
+    return both.select(F.col("path").alias("source_path"), "link_text", "line_number", display.alias("display_text"))
 
 
 def resolved(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -60,12 +65,19 @@ def headings(notes: DataFrame) -> DataFrame:
 
 
 def tasks(notes: DataFrame) -> DataFrame:
-    """doc_path, task_text, completed, line_number, section: the last heading above, carried forward within the note."""
-    n = numbered(notes).where(F.col("line").rlike(M.TASK) | F.col("line").rlike(M.HEADING))
-    here = F.when(F.col("line").rlike(M.HEADING), F.trim(F.regexp_extract("line", M.HEADING, 2)))
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = n.withColumn("section", F.last(here, ignorenulls=True).over(w)).where(F.col("line").rlike(M.TASK))
-    return n.select(F.col("path").alias("doc_path"), F.trim(F.regexp_extract("line", M.TASK, 3)).alias("task_text"), (F.lower(F.regexp_extract("line", M.TASK, 2)) == "x").alias("completed"), "line_number", "section")
+    """doc_path, task_text, completed, line_number, section: the last heading above. Each note's row gives its tasks: nothing is shuffled."""
+    marked = F.transform(M.lines(F.col("raw")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    heads = F.filter("marked", lambda x: x["line"].rlike(M.HEADING))
+    found = notes.select("path", marked.alias("marked")).select("path", heads.alias("heads"), F.explode(F.filter("marked", lambda x: x["line"].rlike(M.TASK))).alias("x"))
+    above = F.try_element_at(F.filter("heads", lambda h: h["n"] < F.col("x.n")), F.lit(-1))["line"]
+    line = F.col("x.line")
+    return found.select(
+        F.col("path").alias("doc_path"),
+        F.trim(F.regexp_extract(line, M.TASK, 3)).alias("task_text"),
+        (F.lower(F.regexp_extract(line, M.TASK, 2)) == "x").alias("completed"),
+        F.col("x.n").alias("line_number"),
+        F.trim(F.regexp_extract(above, M.HEADING, 2)).alias("section"),
+    )
 
 
 def tags(docs: DataFrame, column: str = "tags", name: str = "tag") -> DataFrame:

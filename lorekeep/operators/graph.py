@@ -42,6 +42,12 @@ def open_tasks(tasks: DataFrame, docs: DataFrame, since: str | None = None, proj
     return t.where((F.col("date") >= since) | F.col("date").isNull()) if since else t
 
 
+def newest_tasks(open_tasks: DataFrame, most: int | None = None) -> DataFrame:
+    """Open tasks as they are listed: latest documents first, unknown dates last, then by path and line."""
+    listed = open_tasks.orderBy(F.col("date").desc(), "doc_path", "line_number")
+    return listed.limit(most) if most else listed
+
+
 def tag_histogram(tags: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.count("*").alias("count"))
 

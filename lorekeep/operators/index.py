@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import chunking, curation, extract
+from lorekeep.operators import chunking, curation, extract, search
 
-TABLES = ("documents", "links", "tasks", "headings", "tags", "aliases", "chunks", "hashes")
+TABLES = ("documents", "links", "tasks", "headings", "tags", "aliases", "chunks", "hashes", "catalog", "postings")
+KEYS = {"documents": "path", "links": "source_path", "hashes": "path", "catalog": "path", "postings": "path"}
+#: An embedding function, and the provider and model that its results are kept under.
+Embedder = tuple[Callable[[list[str]], list[list[float]]], str, str]
 
 
 def hashes(notes: DataFrame) -> DataFrame:
@@ -18,21 +22,54 @@ def hashes(notes: DataFrame) -> DataFrame:
 
 def derived(notes: DataFrame) -> dict[str, DataFrame]:
     docs = extract.documents(notes)
-    return {"documents": docs, "links": extract.links(notes), "tasks": extract.tasks(notes), "headings": extract.headings(notes), "tags": extract.tags(docs), "aliases": extract.tags(docs, "aliases", "alias"), "chunks": chunking.chunks(notes), "hashes": hashes(notes)}
-
-
-KEYS = {"documents": "path", "links": "source_path", "hashes": "path"}
-
-
-def full(notes: DataFrame, root: str) -> str:
+    return {
+        "documents": docs, "links": extract.links(notes), "tasks": extract.tasks(notes), "headings": extract.headings(notes), "tags": extract.tags(docs),
+        "aliases": extract.tags(docs, "aliases", "alias"), "chunks": chunking.chunks(notes), "hashes": hashes(notes), "catalog": search.catalog(docs),
+        "postings": search.postings(docs),
+    }
+
+
+def written(tables: dict[str, DataFrame], version: str) -> None:
+    """Writes the tables, and stats: table_name and row_count of each, observed while they are written."""
+    seen = {}
+    for name, t in tables.items():
+        if name == "postings":
+            search.write_postings(t, f"{version}/{name}")
+            continue
+        seen[name] = Observation()
+        t.observe(seen[name], F.count("*").alias("rows")).write.parquet(f"{version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    counts = [(name, o.get["rows"]) for name, o in seen.items()] + [("postings", spark.read.parquet(f"{version}/postings").count())] * ("postings" in tables)
+    spark.createDataFrame(counts, "table_name string, row_count long").coalesce(1).write.parquet(f"{version}/stats")
+
+
+def with_vectors(version: str, spark: SparkSession, embedder: Embedder, cache: DataFrame | None) -> None:
+    """Writes vectors: the chunks with their embeddings, those of the cache (content_hash, provider, model, embedding) taken from it; and cache, for the next build."""
+    embed, provider, model = embedder
+    made = spark.read.parquet(f"{version}/chunks")
+    if cache is None:
+        every = chunking.embedded(made, embed)
+    else:
+        found, missing = chunking.to_embed(made, cache, provider, model)
+        every = found.unionByName(chunking.embedded(missing, embed))
+    every.write.parquet(f"{version}/vectors")
+    vectors = spark.read.parquet(f"{version}/vectors").groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
+    now = vectors.select("content_hash", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "embedding")
+    if cache is not None:  # a result replaces an earlier one of its provider, model and text
+        now = now.unionByName(cache.join(now, ["content_hash", "provider", "model"], "left_anti").select(now.columns))
+    now.write.parquet(f"{version}/cache")
+
+
+def full(notes: DataFrame, root: str, embedder: Embedder | None = None) -> str:
     """Write every table below a new version and return it; readers move by the returned name, so a failed build changes nothing."""
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    for name, t in derived(notes).items():
-        t.write.parquet(f"{version}/{name}")
+    written(derived(notes), version)
+    if embedder:
+        with_vectors(version, notes.sparkSession, embedder, None)
     return version
 
 
-def incremental(notes: DataFrame, before: str, root: str) -> str:
+def incremental(notes: DataFrame, before: str, root: str, embedder: Embedder | None = None) -> str:
     """A new version in which only new and changed notes are derived again; rows of deleted or changed notes go, others are copied."""
     spark: SparkSession = notes.sparkSession
     version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
@@ -40,13 +77,37 @@ def incremental(notes: DataFrame, before: str, root: str) -> str:
     plan = spark.read.parquet(f"{version}/plan")
     fresh = derived(notes.join(plan.where("action in ('new', 'updated')"), "path", "left_semi"))
     stays = plan.where("action = 'unchanged'").select("path")
+    tables = {}
     for name in TABLES:
         key = KEYS.get(name, "doc_path")
         old = spark.read.parquet(f"{before}/{name}").join(stays.withColumnRenamed("path", key), key, "left_semi")
-        old.unionByName(fresh[name], allowMissingColumns=True).write.parquet(f"{version}/{name}")
+        tables[name] = old.unionByName(fresh[name], allowMissingColumns=True)
+    written(tables, version)
+    if embedder:
+        with_vectors(version, spark, embedder, spark.read.parquet(f"{before}/cache"))
     return version
 
 
+def searchable(version: str, spark: SparkSession) -> search.Index:
+    return search.Index(spark.read.parquet(f"{version}/catalog"), spark.read.parquet(f"{version}/postings"))
+
+
+def changes(plan: DataFrame) -> DataFrame:
+    """How many notes a build added, updated, left and deleted."""
+    return plan.groupBy("action").agg(F.count("*").alias("notes"))
+
+
+def described(docs: DataFrame, resolved: DataFrame, tasks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """what, name, count: documents by type, links and how many are broken, tasks and how many are open, and documents that have vectors."""
+    long = lambda c: c.cast("long").alias("count")
+    by_type = docs.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("count")).select(F.lit("documents").alias("what"), "name", long(F.col("count")))
+    pair = lambda what, df, test: df.agg(F.count("*").alias("all"), F.count_if(test).alias("some")).select(F.lit(what).alias("what"), F.expr("stack(2, 'all', all, 'open', some)").alias("name", "count"))
+    out = by_type.unionByName(pair("links", resolved, F.col("is_broken"))).unionByName(pair("tasks", tasks, ~F.col("completed")))
+    if vectors is None:
+        return out
+    return out.unionByName(vectors.agg(F.countDistinct("path").alias("count")).select(F.lit("vectors").alias("what"), F.lit("documents").alias("name"), "count"))
+
+
 def status(version: str, spark: SparkSession) -> DataFrame:
     """Rows of each table."""
     parts = [spark.read.parquet(f"{version}/{t}").agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in TABLES]

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lorekeep.functions.words import folded, stems
 
@@ -56,44 +64,95 @@ def occurrences(words: Column, term: str) -> Column:
     return ((F.length(words) - F.length(F.replace(words, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("long")
 
 
-def postings(docs: DataFrame, key: str = "path", *columns: str, stemmed: bool = False) -> DataFrame:
-    """term, key, tf, length: the inverted index, one row for each word of a document. Written sorted by term, a search reads only its terms' row groups.
+class Index(NamedTuple):
+    """What a keyword search reads: a row for each document, and a row for each of its words."""
+
+    catalog: DataFrame  # path, title, type, project, date, length
+    postings: DataFrame  # term, path, tf, length; stored in the order of term
+
+
+def text_of(docs: DataFrame, stemmed: bool) -> Column:
+    return folded(F.col("content")) if stemmed else F.col("content")
+
+
+def catalog(docs: DataFrame) -> DataFrame:
+    """path, title, type, project, date (those that docs has) and the number of words of each document."""
+    return docs.select("path", *[c for c in ("title", "type", "project", "date") if c in docs.columns], length(F.col("content")).alias("length"))
 
-    stemmed: terms are stems of words without accents. Words are counted by document first, so each goes to Python once for each document that has it.
-    """
-    text = F.concat_ws(" ", *(columns or ("content",)))
-    text = folded(text) if stemmed else text
-    t = docs.select(key, length(text).alias("length"), tokens(text).alias("t")).select(key, "length", F.explode("t").alias("term")).where("term <> ''")
-    p = t.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return p.withColumn("term", stems("term")).groupBy("term", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if stemmed else p
 
+def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
+    """term, path, tf, length: the inverted index. stemmed: terms are stems of words without accents; words are counted by document first, so each goes to Python once for each document that has it."""
+    text = text_of(docs, stemmed)
+    t = docs.select("path", length(text).alias("length"), F.explode(F.filter(tokens(text), lambda w: w != "")).alias("term"))
+    p = t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return p.withColumn("term", stems("term")).groupBy("term", "path").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if stemmed else p
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "path", *columns: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of each document that has one of the terms. One pass over the texts for the statistics, a second for the scores; no rows for each word."""
+
+def write_postings(made: DataFrame, to: str) -> None:
+    """In ranges of term and path, so a hot term is many files, and sorted in small row groups, so a search reads those of its terms only."""
+    made.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.option("parquet.block.size", 8 << 20).parquet(to)
+
+
+def indexed(docs: DataFrame, stemmed: bool = False) -> Index:
+    """An index that isn't stored: made anew for each search."""
+    return Index(catalog(docs), postings(docs, stemmed))
+
+
+def weight(k1: float, b: float) -> Column:
+    """A posting's part of the score, from tf, length, df, n and avg."""
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
+
+
+def statistics(catalog: DataFrame) -> DataFrame:
+    return F.broadcast(catalog.agg(F.count("*").alias("n"), F.avg("length").alias("avg")))  # one row
+
+
+def bm25(index: Index, terms: list[str], among: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """path, score of each document that has one of the terms. Reads the terms' postings only; among narrows the documents, and the statistics to them."""
+    terms = list(dict.fromkeys(terms))
+    hits = index.postings.where(F.col("term").isin(*terms))
+    known = index.catalog
+    if among is not None:
+        known = known.where(among)
+        hits = hits.join(known.select("path"), "path", "left_semi")
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term
+    return hits.join(df, "term").crossJoin(statistics(known)).groupBy("path").agg(F.sum(weight(k1, b)).alias("score"))
+
+
+def bm25_scan(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The same without an index: one pass over the texts for the statistics, a second for the scores; no rows for each word."""
     terms = list(dict.fromkeys(terms))
-    text = F.concat_ws(" ", *(columns or ("content",)))
     # The spaced text is bound once in the lambda, and the generator keeps Spark from inlining it into each use of a count.
-    counts = F.transform(F.array(spaced(text)), lambda w: F.struct(length(w).alias("length"), *[occurrences(w, x).alias(f"tf{i}") for i, x in enumerate(terms)]))
-    tf = docs.select(key, F.explode(counts).alias("c")).select(key, "c.*")
-    stats = tf.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    s = tf.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
-    part = lambda i: F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
-    return s.select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
-
-
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", query_key: str = "item_id", k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
-    """Best k documents of each query (query_key, terms): postings joined on terms; idf and length norms are columns of the joined rows."""
-    p = postings(docs, key, stemmed=stemmed)
-    lengths = docs.select(length(F.col("content")).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avg"))
+    found = lambda w: F.struct(length(w).alias("length"), *[occurrences(w, x).alias(f"tf{i}") for i, x in enumerate(terms)])
+    counts = F.transform(F.array(spaced(F.col("content"))), found)
+    tf = docs.select("path", F.explode(counts).alias("c")).select("path", "c.*")
+    of = range(len(terms))
+    stats = tf.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of])
+    hits = tf.where(sum((F.col(f"tf{i}") for i in of), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
+    rows = F.array(*[F.struct(F.col(f"tf{i}").alias("tf"), F.col(f"df{i}").alias("df")) for i in of])
+    each = hits.select("path", "length", "n", "avg", F.explode(rows).alias("x")).select("path", "length", "n", "avg", "x.tf", "x.df").where("tf > 0")
+    return each.groupBy("path").agg(F.sum(weight(k1, b)).alias("score"))
+
+
+#: A table of at most so many rows may be broadcast; it is counted first.
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def bm25_batch(index: Index, queries: DataFrame, k: int, query_key: str = "item_id", k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
+    """Best k documents of each query (query_key, terms): the asked terms, if few, go to the postings, so a hot term isn't one task."""
     asked = queries.select(query_key, F.explode(F.array_distinct("terms")).alias("term"))
     if stemmed:
         asked = asked.withColumn("term", stems(folded(F.col("term")))).distinct()
-    wanted = p.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = index.postings.join(small_side(asked.select("term").distinct()), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(lengths))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    scored = hits.groupBy(query_key, key).agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.round("score", 6).desc(), key)
+    hits = wanted.join(small_side(asked.join(df, "term")), "term").crossJoin(statistics(index.catalog))
+    scored = hits.groupBy(query_key, "path").agg(F.sum(weight(k1, b)).alias("score"))
+    w = Window.partitionBy(query_key).orderBy(F.round("score", 6).desc(), "path")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -101,29 +160,98 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, key: str = "path", q
 RESERVED = ("and", "or", "not", "near")
 
 
-def related(docs: DataFrame, asking: DataFrame, most: int = 5) -> DataFrame:
+def related(index: Index, asking: DataFrame, most: int = 5) -> DataFrame:
     """path, rank, related for each asking note (path, title): of the best most + 2 other documents by the title's first eight words of three letters or more, those that aren't transcripts."""
     words = F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*RESERVED))
     q = asking.select(F.col("path").alias("asks"), F.slice(words, 1, 8).alias("terms"))
-    near = bm25_batch(docs, q, most + 3, query_key="asks").where("asks <> path")
+    near = bm25_batch(index, q, most + 3, query_key="asks").where("asks <> path")
     w = Window.partitionBy("asks").orderBy("rank")
     near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 2)
-    kept = near.join(docs.where("type <> 'transcript'").select("path"), "path", "left_semi")
+    kept = near.join(index.catalog.where("type <> 'transcript'").select("path"), "path", "left_semi")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(F.col("asks").alias("path"), "rank", F.col("path").alias("related"))
 
 
-def matches(docs: DataFrame, query: str, column: str = "content") -> DataFrame:
-    """Boolean search: words are joined by AND, OR between groups, "quoted" words must stand together."""
-    t = F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(column), BETWEEN, " ")), F.lit(" "))
-    any_of = None
-    for group in re.split(r"\s+OR\s+", query):
-        all_of = F.lit(True)
-        for phrase, word in re.findall(r'"([^"]+)"|(\S+)', group):
-            if word == "AND":
-                continue
-            all_of &= t.contains(" " + " ".join(re.sub(r"[\W_]+", " ", (phrase or word).lower()).split()) + " ")
-        any_of = all_of if any_of is None else any_of | all_of
-    return docs.where(any_of)
+TOKEN = re.compile(r'"([^"]*)"|NEAR\s*\(|[()]|[^\s()"]+')
+
+
+def condition(query: str, columns: tuple[str, ...] = ("content",)) -> Column:
+    """A keyword query as a condition. Words are joined by AND, OR and NOT (left but not right), NOT before AND before OR; parentheses group; "quoted" words stand
+    together; word* begins a word; column:... looks in one column; NEAR(a b, n) has its words or phrases with at most n (10) words between them, in any order.
+    """
+    spaced_of = {c: F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(c), BETWEEN, " ")), F.lit(" ")) for c in columns}
+    parts = [(m[0], m[1]) for m in TOKEN.finditer(query)]
+    at = 0
+
+    def within(text: str, prefix: bool, of: str | None) -> Column:
+        words = " " + " ".join(re.sub(r"[\W_]+", " ", text.lower()).split()) + ("" if prefix else " ")
+        return functools.reduce(lambda a, b: a | b, [spaced_of[c].contains(words) for c in ([of] if of else columns)])
+
+    def near(of: str | None) -> Column:
+        nonlocal at
+        inside = ""
+        while at < len(parts) and parts[at][0] != ")":
+            inside += parts[at][0] + " "
+            at += 1
+        at += 1
+        words, _, gap = inside.partition(",")
+        phrases = [" ".join(re.sub(r"[\W_]+", " ", (a or b).lower()).split()) for a, b in re.findall(r'"([^"]*)"|(\S+)', words)]
+        between = rf"(?: [^ ]+){{0,{int(gap.strip() or 10)}}} "
+        orders = ["(?= )" + between.join(map(re.escape, order)) + "(?= )" for order in itertools.permutations(phrases)]
+        found = "|".join(x.replace("(?= )", "", 1) for x in orders)
+        return functools.reduce(lambda a, b: a | b, [spaced_of[c].rlike(f" (?:{found})") for c in ([of] if of else columns)])
+
+    def one(of: str | None = None) -> Column:
+        nonlocal at
+        word, quoted = parts[at]
+        at += 1
+        if word == "(":
+            inner = either()
+            at += 1
+            return inner
+        if word.startswith("NEAR") and word.endswith("("):
+            return near(of)
+        if quoted is not None:
+            return within(quoted, False, of)
+        name, colon, rest = word.partition(":")
+        if colon and name in columns:
+            if rest == "NEAR" and at < len(parts) and parts[at][0] == "(":
+                at += 1
+                return near(name)
+            if rest:
+                return within(rest.rstrip("*"), rest.endswith("*"), name)
+            return one(name)
+        return within(word.rstrip("*"), word.endswith("*"), of)
+
+    def negated() -> Column:
+        nonlocal at
+        left = one()
+        while at < len(parts) and parts[at][0] == "NOT":
+            at += 1
+            left = left & ~one()
+        return left
+
+    def both() -> Column:
+        nonlocal at
+        left = negated()
+        while at < len(parts) and parts[at][0] not in ("OR", ")"):
+            at += parts[at][0] == "AND"
+            left = left & negated()
+        return left
+
+    def either() -> Column:
+        nonlocal at
+        left = both()
+        while at < len(parts) and parts[at][0] == "OR":
+            at += 1
+            left = left | both()
+        return left
+
+    return either()
+
+
+def matches(docs: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Documents that a keyword query holds for; see condition()."""
+    return docs.where(condition(query, columns or ("content",)))
 
 
 def contains(docs: DataFrame, text: str, column: str = "content") -> DataFrame:
@@ -131,19 +259,75 @@ def contains(docs: DataFrame, text: str, column: str = "content") -> DataFrame:
     return docs.where(F.lower(column).contains(text.lower())).withColumn("score", F.lit(-1.0)).withColumn("snippet", F.left(column, F.lit(200)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+def nearest_many(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """query, the columns of chunks but vec, distance: the exact k nearest chunks of each query (number, vector), ties by key.
+
+    The distances of an Arrow batch are one product with the queries' matrix; a batch gives on no more than its k nearest and their ties, and a
+    window merges these.
+    """
+    q = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    names = np.array([n for n, _ in queries], np.int64)
+    rest = [f for f in chunks.schema.fields if f.name != vec]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch[vec].is_valid(), pc.equal(pc.list_value_length(batch[vec]), q.shape[1])))
+            if not len(batch):
+                continue
+            x = batch[vec].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            if metric == "cosine":
+                d = np.stack([1 - (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum()) for y in q])
+            else:
+                d = np.stack([np.sqrt(((x - y) ** 2).sum(1)) for y in q])
+            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(q), 1), np.inf)
+            which, row = np.nonzero(d <= last + 1e-8)
+            out = batch.select([f.name for f in rest]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(names[which]), *out.columns, pa.array(d[which, row])], names=["query", *out.schema.names, "distance"])
+
+    near = chunks.select(*[f.name for f in rest], vec).mapInArrow(run, StructType([StructField("query", LongType()), *rest, StructField("distance", DoubleType())]))
+    if len(queries) == 1:
+        return near.orderBy(F.round("distance", 9), key).limit(k)
+    w = Window.partitionBy("query").orderBy(F.round("distance", 9), key)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest(chunks: DataFrame, query: list[float], k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """Exact k nearest chunks with their distance; each task keeps k rows, then the driver's plan merges them."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    c = F.col(vec)
-    if metric == "cosine":
-        d = 1 - dot(c, q) / F.sqrt(dot(c, c) * dot(q, q))
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with(c, q, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x))
-    return chunks.withColumn("distance", d).orderBy(F.round("distance", 9), key).limit(k)
+    """Exact k nearest chunks with their distance."""
+    return nearest_many(chunks, [(0, query)], k, metric, vec, key).drop("query")
+
+
+def nearest_of_all(chunks: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", query: str = "query", block: int = 1024, part: int = 65_536) -> DataFrame:
+    """query, key, distance, rank: the exact k nearest chunks of each row of queries (query, v), ties by key: blocks of queries against parts of the chunks.
+
+    A product tells which rows may be among the nearest, differences tell the distance of these.
+    """
+    n, m = chunks.count(), queries.count()
+    parts, blocks = max(1, -(-n // part)), max(1, -(-m // block))
+    of = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    dealt = chunks.select(F.col(key).alias("key"), F.col(vec).alias("v"), of(key, parts).alias("p")).withColumn("b", every(blocks))
+    asked = queries.select(F.col(query).alias("query"), F.col("v"), of(query, blocks).alias("b")).withColumn("p", every(parts))
+    fields = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("distance", pa.float64())])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def compare(rows: pa.Table, these: pa.Table) -> pa.Table:
+        if not rows.num_rows or not these.num_rows:
+            return fields.empty_table()
+        x, q = matrix(rows["v"]), matrix(these["v"])
+        keys, names, out = rows["key"].to_numpy(), these["query"].to_numpy(), []
+        for at in range(0, len(q), 64):
+            y = q[at : at + 64]
+            d = (y * y).sum(1)[:, None] + (x * x).sum(1) - 2 * (y @ x.T)
+            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < len(x) else np.full((len(y), 1), np.inf)
+            i, j = np.nonzero(d <= last + 1e-6 * (1 + np.abs(last)))
+            out.append((names[at + i], keys[j], np.sqrt(((x[j] - y[i]) ** 2).sum(1))))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=fields)
+
+    near = dealt.groupBy("p", "b").cogroup(asked.groupBy("p", "b")).applyInArrow(compare, "query long, key long, distance double")
+    w = Window.partitionBy("query").orderBy(F.round("distance", 9), "key")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
 def best_chunk(found: DataFrame, doc: str = "path", key: str = "vec_id") -> DataFrame:
@@ -183,19 +367,49 @@ def diverse(found: DataFrame, most: int, limit: int, key: str = "path") -> DataF
     return found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth").orderBy(F.round("score", 9).desc(), key).limit(limit)
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, query: str, vector: list[float], limit: int = 20, scoring: str = "rrf", mode: str = "hybrid", metric: str = "l2", **filters: str | None) -> DataFrame:
+def hybrid(index: Index, chunks: DataFrame, query: str, vector: list[float], limit: int = 20, scoring: str = "rrf", mode: str = "hybrid", metric: str = "l2", **filters: str | None) -> DataFrame:
     """path, score, match_type, title, type, project of the best documents. Each side gives three times the limit; type, project and since narrow the word side before and the vector side after its top list."""
     tests = [F.col(c) == v for c, v in filters.items() if v is not None and c != "since"] + ([F.col("date") >= filters["since"]] if filters.get("since") else [])
-    narrowed = docs
-    for t in tests:
-        narrowed = narrowed.where(t)
-    words = bm25(narrowed, keywords(query)).orderBy(F.round("score", 6).desc(), "path").limit(3 * limit)
+    among = functools.reduce(lambda a, b: a & b, tests) if tests else None
+    words = bm25(index, keywords(query), among).orderBy(F.round("score", 6).desc(), "path").limit(3 * limit)
     vectors = best_chunk(nearest(chunks, vector, 3 * limit, metric)).select("path", "distance")
     if tests:
-        vectors = vectors.join(narrowed.select("path"), "path", "left_semi")
+        vectors = vectors.join(index.catalog.where(among).select("path"), "path", "left_semi")
     if mode != "hybrid":
         words, vectors = (words, vectors.limit(0)) if mode == "fts" else (words.limit(0), vectors)
     fused = rrf(words, vectors) if scoring == "rrf" else linear(words, vectors)
     top = diverse(fused, 3, limit)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
-    return top.join(docs.select("path", "title", "type", "project"), "path", "left").select("path", "score", "match_type", F.coalesce("title", stem).alias("title"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("project", F.lit("")).alias("project"))
+    named = top.join(index.catalog.select("path", "title", "type", "project"), "path", "left")
+    return named.select("path", "score", "match_type", F.coalesce("title", stem).alias("title"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("project", F.lit("")).alias("project"))
+
+
+def displayed(found: DataFrame, scoring: str = "rrf") -> DataFrame:
+    """found (path, score, match_type) with vector_score and keyword_score as a result list shows them: where ranks were fused, 0.5 for each side that has the document, else 0."""
+    side = lambda *kinds: F.when(F.col("match_type").isin(*kinds), 0.5 if scoring == "rrf" else F.col("score")).otherwise(0.0)
+    return found.withColumn("vector_score", side("hybrid", "vector_only")).withColumn("keyword_score", side("hybrid", "fts_only"))
+
+
+def as_json(found: DataFrame, *columns: str) -> DataFrame:
+    """path and json: each result as a JSON object, numbers rounded to four places."""
+    rounded = [F.round(c, 4).alias(c) if t in ("double", "float") else F.col(c) for c, t in found.dtypes if not columns or c in columns]
+    return found.select("path", F.to_json(F.struct(*rounded)).alias("json"))
+
+
+def as_text(found: DataFrame) -> DataFrame:
+    """path and line: each result (path, score, match_type, title) as a line of text."""
+    return found.select("path", F.format_string("%.4f  %-11s  %s (%s)", "score", "match_type", "title", "path").alias("line"))
+
+
+def best_windows(docs: DataFrame, terms: list[str], width: int = 50) -> DataFrame:
+    """path, snippet: of each document the first window of `width` words that holds the most words which are terms, terms between >>> and <<<; the start if there is none."""
+    bare = lambda w: F.lower(F.regexp_replace(w, BETWEEN, ""))
+    listed = docs.select("path", F.filter(F.split("content", r"\s+"), lambda w: w != "").alias("words"))
+    each = listed.select("path", F.posexplode("words").alias("at", "word")).withColumn("hit", bare(F.col("word")).isin(*terms).cast("int"))
+    ahead = Window.partitionBy("path").orderBy("at").rowsBetween(0, width - 1)
+    counted = each.withColumn("hits", F.sum("hit").over(ahead))
+    best = counted.groupBy("path").agg(F.max_by("at", F.struct("hits", -F.col("at"))).alias("at"))
+    shown = F.transform(F.slice("words", F.col("at") + 1, F.lit(width)), lambda w: F.when(bare(w).isin(*terms), F.concat(F.lit(">>>"), w, F.lit("<<<"))).otherwise(w))
+    before, after = F.when(F.col("at") > 0, "...").otherwise(""), F.when(F.col("at") + width < F.size("words"), "...").otherwise("")
+    found = listed.join(best, "path", "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    return found.select("path", F.concat(before, F.array_join(shown, " "), after).alias("snippet"))

@@ -19,7 +19,7 @@ def sources(notes: DataFrame) -> DataFrame:
     heading = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ") & ~x.startswith("# ///")), F.lit(1))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     named = F.initcap(F.regexp_replace(stem, "[-_]", " "))
-    return notes.where(F.trim(raw, F.lit(" \t\r\n")) != "").select("path", F.sha2(raw.cast("binary"), 256).alias("content_hash"), F.size(M.lines(raw)).cast("long").alias("line_count"), F.coalesce(F.trim(F.substring(heading, 3, 1000)), named).alias("title"))
+    return notes.where(F.trim(raw, F.lit(" \t\r\n")) != "").select("path", F.sha2(raw.cast("binary"), 256).alias("content_hash"), F.size(M.lines(raw)).cast("long").alias("line_count"), F.coalesce(F.trim(F.substring(heading, F.lit(3), F.length(heading))), named).alias("title"))
 
 
 def plan(found: DataFrame, kept: DataFrame, narrowed: bool = False) -> DataFrame:

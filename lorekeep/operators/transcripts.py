@@ -36,17 +36,58 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(c), F.timestamp_millis(c.try_cast("bigint")))
 
 
+def role_of(message: Column) -> Column:
+    """The role of a message (variant), else what its type stands for, else unknown."""
+    kind = F.try_variant_get(message, "$.type", "string")
+    return F.coalesce(F.try_variant_get(message, "$.role", "string"), F.when(kind == "human", "user").otherwise(kind), F.lit("unknown"))
+
+
 def blocks(messages: DataFrame) -> DataFrame:
-    """file, seq, type, ts, block type, text, id, name, is_error of each content block; content may be text, one block or a list of blocks (message: variant)."""
-    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    """file, seq, type, ts, nth, block type, text, id, name, is_error, input (JSON) of each content block; content may be text, one block or a list of blocks (message: variant)."""
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
     m = F.col("message")
-    content = F.coalesce(get(m, "$.message.content", "variant"), get(m, "$.content", "variant"), get(m, "$.message", "variant"))
-    head = messages.where(m.isNotNull()).select("file", "seq", get(m, "$.type", "string").alias("type"), get(m, "$.timestamp", "string").alias("ts"), content.alias("content"))
+    content = F.coalesce(*[get(m, path, "variant") for path in ("$.message.content", "$.content", "$.message")])
+    head = messages.where(m.isNotNull()).select("file", "seq", get(m, "$.type").alias("type"), get(m, "$.timestamp").alias("ts"), content.alias("content"))
     many = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array("content"))
     b = head.select("file", "seq", "type", "ts", F.posexplode(many).alias("nth", "b"))
     v = F.col("b")
-    plain = get(v, "$", "string")
-    return b.select("file", "seq", "type", "ts", "nth", F.coalesce(get(v, "$.type", "string"), F.lit("text")).alias("block"), F.coalesce(get(v, "$.text", "string"), get(v, "$.thinking", "string"), get(v, "$.content", "string"), plain).alias("text"), F.coalesce(get(v, "$.id", "string"), get(v, "$.tool_use_id", "string")).alias("id"), get(v, "$.name", "string").alias("name"), F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"), F.to_json(get(v, "$.input", "variant")).alias("input"))
+    return b.select(
+        "file", "seq", "type", "ts", "nth",
+        F.coalesce(get(v, "$.type"), F.lit("text")).alias("block"),
+        F.coalesce(*[get(v, path) for path in ("$.text", "$.thinking", "$.content")], F.when(F.schema_of_variant(v) == "STRING", get(v, "$"))).alias("text"),
+        F.coalesce(get(v, "$.id"), get(v, "$.tool_use_id")).alias("id"),
+        get(v, "$.name").alias("name"),
+        F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
+        F.to_json(get(v, "$.input", "variant")).alias("input"),
+    )
+
+
+def metadata(messages: DataFrame) -> DataFrame:
+    """Of each file (message: variant): messages, first and last time and whole minutes (at least 1; null below two times), its models in order, how many other agents, and tokens."""
+    get = lambda path, kind="string": F.try_variant_get("message", path, kind)
+    reply = get("$.type") == "assistant"
+    m = messages.select(
+        "file",
+        timestamp(get("$.timestamp")).alias("ts"),
+        F.when(reply, get("$.message.model")).alias("model"),
+        get("$.agentId").alias("agent"),
+        *[F.when(reply, F.coalesce(get(f"$.message.usage.{k}", "long"), F.lit(0))).alias(k) for k in ("input_tokens", "output_tokens", "cache_read_input_tokens")],
+    )
+    minutes = F.greatest(F.lit(1), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000)).cast("long")
+    several = F.count("ts") >= 2
+    used, made, cached = (F.coalesce(F.sum(k), F.lit(0)) for k in ("input_tokens", "output_tokens", "cache_read_input_tokens"))
+    some = (used != 0) | (made != 0)
+    return m.groupBy("file").agg(
+        F.count("*").alias("messages"),
+        F.when(several, F.min("ts")).alias("first"),
+        F.when(several, F.max("ts")).alias("last"),
+        F.when(several, minutes).alias("minutes"),
+        F.array_join(F.array_sort(F.collect_set(F.nullif("model", F.lit("")))), ", ").alias("models"),
+        F.countDistinct(F.nullif("agent", F.lit(""))).alias("subagents"),
+        F.when(some, used + cached).alias("input_tokens"),
+        F.when(some, made).alias("output_tokens"),
+        F.when(some, cached).alias("cache_read_tokens"),
+    )
 
 
 def cleaned(text: Column) -> Column:
@@ -186,11 +227,13 @@ def tool_text(calls: DataFrame) -> DataFrame:
 
 
 def notes(turned: DataFrame, session: str = "session") -> DataFrame:
-    """session, raw: each session as a note, frontmatter first; its date is that of its first message."""
+    """session, part, raw: each session as a note in parts, part 0 its frontmatter (dated by the first message), then one of each message; the note is its parts in order."""
     s = sessions(turned, session).join(turned.groupBy(session).agg(F.max("turn").alias("turns")), session)
     day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("first").cast("timestamp_ntz")), "yyyy-MM-dd")
     fields = {"type": F.lit("transcript"), "session_id": F.col(session), "date": day, "turns": F.col("turns"), "total_messages": F.col("messages"), "duration_minutes": F.col("minutes")}
-    return rendered(turned, session).join(s, session).select(session, F.concat(M.formatted(fields), F.lit("\n\n"), "markdown", F.lit("\n")).alias("raw"))
+    head = s.select(session, F.lit(0).alias("part"), F.concat(M.formatted(fields), F.lit("\n")).alias("raw"))
+    w = Window.partitionBy(session).orderBy("seq")
+    return head.unionByName(rendered(turned, session).select(session, F.row_number().over(w).alias("part"), F.concat(F.lit("\n"), "markdown", F.lit("\n")).alias("raw")))
 
 
 def sessions(messages: DataFrame, session: str = "session") -> DataFrame:
@@ -199,23 +242,71 @@ def sessions(messages: DataFrame, session: str = "session") -> DataFrame:
     return messages.groupBy(session).agg(F.count("*").alias("messages"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.when(F.count("ts") > 1, minutes).cast("long").alias("minutes"))
 
 
-def memo_extract(turned: DataFrame, budget: int = 50_000, session: str = "session") -> DataFrame:
-    """Turns of each session, texts cut (user 1000, reply 1500), up to the first that passes the budget of characters."""
-    text = F.when(F.col("role") == "user", F.left("text", F.lit(1000))).otherwise(F.left("text", F.lit(1500)))
-    t = turned.groupBy(session, "turn").agg(F.sum(F.length(text)).alias("chars"))
-    w = Window.partitionBy(session).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t.withColumn("total", F.sum("chars").over(w)).where(F.col("total") <= budget)
+#: Characters of a prompt, a thought, a reply and a command in a memo extract, and of the extract.
+MEMO_USER, MEMO_THOUGHT, MEMO_REPLY, MEMO_COMMAND, MEMO_ALL = 1000, 500, 1500, 100, 50_000
+
+
+def memo_parts(found: DataFrame) -> DataFrame:
+    """session, turn, seq, nth, kind (user, thinking, response, tool), text of what blocks() found, and of tool uses what a memo says of them; failed ones are marked."""
+    result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("is_error", F.struct("seq", "nth")).alias("failed"))
+    b = found.drop("is_error").join(result, ["file", "id"], "left")
+    text, use = F.col("block") == "text", F.col("block") == "tool_use"
+    kind = F.when(text & (F.col("type") == "user"), "user").when(text & (F.col("type") == "assistant"), "response").when(F.col("block") == "thinking", "thinking").when(use, "tool")
+    got = lambda key: F.coalesce(F.get_json_object("input", f"$.{key}"), F.lit(""))
+    name = F.coalesce("name", F.lit("unknown"))
+    said = F.when(name == "Bash", F.concat(F.lit("Bash: `"), F.left(got("command"), F.lit(MEMO_COMMAND)), F.lit("`")))
+    said = said.when(name.isin("Read", "Write", "Edit"), F.concat(name, F.lit(": "), got("file_path"))).otherwise(name)
+    said = F.concat(said, F.when(F.coalesce("failed", F.lit(False)), " (ERROR)").otherwise(""))
+    begins = F.when(text & (F.col("type") == "user") & (F.coalesce("text", F.lit("")) != ""), 1).otherwise(0)
+    w = Window.partitionBy("file").orderBy("seq", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("turn", F.greatest(F.lit(1), F.sum(begins).over(w)).cast("int")).withColumn("kind", kind)
+    said = F.when(use, said).otherwise(F.col("text"))
+    return b.select(F.col("file").alias("session"), "turn", "seq", "nth", "kind", said.alias("text")).where(F.col("kind").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
+
+
+def memo_extract(parts: DataFrame, budget: int = MEMO_ALL) -> DataFrame:
+    """session, turn, text: what a memo is made of, turn by turn (prompt, first thought, reply, tools, each cut), up to the first turn that passes the budget of characters;
+    that turn's row tells how many are left out. Of each kind only as much of a turn is gathered as its limit shows."""
+    limits = {"user": (MEMO_USER, "\n", "User"), "thinking": (MEMO_THOUGHT, "", "Thinking"), "response": (MEMO_REPLY, "\n", "Response"), "tool": (budget, ", ", "Tools")}
+    w = Window.partitionBy("session", "turn", "kind").orderBy("seq", "nth")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = parts.withColumn("before", before).withColumn("first", F.row_number().over(w) == 1)
+    test = F.lit(False)
+    for kind, (most, _, _) in limits.items():
+        test |= (F.col("kind") == kind) & (F.col("first") if kind == "thinking" else F.col("before") <= most)
+    at = F.struct("seq", "nth", F.left("text", F.lit(budget + 1)).alias("text"))
+    gathered = kept.where(test).groupBy("session", "turn").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, at))).alias(k) for k in limits])
+
+    def part(kind: str) -> Column:
+        most, between, label = limits[kind]
+        text = F.array_join(F.transform(kind, lambda x: x["text"]), between)
+        cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text) if kind != "tool" else text
+        return F.when(F.size(kind) > 0, F.concat(F.lit(f"**{label}:** "), cut))
+
+    t = gathered.select("session", "turn", F.concat_ws("\n", *[part(k) for k in limits]).alias("text"))
+    own = Window.partitionBy("session").orderBy("turn")
+    t = t.withColumn("total", F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    t = t.withColumn("nth", F.row_number().over(own)).withColumn("turns", F.count("*").over(Window.partitionBy("session")))
+    past = F.col("total") > budget
+    t = t.withColumn("passed", F.sum(F.when(past, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("passed <= 1")
+    left_out = F.concat(F.lit("\n[..."), (F.col("turns") - F.col("nth") + 1).cast("string"), F.lit(" more turns truncated...]"))
+    return t.select("session", "turn", F.when(past, left_out).otherwise(F.col("text")).alias("text"))
 
 
 def rendered(turned: DataFrame, session: str = "session") -> DataFrame:
-    """Markdown of each session; a session's messages are one row, as a file is."""
-    line = F.concat(F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** "), cleaned(F.col("text")))
-    per_turn = turned.groupBy(session, "turn").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("x")).select(session, "turn", F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n\n"), F.concat_ws("\n\n", F.transform("x", lambda r: r["line"]))).alias("md"))
-    return per_turn.groupBy(session).agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("turn", "md"))), lambda r: r["md"])).alias("markdown"))
+    """session, turn, seq, markdown of each message, the first one of a turn under its heading: a session is its parts in order, and none is held whole."""
+    w = Window.partitionBy(session, "turn").orderBy("seq")
+    head = F.when(F.row_number().over(w) == 1, F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n\n"))).otherwise("")
+    who = F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** ")
+    return turned.select(session, "turn", "seq", F.concat(head, who, cleaned(F.col("text"))).alias("markdown"))
 
 
-def quality(rendered_notes: DataFrame, path: str = "path", text: str = "raw") -> DataFrame:
-    """Checks of converted notes: leaked tags, missing frontmatter, overlong lines."""
+def quality(notes: DataFrame, path: str = "path", text: str = "raw") -> DataFrame:
+    """Checks of converted notes: leaked tags, uncompressed prompts, no frontmatter, no turns in a text that isn't short, overlong lines, and sessions (compacted: boolean, if there) without their mark."""
     leak = F.col(text).rlike("<(" + "|".join(TAGS) + ")>")
+    prompt = F.col(text).rlike(r"(?m)^## Instructions\n|^## Path Resolution|^ARGUMENTS:\s")
+    no_turns = (F.length(text) > 200) & ~F.col(text).rlike(r"(?m)^## Turn \d+")
     long = F.exists(F.split(text, "\n"), lambda x: F.length(x) > 5000)
-    return rendered_notes.agg(F.count("*").alias("notes"), F.count_if(leak).alias("leaks"), F.count_if(~F.col(text).startswith("---")).alias("no_frontmatter"), F.count_if(long).alias("overlong"))
+    marks = F.col("compacted") & ~F.col(text).contains("[Session compacted") if "compacted" in notes.columns else F.lit(False)
+    tests = {"leaks": leak, "prompts": prompt, "no_frontmatter": ~F.col(text).startswith("---"), "no_turns": no_turns, "overlong": long, "unmarked": marks}
+    return notes.agg(F.count("*").alias("notes"), *[F.count_if(t).alias(n) for n, t in tests.items()])

@@ -2,52 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
 from lorekeep.operators import chunking, context, curation, extract, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
+from lorekeep.plans.registry import CTE, ORACLE_SQL, QUERIES, derived, graph_tables, keyword_index, query, question_vector
 from lorekeep.sources import vault
 from lorekeep.streaming import hooks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUESTION = "what is the thing and hand that thion erent"
 TERMS = search.keywords(QUESTION)
 SINCE, WEEK = "2024-02-01", "2024-02-23"
-CTE = "WITH "
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, doubles rounded to six places: one form for every engine."""
-    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def question_vector(s: SparkSession, d: str) -> list[float]:
-    row = vault.table(s, d, "embeddings").where("vec_id = 0").select("embedding").head()
-    return list(row[0]) if row else []
-
-
-def graph_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """notes, documents, resolved links, tasks."""
-    n = vault.notes(s, d)
-    docs = extract.documents(n)
-    return n, docs, extract.resolved(extract.links(n), docs), extract.tasks(n)
 
 
 # Search
@@ -57,7 +26,7 @@ top = lambda df, k: df.orderBy(F.round("score", 6).desc(), "path").limit(k)  # n
 
 @query("bm25_topk", CTE + S.words(TERMS) + "SELECT path, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, path LIMIT 10")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return top(search.bm25(vault.archive(s, d), TERMS), 10)
+    return top(search.bm25(keyword_index(s, d), TERMS), 10)
 
 
 @query("fts_boolean", CTE + S.ARCHIVE + r", t AS (SELECT path, type, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', "
@@ -101,16 +70,16 @@ FILTERED = (
 KIND = "CASE WHEN w.path IS NOT NULL AND v.path IS NOT NULL THEN 'hybrid' WHEN w.path IS NULL THEN 'vector_only' ELSE 'fts_only' END AS match_type"
 
 
-RRF = (
-    f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE "
-    f"/ (61 + vr), 0) AS score, {KIND} FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT "
-    f"20) SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)"
+RRF_FUSED = (
+    f"f0 AS (SELECT coalesce(w.path, v.path) AS path, coalesce(1.0::DOUBLE / (61 + wr), 0) + coalesce(1.0::DOUBLE / (61 + vr), 0) AS score, {KIND} "
+    "FROM w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20)"
 )
+RRF = RRF_FUSED + " SELECT path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)"
 
 
 @query("hybrid_search", FUSION + RRF)
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d))
+    return search.hybrid(keyword_index(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d))
 
 
 @query("hybrid_linear", FUSION + f"m AS (SELECT path, CASE WHEN max(score) OVER () - min(score) OVER () < 0.1 THEN 0.5 ELSE (score "
@@ -119,12 +88,12 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     f"score, {KIND} FROM m AS w FULL OUTER JOIN v ON w.path = v.path), f AS (SELECT * FROM f0 ORDER BY round(score, 9) DESC, path LIMIT 20) SELECT "
     f"path, round(score, 6) AS score, match_type, title, type, project FROM f JOIN archive USING (path)")
 def hybrid_linear(s: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), scoring="linear")
+    return search.hybrid(keyword_index(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), scoring="linear")
 
 
 @query("hybrid_filtered", FILTERED + RRF)
 def hybrid_filtered(s: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(vault.archive(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), type="memo", since=SINCE)
+    return search.hybrid(keyword_index(s, d), vault.chunk_vectors(s, d), QUESTION, question_vector(s, d), type="memo", since=SINCE)
 
 
 STOP = ", ".join(f"'{w}'" for w in search.STOPWORDS)
@@ -160,13 +129,13 @@ SELECT item_id, path, round(score, 6) AS score, rank FROM (SELECT *, row_number(
 @query("bm25_batch", BATCH)
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
     b = vault.table(s, d, "benchmark").select("item_id", search.keywords_of(F.col("text")).alias("terms"))
-    return search.bm25_batch(vault.archive(s, d), b, 3)
+    return search.bm25_batch(keyword_index(s, d), b, 3)
 
 
 @query("bm25_stemmed")
 def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
     b = vault.table(s, d, "benchmark").select("item_id", search.keywords_of(F.col("text")).alias("terms"))
-    return search.bm25_batch(vault.archive(s, d), b, 3, stemmed=True)
+    return search.bm25_batch(keyword_index(s, d, stemmed=True), b, 3, stemmed=True)
 
 
 @query("snippets", CTE + S.NOTES + r""" SELECT path, substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 200) || CASE WHEN length(content) > 200 THEN '...'
@@ -176,9 +145,8 @@ def snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 RELATED = (
-    CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(left(content, 60)), '[a-z]{{3,}}'),
-  lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory' AND
-  date >= '{WEEK}'), q AS (SELECT asks, unnest(terms) AS term FROM a),
+    CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(split_part(content, chr(10), 1)), '[a-z]{{3,}}'),
+  lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory'), q AS (SELECT asks, unnest(terms) AS term FROM a),
 tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS
   term FROM archive), len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT
   count(*) AS n, avg(l) AS a FROM len),
@@ -196,8 +164,9 @@ SELECT asks AS path, rank, path AS related FROM k WHERE rank <= 5"""
 
 @query("related_notes", RELATED)
 def related_notes(s: SparkSession, d: str) -> DataFrame:
-    a = vault.archive(s, d)
-    return search.related(a, a.where((F.col("type") == "auto-memory") & (F.col("date") >= WEEK)).select("path", F.left("content", F.lit(60)).alias("title")))
+    """Every note of the tool's own memory asks, by its first line."""
+    asking = vault.archive(s, d).where(F.col("type") == "auto-memory").select("path", F.substring_index("content", "\n", 1).alias("title"))
+    return search.related(keyword_index(s, d), asking)
 
 
 # Extraction
@@ -448,13 +417,13 @@ def crystallization_tiers(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("crystallization_delta", CTE + PAGES + ", n AS (SELECT link, refs FROM refs WHERE length(link) % 5 <> 0), b AS (SELECT link, refs "
-    "- length(link) % 2 AS refs FROM refs WHERE length(link) % 7 <> 0) SELECT * FROM (SELECT coalesce(n.link, b.link) AS link, n.refs AS refs_now, "
+    "- length(link) % 2 AS refs FROM refs WHERE length(link) % 5 <> 1) SELECT * FROM (SELECT coalesce(n.link, b.link) AS link, n.refs AS refs_now, "
     "b.refs AS refs_before, CASE WHEN b.refs IS NULL THEN 'new' WHEN n.refs IS NULL THEN 'resolved' WHEN n.refs > b.refs THEN 'grown' END AS change "
     "FROM n FULL OUTER JOIN b ON n.link = b.link) WHERE change IS NOT NULL")
 def crystallization_delta(s: SparkSession, d: str) -> DataFrame:
     r = curation.link_refs(vault.page_links(s, d)).select("link", "refs")
     n = F.length("link")
-    return curation.delta(r.where(n % 5 != 0), r.where(n % 7 != 0).withColumn("refs", F.col("refs") - n % 2))
+    return curation.delta(r.where(n % 5 != 0), r.where(n % 5 != 1).withColumn("refs", F.col("refs") - n % 2))
 
 
 @query("unresolved_concepts", CTE + S.LINKS + f", u AS (SELECT DISTINCT link_text AS link, source_path, CASE WHEN source_path LIKE 'projects/%' "
@@ -467,14 +436,15 @@ def unresolved_concepts(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("index_plan", CTE + S.NOTES + ", h AS (SELECT doc_id, path, sha256(raw) AS a FROM notes), n AS (SELECT * FROM h WHERE doc_id "
-    "% 13 <> 0), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE a END AS b FROM h WHERE doc_id % 11 <> 0) SELECT coalesce(n.path, b.path) "
+    "% 13 <> 0), b AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE a END AS b FROM h WHERE doc_id % 13 <> 1) SELECT coalesce(n.path, b.path) "
     "AS path, CASE WHEN b.b IS NULL THEN 'new' WHEN n.a IS NULL THEN 'deleted' WHEN a <> b THEN 'updated' ELSE 'unchanged' END AS action FROM n FULL "
     "OUTER JOIN b ON n.path = b.path")
 def index_plan(s: SparkSession, d: str) -> DataFrame:
     n = vault.notes(s, d)
     i = F.col("doc_id")
     h = n.select("doc_id", "path", F.sha2("raw", 256).alias("content_hash"))
-    return curation.hash_plan(h.where(i % 13 != 0), h.where(i % 11 != 0).withColumn("content_hash", F.when(i % 5 == 0, "old").otherwise(F.col("content_hash"))))
+    before = h.where(i % 13 != 1).withColumn("content_hash", F.when(i % 5 == 0, "old").otherwise(F.col("content_hash")))
+    return curation.hash_plan(h.where(i % 13 != 0), before)
 
 
 @query("condensation", CTE + S.ARCHIVE + ", o AS (SELECT project, min(date) AS condensed FROM archive WHERE type = 'auto-memory' GROUP "
@@ -493,12 +463,15 @@ def stale_topics(s: SparkSession, d: str) -> DataFrame:
     return curation.stale_topics(resolved, docs, SINCE)
 
 
-@query("missing_memos", CTE + S.ARCHIVE + ", t AS (SELECT path, CAST(doc_id % 97 AS VARCHAR) AS suffix FROM archive WHERE type = 'transcript') "
-    "SELECT path, suffix FROM t WHERE suffix IN (SELECT CAST(doc_id % 101 AS VARCHAR) FROM archive WHERE type = 'memo')")
+@query("missing_memos", CTE + S.ARCHIVE + ", t AS (SELECT path, left(md5(CAST(doc_id // 10 AS VARCHAR)), 8) AS suffix FROM archive WHERE type = 'transcript') "
+    "SELECT path, suffix FROM t WHERE suffix IN (SELECT left(md5(CAST(doc_id // 10 * 2 AS VARCHAR)), 8) FROM archive WHERE type = 'memo')")
 def missing_memos(s: SparkSession, d: str) -> DataFrame:
+    """The session of a transcript is its block of ten documents; the memos of a block are of the session of twice its number."""
     a = vault.archive(s, d)
-    t = a.where("type = 'transcript'").select("path", (F.col("doc_id") % 97).cast("string").alias("suffix"))
-    return curation.missing_memos(t, a.where("type = 'memo'").select((F.col("doc_id") % 101).cast("string").alias("suffix"))).select("path", "suffix")
+    block = F.floor(F.col("doc_id") / 10)
+    suffix = lambda c: F.left(F.md5(c.cast("string").cast("binary")), F.lit(8)).alias("suffix")
+    t = a.where("type = 'transcript'").select("path", suffix(block))
+    return curation.missing_memos(t, a.where("type = 'memo'").select(suffix(block * 2))).select("path", "suffix")
 
 
 @query("cartography", CTE + S.LINKS + ", b AS (SELECT target_path AS path, count(DISTINCT source_path) AS n FROM resolved WHERE target_path "
@@ -555,10 +528,10 @@ def note_sizes(s: SparkSession, d: str) -> DataFrame:
     "strftime(archived, '%Y-%m-%d %H:%M:%S') AS archived FROM p WHERE completed = 0 AND archived < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 def orphaned_sessions(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
-    last = e.agg(F.max("ts")).head()[0]
     phase = F.when(F.col("kind") == "error", "archived").when(F.col("kind") == "purchase", "completed")
     p = e.select(F.concat("session_id", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"), phase.alias("phase"), F.col("ts").alias("at"))
-    return curation.orphaned_sessions(p, F.lit(last).cast("timestamp_ntz")).select("session_id", F.date_format("archived", "yyyy-MM-dd HH:mm:ss").alias("archived"))
+    now = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
+    return curation.orphaned_sessions(p.crossJoin(now)).select("session_id", F.date_format("archived", "yyyy-MM-dd HH:mm:ss").alias("archived"))
 
 
 # Conversations
@@ -590,13 +563,6 @@ def conversation_sessions(s: SparkSession, d: str) -> DataFrame:
     return transcripts.sessions(vault.messages(s, d)).select("session", "messages", at("first"), at("last"), "minutes")
 
 
-@query("memo_extract", CTE + MSG + ", c AS (SELECT session, turn, sum(least(length(text), CASE WHEN role = 'user' THEN 1000 ELSE "
-    "1500 END)) AS chars FROM turned GROUP BY session, turn), r AS (SELECT *, sum(chars) OVER (PARTITION BY session ORDER BY turn) AS total FROM "
-    "c) SELECT session, CAST(turn AS BIGINT) AS turn, CAST(chars AS BIGINT) AS chars, CAST(total AS BIGINT) AS total FROM r WHERE total <= 3000")
-def memo_extract(s: SparkSession, d: str) -> DataFrame:
-    return transcripts.memo_extract(transcripts.turns(vault.messages(s, d)), 3000)
-
-
 @query("message_dedupe", CTE + MSG + ", k AS (SELECT session, min(seq) AS seq, role, CAST(seq // 2 AS BIGINT) AS slot, max(length(text)) "
     "AS chars FROM msg GROUP BY session, role, seq // 2) SELECT session, seq, role, slot, chars FROM k")
 def message_dedupe(s: SparkSession, d: str) -> DataFrame:
@@ -608,31 +574,25 @@ TAGGED = "text"
 for _tag in transcripts.TAGS:
     TAGGED = f"regexp_replace({TAGGED}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g')"
 RENDERED = (
-    (
     MSG
-    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM
-  turned), ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' ||
-  chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
-tm AS (SELECT session, turn, '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) || string_agg(CASE WHEN role
-  = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t, chr(10) || chr(10) ORDER BY seq) AS md FROM ct GROUP
-  BY session, turn), rd AS (SELECT session, string_agg(md, chr(10) || chr(10) ORDER BY turn) AS markdown, CAST(max(turn)
-  AS BIGINT) AS turns FROM tm GROUP BY session)"""
-)
+    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM turned),
+ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' || chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
+rd AS (SELECT session, CAST(turn AS BIGINT) AS turn, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY session, turn)
+  THEN '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) ELSE '' END || CASE WHEN role = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t AS markdown
+  FROM ct)"""
 )
 
 
-@query("rendered_sessions", CTE + RENDERED + " SELECT session, markdown FROM rd")
+@query("rendered_sessions", CTE + RENDERED + " SELECT session, turn, seq, markdown FROM rd")
 def rendered_sessions(s: SparkSession, d: str) -> DataFrame:
     return transcripts.rendered(transcripts.turns(vault.messages(s, d)))
 
 
-NOTE = (
-    """, ss AS (SELECT session, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS day, CASE WHEN count(*) > 1 THEN greatest(1,
-  CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM turned GROUP BY session)
-SELECT session, concat_ws(chr(10), '---', 'type: transcript', 'session_id: ' || session, 'date: ' || day, 'turns: '
-  || turns, 'total_messages: ' || n, 'duration_minutes: ' || minutes, '---', '', markdown) || chr(10) AS raw FROM
-  rd JOIN ss USING (session)"""
-)
+NOTE = """, ss AS (SELECT session, count(*) AS n, CAST(max(turn) AS BIGINT) AS turns, strftime(min(ts), '%Y-%m-%d') AS day,
+  CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM turned GROUP BY session)
+SELECT session, CAST(0 AS BIGINT) AS part, concat_ws(chr(10), '---', 'type: transcript', 'session_id: ' || session, 'date: ' || day, 'turns: ' || turns,
+  'total_messages: ' || n, 'duration_minutes: ' || minutes, '---') || chr(10) AS raw FROM ss
+UNION ALL SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS part, chr(10) || markdown || chr(10) AS raw FROM rd"""
 
 
 @query("session_notes", CTE + RENDERED + NOTE)
@@ -684,11 +644,14 @@ def triage_histogram(s: SparkSession, d: str) -> DataFrame:
     return triage_scores(s, d).groupBy("grade").agg(F.count("*").alias("sessions"))
 
 
-@query("import_plan", CTE + SIGNALS + ", k AS (SELECT * FROM g WHERE CAST(substr(session_id, 2) AS BIGINT) % 3 <> 0) SELECT session_id, "
-    "score, grade, CASE WHEN grade = 'skip' THEN 'skipped' ELSE 'would_import' END AS action FROM k")
+@query("import_plan", CTE + SIGNALS + ", l AS (SELECT 's' || user_id AS session_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id), "
+    "k AS (SELECT g.* FROM g JOIN l USING (session_id) WHERE last <> 'purchase') SELECT session_id, score, grade, CASE WHEN grade = 'skip' THEN 'skipped' "
+    "ELSE 'would_import' END AS action FROM k")
 def import_plan(s: SparkSession, d: str) -> DataFrame:
+    """Sessions whose last event is a purchase count as archived."""
     t = triage_scores(s, d)
-    archived = t.select("session_id").where(F.substring("session_id", 2, 20).cast("long") % 3 == 0)
+    last = vault.session_events(s, d).groupBy("session_id").agg(F.max_by("kind", "event_id").alias("last"))
+    archived = last.where("last = 'purchase'").select("session_id")
     return curation.unarchived(t, archived).withColumn("action", F.when(F.col("grade") == "skip", "skipped").otherwise("would_import"))
 
 
@@ -696,14 +659,13 @@ def import_plan(s: SparkSession, d: str) -> DataFrame:
     "= 'purchase' THEN 1 ELSE 0 END) OVER w AS saved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT session_id, n AS "
     "\"count\" FROM e WHERE saved = 0 AND n >= 5 AND (n - 5) % 3 = 0")
 def nudges(s: SparkSession, d: str) -> DataFrame:
-    return hooks.nudges_batch(vault.session_events(s, d), 5, 3)
+    return hooks.nudges_batch(vault.session_events(s, d), 5, 3, "ts", "event_id")
 
 
 @query("phases_once", "SELECT 's' || user_id AS session_id, event_type AS phase, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def phases_once(s: SparkSession, d: str) -> DataFrame:
-    e = vault.session_events(s, d)
-    w = Window.partitionBy("session_id", "kind").orderBy("ts", "event_id")
-    return e.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("session_id", F.col("kind").alias("phase"), "event_id")
+    e = vault.session_events(s, d).withColumnRenamed("kind", "phase")
+    return hooks.phases_first(e, "ts", "event_id").select("session_id", "phase", "event_id")
 
 
 @query("queue_drain", "SELECT 's' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM "
@@ -721,3 +683,7 @@ def queue_drain(s: SparkSession, d: str) -> DataFrame:
 def activity_windows(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
     return e.groupBy("kind", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("users"))
+
+
+# Further queries register themselves.
+from lorekeep.plans import logs, upkeep  # noqa: E402, F401

@@ -85,8 +85,8 @@ sc AS (SELECT path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2
 
 def vectors(k: int, metric: str = "l2") -> str:
     dist = "list_distance(v.e, q.e)" if metric == "l2" else "1 - list_cosine_similarity(v.e, q.e)"
-    return f"""vec AS (SELECT vec_id, path, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN archive ON archive.doc_id = vec_id
-  % 200),
+    return f"""vec AS (SELECT vec_id, path, CAST(embedding AS DOUBLE[]) AS e FROM embeddings JOIN archive
+  ON archive.doc_id = vec_id // 3 * 31 % (SELECT count(*) FROM documents)),
 near AS (SELECT v.vec_id, v.path, {dist} AS distance FROM vec v, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM
   embeddings WHERE vec_id = 0) q ORDER BY round({dist}, 9), v.vec_id LIMIT {k}),
 chunk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(distance, 9), vec_id) AS

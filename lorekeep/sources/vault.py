@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,7 +37,7 @@ def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> Data
     """path (relative to root), raw, modified and bytes of each note below projects/ and directly in topics/.
 
     Names that begin with an underscore are left out, but for _project.md unless keyword_only; so are templates and, unless
-    keyword_only, views and archived notes. Undecodable bytes become replacement characters.
+    keyword_only, views and archived notes. Undecodable bytes become replacement characters. Spark's reader leaves empty files out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
@@ -53,6 +53,13 @@ def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> Data
     return f.where((~name.startswith("_") | (name == "_project.md")) & ~F.col("path").contains("/_views/") & ~archived)
 
 
+def read_note(notes: DataFrame, path: str) -> DataFrame:
+    """The note with this path (relative to the archive); a path that leads out of it is refused."""
+    if path.startswith(("/", "\\")) or ".." in path.replace("\\", "/").split("/"):
+        raise ValueError(f"not a path below the archive: {path}")
+    return notes.where(F.col("path") == path)
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """file, message (variant, null for a malformed line) of each line that isn't blank."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
@@ -93,12 +100,12 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, raw: the archive as markdown with frontmatter, links and tasks."""
     d = archive(spark, sf_dir)
-    n = d.count()
-    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    d = d.crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))  # one row
+    i, s, n = F.col("doc_id"), F.col("doc_id").cast("string"), F.col("n")
     raw = F.concat(
         F.lit("---\ntype: "), "type", F.lit('\ntitle: "'), "title", F.lit('"\nproject: '), "project", F.lit("\ndate: "), "date",
         F.lit("\nstatus: "), F.when(i % 17 == 0, "archived").otherwise("active"), F.lit("\ntags: [t"), (i % 7).cast("string"), F.lit(", u"), (i % 11).cast("string"),
-        F.lit("]\naliases: [doc-"), s, F.lit("]\n---\n## Summary\n"), "content", F.lit("\nSee [[doc-"), ((i * 7 + 3) % (n * 12 // 10)).cast("string"),
+        F.lit("]\naliases: [doc-"), s, F.lit("]\n---\n## Summary\n"), "content", F.lit("\nSee [[doc-"), ((i * 7 + 3) % F.floor(n * 12 / 10)).cast("string"),
         F.lit("]] and [[projects/"), "project", F.lit("/memos/d"), ((i * 3) % n).cast("string"), F.lit("|other]].\n"),
         F.when(i % 4 == 0, F.concat(F.lit("About [[topic-"), (i % 37).cast("string"), F.lit("]].\n"))).otherwise(""),
         F.when(i % 5 == 0, F.concat(F.lit("- [ ] early "), s, F.lit("\n"))).otherwise(""), F.lit("## Open Threads\n- [ ] follow up "), s, F.lit("\n"),
@@ -108,9 +115,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, path, embedding: several chunk vectors for each of 200 documents."""
+    """vec_id, path, embedding: three chunk vectors for a document, dealt over all documents."""
     d = archive(spark, sf_dir).select("doc_id", "path")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 200).alias("doc_id")).join(d, "doc_id").select("vec_id", "path", "embedding")
+    n = F.broadcast(d.agg(F.count("*").alias("n")))  # one row
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").crossJoin(n)
+    v = v.withColumn("doc_id", F.floor(F.col("vec_id") / 3) * 31 % F.col("n"))
+    return v.join(d, "doc_id").select("vec_id", "path", "embedding")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +130,41 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", "text", ts.alias("ts"))
 
 
+#: Tools of the logs below.
+TOOLS = ("Bash", "Read", "Write", "Edit", "Grep", "Glob", "Task", "Other")
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, seq, value: conversations as lines of a log in its polymorphic JSON: replies are a thought, a text and a tool use, some prompts have the tool's result before their text, others are plain text."""
+    m = messages(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    text, seq, session = F.col("text"), F.col("seq"), F.col("session")
+    of = lambda n: F.concat(session.cast("string"), F.lit("-"), n.cast("string"))
+    at = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    cut = lambda n: F.left(text, F.lit(n))
+    tool = F.get(F.array(*map(F.lit, TOOLS)), ((session + seq) % len(TOOLS)).cast("int"))
+    given = F.struct(
+        cut(30).alias("command"), cut(600).alias("content"), cut(10).alias("description"), F.concat(F.lit("/src/"), session.cast("string")).alias("file_path"),
+        cut(250).alias("new_string"), F.substring(text, 5, 250).alias("old_string"), F.lit("/src").alias("path"), cut(8).alias("pattern"), F.lit("general").alias("subagent_type"),
+    )
+    block = "struct<type: string, thinking: string, text: string, id: string, tool_use_id: string, name: string, content: string, is_error: boolean, input: struct<command: string, "
+    block += "content: string, description: string, file_path: string, new_string: string, old_string: string, path: string, pattern: string, subagent_type: string>>"
+
+    def made(kind: str, **fields: Column) -> Column:
+        names = ("type", "thinking", "text", "id", "tool_use_id", "name", "content", "is_error", "input")
+        return F.struct(*[(F.lit(kind) if n == "type" else fields.get(n, F.lit(None))).alias(n) for n in names]).cast(block)
+
+    reply = F.array(made("thinking", thinking=cut(40)), made("text", text=text), made("tool_use", id=of(seq), name=tool, input=given))
+    output = F.concat(F.lit("[main "), F.left(F.md5(text.cast("binary")), F.lit(8)), F.lit("] "), cut(200))
+    answer = F.array(made("tool_result", tool_use_id=of(seq - 1), content=output, is_error=seq % 8 == 2), made("text", text=text))
+    is_reply, is_answer = F.col("role") == "assistant", (F.col("role") == "user") & (seq % 4).isin(2, 3)
+    usage = F.struct(F.length(text).alias("input_tokens"), seq.cast("int").alias("output_tokens"), F.lit(3).alias("cache_read_input_tokens"))
+    model = F.when(is_reply, F.when(seq % 4 == 1, "claude-sonnet").otherwise("claude-opus"))
+    head = [F.col("role").alias("type"), at.alias("timestamp"), F.when((session % 5 == 0) & (seq > 3), F.concat(F.lit("a"), session.cast("string"))).alias("agentId"), F.when(seq == 6, True).alias("isCompactSummary")]
+    line = lambda content: F.to_json(F.struct(*head, F.struct(F.col("role"), model.alias("model"), F.when(is_reply, usage).alias("usage"), content.alias("content")).alias("message")))
+    value = F.when(is_reply, line(reply)).when(is_answer, line(answer)).otherwise(line(text))
+    return m.select(F.concat(F.lit("s"), session.cast("string")).alias("file"), seq.cast("long").alias("seq"), value.alias("value"))
+
+
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, ts, memo_saved, kind from events."""
     return table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "ts", "event_id", (F.col("event_type") == "purchase").alias("memo_saved"), F.col("event_type").alias("kind"))

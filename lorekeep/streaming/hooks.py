@@ -4,53 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorekeep.operators import transcripts
+
 FIRST, AGAIN = 20, 15
 
 
 def nudges(events: DataFrame, first: int = FIRST, again: int = AGAIN) -> DataFrame:
-    """Stream of (session_id, count) at which a session without a saved memo is nudged. events: session_id, memo_saved (boolean). State: a count, a flag and a number for each session."""
+    """Stream of (session_id, count) at which a session without a saved memo is nudged: at `first` events and every `again` after it. events: session_id,
+    memo_saved (boolean). State: a count and a flag for each session; what a batch has of a session is counted at once."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, saved, last = state.get if state.exists else (0, False, 0)
-        fired = []
+        count, saved = state.get if state.exists else (0, False)
         for frame in frames:
-            for memo in frame["memo_saved"]:
-                count += 1
-                saved = saved or bool(memo)
-                if not saved and (count >= first if not last else count - last >= again):
-                    last = count
-                    fired.append(count)
-        state.update((count, saved, last))
-        yield pd.DataFrame({"session_id": [key[0]] * len(fired), "count": fired})
+            counts = count + np.arange(1, len(frame) + 1)
+            unsaved = ~np.logical_or.accumulate(frame["memo_saved"].fillna(False).to_numpy(bool)) & (not saved)
+            fired = counts[unsaved & (counts >= first) & ((counts - first) % again == 0)]
+            count, saved = count + len(frame), bool(saved or not unsaved.all())
+            yield pd.DataFrame({"session_id": [key[0]] * len(fired), "count": fired})
+        state.update((count, saved))
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, count long", "count long, saved boolean, last long", "append", GroupStateTimeout.NoTimeout)
+    made = events.select("session_id", "memo_saved").groupBy("session_id")
+    return made.applyInPandasWithState(step, "session_id string, count long", "count long, saved boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def nudges_batch(events: DataFrame, first: int = FIRST, again: int = AGAIN, order: str = "ts") -> DataFrame:
-    """The same over stored events, in closed form: at `first` messages and every `again` after it, before any memo."""
-    w = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def nudges_batch(events: DataFrame, first: int = FIRST, again: int = AGAIN, *order: str) -> DataFrame:
+    """The same over stored events, by their order (ts if none is given; without ties, else these decide at random)."""
+    w = Window.partitionBy("session_id").orderBy(*(order or ("ts",))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     e = events.withColumn("count", F.count("*").over(w)).withColumn("saved", F.max(F.col("memo_saved").cast("int")).over(w))
     return e.where((F.col("saved") == 0) & (F.col("count") >= first) & ((F.col("count") - first) % again == 0)).select("session_id", "count")
 
 
 def phases_once(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First mark of each session and phase; state older than the watermark goes."""
+    """Stream of the first mark of each session and phase; state older than the watermark goes."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "phase"])
 
 
+def phases_first(events: DataFrame, *order: str) -> DataFrame:
+    """The same over stored events: one aggregate, combined before the shuffle."""
+    rest = F.struct(*[c for c in events.columns if c not in ("session_id", "phase")])
+    return events.groupBy("session_id", "phase").agg(F.min_by(rest, F.struct(*order)).alias("x")).select("session_id", "phase", "x.*")
+
+
+def archived(messages: DataFrame, to: str, checkpoint: str) -> StreamingQuery:
+    """Stream of ended sessions' messages (session, seq, role, text, ts), whole sessions in a batch: those worth archiving are written as notes below `to`,
+    a folder for each batch, which is written again if the batch is."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = viable(batch.select(F.col("session").alias("session_id"), "text")).select(F.col("session_id").alias("session"))
+        notes = transcripts.notes(transcripts.turns(batch.join(kept, "session", "left_semi")))
+        notes.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def queue_state(marks: DataFrame) -> DataFrame:
     """Attempts and latest attempt of each pending session, from an append log."""
     return marks.groupBy("session_id").agg(F.count("*").alias("attempts"), F.max("at").alias("last_attempt"))
 
 
+def pending(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """path and enqueued_at (its first) of the jobs that aren't done."""
+    return queue.join(done.select("path"), "path", "left_anti").groupBy("path").agg(F.min("enqueued_at").alias("enqueued_at"))
+
+
 def drained(queue: DataFrame, done: DataFrame, most: int) -> DataFrame:
     """The oldest `most` jobs that aren't done, first in first out."""
-    return queue.join(done.select("path"), "path", "left_anti").groupBy("path").agg(F.min("enqueued_at").alias("enqueued_at")).orderBy("enqueued_at", "path").limit(most)
+    return pending(queue, done).orderBy("enqueued_at", "path").limit(most)
+
+
+def remaining(queue: DataFrame, done: DataFrame, most: int) -> DataFrame:
+    """What the queue keeps once the oldest `most` jobs are taken."""
+    return pending(queue, done).join(drained(queue, done, most).select("path"), "path", "left_anti")
 
 
 def viable(lines: DataFrame, least: int = 6) -> DataFrame:

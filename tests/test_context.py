@@ -149,9 +149,9 @@ def test_marked(spark):
 def test_related(spark):
     docs = spark.createDataFrame([("a", "memo", "alpha beta"), ("b", "memo", "alpha beta gamma"), ("c", "transcript", "alpha alpha"), ("d", "concept", "delta"), ("e", "memo", "beta"), *[(f"x{i}", "memo", "filler words") for i in range(9)]], "path string, type string, content string")
     asking = docs.where("path = 'a'").select("path", F.lit("Alpha OR beta").alias("title"))
-    got = [(r.rank, r.related) for r in search.related(docs, asking).orderBy("rank").collect()]
+    got = [(r.rank, r.related) for r in search.related(search.indexed(docs), asking).orderBy("rank").collect()]
     assert [x for x, _ in got] == [1, 2] and {x for _, x in got} == {"b", "e"}
-    assert search.related(docs, asking.withColumn("title", F.lit("of"))).count() == 0
+    assert search.related(search.indexed(docs), asking.withColumn("title", F.lit("of"))).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -166,7 +166,7 @@ def test_stemmed_search(spark):
     texts = {"a": "Connected connections, café", "b": "connecting the cafes", "c": "other words", "d": ""}
     docs = spark.createDataFrame(list(texts.items()), "path string, content string")
     asked = spark.createDataFrame([(1, ["connection", "cafés"])], "item_id long, terms array<string>")
-    got = {r.path: r.score for r in search.bm25_batch(docs, asked, 9, stemmed=True).collect()}
+    got = {r.path: r.score for r in search.bm25_batch(search.indexed(docs, stemmed=True), asked, 9, stemmed=True).collect()}
     words = {k: [stem(w) for w in v.replace("é", "e").replace(",", "").lower().split()] for k, v in texts.items()}
     mean = sum(map(len, words.values())) / len(words)
     score = lambda ws: sum(max(math.log((4 - 2 + 0.5) / (2 + 0.5)), 1e-6) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in ("connect", "cafe"))

@@ -59,7 +59,7 @@ def test_normalized_and_fusion(spark):
 
 
 def test_modes(spark, small):
-    docs, chunks = vault.archive(spark, small), vault.chunk_vectors(spark, small)
+    docs, chunks = search.indexed(vault.archive(spark, small)), vault.chunk_vectors(spark, small)
     for mode, kind in (("fts", "fts_only"), ("vector", "vector_only")):
         assert {r.match_type for r in search.hybrid(docs, chunks, "thing hand", [0.1] * 64, 5, mode=mode).collect()} == {kind}
 
@@ -141,7 +141,7 @@ def test_nudge_stream(spark, tmp_path):
     q = hooks.nudges(stream.select("session_id", "memo_saved")).writeStream.format("memory").queryName("nudged").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("nudged").collect()}
-    assert got == {tuple(r) for r in hooks.nudges_batch(df, order="n").collect()} == {("s1", 20), ("s1", 35)}
+    assert got == {tuple(r) for r in hooks.nudges_batch(df, 20, 15, "n").collect()} == {("s1", 20), ("s1", 35)}
 
 
 def test_phases_stream(spark, tmp_path):
