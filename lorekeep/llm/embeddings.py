@@ -27,7 +27,7 @@ counts as a link; its component_id is the smallest vec_id that it reaches, null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ DEPTH, LOPSIDED = 7, 0.9
 OVERLAP, DEGREE, CANDIDATES, ALPHA, BEAM, REACH = 3, 12, 32, 1.2, 8, 0.8
 #: Audited nodes of each kind; nodes with more links than MANY are of the second; rows of the exact way at most, and of its blocks.
 AUDIT, MANY, GOAL, EXACT_ROWS, BLOCK = 64, 16, 0.95, 4_000_000, 16_384
+#: Numbers of a matrix that a task holds at once, about; cosines this near to the threshold are summed again; share of a cell that is much.
+AT_ONCE, NEAR, MUCH = 1 << 20, 1e-9, 0.05
 
 EDGES = "node long, dim int, cell long, near array<long>, near_cell array<long>, alike array<float>"
 FOUND = "kind int, a long, b long, dim int, cell long"
@@ -266,7 +268,14 @@ def adjacency(rows: DataFrame) -> DataFrame:
         stays = (homes[a] == homes[b]) | (s >= REACH)
         a, b, s = a[stays], b[stays], s[stays]
         some, starts = np.unique(a, return_index=True)
-        made = {"node": node[some], "dim": table["dim"].to_numpy()[some], "cell": homes[some], "near": cut(node[b], starts), "near_cell": cut(homes[b], starts), "alike": cut(s, starts)}
+        made = {
+            "node": node[some],
+            "dim": table["dim"].to_numpy()[some],
+            "cell": homes[some],
+            "near": cut(node[b], starts),
+            "near_cell": cut(homes[b], starts),
+            "alike": cut(s, starts),
+        }
         return pa.table(made)
 
     return rows.select("node", "dim", "v", "cell", "home_cell", "block").groupBy("dim", "cell", "block").applyInArrow(build, EDGES)
@@ -309,7 +318,19 @@ class Cell:
         return np.array(starts)
 
     def searched(self, queries: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
-        """Which home rows each query (unit vectors) finds at or above `least`: greedy search from the entry points and from the places `own` (-1: none), then range expansion."""
+        """Which home rows each query (unit vectors) finds at or above `least`: greedy search from the entry points and from the places `own` (-1: none), then range expansion.
+
+        A range that covers much of the cell is compared with all of it at once. Cosines that round-off could move over the threshold are summed
+        again, alike in either order of a pair.
+        """
+        sims = self.cosines(queries, own, least - NEAR)
+        hits = sims >= least + NEAR
+        a, b = np.nonzero((sims >= least - NEAR) & ~hits)
+        hits[a, b] = (queries[a] * self.x[b]).sum(axis=1) >= least
+        return hits
+
+    def cosines(self, queries: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+        """Cosine of each query and home row; -2 where the search didn't come by."""
         n, q = len(self.node), len(queries)
         rows = np.arange(q)
         visited, opened, sims = np.zeros((q, n), bool), np.zeros((q, n), bool), np.full((q, n), -2.0)
@@ -349,7 +370,9 @@ class Cell:
         while True:
             r, node = np.nonzero(((sims >= least) | first) & ~opened)
             if not len(r):
-                return sims >= least
+                return sims
+            if len(r) > MUCH * q * n and len(r) > 1 << 12:
+                return queries @ self.x.T
             for at in range(0, len(r), 1 << 15):
                 who, what = r[at : at + (1 << 15)], node[at : at + (1 << 15)]
                 opened[who, what] = True
@@ -358,13 +381,19 @@ class Cell:
                 key = np.unique(who[i] * n + near[i, c])
                 see(key // n, key % n)
 
-    def verified(self, queries: np.ndarray, hits: np.ndarray, least: float) -> np.ndarray:
-        """Hits whose cosine in double precision, summed alike in either order of a pair, reaches the threshold."""
-        r, c = np.nonzero(hits)
-        for at in range(0, len(r), 1 << 15):
-            a, b = r[at : at + (1 << 15)], c[at : at + (1 << 15)]
-            hits[a, b] = (queries[a] * self.x[b]).sum(axis=1) >= least
-        return hits
+
+def spanning(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that join all that the square matrix joins: what three rounds of smallest neighbours join, and the links that these left."""
+    n = len(hits)
+    low = np.arange(n)
+    for _ in range(3):
+        for at in range(0, n, 256):
+            low[at : at + 256] = np.minimum(low[at : at + 256], np.where(hits[at : at + 256], low, n).min(axis=1))
+    a, b = [np.arange(n)], [low]
+    for at in range(0, n, 256):
+        r, c = np.nonzero(hits[at : at + 256] & (low[at : at + 256, None] != low))
+        a.append(at + r), b.append(c)
+    return forest(np.concatenate(a), np.concatenate(b))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,23 +443,19 @@ class Answers:
         return pa.table(made)
 
 
-def at_home(least: float):
+def at_home(least: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         cell = Cell(table)
         n, out = len(cell.node), Answers(cell.dim)
         hits = np.zeros((n, n), bool)
-        for at in range(0, n, 512):
-            part = np.arange(at, min(n, at + 512))
-            hits[part] = cell.searched(cell.x[part], part[:, None], least - 1e-9)
+        for part in parts(n, n):
+            hits[part] = cell.searched(cell.x[part], np.arange(n)[part, None], least)
         hits |= hits.T
         np.fill_diagonal(hits, False)
-        for at in range(0, n, 512):
-            part = hits[at : at + 512]
-            part[:] = cell.verified(cell.x[at : at + 512], part, least)
-            r, c = np.nonzero(part)
-            out.link(cell.node[at + r], cell.node[c])
-            links = part @ cell.n
-            out.add(COUNT, cell.node[at : at + 512][links > 0], links[links > 0])
+        links = np.concatenate([hits[part] @ cell.n for part in parts(n, n)])
+        out.add(COUNT, cell.node[links > 0], links[links > 0])
+        a, b = spanning(hits)
+        out.link(cell.node[a], cell.node[b])
         np.fill_diagonal(hits, True)
         out.leave(cell, cell.node, hits, np.full(n, cell.cell))
         return out.table()
@@ -438,7 +463,13 @@ def at_home(least: float):
     return run
 
 
-def on_visit(least: float):
+def parts(n: int, width: int) -> Iterator[slice]:
+    """Rows of a matrix of n rows in pieces of about AT_ONCE numbers."""
+    step = max(32, AT_ONCE // max(width, 1))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def on_visit(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(visits: pa.Table, table: pa.Table) -> pa.Table:
         if not visits.num_rows or not table.num_rows:
             return Answers(0).table()
@@ -448,9 +479,8 @@ def on_visit(least: float):
         size, entry = flat(visits["entries"], np.int64)
         own = np.full((len(who), int(size.max())), -1, np.int64)
         own[np.repeat(np.arange(len(who)), size), np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)] = np.searchsorted(cell.node, entry)
-        for at in range(0, len(who), 512):
-            q, h = who[at : at + 512], home[at : at + 512]
-            hits = cell.verified(x[at : at + 512], cell.searched(x[at : at + 512], own[at : at + 512], least - 1e-9), least)
+        for part in parts(len(who), len(cell.node)):
+            q, h, hits = who[part], home[part], cell.searched(x[part], own[part], least)
             r, c = np.nonzero(hits)
             out.link(q[r], cell.node[c])
             links = hits @ cell.n
@@ -510,23 +540,25 @@ def exact_links(nodes: DataFrame, count: int, least: float) -> tuple[DataFrame,
         block, node, n, x = table["own"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy(), unit(vectors(table["v"]))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out, counts = Answers(table["dim"][0].as_py()), np.zeros(len(node), np.int64)
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            r, c = np.nonzero(x[rows] @ x[right].T >= least - 1e-9)
-            a, b = rows[r], right[c]
+        for part in parts(len(left), len(right)):
+            rows = left[part]
+            sims = x[rows] @ x[right].T
+            hits = sims >= least + NEAR
+            a, b = np.nonzero((sims >= least - NEAR) & ~hits)
+            hits[a, b] = (x[rows[a]] * x[right[b]]).sum(axis=1) >= least
             if i == j:
-                a, b = a[a < b], b[a < b]
-            for k in range(0, len(a), 1 << 15):
-                p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-                fine = (x[p] * x[q]).sum(axis=1) >= least
-                p, q = p[fine], q[fine]
-                np.add.at(counts, p, n[q])
-                np.add.at(counts, q, n[p])
-                out.link(node[p], node[q])
+                hits &= rows[:, None] < right
+            counts[rows] += hits @ n[right]
+            counts[right] += n[rows] @ hits
+            a, b = np.nonzero(hits)
+            out.link(node[rows[a]], node[right[b]])
         out.add(COUNT, node[counts > 0], counts[counts > 0])
         return out.table()
 
-    made = common.written(dealt.select("dim", "pair.i", "pair.j", "own", "node", "n", "v").groupBy("dim", "i", "j").applyInArrow(compare, FOUND), "vector-links")
+    made = common.written(
+        dealt.select("dim", "pair.i", "pair.j", "own", "node", "n", "v").groupBy("dim", "i", "j").applyInArrow(compare, FOUND),
+        "vector-links",
+    )
     found = made.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("found"))
     return common.written(found, "vector-counts"), made.where(F.col("kind") == LINK).select("a", "b")
 
