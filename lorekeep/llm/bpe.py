@@ -212,7 +212,12 @@ def tokenized(docs: DataFrame, path: str, keep_ids: bool = True, text: str = "te
                 back = codec.decode(ids)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), ids, back))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            out = {"doc_id": batch.column(0), "n_tokens": pa.array(columns[0], pa.int64()), "ids_sha256": pa.array(columns[1], pa.string()), "decoded_sha256": pa.array(columns[2], pa.string())}
+            out = {
+                "doc_id": batch.column(0),
+                "n_tokens": pa.array(columns[0], pa.int64()),
+                "ids_sha256": pa.array(columns[1], pa.string()),
+                "decoded_sha256": pa.array(columns[2], pa.string()),
+            }
             if keep_ids:
                 out |= {"ids": pa.array(columns[3], pa.binary()), "decoded": pa.array(columns[4], pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_pydict(out)

@@ -80,7 +80,11 @@ def numbered(df: DataFrame, order: list[Column], sums: tuple[str, ...] = (), nth
     moved = per.select("range", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(f"{c}_moved") for c in ("rows", *(f"{c}_all" for c in sums))])
     out = own.join(F.broadcast(moved), "range")  # a row for each shuffle partition
     kept = [F.col(c) for c in df.columns]
-    return out.select(*kept, (F.col(nth) + F.col("rows_moved")).alias(nth), *[(F.col(f"{c}_before") + F.col(f"{c}_all_moved")).alias(f"{c}_before") for c in sums])
+    return out.select(
+        *kept,
+        (F.col(nth) + F.col("rows_moved")).alias(nth),
+        *[(F.col(f"{c}_before") + F.col(f"{c}_all_moved")).alias(f"{c}_before") for c in sums],
+    )
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -22,7 +22,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     for _ in range(rounds):
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == seen or not state[0]:
-            return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
+                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            )
         seen = state
         # Large star: u, larger than v, is linked to the smallest of v's neighbours (v itself if that is the smallest).
         least = common.written(e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "least")
@@ -30,6 +32,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         e = common.written(large, "links")
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         least = common.written(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-        small = e.join(least, "u", "left").select(F.explode(F.array(F.struct("u", F.coalesce("m", "v").alias("v")), F.struct(F.col("v").alias("u"), F.coalesce("m", "v").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
+        small = e.join(least, "u", "left").select(
+            F.explode(
+                F.array(F.struct("u", F.coalesce("m", "v").alias("v")), F.struct(F.col("v").alias("u"), F.coalesce("m", "v").alias("v")))
+            ).alias("x")
+        ).select("x.u", "x.v").where("u != v").distinct()
         e = common.written(small, "links")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

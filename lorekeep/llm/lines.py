@@ -121,7 +121,17 @@ def built(table: pa.Table) -> pa.Table:
     prints, counts, holders = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64)
     prints[at], counts[at], holders[at] = h2, np.minimum(table["count"].to_numpy(), 2**32 - 1), table["holder"].to_numpy()
     data, sizes = index.packed()
-    return pa.table({"shard": [table["shard"][0].as_py()], "most": [int(table["count"].to_numpy().max())], "bits": [data], "sizes": pa.array([sizes], pa.list_(pa.int64())), "fingerprints": [prints.tobytes()], "counts": [counts.tobytes()], "holders": [holders.tobytes()]})
+    return pa.table(
+        {
+            "shard": [table["shard"][0].as_py()],
+            "most": [int(table["count"].to_numpy().max())],
+            "bits": [data],
+            "sizes": pa.array([sizes], pa.list_(pa.int64())),
+            "fingerprints": [prints.tobytes()],
+            "counts": [counts.tobytes()],
+            "holders": [holders.tobytes()],
+        }
+    )
 
 
 PROBE = "id long, of long, h1 long"
@@ -158,7 +168,9 @@ def hashed(docs: DataFrame) -> DataFrame:
                 digests += own
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(rows), "of": batch.column(1).take(rows), "h1": pa.array(both[:, 0]), "h2": pa.array(both[:, 1])})
+            yield pa.RecordBatch.from_pydict(
+                {"id": batch.column(0).take(rows), "of": batch.column(1).take(rows), "h1": pa.array(both[:, 0]), "h2": pa.array(both[:, 1])}
+            )
 
     return docs.select(identity().alias("id"), text_hash().alias("of"), "text").mapInArrow(run, "id long, of long, h1 long, h2 long")
 

@@ -82,7 +82,26 @@ def features(text: bytes, buckets: Buckets) -> np.ndarray:
     marks = n - upper - lower - digits - high - white
     lines = chars[10] + 1
     ends = chars[46] + chars[33] + chars[63]
-    stats = [upper / n, digits / n, high / n, white / n, marks / n, chars[33] / n, chars[[35, 36, 37, 38, 42]].sum() / n, chars[124] / n, (chars[44] + chars[46]) / n, upper / max(upper + lower, 1), same / w, np.count_nonzero(counts) / min(w, BUCKETS), counts.max() / w, (n - white) / w / 10, np.log1p(words), np.log1p(n / lines), ends / w, lines / w]
+    stats = [
+        upper / n,
+        digits / n,
+        high / n,
+        white / n,
+        marks / n,
+        chars[33] / n,
+        chars[[35, 36, 37, 38, 42]].sum() / n,
+        chars[124] / n,
+        (chars[44] + chars[46]) / n,
+        upper / max(upper + lower, 1),
+        same / w,
+        np.count_nonzero(counts) / min(w, BUCKETS),
+        counts.max() / w,
+        (n - white) / w / 10,
+        np.log1p(words),
+        np.log1p(n / lines),
+        ends / w,
+        lines / w,
+    ]
     value = np.log1p(counts)
     return np.concatenate([value / max(np.sqrt((value * value).sum()), 1e-9), stats]).astype(np.float32)
 

@@ -250,7 +250,10 @@ def forest(nodes: DataFrame, choices: list[Choice], differ: int, width: int = 1)
         parts = F.ceil(F.col("n") / half).cast("int")
         keyed = keyed.join(common.small_side(sizes, large), ["choice", "key"], "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
         own = F.pmod(F.xxhash64(*words, F.lit(3)), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")),
+        )
         keyed = keyed.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("choice", "key", "pair.i", "pair.j", "id", *words)
     else:
         keyed = keyed.select("choice", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", *words)
@@ -373,11 +376,25 @@ def decided(sets: DataFrame) -> DataFrame:
         rows = spread.withColumn("lead", F.lit(False))
         if large := sizes.where("parts > 1").count():
             cell = F.pmod(F.xxhash64("id", "name", F.lit(7)), F.lit(LEADERS))
-            picked = left.join(common.small_side(sizes.where("parts > 1"), large), "grp").groupBy("grp", "parts", cell.alias("cell")).agg(F.min(F.struct("id", "name")).alias("x"))
+            picked = left.join(
+                common.small_side(sizes.where("parts > 1"), large),
+                "grp",
+            ).groupBy("grp", "parts", cell.alias("cell")).agg(F.min(F.struct("id", "name")).alias("x"))
             picked = common.written(picked.select("grp", "parts", "x.id", "x.name"), "near-copy-leaders")
-            lead = left.join(common.small_side(picked), ["grp", "id", "name"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lead", F.lit(True))
+            lead = left.join(common.small_side(picked), ["grp", "id", "name"]).withColumn(
+                "part",
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+            ).withColumn("lead", F.lit(True))
             rows = rows.unionByName(lead)
-        dealt = rows.select("grp", "part", "parts", "lead", "id", "name", "hashes").repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lead").desc(), "id", "name")
+        dealt = rows.select(
+            "grp",
+            "part",
+            "parts",
+            "lead",
+            "id",
+            "name",
+            "hashes",
+        ).repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lead").desc(), "id", "name")
         made = common.written(dealt.mapInArrow(run, "id long, name long, state long"), "near-copy-states")
         gone.append(made.where("state = 2").select("id", "name"))
         if not large:
@@ -398,7 +415,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = marked.where(F.col("doc_id").isNotNull()).groupBy(*words, "name").agg(F.min("doc_id").alias("id"))
     rows = common.written(marked.join(first, [*words, "name"]).join(of, words).select("doc_id", "grp", "id", "name"), "near-copy-rows")
     items = rows.where("doc_id = id").select("grp", "id", "name").distinct()
-    several = rows.groupBy("grp").agg(F.min(F.struct("id", "name")).alias("low"), F.max(F.struct("id", "name")).alias("high")).where("low <> high").select("grp")
+    several = rows.groupBy("grp").agg(
+        F.min(F.struct("id", "name")).alias("low"),
+        F.max(F.struct("id", "name")).alias("high"),
+    ).where("low <> high").select("grp")
     asked = common.written(items.join(common.small_side(common.written(several, "near-copy-several")), "grp"), "near-copy-items")
     # Texts of candidates are dealt by id at every size, as their number grows with the input.
     texts = docs.join(asked.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")

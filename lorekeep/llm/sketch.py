@@ -144,11 +144,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     marked = hashed.withColumn("range", place(F.col("doc_id").cast("long"), "hash"))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.bitwise_not(F.col("doc_id").cast("long")).alias("down"), "hash"))
     heads = sorted((r["range"], r["first"]) for r in marked.groupBy("range").agg(first.alias("first")).collect())  # a row for each range
-    spans = spark.createDataFrame([(r, i, (i or len(heads)) - 1, f["none"], f["down"], f["hash"]) for i, (r, f) in enumerate(heads)], "range long, part int, before int, none boolean, down long, first long")
+    spans = spark.createDataFrame(
+        [(r, i, (i or len(heads)) - 1, f["none"], f["down"], f["hash"]) for i, (r, f) in enumerate(heads)],
+        "range long, part int, before int, none boolean, down long, first long",
+    )
     joined = marked.join(F.broadcast(spans), "range")
     is_head = (F.col("hash") == F.col("first")) & (F.isnull("doc_id") == F.col("none")) & F.bitwise_not(F.col("doc_id").cast("long")).eqNullSafe(F.col("down"))
     own, guest = (F.struct(F.col(c).alias("part"), F.lit(n).alias("guest")) for c, n in (("part", 0), ("before", 1)))
-    spread = joined.withColumn("at", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own)))).select("at.part", "at.guest", "doc_id", "text", "hash")
+    spread = joined.withColumn(
+        "at",
+        F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))),
+    ).select("at.part", "at.guest", "doc_id", "text", "hash")
     return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
 
 

@@ -100,11 +100,31 @@ def test_audit_sees_lost_links(spark):
 def test_odd_rows(spark):
     """Repeated and missing ids, other lengths, unusable vectors."""
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [2.0, 0.0]), (None, [5.0, 5.0]), (4, [1.0, 0.01]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [nan, 1.0]), (9, [inf, 1.0])]
+    rows = [
+        (1, [1.0, 0.0]),
+        (1, [0.0, 1.0]),
+        (None, [2.0, 0.0]),
+        (None, [5.0, 5.0]),
+        (4, [1.0, 0.01]),
+        (5, None),
+        (6, []),
+        (7, [0.0, 0.0]),
+        (8, [nan, 1.0]),
+        (9, [inf, 1.0]),
+    ]
     rows += [(10, [None, 1.0]), (11, [1.0, 0.0, 0.0]), (12, [2.0, 0.0, 0.0]), (13, [0.0, 3.0]), (13, [0.0, 3.0]), (14, [-1.0, 0.0]), (15, [1e-300, 0.0])]
     made = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in made.collect()), key=repr)
     first, second = 3, 2  # [1, 0], [2, 0], [1, 0.01] and [1e-300, 0]; [0, 1] and [0, 3] twice
-    expected = [(1, first, 1, True), (None, first, 1, False), (4, first, 1, False), (15, first, 1, False), (1, second, 1, True), (13, second, 1, False), (13, second, 1, False), (None, 0, None, False)]
+    expected = [
+        (1, first, 1, True),
+        (None, first, 1, False),
+        (4, first, 1, False),
+        (15, first, 1, False),
+        (1, second, 1, True),
+        (13, second, 1, False),
+        (13, second, 1, False),
+        (None, 0, None, False),
+    ]
     expected += [(i, 0, i, True) for i in (5, 6, 7, 8, 9, 10, 14)] + [(11, 1, 11, True), (12, 1, 11, False)]
     assert got == sorted(expected, key=repr)
