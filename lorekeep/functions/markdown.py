@@ -18,7 +18,13 @@ def frontmatter(raw: Column) -> Column:
     """array of (key, value) in order; the block ends at the first --- after its start."""
     block = F.regexp_extract(raw, r"(?s)^---(.*?)---", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
-    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), unquoted(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    return F.transform(
+        lines,
+        lambda x: F.struct(
+            F.trim(F.substring_index(x, ":", 1)).alias("key"),
+            unquoted(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value"),
+        ),
+    )
 
 
 def value(entries: Column, key: str) -> Column:

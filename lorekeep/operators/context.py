@@ -62,7 +62,9 @@ def standard(docs: DataFrame) -> DataFrame:
 
 def full(docs: DataFrame, budget: int = 6000) -> DataFrame:
     """project, context: overview, open threads and summaries of recent memos, at most `budget` words."""
-    overview = docs.where(F.element_at(F.split("path", "/"), -1) == "_project.md").groupBy("project").agg(F.min_by(M.overview(F.col("content")), "path").alias("overview"))
+    overview = docs.where(F.element_at(F.split("path", "/"), -1) == "_project.md").groupBy("project").agg(
+        F.min_by(M.overview(F.col("content")), "path").alias("overview")
+    )
     items = F.concat_ws("\n", F.concat(F.lit("From "), "title", F.lit(":")), F.array_join(F.transform("items", lambda i: F.concat(F.lit("- [ ] "), i)), "\n"))
     threads = joined(open_threads(docs), items, "threads", "\n\n")
     memos = joined(recent_memos(docs), F.col("summary"), "memos", "\n\n")

@@ -59,7 +59,10 @@ def delta(now: DataFrame, before: DataFrame) -> DataFrame:
 def hash_plan(now: DataFrame, before: DataFrame, key: str = "path") -> DataFrame:
     """new, updated, unchanged and deleted rows by content hash; both sides: key, content_hash."""
     j = now.select(key, F.col("content_hash").alias("a")).join(before.select(key, F.col("content_hash").alias("b")), key, "full_outer")
-    return j.select(key, F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "deleted").when(F.col("a") != F.col("b"), "updated").otherwise("unchanged").alias("action"))
+    return j.select(
+        key,
+        F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "deleted").when(F.col("a") != F.col("b"), "updated").otherwise("unchanged").alias("action"),
+    )
 
 
 def staleness(docs: DataFrame, overviews: DataFrame, least: int = 5) -> DataFrame:
@@ -71,14 +74,21 @@ def staleness(docs: DataFrame, overviews: DataFrame, least: int = 5) -> DataFram
 
 def stale_topics(resolved: DataFrame, docs: DataFrame, before: str) -> DataFrame:
     """Concept notes whose latest reference is older than `before`, or that have none."""
-    r = resolved.where(F.col("target_path").isNotNull()).join(docs.select(F.col("path").alias("source_path"), "date"), "source_path").groupBy(F.col("target_path").alias("path")).agg(F.max("date").alias("latest"))
+    r = resolved.where(F.col("target_path").isNotNull()).join(
+        docs.select(F.col("path").alias("source_path"), "date"),
+        "source_path",
+    ).groupBy(F.col("target_path").alias("path")).agg(F.max("date").alias("latest"))
     return docs.where("type = 'concept'").select("path").join(r, "path", "left").where(F.col("latest").isNull() | (F.col("latest") < before))
 
 
 def link_density(docs: DataFrame, links: DataFrame) -> DataFrame:
     n = links.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("links"))
     c = F.coalesce("links", F.lit(0))
-    return docs.select("path").join(n, "path", "left").select("path", c.alias("links"), F.when(c < 3, "isolated").when(c <= 10, "typical").when(c > 15, "over-linked").otherwise("dense").alias("density"))
+    return docs.select("path").join(n, "path", "left").select(
+        "path",
+        c.alias("links"),
+        F.when(c < 3, "isolated").when(c <= 10, "typical").when(c > 15, "over-linked").otherwise("dense").alias("density"),
+    )
 
 
 def unarchived(sessions: DataFrame, archived: DataFrame) -> DataFrame:
@@ -92,7 +102,18 @@ def missing_memos(transcripts: DataFrame, suffixes: DataFrame) -> DataFrame:
     return transcripts.join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
 
 
-def triage_score(writes: Column, commits: Column, bash: Column, user: Column, subagents: Column, compactions: Column, minutes: Column, opus: Column, long_start: Column, errors: Column) -> Column:
+def triage_score(
+    writes: Column,
+    commits: Column,
+    bash: Column,
+    user: Column,
+    subagents: Column,
+    compactions: Column,
+    minutes: Column,
+    opus: Column,
+    long_start: Column,
+    errors: Column,
+) -> Column:
     capped = F.least(writes * 3, F.lit(15)) + F.least(commits * 5, F.lit(15)) + F.least(bash, F.lit(5)) + F.least(user, F.lit(10)) + F.least(subagents * 3, F.lit(9)) + compactions * 4
     long = F.when(minutes >= 60, 8).when(minutes >= 30, 5).when(minutes >= 10, 3).when(minutes >= 5, 1).otherwise(0)
     return F.greatest(F.lit(0), capped + long + F.when(opus, 2).otherwise(0) + F.when(long_start, 2).otherwise(0) - F.least(errors, F.lit(3)))
@@ -119,7 +140,12 @@ def cartography(docs: DataFrame, resolved: DataFrame, lines: DataFrame) -> DataF
     """path, backlinks, lines, maturity of each document; lines: path, lines."""
     n = resolved.where(F.col("target_path").isNotNull()).groupBy(F.col("target_path").alias("path")).agg(F.countDistinct("source_path").alias("backlinks"))
     maturity = F.when(F.col("lines") >= 200, "mature").when(F.col("lines") >= 50, "growing").otherwise("stub")
-    return docs.select("path").join(lines, "path").join(n, "path", "left").select("path", F.coalesce("backlinks", F.lit(0)).alias("backlinks"), "lines", maturity.alias("maturity"))
+    return docs.select("path").join(lines, "path").join(n, "path", "left").select(
+        "path",
+        F.coalesce("backlinks", F.lit(0)).alias("backlinks"),
+        "lines",
+        maturity.alias("maturity"),
+    )
 
 
 def adjacency(tagged: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ def documents(notes: DataFrame) -> DataFrame:
     n = notes.select("path", "raw", M.frontmatter(F.col("raw")).alias("fm"))
     fm, path = F.col("fm"), F.col("path")
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
-    by_path = F.when(path.contains("/memos/"), "memo").when(path.contains("/transcripts/"), "transcript").when(path.contains("/auto-memory/"), "auto-memory").when(path.startswith("topics/"), "concept").otherwise("note")
+    by_path = F.when(path.contains("/memos/"), "memo").when(path.contains("/transcripts/"), "transcript").when(
+        path.contains("/auto-memory/"),
+        "auto-memory",
+    ).when(path.startswith("topics/"), "concept").otherwise("note")
     named = F.regexp_replace(F.regexp_extract(stem, r"^(\d{8})", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
     or_else = lambda key, other: F.coalesce(F.nullif(M.value(fm, key), F.lit("")), other)
     return n.select(
@@ -52,23 +55,38 @@ def resolved(links: DataFrame, docs: DataFrame) -> DataFrame:
     target = F.regexp_replace(F.trim(F.substring_index("link_text", "#", 1)), r"\.md$", "")
     distinct = links.select("link_text").distinct().withColumn("t", target).where(F.col("t") != "")
     t = F.col("t")
-    tries = F.array(F.concat(t, F.lit(".md")), F.concat(F.lit("topics/"), t, F.lit(".md")), F.when(t.contains("/"), F.concat(t, F.lit("/_project.md"))).otherwise(F.concat(F.lit("projects/"), t, F.lit("/_project.md"))))
+    tries = F.array(
+        F.concat(t, F.lit(".md")),
+        F.concat(F.lit("topics/"), t, F.lit(".md")),
+        F.when(t.contains("/"), F.concat(t, F.lit("/_project.md"))).otherwise(F.concat(F.lit("projects/"), t, F.lit("/_project.md"))),
+    )
     by_path = distinct.select("link_text", F.posexplode(tries).alias("rank", "path")).join(docs.select("path"), "path")
     by_alias = distinct.join(docs.select("path", F.explode("aliases").alias("t")), "t").select("link_text", F.lit(3).alias("rank"), "path")
-    best = by_path.select("link_text", "rank", "path").unionByName(by_alias).groupBy("link_text").agg(F.min_by("path", F.struct("rank", "path")).alias("target_path"))
+    best = by_path.select("link_text", "rank", "path").unionByName(by_alias).groupBy("link_text").agg(
+        F.min_by("path", F.struct("rank", "path")).alias("target_path")
+    )
     return links.join(best, "link_text", "left").withColumn("is_broken", F.col("target_path").isNull())
 
 
 def headings(notes: DataFrame) -> DataFrame:
     n = numbered(notes).where(F.col("line").rlike(M.HEADING))
-    return n.select(F.col("path").alias("doc_path"), F.trim(F.regexp_extract("line", M.HEADING, 2)).alias("heading"), F.length(F.regexp_extract("line", M.HEADING, 1)).alias("level"), "line_number")
+    return n.select(
+        F.col("path").alias("doc_path"),
+        F.trim(F.regexp_extract("line", M.HEADING, 2)).alias("heading"),
+        F.length(F.regexp_extract("line", M.HEADING, 1)).alias("level"),
+        "line_number",
+    )
 
 
 def tasks(notes: DataFrame) -> DataFrame:
     """doc_path, task_text, completed, line_number, section: the last heading above. Each note's row gives its tasks: nothing is shuffled."""
     marked = F.transform(M.lines(F.col("raw")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
     heads = F.filter("marked", lambda x: x["line"].rlike(M.HEADING))
-    found = notes.select("path", marked.alias("marked")).select("path", heads.alias("heads"), F.explode(F.filter("marked", lambda x: x["line"].rlike(M.TASK))).alias("x"))
+    found = notes.select("path", marked.alias("marked")).select(
+        "path",
+        heads.alias("heads"),
+        F.explode(F.filter("marked", lambda x: x["line"].rlike(M.TASK))).alias("x"),
+    )
     above = F.try_element_at(F.filter("heads", lambda h: h["n"] < F.col("x.n")), F.lit(-1))["line"]
     line = F.col("x.line")
     return found.select(

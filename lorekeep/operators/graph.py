@@ -29,7 +29,14 @@ def broken(resolved: DataFrame, project: str | None = None) -> DataFrame:
     return b.where(F.col("source_path").startswith(f"projects/{project}/")) if project else b
 
 
-def open_tasks(tasks: DataFrame, docs: DataFrame, since: str | None = None, project: str | None = None, transcripts: bool = False, only_open_threads: bool = True) -> DataFrame:
+def open_tasks(
+    tasks: DataFrame,
+    docs: DataFrame,
+    since: str | None = None,
+    project: str | None = None,
+    transcripts: bool = False,
+    only_open_threads: bool = True,
+) -> DataFrame:
     """Open tasks with their document's title and date; unknown documents stay when since is given."""
     t = tasks.where(~F.col("completed"))
     if not transcripts:
@@ -64,14 +71,26 @@ def topic_connections(links_back: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def cross_project(resolved: DataFrame) -> DataFrame:
     a, b = project_of(F.col("source_path")), project_of(F.col("target_path"))
-    return resolved.where(F.col("target_path").isNotNull()).withColumn("source_project", a).withColumn("target_project", b).where("source_project <> target_project").select("source_path", "target_path", "source_project", "target_project", "line_number")
+    return resolved.where(F.col("target_path").isNotNull()).withColumn("source_project", a).withColumn("target_project", b).where("source_project <> target_project").select(
+        "source_path",
+        "target_path",
+        "source_project",
+        "target_project",
+        "line_number",
+    )
 
 
 def stats(docs: DataFrame, resolved: DataFrame, tasks: DataFrame, tags: DataFrame) -> DataFrame:
     """One row; each table is read once. The joined sides have one row each."""
     d = docs.agg(F.count("*").alias("documents"), F.countDistinct("project").alias("projects"), F.count_if(F.col("type") == "memo").alias("memos"))
     r = resolved.agg(F.count("*").alias("links"), F.count_if("is_broken").alias("broken_links"), F.countDistinct("target_path").alias("linked_documents"))
-    t = tasks.agg(F.count("*").alias("tasks"), F.count_if(~F.col("completed")).alias("open_tasks"), F.count_if(~F.col("completed") & (F.col("section") == "Open Threads") & ~F.col("doc_path").contains("/transcripts/")).alias("actionable_tasks"))
+    t = tasks.agg(
+        F.count("*").alias("tasks"),
+        F.count_if(~F.col("completed")).alias("open_tasks"),
+        F.count_if(
+            ~F.col("completed") & (F.col("section") == "Open Threads") & ~F.col("doc_path").contains("/transcripts/")
+        ).alias("actionable_tasks"),
+    )
     g = tags.agg(F.countDistinct("tag").alias("tags"))
     return d.crossJoin(r).crossJoin(t).crossJoin(g)
 
@@ -79,16 +98,29 @@ def stats(docs: DataFrame, resolved: DataFrame, tasks: DataFrame, tags: DataFram
 def recent(docs: DataFrame, tasks: DataFrame, since: str) -> DataFrame:
     """Recent documents and how many open tasks each has."""
     d = docs.where(F.col("date") >= since).select("path", "title", "type", "project", "date")
-    n = tasks.where(~F.col("completed")).join(d.select(F.col("path").alias("doc_path")), "doc_path", "left_semi").groupBy(F.col("doc_path").alias("path")).agg(F.count("*").alias("open_tasks"))
+    n = tasks.where(~F.col("completed")).join(
+        d.select(F.col("path").alias("doc_path")),
+        "doc_path",
+        "left_semi",
+    ).groupBy(F.col("doc_path").alias("path")).agg(F.count("*").alias("open_tasks"))
     return d.join(n, "path", "left").withColumn("open_tasks", F.coalesce("open_tasks", F.lit(0)))
 
 
 def project_status(docs: DataFrame, tasks: DataFrame, week: str, month: str) -> DataFrame:
     """One aggregate of the documents and one of the tasks for all projects."""
-    d = docs.where(F.col("project") != "").groupBy("project").agg(F.count_if(F.col("date") >= week).alias("last_week"), F.count_if(F.col("date") >= month).alias("last_month"), F.count_if(F.col("type") == "memo").alias("memos"), F.count_if(F.col("type") == "transcript").alias("transcripts"), F.max("date").alias("latest"))
+    d = docs.where(F.col("project") != "").groupBy("project").agg(
+        F.count_if(F.col("date") >= week).alias("last_week"),
+        F.count_if(F.col("date") >= month).alias("last_month"),
+        F.count_if(F.col("type") == "memo").alias("memos"),
+        F.count_if(F.col("type") == "transcript").alias("transcripts"),
+        F.max("date").alias("latest"),
+    )
     actionable = ~F.col("completed") & ~F.col("doc_path").contains("/transcripts/") & (F.col("section") == "Open Threads")
     t = tasks.where(actionable).groupBy(project_of(F.col("doc_path")).alias("project")).agg(F.count("*").alias("open_tasks"))
-    state = F.when(F.col("last_week") > 0, "active").when(F.col("last_month") > 0, "recent").when(F.col("memos") + F.col("transcripts") > 0, "dormant").otherwise("empty")
+    state = F.when(F.col("last_week") > 0, "active").when(F.col("last_month") > 0, "recent").when(
+        F.col("memos") + F.col("transcripts") > 0,
+        "dormant",
+    ).otherwise("empty")
     return d.join(t, "project", "left").withColumn("open_tasks", F.coalesce("open_tasks", F.lit(0))).withColumn("state", state)
 
 

@@ -101,11 +101,16 @@ def described(docs: DataFrame, resolved: DataFrame, tasks: DataFrame, vectors: D
     """what, name, count: documents by type, links and how many are broken, tasks and how many are open, and documents that have vectors."""
     long = lambda c: c.cast("long").alias("count")
     by_type = docs.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("count")).select(F.lit("documents").alias("what"), "name", long(F.col("count")))
-    pair = lambda what, df, test: df.agg(F.count("*").alias("all"), F.count_if(test).alias("some")).select(F.lit(what).alias("what"), F.expr("stack(2, 'all', all, 'open', some)").alias("name", "count"))
+    pair = lambda what, df, test: df.agg(F.count("*").alias("all"), F.count_if(test).alias("some")).select(
+        F.lit(what).alias("what"),
+        F.expr("stack(2, 'all', all, 'open', some)").alias("name", "count"),
+    )
     out = by_type.unionByName(pair("links", resolved, F.col("is_broken"))).unionByName(pair("tasks", tasks, ~F.col("completed")))
     if vectors is None:
         return out
-    return out.unionByName(vectors.agg(F.countDistinct("path").alias("count")).select(F.lit("vectors").alias("what"), F.lit("documents").alias("name"), "count"))
+    return out.unionByName(
+        vectors.agg(F.countDistinct("path").alias("count")).select(F.lit("vectors").alias("what"), F.lit("documents").alias("name"), "count")
+    )
 
 
 def status(version: str, spark: SparkSession) -> DataFrame:

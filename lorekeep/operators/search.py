@@ -168,7 +168,11 @@ def related(index: Index, asking: DataFrame, most: int = 5) -> DataFrame:
     w = Window.partitionBy("asks").orderBy("rank")
     near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 2)
     kept = near.join(index.catalog.where("type <> 'transcript'").select("path"), "path", "left_semi")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(F.col("asks").alias("path"), "rank", F.col("path").alias("related"))
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(
+        F.col("asks").alias("path"),
+        "rank",
+        F.col("path").alias("related"),
+    )
 
 
 TOKEN = re.compile(r'"([^"]*)"|NEAR\s*\(|[()]|[^\s()"]+')
@@ -259,7 +263,14 @@ def contains(docs: DataFrame, text: str, column: str = "content") -> DataFrame:
     return docs.where(F.lower(column).contains(text.lower())).withColumn("score", F.lit(-1.0)).withColumn("snippet", F.left(column, F.lit(200)))
 
 
-def nearest_many(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def nearest_many(
+    chunks: DataFrame,
+    queries: list[tuple[int, list[float]]],
+    k: int,
+    metric: str = "l2",
+    vec: str = "embedding",
+    key: str = "vec_id",
+) -> DataFrame:
     """query, the columns of chunks but vec, distance: the exact k nearest chunks of each query (number, vector), ties by key.
 
     The distances of an Arrow batch are one product with the queries' matrix; a batch gives on no more than its k nearest and their ties, and a
@@ -284,7 +295,10 @@ def nearest_many(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: i
             out = batch.select([f.name for f in rest]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(names[which]), *out.columns, pa.array(d[which, row])], names=["query", *out.schema.names, "distance"])
 
-    near = chunks.select(*[f.name for f in rest], vec).mapInArrow(run, StructType([StructField("query", LongType()), *rest, StructField("distance", DoubleType())]))
+    near = chunks.select(*[f.name for f in rest], vec).mapInArrow(
+        run,
+        StructType([StructField("query", LongType()), *rest, StructField("distance", DoubleType())]),
+    )
     if len(queries) == 1:
         return near.orderBy(F.round("distance", 9), key).limit(k)
     w = Window.partitionBy("query").orderBy(F.round("distance", 9), key)
@@ -296,7 +310,16 @@ def nearest(chunks: DataFrame, query: list[float], k: int, metric: str = "l2", v
     return nearest_many(chunks, [(0, query)], k, metric, vec, key).drop("query")
 
 
-def nearest_of_all(chunks: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", query: str = "query", block: int = 1024, part: int = 65_536) -> DataFrame:
+def nearest_of_all(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int,
+    vec: str = "embedding",
+    key: str = "vec_id",
+    query: str = "query",
+    block: int = 1024,
+    part: int = 65_536,
+) -> DataFrame:
     """query, key, distance, rank: the exact k nearest chunks of each row of queries (query, v), ties by key: blocks of queries against parts of the chunks.
 
     A product tells which rows may be among the nearest, differences tell the distance of these.
@@ -346,7 +369,11 @@ def rrf(words: DataFrame, vectors: DataFrame, k: int = 60, key: str = "path") ->
     a = words.select(key, (F.row_number().over(Window.orderBy(F.round("score", 6).desc(), key)) - 1).alias("word_rank"))
     b = vectors.select(key, (F.row_number().over(Window.orderBy(F.round("distance", 9), key)) - 1).alias("vector_rank"))
     one = lambda c: F.coalesce(F.lit(1.0) / (k + 1 + F.col(c)), F.lit(0.0))
-    return a.join(b, key, "full_outer").select(key, (one("word_rank") + one("vector_rank")).alias("score"), kind("word_rank", "vector_rank").alias("match_type"))
+    return a.join(b, key, "full_outer").select(
+        key,
+        (one("word_rank") + one("vector_rank")).alias("score"),
+        kind("word_rank", "vector_rank").alias("match_type"),
+    )
 
 
 def kind(a: str, b: str) -> Column:
@@ -358,7 +385,11 @@ def linear(words: DataFrame, vectors: DataFrame, w_vector: float = 0.7, w_word:
     a = normalized(words).select(key, F.col("score").alias("w"))
     b = vectors.select(key, (1 - F.col("distance") / 2).alias("v"))
     both = F.col("v") * w_vector + F.col("w") * w_word
-    return a.join(b, key, "full_outer").select(key, F.when(F.col("w").isNotNull() & F.col("v").isNotNull(), both).otherwise(F.coalesce("v", "w")).alias("score"), kind("w", "v").alias("match_type"))
+    return a.join(b, key, "full_outer").select(
+        key,
+        F.when(F.col("w").isNotNull() & F.col("v").isNotNull(), both).otherwise(F.coalesce("v", "w")).alias("score"),
+        kind("w", "v").alias("match_type"),
+    )
 
 
 def diverse(found: DataFrame, most: int, limit: int, key: str = "path") -> DataFrame:
@@ -367,9 +398,21 @@ def diverse(found: DataFrame, most: int, limit: int, key: str = "path") -> DataF
     return found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth").orderBy(F.round("score", 9).desc(), key).limit(limit)
 
 
-def hybrid(index: Index, chunks: DataFrame, query: str, vector: list[float], limit: int = 20, scoring: str = "rrf", mode: str = "hybrid", metric: str = "l2", **filters: str | None) -> DataFrame:
+def hybrid(
+    index: Index,
+    chunks: DataFrame,
+    query: str,
+    vector: list[float],
+    limit: int = 20,
+    scoring: str = "rrf",
+    mode: str = "hybrid",
+    metric: str = "l2",
+    **filters: str | None,
+) -> DataFrame:
     """path, score, match_type, title, type, project of the best documents. Each side gives three times the limit; type, project and since narrow the word side before and the vector side after its top list."""
-    tests = [F.col(c) == v for c, v in filters.items() if v is not None and c != "since"] + ([F.col("date") >= filters["since"]] if filters.get("since") else [])
+    tests = [
+        F.col(c) == v for c, v in filters.items() if v is not None and c != "since"
+    ] + ([F.col("date") >= filters["since"]] if filters.get("since") else [])
     among = functools.reduce(lambda a, b: a & b, tests) if tests else None
     words = bm25(index, keywords(query), among).orderBy(F.round("score", 6).desc(), "path").limit(3 * limit)
     vectors = best_chunk(nearest(chunks, vector, 3 * limit, metric)).select("path", "distance")
@@ -381,7 +424,14 @@ def hybrid(index: Index, chunks: DataFrame, query: str, vector: list[float], lim
     top = diverse(fused, 3, limit)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     named = top.join(index.catalog.select("path", "title", "type", "project"), "path", "left")
-    return named.select("path", "score", "match_type", F.coalesce("title", stem).alias("title"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("project", F.lit("")).alias("project"))
+    return named.select(
+        "path",
+        "score",
+        "match_type",
+        F.coalesce("title", stem).alias("title"),
+        F.coalesce("type", F.lit("unknown")).alias("type"),
+        F.coalesce("project", F.lit("")).alias("project"),
+    )
 
 
 def displayed(found: DataFrame, scoring: str = "rrf") -> DataFrame:
@@ -409,7 +459,10 @@ def best_windows(docs: DataFrame, terms: list[str], width: int = 50) -> DataFram
     ahead = Window.partitionBy("path").orderBy("at").rowsBetween(0, width - 1)
     counted = each.withColumn("hits", F.sum("hit").over(ahead))
     best = counted.groupBy("path").agg(F.max_by("at", F.struct("hits", -F.col("at"))).alias("at"))
-    shown = F.transform(F.slice("words", F.col("at") + 1, F.lit(width)), lambda w: F.when(bare(w).isin(*terms), F.concat(F.lit(">>>"), w, F.lit("<<<"))).otherwise(w))
+    shown = F.transform(
+        F.slice("words", F.col("at") + 1, F.lit(width)),
+        lambda w: F.when(bare(w).isin(*terms), F.concat(F.lit(">>>"), w, F.lit("<<<"))).otherwise(w),
+    )
     before, after = F.when(F.col("at") > 0, "...").otherwise(""), F.when(F.col("at") + width < F.size("words"), "...").otherwise("")
     found = listed.join(best, "path", "left").withColumn("at", F.coalesce("at", F.lit(0)))
     return found.select("path", F.concat(before, F.array_join(shown, " "), after).alias("snippet"))

@@ -19,7 +19,12 @@ def sources(notes: DataFrame) -> DataFrame:
     heading = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ") & ~x.startswith("# ///")), F.lit(1))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     named = F.initcap(F.regexp_replace(stem, "[-_]", " "))
-    return notes.where(F.trim(raw, F.lit(" \t\r\n")) != "").select("path", F.sha2(raw.cast("binary"), 256).alias("content_hash"), F.size(M.lines(raw)).cast("long").alias("line_count"), F.coalesce(F.trim(F.substring(heading, F.lit(3), F.length(heading))), named).alias("title"))
+    return notes.where(F.trim(raw, F.lit(" \t\r\n")) != "").select(
+        "path",
+        F.sha2(raw.cast("binary"), 256).alias("content_hash"),
+        F.size(M.lines(raw)).cast("long").alias("line_count"),
+        F.coalesce(F.trim(F.substring(heading, F.lit(3), F.length(heading))), named).alias("title"),
+    )
 
 
 def plan(found: DataFrame, kept: DataFrame, narrowed: bool = False) -> DataFrame:
@@ -41,4 +46,10 @@ def annotations(kept: Column) -> Column:
 
 def note(raw: Column, fields: dict[str, Column], kept: Column) -> Column:
     """The note to write: fields as frontmatter, the source's body, and the annotations of the kept note or an empty place for them."""
-    return F.concat(M.formatted(fields), F.lit("\n\n"), F.rtrim(M.without_frontmatter(raw), F.lit(" \t\r\n")), F.lit("\n\n\n"), F.coalesce(annotations(kept), F.lit(f"{MARKER}\n")))
+    return F.concat(
+        M.formatted(fields),
+        F.lit("\n\n"),
+        F.rtrim(M.without_frontmatter(raw), F.lit(" \t\r\n")),
+        F.lit("\n\n\n"),
+        F.coalesce(annotations(kept), F.lit(f"{MARKER}\n")),
+    )

@@ -71,7 +71,12 @@ def metadata(messages: DataFrame) -> DataFrame:
         timestamp(get("$.timestamp")).alias("ts"),
         F.when(reply, get("$.message.model")).alias("model"),
         get("$.agentId").alias("agent"),
-        *[F.when(reply, F.coalesce(get(f"$.message.usage.{k}", "long"), F.lit(0))).alias(k) for k in ("input_tokens", "output_tokens", "cache_read_input_tokens")],
+        *[
+            F.when(
+                reply,
+                F.coalesce(get(f"$.message.usage.{k}", "long"), F.lit(0)),
+            ).alias(k) for k in ("input_tokens", "output_tokens", "cache_read_input_tokens")
+        ],
     )
     minutes = F.greatest(F.lit(1), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000)).cast("long")
     several = F.count("ts") >= 2
@@ -113,14 +118,26 @@ def turns(messages: DataFrame, session: str = "session", order: str = "seq") ->
 def turn_table(turned: DataFrame, session: str = "session") -> DataFrame:
     """One row of each turn: number of messages, characters by role, and the first user text, cleaned."""
     user, reply = F.col("role") == "user", F.col("role") == "assistant"
-    return turned.groupBy(session, "turn").agg(F.count("*").alias("messages"), F.count_if(reply).alias("responses"), F.sum(F.when(user, F.length("text")).otherwise(0)).alias("user_chars"), F.sum(F.when(reply, F.length("text")).otherwise(0)).alias("reply_chars"), F.min_by(F.when(user, F.col("text")), "seq").alias("prompt"))
+    return turned.groupBy(session, "turn").agg(
+        F.count("*").alias("messages"),
+        F.count_if(reply).alias("responses"),
+        F.sum(F.when(user, F.length("text")).otherwise(0)).alias("user_chars"),
+        F.sum(F.when(reply, F.length("text")).otherwise(0)).alias("reply_chars"),
+        F.min_by(F.when(user, F.col("text")), "seq").alias("prompt"),
+    )
 
 
 def tool_calls(found: DataFrame) -> DataFrame:
     """Tool uses beside their results, matched by id within a session; the first result counts, one without a use is named unknown."""
     use = found.where("block = 'tool_use'").select("file", "id", "name", "input")
-    result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("text", F.struct("seq", "nth")).alias("result"), F.min_by("is_error", F.struct("seq", "nth")).alias("is_error"))
-    return use.join(result, ["file", "id"], "full_outer").withColumn("name", F.coalesce("name", F.lit("unknown"))).withColumn("result", M.truncated(F.col("result"), TOOL_RESULT))
+    result = found.where("block = 'tool_result'").groupBy("file", "id").agg(
+        F.min_by("text", F.struct("seq", "nth")).alias("result"),
+        F.min_by("is_error", F.struct("seq", "nth")).alias("is_error"),
+    )
+    return use.join(result, ["file", "id"], "full_outer").withColumn("name", F.coalesce("name", F.lit("unknown"))).withColumn(
+        "result",
+        M.truncated(F.col("result"), TOOL_RESULT),
+    )
 
 
 def prompt_summary(text: Column, meta: Column | None = None) -> Column:
@@ -169,12 +186,29 @@ def marked(messages: DataFrame, session: str = "session", order: str = "seq") ->
 def block_stats(found: DataFrame) -> DataFrame:
     """Of each file: texts by role, tool uses, thoughts and errors, the five tools used most (ties by name), and commits in order of appearance."""
     is_ = lambda b: F.col("block") == b
-    totals = found.groupBy("file").agg(F.count_if(is_("text") & (F.col("type") == "user")).alias("users"), F.count_if(is_("text") & (F.col("type") == "assistant")).alias("responses"), F.count_if(is_("tool_use")).alias("tools"), F.count_if(is_("thinking")).alias("thoughts"), F.count_if("is_error").alias("errors"))
+    totals = found.groupBy("file").agg(
+        F.count_if(is_("text") & (F.col("type") == "user")).alias("users"),
+        F.count_if(is_("text") & (F.col("type") == "assistant")).alias("responses"),
+        F.count_if(is_("tool_use")).alias("tools"),
+        F.count_if(is_("thinking")).alias("thoughts"),
+        F.count_if("is_error").alias("errors"),
+    )
     uses = found.where(is_("tool_use")).groupBy("file", "name").agg(F.count("*").alias("n"))
     w = Window.partitionBy("file").orderBy(F.col("n").desc(), "name")
-    best = uses.withColumn("nth", F.row_number().over(w)).where("nth <= 5").groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name", "n"))), lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias("top_tools"))
-    commit = found.where(is_("tool_result")).select("file", F.struct("seq", "nth").alias("at"), F.explode(F.regexp_extract_all("text", F.lit(r"\[[\w\-/]+ ([a-f0-9]{7,})\]"), F.lit(1))).alias("hash"))
-    commits = commit.groupBy("file", "hash").agg(F.min("at").alias("at")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]).alias("commits"))
+    best = uses.withColumn("nth", F.row_number().over(w)).where("nth <= 5").groupBy("file").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("nth", "name", "n"))),
+            lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n")),
+        ).alias("top_tools")
+    )
+    commit = found.where(is_("tool_result")).select(
+        "file",
+        F.struct("seq", "nth").alias("at"),
+        F.explode(F.regexp_extract_all("text", F.lit(r"\[[\w\-/]+ ([a-f0-9]{7,})\]"), F.lit(1))).alias("hash"),
+    )
+    commits = commit.groupBy("file", "hash").agg(F.min("at").alias("at")).groupBy("file").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]).alias("commits")
+    )
     return totals.join(best, "file", "left").join(commits, "file", "left")
 
 
@@ -191,13 +225,23 @@ def signals(lines: DataFrame, session: str = "file") -> DataFrame:
     out = g.groupBy(session).agg(
         F.count_if(F.col("_kind") == "user").alias("users"), F.count_if(F.col("_kind") == "assistant").alias("assistants"), has(r'"type"\s*:\s*"tool_use"').alias("tools"),
         named("Write|Edit").alias("writes"), named("Bash").alias("bash"), named("Read").alias("reads"), named("Task").alias("subagents"), has(COMMIT).alias("commits"),
-        has(r'"is_error"\s*:\s*true').alias("errors"), has(r'"isCompactSummary"\s*:\s*true').alias("compactions"), F.min_by("_model", F.when(F.col("_model").isNotNull(), at)).alias("model"),
-        F.min_by("value", F.when(F.col("_kind") == "user", at)).alias("_first"), F.min_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_from"), F.max_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_to"),
+        has(r'"is_error"\s*:\s*true').alias("errors"), has(r'"isCompactSummary"\s*:\s*true').alias("compactions"), F.min_by(
+            "_model",
+            F.when(F.col("_model").isNotNull(), at),
+        ).alias("model"),
+        F.min_by(
+            "value",
+            F.when(F.col("_kind") == "user", at),
+        ).alias("_first"), F.min_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_from"), F.max_by("_ts", F.when(F.col("_ts").isNotNull(), at)).alias("_to"),
     )
     minutes = F.greatest(F.lit(0), F.floor(F.coalesce((F.unix_micros("_to") - F.unix_micros("_from")) / 60_000_000, F.lit(0)))).cast("long")
     first = F.try_parse_json("_first")
     content = F.coalesce(*[F.try_variant_get(first, p, "string") for p in ("$.message.content", "$.message", "$.content")], F.lit(""))
-    return out.select("*", minutes.alias("minutes"), F.translate(F.left(M.without_system_tags(content, ("system-reminder",)), F.lit(150)), "\n", " ").alias("first_message")).drop("_first", "_from", "_to")
+    return out.select(
+        "*",
+        minutes.alias("minutes"),
+        F.translate(F.left(M.without_system_tags(content, ("system-reminder",)), F.lit(150)), "\n", " ").alias("first_message"),
+    ).drop("_first", "_from", "_to")
 
 
 def fenced(text: Column, kind: str = "") -> Column:
@@ -213,8 +257,17 @@ def tool_text(calls: DataFrame) -> DataFrame:
     forms = {
         "Bash": F.concat(F.when(about != "", F.concat(F.lit("*"), about, F.lit("*\n\n"))).otherwise(""), fenced(got("command"), "bash")),
         "Read": F.concat(F.lit("Reading: "), code(path)),
-        "Write": F.concat(F.lit("Writing to: "), code(path), F.when(got("content") != "", F.concat(F.lit("\n\n"), fenced(cut(got("content"), 500)))).otherwise("")),
-        "Edit": F.concat(F.lit("Editing: "), code(path), F.lit("\n\n"), fenced(F.concat(F.lit("- "), cut(got("old_string"), 200), F.lit("\n+ "), cut(got("new_string"), 200)), "diff")),
+        "Write": F.concat(
+            F.lit("Writing to: "),
+            code(path),
+            F.when(got("content") != "", F.concat(F.lit("\n\n"), fenced(cut(got("content"), 500)))).otherwise(""),
+        ),
+        "Edit": F.concat(
+            F.lit("Editing: "),
+            code(path),
+            F.lit("\n\n"),
+            fenced(F.concat(F.lit("- "), cut(got("old_string"), 200), F.lit("\n+ "), cut(got("new_string"), 200)), "diff"),
+        ),
         "Grep": F.concat(F.lit("Searching for "), code(got("pattern")), F.lit(" in "), code(got("path", "."))),
         "Glob": F.concat(F.lit("Finding files: "), code(got("pattern")), F.lit(" in "), code(got("path", "."))),
         "Task": F.concat(F.lit("Launching "), got("subagent_type"), F.lit(" agent: "), about),
@@ -222,7 +275,13 @@ def tool_text(calls: DataFrame) -> DataFrame:
     body = F.when(F.coalesce("input", F.lit("{}")) == "{}", "").otherwise(fenced(F.left("input", F.lit(500)), "json"))
     for name, form in forms.items():
         body = F.when(F.col("name") == name, form).otherwise(body)
-    result = F.when(F.col("result").isNotNull(), F.concat(F.when(F.col("is_error"), "\n\n**Error:**\n\n").otherwise("\n\n**Result:**\n\n"), fenced(M.truncated(collapsed("result"), TOOL_RESULT))))
+    result = F.when(
+        F.col("result").isNotNull(),
+        F.concat(
+            F.when(F.col("is_error"), "\n\n**Error:**\n\n").otherwise("\n\n**Result:**\n\n"),
+            fenced(M.truncated(collapsed("result"), TOOL_RESULT)),
+        ),
+    )
     return calls.withColumn("text", F.concat(F.lit("#### Tool: "), "name", F.lit("\n\n"), body, F.coalesce(result, F.lit(""))))
 
 
@@ -230,16 +289,30 @@ def notes(turned: DataFrame, session: str = "session") -> DataFrame:
     """session, part, raw: each session as a note in parts, part 0 its frontmatter (dated by the first message), then one of each message; the note is its parts in order."""
     s = sessions(turned, session).join(turned.groupBy(session).agg(F.max("turn").alias("turns")), session)
     day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("first").cast("timestamp_ntz")), "yyyy-MM-dd")
-    fields = {"type": F.lit("transcript"), "session_id": F.col(session), "date": day, "turns": F.col("turns"), "total_messages": F.col("messages"), "duration_minutes": F.col("minutes")}
+    fields = {
+        "type": F.lit("transcript"),
+        "session_id": F.col(session),
+        "date": day,
+        "turns": F.col("turns"),
+        "total_messages": F.col("messages"),
+        "duration_minutes": F.col("minutes"),
+    }
     head = s.select(session, F.lit(0).alias("part"), F.concat(M.formatted(fields), F.lit("\n")).alias("raw"))
     w = Window.partitionBy(session).orderBy("seq")
-    return head.unionByName(rendered(turned, session).select(session, F.row_number().over(w).alias("part"), F.concat(F.lit("\n"), "markdown", F.lit("\n")).alias("raw")))
+    return head.unionByName(
+        rendered(turned, session).select(session, F.row_number().over(w).alias("part"), F.concat(F.lit("\n"), "markdown", F.lit("\n")).alias("raw"))
+    )
 
 
 def sessions(messages: DataFrame, session: str = "session") -> DataFrame:
     """Messages, first and last time, whole minutes (at least 1, null below two times) of each session."""
     minutes = F.greatest(F.lit(1), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000))
-    return messages.groupBy(session).agg(F.count("*").alias("messages"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.when(F.count("ts") > 1, minutes).cast("long").alias("minutes"))
+    return messages.groupBy(session).agg(
+        F.count("*").alias("messages"),
+        F.min("ts").alias("first"),
+        F.max("ts").alias("last"),
+        F.when(F.count("ts") > 1, minutes).cast("long").alias("minutes"),
+    )
 
 
 #: Characters of a prompt, a thought, a reply and a command in a memo extract, and of the extract.
@@ -251,7 +324,10 @@ def memo_parts(found: DataFrame) -> DataFrame:
     result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("is_error", F.struct("seq", "nth")).alias("failed"))
     b = found.drop("is_error").join(result, ["file", "id"], "left")
     text, use = F.col("block") == "text", F.col("block") == "tool_use"
-    kind = F.when(text & (F.col("type") == "user"), "user").when(text & (F.col("type") == "assistant"), "response").when(F.col("block") == "thinking", "thinking").when(use, "tool")
+    kind = F.when(text & (F.col("type") == "user"), "user").when(
+        text & (F.col("type") == "assistant"),
+        "response",
+    ).when(F.col("block") == "thinking", "thinking").when(use, "tool")
     got = lambda key: F.coalesce(F.get_json_object("input", f"$.{key}"), F.lit(""))
     name = F.coalesce("name", F.lit("unknown"))
     said = F.when(name == "Bash", F.concat(F.lit("Bash: `"), F.left(got("command"), F.lit(MEMO_COMMAND)), F.lit("`")))
@@ -261,13 +337,25 @@ def memo_parts(found: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("seq", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("turn", F.greatest(F.lit(1), F.sum(begins).over(w)).cast("int")).withColumn("kind", kind)
     said = F.when(use, said).otherwise(F.col("text"))
-    return b.select(F.col("file").alias("session"), "turn", "seq", "nth", "kind", said.alias("text")).where(F.col("kind").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
+    return b.select(
+        F.col("file").alias("session"),
+        "turn",
+        "seq",
+        "nth",
+        "kind",
+        said.alias("text"),
+    ).where(F.col("kind").isNotNull() & (F.coalesce("text", F.lit("")) != ""))
 
 
 def memo_extract(parts: DataFrame, budget: int = MEMO_ALL) -> DataFrame:
     """session, turn, text: what a memo is made of, turn by turn (prompt, first thought, reply, tools, each cut), up to the first turn that passes the budget of characters;
     that turn's row tells how many are left out. Of each kind only as much of a turn is gathered as its limit shows."""
-    limits = {"user": (MEMO_USER, "\n", "User"), "thinking": (MEMO_THOUGHT, "", "Thinking"), "response": (MEMO_REPLY, "\n", "Response"), "tool": (budget, ", ", "Tools")}
+    limits = {
+        "user": (MEMO_USER, "\n", "User"),
+        "thinking": (MEMO_THOUGHT, "", "Thinking"),
+        "response": (MEMO_REPLY, "\n", "Response"),
+        "tool": (budget, ", ", "Tools"),
+    }
     w = Window.partitionBy("session", "turn", "kind").orderBy("seq", "nth")
     before = F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = parts.withColumn("before", before).withColumn("first", F.row_number().over(w) == 1)

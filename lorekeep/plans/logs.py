@@ -35,7 +35,10 @@ k AS (SELECT coalesce(u.file, r.file) AS file, coalesce(u.id, r.id) AS id, coale
   FROM u FULL OUTER JOIN r ON u.file = r.file AND u.id = r.id)"""
 
 
-@query("message_blocks", LINES + " SELECT file, seq, CAST(nth AS BIGINT) AS nth, type, block, sha256(coalesce(text, '')) AS text_hash, id, name, is_error FROM b")
+@query(
+    "message_blocks",
+    LINES + " SELECT file, seq, CAST(nth AS BIGINT) AS nth, type, block, sha256(coalesce(text, '')) AS text_hash, id, name, is_error FROM b",
+)
 def message_blocks(s: SparkSession, d: str) -> DataFrame:
     return blocks(s, d).select("file", "seq", "nth", "type", "block", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "id", "name", "is_error")
 
@@ -79,7 +82,16 @@ SELECT a.*, coalesce(top_tools, '') AS top_tools, coalesce(commits, '') AS commi
 def block_stats(s: SparkSession, d: str) -> DataFrame:
     made = transcripts.block_stats(blocks(s, d))
     tools = F.array_join(F.transform("top_tools", lambda x: F.concat_ws(" ", x["name"], x["n"].cast("string"))), ", ")
-    return made.select("file", "users", "responses", "tools", "thoughts", "errors", F.coalesce(tools, F.lit("")).alias("top_tools"), F.coalesce(F.array_join("commits", " "), F.lit("")).alias("commits"))
+    return made.select(
+        "file",
+        "users",
+        "responses",
+        "tools",
+        "thoughts",
+        "errors",
+        F.coalesce(tools, F.lit("")).alias("top_tools"),
+        F.coalesce(F.array_join("commits", " "), F.lit("")).alias("commits"),
+    )
 
 
 @query("session_metadata", LINES + """ SELECT file, count(*) AS messages, CASE WHEN count(*) > 1 THEN strftime(min(ts), '%Y-%m-%d %H:%M:%S') END AS first,
@@ -92,7 +104,10 @@ def block_stats(s: SparkSession, d: str) -> DataFrame:
   CAST(CASE WHEN used THEN sum(CASE WHEN reply THEN 3 END) END AS BIGINT) AS cache_read_tokens
 FROM (SELECT *, sum(CASE WHEN reply THEN length(text) + seq ELSE 0 END) OVER (PARTITION BY file) > 0 AS used FROM c) GROUP BY file, used""")
 def session_metadata(s: SparkSession, d: str) -> DataFrame:
-    at = lambda c: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss").alias(c)
+    at = lambda c: F.date_format(
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")),
+        "yyyy-MM-dd HH:mm:ss",
+    ).alias(c)
     made = transcripts.metadata(parsed(s, d))
     return made.select(*[at(c) if c in ("first", "last") else F.col(c) for c in made.columns])
 
@@ -188,7 +203,10 @@ SELECT count(*) AS notes, count(*) FILTER (contains(raw, '<system-reminder>')) A
   count(*) FILTER (list_max(list_transform(string_split(raw, chr(10)), lambda x: length(x))) > 5000) AS overlong, count(*) FILTER (compacted) AS unmarked FROM n""")
 def note_checks(s: SparkSession, d: str) -> DataFrame:
     """Sessions' texts as notes, some with a leaked tag, without frontmatter or without turns."""
-    m = vault.messages(s, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("x"), F.max("seq").alias("last"))
+    m = vault.messages(s, d).groupBy("session").agg(
+        F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("x"),
+        F.max("seq").alias("last"),
+    )
     head = F.concat(F.when(F.col("session") % 4 == 0, "").otherwise("---\n"), F.when(F.col("session") % 3 == 0, "<system-reminder>").otherwise("## Turn 1\n"))
     raw = F.concat(head, F.array_join(F.transform("x", lambda y: y["text"]), "\n"))
     return transcripts.quality(m.select(F.col("session").alias("path"), raw.alias("raw"), (F.col("last") >= 6).alias("compacted")))

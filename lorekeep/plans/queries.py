@@ -49,7 +49,11 @@ def knn_l2(s: SparkSession, d: str) -> DataFrame:
 
 @query("knn_cosine", CTE + S.ARCHIVE + ", " + S.vectors(20, "cosine") + " SELECT vec_id, path, round(distance, 6) + 0.0 AS distance FROM near")
 def knn_cosine(s: SparkSession, d: str) -> DataFrame:
-    return search.nearest(vault.chunk_vectors(s, d), question_vector(s, d), 20, "cosine").select("vec_id", "path", (F.round("distance", 6) + 0.0).alias("distance"))
+    return search.nearest(vault.chunk_vectors(s, d), question_vector(s, d), 20, "cosine").select(
+        "vec_id",
+        "path",
+        (F.round("distance", 6) + 0.0).alias("distance"),
+    )
 
 
 @query("best_chunk_per_doc", CTE + S.ARCHIVE + ", " + S.vectors(60) + " SELECT path, vec_id, round(distance, 6) AS distance FROM chunk")
@@ -212,7 +216,10 @@ def header_sections(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", F.size(M.split_by_headers(F.col("raw"))).alias("pieces"))
 
 
-@query("open_thread_sections", CTE + S.NOTES + r""" SELECT path, trim(regexp_extract(raw, '(?s)## Open Threads\n(.*)$', 1), ' ' || chr(10)) AS section FROM notes""")
+@query(
+    "open_thread_sections",
+    CTE + S.NOTES + r""" SELECT path, trim(regexp_extract(raw, '(?s)## Open Threads\n(.*)$', 1), ' ' || chr(10)) AS section FROM notes""",
+)
 def open_thread_sections(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", M.section(F.col("raw"), "Key Decisions", "Open Threads").alias("section"))
 
@@ -346,7 +353,12 @@ def link_density(s: SparkSession, d: str) -> DataFrame:
   CAST(len(string_split(raw, chr(10))) AS BIGINT) AS lines FROM docs JOIN notes USING (path)""")
 def file_info(s: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    return vault.notes(s, d).select("path", F.length(raw).alias("chars"), F.regexp_count(M.body(raw), F.lit(r"(?U)\S+")).alias("words"), F.size(M.lines(raw)).alias("lines"))
+    return vault.notes(s, d).select(
+        "path",
+        F.length(raw).alias("chars"),
+        F.regexp_count(M.body(raw), F.lit(r"(?U)\S+")).alias("words"),
+        F.size(M.lines(raw)).alias("lines"),
+    )
 
 
 @query("dead_ends", CTE + S.LINKS + " SELECT path FROM docs WHERE path NOT IN (SELECT source_path FROM resolved WHERE NOT is_broken)")
@@ -559,7 +571,10 @@ def conversation_turns(s: SparkSession, d: str) -> DataFrame:
     "'%Y-%m-%d %H:%M:%S') AS last, CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes FROM "
     "msg GROUP BY session")
 def conversation_sessions(s: SparkSession, d: str) -> DataFrame:
-    at = lambda c: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss").alias(c)
+    at = lambda c: F.date_format(
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")),
+        "yyyy-MM-dd HH:mm:ss",
+    ).alias(c)
     return transcripts.sessions(vault.messages(s, d)).select("session", "messages", at("first"), at("last"), "minutes")
 
 
@@ -633,9 +648,27 @@ sc AS (SELECT session_id, CAST(greatest(0, least(writes * 3, 15) + least(commits
 def triage_scores(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
     of = lambda k: F.count_if(F.col("kind") == k)
-    g = e.groupBy("session_id").agg(of("purchase").alias("writes"), of("signup").alias("commits"), of("click").alias("bash"), of("view").alias("users"), of("error").alias("errors"), (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 60_000_000).alias("minutes"))
+    g = e.groupBy("session_id").agg(
+        of("purchase").alias("writes"),
+        of("signup").alias("commits"),
+        of("click").alias("bash"),
+        of("view").alias("users"),
+        of("error").alias("errors"),
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 60_000_000).alias("minutes"),
+    )
     zero = F.lit(0)
-    score = curation.triage_score(F.col("writes"), F.col("commits"), F.col("bash"), F.col("users"), zero, zero, F.col("minutes"), F.lit(False), F.lit(False), F.col("errors"))
+    score = curation.triage_score(
+        F.col("writes"),
+        F.col("commits"),
+        F.col("bash"),
+        F.col("users"),
+        zero,
+        zero,
+        F.col("minutes"),
+        F.lit(False),
+        F.lit(False),
+        F.col("errors"),
+    )
     return g.select("session_id", score.cast("long").alias("score")).withColumn("grade", curation.grade(F.col("score")))
 
 
@@ -682,7 +715,10 @@ def queue_drain(s: SparkSession, d: str) -> DataFrame:
     "AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
 def activity_windows(s: SparkSession, d: str) -> DataFrame:
     e = vault.session_events(s, d)
-    return e.groupBy("kind", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("users"))
+    return e.groupBy(
+        "kind",
+        F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day"),
+    ).agg(F.count("*").alias("events"), F.countDistinct("session_id").alias("users"))
 
 
 # Further queries register themselves.

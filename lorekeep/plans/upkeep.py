@@ -71,7 +71,10 @@ def knn_batch(s: SparkSession, d: str) -> DataFrame:
 # Chunks and texts
 
 
-@query("content_routes", CTE + S.NOTES + """ SELECT path, CASE WHEN contains(path, '/transcripts/') THEN 'transcript' WHEN contains(path, '/auto-memory/') THEN 'auto-memory' ELSE type END AS route FROM docs""")
+@query(
+    "content_routes",
+    CTE + S.NOTES + """ SELECT path, CASE WHEN contains(path, '/transcripts/') THEN 'transcript' WHEN contains(path, '/auto-memory/') THEN 'auto-memory' ELSE type END AS route FROM docs""",
+)
 def content_routes(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", chunking.route(F.col("path"), F.col("raw")).alias("route"))
 
@@ -100,13 +103,19 @@ def text_ends(s: SparkSession, d: str) -> DataFrame:
     return vault.archive(s, d).select("path", one(chunking.first_words(c, 40)).alias("head"), one(chunking.last_words(c, 30)).alias("tail"))
 
 
-@query("note_overviews", CTE + S.NOTES + r""" SELECT path, nullif(trim(regexp_extract(replace(raw, '## Summary', '## Overview'), '(?s)(## Overview.*?)\n## Open Threads', 1), chr(10)), '') AS overview FROM notes""")
+@query(
+    "note_overviews",
+    CTE + S.NOTES + r""" SELECT path, nullif(trim(regexp_extract(replace(raw, '## Summary', '## Overview'), '(?s)(## Overview.*?)\n## Open Threads', 1), chr(10)), '') AS overview FROM notes""",
+)
 def note_overviews(s: SparkSession, d: str) -> DataFrame:
     raw = F.replace("raw", F.lit("## Summary"), F.lit("## Overview"))
     return vault.notes(s, d).select("path", F.trim(M.overview(raw), F.lit("\n")).alias("overview"))
 
 
-@query("plain_topics", CTE + S.NOTES + r""" SELECT path, sha256('topics:' || chr(10) || '  - x' || (doc_id % 7) || chr(10) || '  - y' || chr(10) || content) AS kept FROM notes JOIN docs USING (path)""")
+@query(
+    "plain_topics",
+    CTE + S.NOTES + r""" SELECT path, sha256('topics:' || chr(10) || '  - x' || (doc_id % 7) || chr(10) || '  - y' || chr(10) || content) AS kept FROM notes JOIN docs USING (path)""",
+)
 def plain_topics(s: SparkSession, d: str) -> DataFrame:
     """Notes whose topics are listed as quoted links."""
     n = vault.notes(s, d).select("path", "doc_id", M.body(F.col("raw")).alias("content"))
@@ -134,10 +143,19 @@ def project_names(s: SparkSession, d: str) -> DataFrame:
     p = vault.table(s, d, "pages").select("url").distinct()
     folder = M.folder_project(F.concat(F.lit("-Users-alice-Documents-"), host))
     remote = M.remote_project(F.concat(F.lit("https://"), host, F.lit("/user/repo.git")))
-    return p.select("url", M.project_name(url).alias("safe"), M.unique_name(url, url, F.lit(True)).alias("other"), folder.alias("folder"), remote.alias("remote"))
-
-
-@query("session_suffixes", """SELECT conv_id AS session, CASE WHEN conv_id % 2 = 0 THEN left(md5(CAST(conv_id AS VARCHAR)), 8) END AS suffix FROM (SELECT DISTINCT conv_id FROM conversations)""")
+    return p.select(
+        "url",
+        M.project_name(url).alias("safe"),
+        M.unique_name(url, url, F.lit(True)).alias("other"),
+        folder.alias("folder"),
+        remote.alias("remote"),
+    )
+
+
+@query(
+    "session_suffixes",
+    """SELECT conv_id AS session, CASE WHEN conv_id % 2 = 0 THEN left(md5(CAST(conv_id AS VARCHAR)), 8) END AS suffix FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
 def session_suffixes(s: SparkSession, d: str) -> DataFrame:
     """Of file names that end in a suffix, and of others."""
     i = F.col("session")
@@ -161,7 +179,15 @@ SELECT 'p' || p AS project, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS
 def project_logs(s: SparkSession, d: str) -> DataFrame:
     """Logs written as files in project folders; small ones don't count."""
     m = vault.messages(s, d)
-    one = m.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("raw"))
+    one = m.groupBy("session").agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))),
+                lambda x: F.concat(x["t"], F.lit("\n")),
+            ),
+            "",
+        ).alias("raw")
+    )
     path = F.concat(F.lit("p"), (F.col("session") % 7).cast("string"), F.lit("/s"), F.col("session").cast("string"), F.lit(".jsonl"))
     root = store.fresh(s, "logs")
     store.write_files(one.select(path.alias("path"), "raw"), root).write.format("noop").mode("overwrite").save()
@@ -190,7 +216,12 @@ def log_errors(s: SparkSession, d: str) -> DataFrame:
 @query("queue_remaining", """WITH q AS (SELECT 's' || user_id AS path, min(ts) AS since FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50) GROUP BY 1)
 SELECT path FROM (SELECT path, row_number() OVER (ORDER BY since, path) AS nth FROM q) WHERE nth > 5""")
 def queue_remaining(s: SparkSession, d: str) -> DataFrame:
-    e = vault.table(s, d, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("path"), F.col("ts").alias("enqueued_at"), "event_type", "value")
+    e = vault.table(s, d, "events").select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("path"),
+        F.col("ts").alias("enqueued_at"),
+        "event_type",
+        "value",
+    )
     done = e.where("event_type = 'purchase' and value > 50").select("path").distinct()
     return hooks.remaining(e.where("event_type = 'error'"), done, 5).select("path")
 
@@ -234,7 +265,10 @@ def open_tasks_top(s: SparkSession, d: str) -> DataFrame:
     return graph.newest_tasks(graph.open_tasks(tasks, docs, SINCE), 50).select("doc_path", "task_text", "line_number", "title", "date")
 
 
-@query("project_broken_links", CTE + S.LINKS + " SELECT source_path, link_text, line_number FROM resolved WHERE is_broken AND starts_with(source_path, 'projects/src1/')")
+@query(
+    "project_broken_links",
+    CTE + S.LINKS + " SELECT source_path, link_text, line_number FROM resolved WHERE is_broken AND starts_with(source_path, 'projects/src1/')",
+)
 def project_broken_links(s: SparkSession, d: str) -> DataFrame:
     return graph.broken(derived(s, d, "links"), "src1").select("source_path", "link_text", "line_number")
 
@@ -244,7 +278,10 @@ def outlinks(s: SparkSession, d: str) -> DataFrame:
     return graph.outlinks(derived(s, d, "links"))
 
 
-@query("crystallization_top", CTE + PAGES + f", t AS (SELECT link, refs, projects, {TIER} AS tier FROM refs) SELECT * FROM t ORDER BY CASE tier WHEN 'OVERDUE' THEN 1 WHEN 'READY' THEN 2 WHEN 'MATURING' THEN 3 ELSE 4 END, refs DESC, link LIMIT 30")
+@query(
+    "crystallization_top",
+    CTE + PAGES + f", t AS (SELECT link, refs, projects, {TIER} AS tier FROM refs) SELECT * FROM t ORDER BY CASE tier WHEN 'OVERDUE' THEN 1 WHEN 'READY' THEN 2 WHEN 'MATURING' THEN 3 ELSE 4 END, refs DESC, link LIMIT 30",
+)
 def crystallization_top(s: SparkSession, d: str) -> DataFrame:
     r = curation.link_refs(vault.page_links(s, d))
     return curation.ranked(r.withColumn("tier", curation.tier(F.col("refs"), F.col("projects"))), 30)

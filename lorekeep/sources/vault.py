@@ -40,7 +40,10 @@ def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> Data
     keyword_only, views and archived notes. Undecodable bytes become replacement characters. Spark's reader leaves empty files out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    text = F.when(
+        F.is_valid_utf8(F.col("content").cast("string")),
+        F.col("content").cast("string"),
+    ).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
     f = files.select("path", text.alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
     if not keyword_only:
         f = f.unionByName(overviews(spark, root))
@@ -78,14 +81,21 @@ def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def log_files(spark: SparkSession, root: str, min_bytes: int = 1024) -> DataFrame:
     """project, count, bytes, first and last change of the conversation logs."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root).drop("content")
-    return f.where(F.col("length") >= min_bytes).groupBy(F.element_at(F.split("path", "/"), -2).alias("project")).agg(F.count("*").alias("sessions"), F.sum("length").alias("bytes"), F.min("modificationTime").alias("first"), F.max("modificationTime").alias("last"))
+    return f.where(F.col("length") >= min_bytes).groupBy(F.element_at(F.split("path", "/"), -2).alias("project")).agg(
+        F.count("*").alias("sessions"),
+        F.sum("length").alias("bytes"),
+        F.min("modificationTime").alias("first"),
+        F.max("modificationTime").alias("last"),
+    )
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, title, content, type, project, date: an archive made from documents by arithmetic."""
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")
     folder = F.when(i % 10 < 6, "memos").when(i % 10 < 8, "transcripts").otherwise("auto-memory")
-    path = F.when(i % 10 == 8, F.concat(F.lit("topics/d"), s, F.lit(".md"))).otherwise(F.concat(F.lit("projects/"), "source", F.lit("/"), folder, F.lit("/d"), s, F.lit(".md")))
+    path = F.when(i % 10 == 8, F.concat(F.lit("topics/d"), s, F.lit(".md"))).otherwise(
+        F.concat(F.lit("projects/"), "source", F.lit("/"), folder, F.lit("/d"), s, F.lit(".md"))
+    )
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         path.alias("path"),
@@ -159,19 +169,39 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_reply, is_answer = F.col("role") == "assistant", (F.col("role") == "user") & (seq % 4).isin(2, 3)
     usage = F.struct(F.length(text).alias("input_tokens"), seq.cast("int").alias("output_tokens"), F.lit(3).alias("cache_read_input_tokens"))
     model = F.when(is_reply, F.when(seq % 4 == 1, "claude-sonnet").otherwise("claude-opus"))
-    head = [F.col("role").alias("type"), at.alias("timestamp"), F.when((session % 5 == 0) & (seq > 3), F.concat(F.lit("a"), session.cast("string"))).alias("agentId"), F.when(seq == 6, True).alias("isCompactSummary")]
-    line = lambda content: F.to_json(F.struct(*head, F.struct(F.col("role"), model.alias("model"), F.when(is_reply, usage).alias("usage"), content.alias("content")).alias("message")))
+    head = [
+        F.col("role").alias("type"),
+        at.alias("timestamp"),
+        F.when((session % 5 == 0) & (seq > 3), F.concat(F.lit("a"), session.cast("string"))).alias("agentId"),
+        F.when(seq == 6, True).alias("isCompactSummary"),
+    ]
+    line = lambda content: F.to_json(
+        F.struct(
+            *head,
+            F.struct(F.col("role"), model.alias("model"), F.when(is_reply, usage).alias("usage"), content.alias("content")).alias("message"),
+        )
+    )
     value = F.when(is_reply, line(reply)).when(is_answer, line(answer)).otherwise(line(text))
     return m.select(F.concat(F.lit("s"), session.cast("string")).alias("file"), seq.cast("long").alias("seq"), value.alias("value"))
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, ts, memo_saved, kind from events."""
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "ts", "event_id", (F.col("event_type") == "purchase").alias("memo_saved"), F.col("event_type").alias("kind"))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
+        "ts",
+        "event_id",
+        (F.col("event_type") == "purchase").alias("memo_saved"),
+        F.col("event_type").alias("kind"),
+    )
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_path, link_text, project of each anchor of the pages: links that no page answers."""
     anchor = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
     p = table(spark, sf_dir, "pages").select("url", F.explode(F.regexp_extract_all("html", F.lit(anchor), F.lit(2))).alias("link_text"))
-    return p.select(F.col("url").alias("source_path"), F.trim("link_text").alias("link_text"), F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/]+)", 1), F.lit("")), F.lit("_vault")).alias("project"))
+    return p.select(
+        F.col("url").alias("source_path"),
+        F.trim("link_text").alias("link_text"),
+        F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([^/]+)", 1), F.lit("")), F.lit("_vault")).alias("project"),
+    )

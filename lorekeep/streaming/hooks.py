@@ -86,4 +86,7 @@ def remaining(queue: DataFrame, done: DataFrame, most: int) -> DataFrame:
 
 def viable(lines: DataFrame, least: int = 6) -> DataFrame:
     """Sessions worth archiving: enough lines, or a tool in use."""
-    return lines.groupBy("session_id").agg(F.count("*").alias("lines"), F.count_if(F.col("text").contains("tool_use")).alias("tools")).where((F.col("lines") >= least) | (F.col("tools") > 0))
+    return lines.groupBy("session_id").agg(
+        F.count("*").alias("lines"),
+        F.count_if(F.col("text").contains("tool_use")).alias("tools"),
+    ).where((F.col("lines") >= least) | (F.col("tools") > 0))

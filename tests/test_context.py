@@ -112,7 +112,18 @@ def test_tools_and_stats(spark):
     rows = message(
         spark,
         {"type": "user", "message": {"content": "hi"}},
-        {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "h"}, use("1", "Bash", command="ls", description="list"), use("2", "Edit", file_path="a", old_string="x", new_string="y"), use("3", "Own", k=1), use("4", "Bash", command="b")]}},
+        {
+            "type": "assistant",
+            "message": {
+                "content": [
+                    {"type": "thinking", "thinking": "h"},
+                    use("1", "Bash", command="ls", description="list"),
+                    use("2", "Edit", file_path="a", old_string="x", new_string="y"),
+                    use("3", "Own", k=1),
+                    use("4", "Bash", command="b"),
+                ]
+            },
+        },
         {"type": "user", "message": {"content": [out("1", "[main abc1234] done\n[main abc1234] again"), out("2", "[dev 1234567] x")]}},
     )
     b = transcripts.blocks(rows.withColumn("message", F.try_parse_json("value")))
@@ -134,20 +145,48 @@ def test_signals(spark):
         {"type": "user", "isCompactSummary": True, "message": {"content": [{"type": "tool_result", "is_error": True, "content": "[main abcdef0] ok"}]}},
     )
     s = transcripts.signals(rows).head()
-    assert (s.users, s.assistants, s.tools, s.writes, s.commits, s.errors, s.compactions, s.model, s.minutes, s.first_message) == (2, 1, 1, 1, 1, 1, 1, "opus", 9, "first line")
+    assert (
+        s.users,
+        s.assistants,
+        s.tools,
+        s.writes,
+        s.commits,
+        s.errors,
+        s.compactions,
+        s.model,
+        s.minutes,
+        s.first_message,
+    ) == (2, 1, 1, 1, 1, 1, 1, "opus", 9, "first line")
     e = transcripts.signals(message(spark, {"type": "x"})).head()
     assert (e.users, e.model, e.minutes, e.first_message) == (0, None, 0, "")
 
 
 def test_marked(spark):
-    rows = [("s", 0, "assistant", "early", None, None), ("s", 1, "user", "q", "a", None), ("s", 2, "assistant", "r", "a", None), ("s", 3, "assistant", "r", "b", None), ("s", 4, "user", transcripts.CONTINUED + " x", "b", None), ("s", 5, "assistant", "z", None, True)]
+    rows = [
+        ("s", 0, "assistant", "early", None, None),
+        ("s", 1, "user", "q", "a", None),
+        ("s", 2, "assistant", "r", "a", None),
+        ("s", 3, "assistant", "r", "b", None),
+        ("s", 4, "user", transcripts.CONTINUED + " x", "b", None),
+        ("s", 5, "assistant", "z", None, True),
+    ]
     m = spark.createDataFrame(rows, "session string, seq long, role string, text string, agent string, compact boolean")
     got = [(r.turn, r.marker) for r in transcripts.marked(m).orderBy("seq").collect()]
     assert got == [(1, None), (1, None), (1, None), (2, "agent"), (3, "compaction"), (4, "compaction")]
 
 
 def test_related(spark):
-    docs = spark.createDataFrame([("a", "memo", "alpha beta"), ("b", "memo", "alpha beta gamma"), ("c", "transcript", "alpha alpha"), ("d", "concept", "delta"), ("e", "memo", "beta"), *[(f"x{i}", "memo", "filler words") for i in range(9)]], "path string, type string, content string")
+    docs = spark.createDataFrame(
+        [
+            ("a", "memo", "alpha beta"),
+            ("b", "memo", "alpha beta gamma"),
+            ("c", "transcript", "alpha alpha"),
+            ("d", "concept", "delta"),
+            ("e", "memo", "beta"),
+            *[(f"x{i}", "memo", "filler words") for i in range(9)],
+        ],
+        "path string, type string, content string",
+    )
     asking = docs.where("path = 'a'").select("path", F.lit("Alpha OR beta").alias("title"))
     got = [(r.rank, r.related) for r in search.related(search.indexed(docs), asking).orderBy("rank").collect()]
     assert [x for x, _ in got] == [1, 2] and {x for _, x in got} == {"b", "e"}
@@ -156,7 +195,37 @@ def test_related(spark):
 
 @pytest.mark.parametrize(
     ("word", "expected"),
-    [("caresses", "caress"), ("ponies", "poni"), ("feed", "feed"), ("agreed", "agre"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("rational", "ration"), ("digitizer", "digit"), ("vietnamization", "vietnam"), ("decisiveness", "decis"), ("sensibiliti", "sensibl"), ("electrical", "electr"), ("goodness", "good"), ("adoption", "adopt"), ("replacement", "replac"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("is", "is"), ("", ""), ("2024s", "2024")],
+    [
+        ("caresses", "caress"),
+        ("ponies", "poni"),
+        ("feed", "feed"),
+        ("agreed", "agre"),
+        ("motoring", "motor"),
+        ("sing", "sing"),
+        ("conflated", "conflat"),
+        ("hopping", "hop"),
+        ("falling", "fall"),
+        ("filing", "file"),
+        ("happy", "happi"),
+        ("sky", "sky"),
+        ("relational", "relat"),
+        ("rational", "ration"),
+        ("digitizer", "digit"),
+        ("vietnamization", "vietnam"),
+        ("decisiveness", "decis"),
+        ("sensibiliti", "sensibl"),
+        ("electrical", "electr"),
+        ("goodness", "good"),
+        ("adoption", "adopt"),
+        ("replacement", "replac"),
+        ("probate", "probat"),
+        ("rate", "rate"),
+        ("cease", "ceas"),
+        ("controll", "control"),
+        ("is", "is"),
+        ("", ""),
+        ("2024s", "2024"),
+    ],
 )
 def test_stem(word, expected):
     assert stem(word) == expected
@@ -169,7 +238,11 @@ def test_stemmed_search(spark):
     got = {r.path: r.score for r in search.bm25_batch(search.indexed(docs, stemmed=True), asked, 9, stemmed=True).collect()}
     words = {k: [stem(w) for w in v.replace("é", "e").replace(",", "").lower().split()] for k, v in texts.items()}
     mean = sum(map(len, words.values())) / len(words)
-    score = lambda ws: sum(max(math.log((4 - 2 + 0.5) / (2 + 0.5)), 1e-6) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in ("connect", "cafe"))
+    score = lambda ws: sum(
+        max(math.log((4 - 2 + 0.5) / (2 + 0.5)), 1e-6) * ws.count(t) * 2.2 / (
+            ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)
+        ) for t in ("connect", "cafe")
+    )
     assert set(got) == {"a", "b"} and all(abs(got[k] - score(words[k])) < 1e-12 for k in got)
     assert one(spark, "Ünïcode šč ø 漢", folded) == "Unicode sc ø 漢"
 

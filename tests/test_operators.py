@@ -17,7 +17,14 @@ def notes(spark, **raw):
 
 @pytest.mark.parametrize(
     ("raw", "key", "expected"),
-    [("no block", "a", None), ("---\na: 1\n", "a", None), ("---\na: x---y\n---\n", "a", "x"), ("---\na: 1\na: 2\n---", "a", "2"), ('---\na: "q"\n---', "a", "q"), ("---\na: b:c\n---", "a", "b:c")],
+    [
+        ("no block", "a", None),
+        ("---\na: 1\n", "a", None),
+        ("---\na: x---y\n---\n", "a", "x"),
+        ("---\na: 1\na: 2\n---", "a", "2"),
+        ('---\na: "q"\n---', "a", "q"),
+        ("---\na: b:c\n---", "a", "b:c"),
+    ],
 )
 def test_frontmatter(spark, raw, key, expected):
     row = spark.createDataFrame([(raw,)], "raw string").select(M.value(M.frontmatter(F.col("raw")), key)).head()
@@ -30,10 +37,23 @@ def test_lists(spark):
 
 
 def test_links(spark):
-    n = notes(spark, projects__a__memos__m="see [[t1]] and [[t1]] [[t1#s|x]] [[Al]] [[al]] [[#only]] [[b]] [[topics/t1.md]]", topics__t1="---\naliases: [Al]\n---\nx", projects__b___project="y")
+    n = notes(
+        spark,
+        projects__a__memos__m="see [[t1]] and [[t1]] [[t1#s|x]] [[Al]] [[al]] [[#only]] [[b]] [[topics/t1.md]]",
+        topics__t1="---\naliases: [Al]\n---\nx",
+        projects__b___project="y",
+    )
     docs = extract.documents(n)
     r = {x.link_text: x.target_path for x in extract.resolved(extract.links(n), docs).collect()}
-    assert r == {"t1": "topics/t1.md", "t1#s": "topics/t1.md", "Al": "topics/t1.md", "al": None, "#only": None, "b": "projects/b/_project.md", "topics/t1.md": "topics/t1.md"}
+    assert r == {
+        "t1": "topics/t1.md",
+        "t1#s": "topics/t1.md",
+        "Al": "topics/t1.md",
+        "al": None,
+        "#only": None,
+        "b": "projects/b/_project.md",
+        "topics/t1.md": "topics/t1.md",
+    }
     assert {x.path for x in graph.orphans(docs, extract.resolved(extract.links(n), docs)).collect()} == {"projects/a/memos/m.md"}
 
 
@@ -65,26 +85,75 @@ def test_modes(spark, small):
 
 
 def test_tiers_and_noise(spark):
-    rows = [("one", "f1", "p"), ("two", "f1", "p"), ("two", "f2", "p"), ("three", "f1", "p"), ("three", "f2", "p"), ("three", "f3", "p"), ("ready", "f1", "p"), ("ready", "f2", "q"), ("ready", "f3", "_topics"), *[("five", f"f{i}", "p") for i in range(5)], ("?x", "f", "p"), ("a/b", "f", "p"), ("20240101-x", "f", "p"), ("http://x", "f", "p"), ("12", "f", "p"), ("Topic", "f", "p")]
+    rows = [
+        ("one", "f1", "p"),
+        ("two", "f1", "p"),
+        ("two", "f2", "p"),
+        ("three", "f1", "p"),
+        ("three", "f2", "p"),
+        ("three", "f3", "p"),
+        ("ready", "f1", "p"),
+        ("ready", "f2", "q"),
+        ("ready", "f3", "_topics"),
+        *[("five", f"f{i}", "p") for i in range(5)],
+        ("?x", "f", "p"),
+        ("a/b", "f", "p"),
+        ("20240101-x", "f", "p"),
+        ("http://x", "f", "p"),
+        ("12", "f", "p"),
+        ("Topic", "f", "p"),
+    ]
     r = curation.link_refs(spark.createDataFrame(rows, "link_text string, source_path string, project string"))
-    assert {x.link: x.t for x in r.select("link", curation.tier(F.col("refs"), F.col("projects")).alias("t")).collect()} == {"one": "SEEDLING", "two": "MATURING", "three": "MATURING", "ready": "READY", "five": "OVERDUE"}
+    assert {
+        x.link: x.t for x in r.select("link", curation.tier(F.col("refs"), F.col("projects")).alias("t")).collect()
+    } == {"one": "SEEDLING", "two": "MATURING", "three": "MATURING", "ready": "READY", "five": "OVERDUE"}
 
 
-@pytest.mark.parametrize(("args", "score"), [((9, 9, 9, 20, 9, 1, 60, True, True, 0), 15 + 15 + 5 + 10 + 9 + 4 + 8 + 4), ((0, 0, 0, 0, 0, 0, 4, False, False, 9), 0), ((1, 0, 0, 1, 0, 0, 5, False, False, 1), 4)])
+@pytest.mark.parametrize(
+    ("args", "score"),
+    [
+        ((9, 9, 9, 20, 9, 1, 60, True, True, 0), 15 + 15 + 5 + 10 + 9 + 4 + 8 + 4),
+        ((0, 0, 0, 0, 0, 0, 4, False, False, 9), 0),
+        ((1, 0, 0, 1, 0, 0, 5, False, False, 1), 4),
+    ],
+)
 def test_triage(spark, args, score):
     row = spark.range(1).select(curation.triage_score(*map(F.lit, args)).alias("s")).select("s", curation.grade(F.col("s")).alias("g")).head()
     assert row.s == score and row.g == ("high" if score >= 16 else "moderate" if score >= 9 else "low" if score >= 4 else "skip")
 
 
 def test_messages(spark, tmp_path):
-    lines = [{"type": "user", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": "hi"}}, {"type": "assistant", "timestamp": 1704067200000, "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "tool_use", "id": "t1", "name": "Bash"}, {"type": "text", "text": "yes"}]}}, {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "out", "is_error": True}, {"type": "tool_result", "tool_use_id": "t9", "content": "lost"}]}}]
+    lines = [
+        {"type": "user", "timestamp": "2024-01-01T00:00:00Z", "message": {"content": "hi"}},
+        {
+            "type": "assistant",
+            "timestamp": 1704067200000,
+            "message": {
+                "content": [{"type": "thinking", "thinking": "hm"}, {"type": "tool_use", "id": "t1", "name": "Bash"}, {"type": "text", "text": "yes"}]
+            },
+        },
+        {
+            "type": "user",
+            "message": {
+                "content": [
+                    {"type": "tool_result", "tool_use_id": "t1", "content": "out", "is_error": True},
+                    {"type": "tool_result", "tool_use_id": "t9", "content": "lost"},
+                ]
+            },
+        },
+    ]
     (tmp_path / "s.jsonl").write_text("\n".join([*map(json.dumps, lines), "", "{bad"]))
     m = vault.jsonl(spark, str(tmp_path / "s.jsonl"))
     assert vault.parse_errors(m).head()[1:] == (4, 1)
     b = transcripts.blocks(m.withColumn("seq", F.monotonically_increasing_id()))
     assert {(r.block, r.text) for r in b.collect()} >= {("text", "hi"), ("thinking", "hm"), ("text", "yes")}
-    assert {r.id: (r.name, r.result, r.is_error) for r in transcripts.tool_calls(b).collect()} == {"t1": ("Bash", "out", True), "t9": ("unknown", "lost", False)}
-    at = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("1704067200000",), ("x",)], "t string").select(transcripts.timestamp(F.col("t")).alias("t")).collect()
+    assert {
+        r.id: (r.name, r.result, r.is_error) for r in transcripts.tool_calls(b).collect()
+    } == {"t1": ("Bash", "out", True), "t9": ("unknown", "lost", False)}
+    at = spark.createDataFrame(
+        [("2024-01-01T00:00:00Z",), ("1704067200000",), ("x",)],
+        "t string",
+    ).select(transcripts.timestamp(F.col("t")).alias("t")).collect()
     assert at[0].t == at[1].t and at[2].t is None
 
 
@@ -105,7 +174,10 @@ def test_chunks():
 
 def test_embedding_cache(spark):
     made = chunking.chunks(notes(spark, a="one", b="two", c="one"))
-    cache = spark.createDataFrame([("p", "m", made.where("content = 'one'").head().content_hash, [1.0])], "provider string, model string, content_hash string, embedding array<float>")
+    cache = spark.createDataFrame(
+        [("p", "m", made.where("content = 'one'").head().content_hash, [1.0])],
+        "provider string, model string, content_hash string, embedding array<float>",
+    )
     known, new = chunking.to_embed(made, cache, "p", "m")
     assert known.count() == 2 and [r.content for r in new.collect()] == ["two"]
     vectors = chunking.embedded(new, chunking.hash_embedder(8)).head().embedding
@@ -126,7 +198,15 @@ def test_incremental_equals_full(spark, tmp_path):
 
 
 def test_vault(spark, tmp_path):
-    for p, raw in {"projects/a/memos/m.md": "x", "projects/a/_project.md": "p", "projects/a/_x.md": "n", "projects/_templates/t.md": "n", "topics/t.md": "t", "topics/deep/t.md": "n", "projects/a/old.md": "---\nstatus: archived\n---"}.items():
+    for p, raw in {
+        "projects/a/memos/m.md": "x",
+        "projects/a/_project.md": "p",
+        "projects/a/_x.md": "n",
+        "projects/_templates/t.md": "n",
+        "topics/t.md": "t",
+        "topics/deep/t.md": "n",
+        "projects/a/old.md": "---\nstatus: archived\n---",
+    }.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(raw)
     assert {r.path for r in vault.markdown(spark, str(tmp_path)).collect()} == {"projects/a/memos/m.md", "projects/a/_project.md", "topics/t.md"}
@@ -138,16 +218,25 @@ def test_nudge_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "session_id string, n long, memo_saved boolean")
     df.coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id string, n long, memo_saved boolean").json(str(tmp_path / "in"))
-    q = hooks.nudges(stream.select("session_id", "memo_saved")).writeStream.format("memory").queryName("nudged").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = hooks.nudges(stream.select("session_id", "memo_saved")).writeStream.format("memory").queryName("nudged").option(
+        "checkpointLocation",
+        str(tmp_path / "ck"),
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("nudged").collect()}
     assert got == {tuple(r) for r in hooks.nudges_batch(df, 20, 15, "n").collect()} == {("s1", 20), ("s1", 35)}
 
 
 def test_phases_stream(spark, tmp_path):
-    df = spark.createDataFrame([("s", "end", "2024-01-01 00:00:00"), ("s", "end", "2024-01-01 00:01:00"), ("s", "memo", "2024-01-01 00:02:00")], "session_id string, phase string, t string")
+    df = spark.createDataFrame(
+        [("s", "end", "2024-01-01 00:00:00"), ("s", "end", "2024-01-01 00:01:00"), ("s", "memo", "2024-01-01 00:02:00")],
+        "session_id string, phase string, t string",
+    )
     df.coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id string, phase string, t string").json(str(tmp_path / "in")).withColumn("ts", F.to_timestamp("t"))
-    q = hooks.phases_once(stream).writeStream.format("memory").queryName("phases").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = hooks.phases_once(stream).writeStream.format("memory").queryName("phases").option(
+        "checkpointLocation",
+        str(tmp_path / "ck"),
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("phases").count() == 2

@@ -16,14 +16,23 @@ def value(spark, c):
     return spark.range(1).select(c.alias("x")).head().x
 
 
-TEXTS = {"a": "The quick brown fox jumps over the lazy dog", "b": "quick thinking, brown bears", "c": "a lazy afternoon with foxes", "d": "nothing of note", "e": ""}
+TEXTS = {
+    "a": "The quick brown fox jumps over the lazy dog",
+    "b": "quick thinking, brown bears",
+    "c": "a lazy afternoon with foxes",
+    "d": "nothing of note",
+    "e": "",
+}
 
 
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
         ("quick brown", "ab"), ("quick AND brown", "ab"), ("quick OR lazy", "abc"), ("lazy NOT fox", "c"), ("fox*", "ac"), ('"quick brown"', "a"), ('"brown bears"', "b"),
-        ("(quick OR lazy) NOT (bears OR dog)", "c"), ("quick OR lazy NOT fox", "abc"), ("NEAR(quick jumps, 2)", "a"), ("NEAR(quick dog, 2)", ""), ("NEAR(dog quick, 10)", "a"),
+        (
+            "(quick OR lazy) NOT (bears OR dog)",
+            "c",
+        ), ("quick OR lazy NOT fox", "abc"), ("NEAR(quick jumps, 2)", "a"), ("NEAR(quick dog, 2)", ""), ("NEAR(dog quick, 10)", "a"),
         ('NEAR("quick brown" jumps, 1)', "a"), ("title:one fox", "a"), ("title:o*", "ac"), ('title:"no such"', ""), ("one", "ac"), ("content:one", ""), ("lazy (fox OR with)", "ac"),
     ],
 )
@@ -36,7 +45,16 @@ def test_condition(spark, query, expected):
 def test_stored_index(spark, tmp_path):
     """Scores from the stored index are those of a scan, narrowed or not, and a search reads its terms only."""
     draw = random.Random(2)
-    docs = spark.createDataFrame([(f"d{i}", " ".join(draw.choices("alpha beta gamma delta eps the".split(), k=draw.randrange(1, 30))), "x" if i % 3 else "y") for i in range(300)], "path string, content string, type string")
+    docs = spark.createDataFrame(
+        [
+            (
+                f"d{i}",
+                " ".join(draw.choices("alpha beta gamma delta eps the".split(), k=draw.randrange(1, 30))),
+                "x" if i % 3 else "y",
+            ) for i in range(300)
+        ],
+        "path string, content string, type string",
+    )
     search.write_postings(search.postings(docs), str(tmp_path / "p"))
     search.catalog(docs).write.parquet(str(tmp_path / "c"))
     ix = search.Index(spark.read.parquet(str(tmp_path / "c")), spark.read.parquet(str(tmp_path / "p")))
@@ -96,12 +114,23 @@ def test_results(spark):
 
 
 def test_routes_and_chunks(spark):
-    raws = {"projects/a/transcripts/t": "---\ntype: memo\n---\nx", "projects/a/auto-memory/m": "y", "m": "---\ntype: memo\nproject: p\n---\nbody", "n": "---\ntype: odd\n---\nz", "o": "", "c": "---\ntype: concept\ntitle: T\n---\n" + "w " * 2000}
+    raws = {
+        "projects/a/transcripts/t": "---\ntype: memo\n---\nx",
+        "projects/a/auto-memory/m": "y",
+        "m": "---\ntype: memo\nproject: p\n---\nbody",
+        "n": "---\ntype: odd\n---\nz",
+        "o": "",
+        "c": "---\ntype: concept\ntitle: T\n---\n" + "w " * 2000,
+    }
     notes = spark.createDataFrame(list(raws.items()), "path string, raw string")
     routes = {r.path: r.x for r in notes.select("path", chunking.route(F.col("path"), F.col("raw")).alias("x")).collect()}
-    assert routes == {p: chunking.content_type(p, r) for p, r in raws.items()} == dict(zip(raws, ["transcript", "auto-memory", "memo", "markdown", "markdown", "concept"], strict=True))
+    assert routes == {p: chunking.content_type(p, r) for p, r in raws.items()} == dict(
+        zip(raws, ["transcript", "auto-memory", "memo", "markdown", "markdown", "concept"], strict=True)
+    )
     made = chunking.chunks(notes).toPandas()
-    assert made[made.doc_path == "m"].content.tolist() == ["[Project: p | Title: untitled]\n\n" + raws["m"]] and made[made.doc_path == "m"].chunk_type.tolist() == ["memo"]
+    assert made[made.doc_path == "m"].content.tolist() == [
+        "[Project: p | Title: untitled]\n\n" + raws["m"]
+    ] and made[made.doc_path == "m"].chunk_type.tolist() == ["memo"]
     assert len(made[made.doc_path == "c"]) == 2 and set(made[made.doc_path == "c"].chunk_type) == {"frontmatter", "content"}
     long = "**Result:**\n```" + "x" * 300 + "y" * 300 + "```\n**Result:**\n```short```"
     cut = chunking.shortened_results(long)
@@ -132,7 +161,16 @@ def test_vectors_and_cache(spark, tmp_path):
 
 
 def test_names(spark):
-    names = {"-Users-alice-Documents-my-app": "my-app", "-home-bob-project": "project", "-Users-alice-Desktop": "~Desktop", "-Users-alice": "~home", "-home-bob": "~home", "-srv-data": "srv-data", "-": "unknown", "-Users-alice-code-x": "code-x"}
+    names = {
+        "-Users-alice-Documents-my-app": "my-app",
+        "-home-bob-project": "project",
+        "-Users-alice-Desktop": "~Desktop",
+        "-Users-alice": "~home",
+        "-home-bob": "~home",
+        "-srv-data": "srv-data",
+        "-": "unknown",
+        "-Users-alice-code-x": "code-x",
+    }
     for name, expected in names.items():
         assert value(spark, M.folder_project(F.lit(name))) == expected, name
     remotes = {"git@host.io:user/repo.git": "repo", "https://host.io/user/my.repo": "my.repo", "https://host.io/user/r.git": "r", "ftp://x/y/z": None, "": None}
@@ -146,14 +184,20 @@ def test_names(spark):
 
 def test_stamped(spark):
     fields = {"input_tokens": F.lit(5), "output_tokens": F.lit(0), "cached": F.lit(None).cast("int")}
-    for raw, expected in {"---\na: 1\n---\nx --- y": "---\na: 1\ninput_tokens: 5\n---\nx --- y", "no": "no", "---\ninput_tokens: 1\n---\n": "---\ninput_tokens: 1\n---\n"}.items():
+    for raw, expected in {
+        "---\na: 1\n---\nx --- y": "---\na: 1\ninput_tokens: 5\n---\nx --- y",
+        "no": "no",
+        "---\ninput_tokens: 1\n---\n": "---\ninput_tokens: 1\n---\n",
+    }.items():
         assert value(spark, M.stamped(F.lit(raw), fields)) == expected
 
 
 def test_files(spark, tmp_path):
     files = spark.createDataFrame([("projects/a/memos/x.md", "text é"), ("topics/t.md", ""), ("topics/u.md", None)], "path string, raw string")
     assert {r.path: r.bytes for r in store.write_files(files, str(tmp_path)).collect()} == {"projects/a/memos/x.md": 7, "topics/t.md": 0, "topics/u.md": 0}
-    assert {r.path: r.raw for r in vault.markdown(spark, str(tmp_path)).collect()} == {"projects/a/memos/x.md": "text é"}  # Spark's reader leaves empty files out
+    assert {
+        r.path: r.raw for r in vault.markdown(spark, str(tmp_path)).collect()
+    } == {"projects/a/memos/x.md": "text é"}  # Spark's reader leaves empty files out
     kept = [store.kept(spark, f"{tmp_path}:n", spark.range(3).write.parquet) for _ in range(2)]
     assert [df.count() for df in kept] == [3, 3] and kept[0].inputFiles() == kept[1].inputFiles()
     with pytest.raises(ValueError, match="archive"):
@@ -161,7 +205,18 @@ def test_files(spark, tmp_path):
 
 
 def test_memo_extract(spark):
-    parts = [("s", 1, 0, 0, "user", "u" * 900), ("s", 1, 0, 1, "user", "v" * 900), ("s", 1, 1, 0, "thinking", "t" * 600), ("s", 1, 1, 1, "thinking", "other"), ("s", 1, 2, 0, "response", "ok"), ("s", 1, 2, 1, "tool", "Bash: `x`"), ("s", 1, 2, 2, "tool", "Glob (ERROR)"), ("s", 2, 3, 0, "user", "again"), ("s", 3, 4, 0, "response", "r" * 3000), ("r", 1, 0, 0, "tool", "Read: /f")]
+    parts = [
+        ("s", 1, 0, 0, "user", "u" * 900),
+        ("s", 1, 0, 1, "user", "v" * 900),
+        ("s", 1, 1, 0, "thinking", "t" * 600),
+        ("s", 1, 1, 1, "thinking", "other"),
+        ("s", 1, 2, 0, "response", "ok"),
+        ("s", 1, 2, 1, "tool", "Bash: `x`"),
+        ("s", 1, 2, 2, "tool", "Glob (ERROR)"),
+        ("s", 2, 3, 0, "user", "again"),
+        ("s", 3, 4, 0, "response", "r" * 3000),
+        ("r", 1, 0, 0, "tool", "Read: /f"),
+    ]
     df = spark.createDataFrame(parts, "session string, turn int, seq int, nth int, kind string, text string")
     whole = {(r.session, r.turn): r.text for r in transcripts.memo_extract(df).collect()}
     user = "**User:** " + ("u" * 900 + "\n" + "v" * 900)[:1000] + "..."
