@@ -63,7 +63,12 @@ STARTS = re.compile("|".join(f"(?={re.escape(x)})" for x in LITERALS.values()))
 def labelled(seed: int = 7, each: int = 240) -> list[tuple[str, str]]:
     """(format, credential), drawn by the formats; credentials of every format, the same for the same seed."""
     draw = random.Random(seed)
-    return [(kind, "".join(p if isinstance(p, str) else "".join(draw.choices(p[0], k=draw.randint(p[1], p[2]))) for p in parts)) for kind, parts in FORMATS.items() for _ in range(each)]
+    return [
+        (
+            kind,
+            "".join(p if isinstance(p, str) else "".join(draw.choices(p[0], k=draw.randint(p[1], p[2]))) for p in parts),
+        ) for kind, parts in FORMATS.items() for _ in range(each)
+    ]
 
 
 class Automaton:
@@ -115,7 +120,9 @@ class Automaton:
             n1, n2 = self.seen[a], self.seen[b]
             if not n1 or not n2:
                 continue
-            if self.differ(self.ends[a], n1, self.ends[b], n2) or any(self.differ(self.uses[a].get(c, 0), n1, self.uses[b].get(c, 0), n2) for c in self.uses[a].keys() | self.uses[b].keys()):
+            if self.differ(self.ends[a], n1, self.ends[b], n2) or any(
+                self.differ(self.uses[a].get(c, 0), n1, self.uses[b].get(c, 0), n2) for c in self.uses[a].keys() | self.uses[b].keys()
+            ):
                 return False
             # A single repeated literal is evidence of a fixed part: it joins only its like.
             if min(n1, n2) >= 20 and (len(self.uses[a]) == 1) != (len(self.uses[b]) == 1):
@@ -166,7 +173,16 @@ class Grammar:
     def score(self, s: str) -> tuple[str, float]:
         """Best format and its mean log likelihood ratio for each character."""
         ordinary = sum(map(self.plain.__getitem__, s))
-        return max(((kind, (a.log_likelihood(s) - ordinary) / len(s)) for kind, a in self.automata.items() if self.lengths[kind][0] <= len(s) <= self.lengths[kind][1]), key=lambda x: x[1], default=("", -99.0))
+        return max(
+            (
+                (
+                    kind,
+                    (a.log_likelihood(s) - ordinary) / len(s),
+                ) for kind, a in self.automata.items() if self.lengths[kind][0] <= len(s) <= self.lengths[kind][1]
+            ),
+            key=lambda x: x[1],
+            default=("", -99.0),
+        )
 
     def walk(self, kind: str, s: str, start: int, met: dict[tuple[int, int], tuple[list, int]]) -> tuple[int, float]:
         """End and mean log likelihood ratio of the format's candidate at start; (-1, -99.0): none.
@@ -247,8 +263,6 @@ def spans(text: bytes, grammar: Grammar) -> list[tuple[int, int, str]]:
     at = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if m[0].isalpha() and (m[0][1:].islower() or m[0].isupper()):
-            continue  # ordinary words: no automaton rates them above the threshold
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         while a < b:
@@ -293,7 +307,12 @@ def scanned(docs: DataFrame) -> DataFrame:
                 found = in_code_points(text, spans(text, grammar))
                 base = [s for s in found if s[2] in BASE_KINDS]
                 rows.append((doc_id, *[sum(s[2] == k for s in base) for k in BASE_KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], f.type) for f in fields], schema=fields)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)
+                ] if rows else [pa.array([], f.type) for f in fields],
+                schema=fields,
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
