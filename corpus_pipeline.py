@@ -1,4 +1,10 @@
-"""From documents to training tokens in five stages; each works on all that the one before kept."""
+"""From documents to training tokens in five stages; each works on all that the one before kept.
+
+Defined cases, in every stage: null or empty texts, null or repeated ids, repeated rows, extra columns of any name and empty tables are allowed. All stages
+but the last return the columns of their input with their values; only line dedup changes texts, and n_chars with them. A null or empty text stays through
+line dedup (nothing was taken from it); of near copies without words one stays; rows of one doc_id stay together; a document is mixed
+by its source's rate, also without a text or an id. Without usable labels the classifier keeps all.
+"""
 
 from __future__ import annotations
 
