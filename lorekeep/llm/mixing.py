@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row of mix() as often as its copies say, with copy_no from 1."""
+    """Each row of mix() as often as its copies say, with copy_no from 1 (a column of that name is replaced); rows without copies go, an empty table stays one."""
     return mixed.where(F.col("copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 

@@ -176,6 +176,12 @@ def test_extra_columns_stay(spark, edge):
         assert norm(got) == norm(was)
 
 
+def test_pipeline_on_edge_tables(spark, edge):
+    made = corpus_pipeline.run(spark, edge["edge"]).toPandas()
+    assert len(made) and set(made.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}
+    assert corpus_pipeline.run(spark, edge["empty"]).count() == 0
+
+
 @pytest.mark.parametrize("nth", range(4))
 def test_stages_on_edge_tables(spark, edge, nth):
     """All columns of documents come back with their values, from tables with nulls, repeated ids, clashing names or no rows, and without n_chars."""
