@@ -91,6 +91,15 @@ def link_density(docs: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def archived_ids(paths: DataFrame) -> DataFrame:
+    """session_id: what the names of archived transcripts (path) tell of their sessions: the whole stem, and what follows its date and time or else its first eight characters."""
+    kept = paths.where(F.col("path").rlike(r"^projects/[^/]+/transcripts/[^/]+\.(?:md|jsonl)$"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(?:md|jsonl)$", "")
+    dated = F.regexp_extract(stem, r"^\d{8}-\d{6}-(.*)$", 1)
+    part = F.when(stem.rlike(r"^\d{8}-\d{6}-"), F.nullif(dated, F.lit(""))).otherwise(F.left(stem, F.lit(8)))
+    return kept.select(F.explode(F.array_compact(F.array(stem, part))).alias("session_id")).distinct()
+
+
 def unarchived(sessions: DataFrame, archived: DataFrame) -> DataFrame:
     """Sessions whose id, or its first eight characters, is not among the archived ids."""
     a = archived.select(F.col("session_id").alias("known"))

@@ -27,6 +27,31 @@ def sources(notes: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the note that changes all the time.
+VOLATILE = "MEMORY.md"
+
+
+def scanned(files: DataFrame, project: str | None = None, exclude: tuple[str, ...] = (), volatile: bool = True) -> DataFrame:
+    """files (folder, path, raw, ...) with display and project, the folder's project and its safe name, and volatile; excluded folders and blank notes are left out, volatile ones
+    if they aren't asked for, other projects than `project` if it is given (a name, or the end of one)."""
+    f = files.where(~F.col("folder").isin(*exclude)) if exclude else files
+    f = f.where(F.trim("raw", F.lit(" \t\r\n")) != "").withColumn("display", M.folder_project(F.col("folder")))
+    f = f.withColumn("project", M.project_name(F.col("display"))).withColumn("volatile", F.element_at(F.split("path", "/"), -1) == VOLATILE)
+    if not volatile:
+        f = f.where(~F.col("volatile"))
+    if project:
+        f = f.where(F.lower("display").endswith(project.lower()) | F.lower("project").endswith(project.lower()))
+    return f
+
+
+def states(notes: DataFrame) -> DataFrame:
+    """path, source_hash, synced, source, volatile that the kept copies' frontmatter tells."""
+    fm = M.frontmatter(F.col("raw"))
+    told = notes.where(F.col("path").rlike(r"^projects/[^/]+/auto-memory/[^/]+\.md$"))
+    texts = [F.coalesce(M.value(fm, k), F.lit("")).alias(k) for k in ("source_hash", "synced", "source")]
+    return told.select("path", *texts, (F.coalesce(M.value(fm, "volatile"), F.lit("false")) == "true").alias("volatile"))
+
+
 def plan(found: DataFrame, kept: DataFrame, narrowed: bool = False) -> DataFrame:
     """path, action: new, updated, unchanged, or deleted (its source is gone; not told if the sources are narrowed to a project)."""
     p = curation.hash_plan(found, kept)

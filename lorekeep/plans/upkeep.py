@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
-from lorekeep.operators import chunking, curation, extract, graph, index, search, sync
+from lorekeep.operators import chunking, curation, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
-from lorekeep.plans.queries import FUSION, PAGES, QUESTION, RRF_FUSED, SINCE, TERMS, TIER, index_plan
+from lorekeep.plans.queries import FUSION, NOTE, PAGES, QUESTION, RENDERED, RRF_FUSED, SINCE, TERMS, TIER, index_plan
 from lorekeep.plans.registry import CTE, derived, graph_tables, keyword_index, query, question_vector
 from lorekeep.sources import store, vault
 from lorekeep.streaming import hooks
@@ -194,6 +194,54 @@ def project_logs(s: SparkSession, d: str) -> DataFrame:
     return vault.log_files(s, root).select("project", "sessions", "bytes")
 
 
+@query("log_samples", """WITH l AS (SELECT conv_id, sum(strlen(coalesce(text, '')) + 1) AS bytes,
+  sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))) AS lines FROM conversations GROUP BY 1)
+SELECT 'p' || (conv_id % 7) AS project, 's' || conv_id AS session, CAST(bytes AS BIGINT) AS bytes, CAST(least(lines, 11) AS BIGINT) AS lines FROM l WHERE bytes >= 1024""")
+def log_samples(s: SparkSession, d: str) -> DataFrame:
+    m = vault.messages(s, d)
+    texts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t"))))
+    one = m.groupBy("session").agg(F.array_join(F.transform(texts, lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("raw"))
+    path = F.concat(F.lit("p"), (F.col("session") % 7).cast("string"), F.lit("/s"), F.col("session").cast("string"), F.lit(".jsonl"))
+    root = store.fresh(s, "logs")
+    store.write_files(one.select(path.alias("path"), "raw"), root).write.format("noop").mode("overwrite").save()
+    return vault.log_samples(s, root)
+
+
+@query("memory_scan", CTE + S.NOTES + """, f AS (SELECT doc_id, project, raw FROM notes JOIN docs USING (path) WHERE contains(path, '/auto-memory/'))
+SELECT '-Users-alice-Documents-' || project || '/memory/' || CASE WHEN doc_id % 20 = 9 THEN 'm' ELSE 'd' END || doc_id || '.md' AS path, project AS display, project, FALSE AS volatile,
+  sha256(raw) AS content_hash FROM f WHERE project <> 'src3'""")
+def memory_scan(s: SparkSession, d: str) -> DataFrame:
+    """Notes of a tool's memory written as its files and scanned, one project left out."""
+    n = vault.notes(s, d).where(F.col("path").contains("/auto-memory/"))
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 20 == 9, "m").otherwise("d"), i.cast("string"), F.lit(".md"))
+    path = F.concat(F.lit("-Users-alice-Documents-"), F.split_part("path", F.lit("/"), F.lit(2)), F.lit("/memory/"), name)
+    root = store.fresh(s, "memory")
+    store.write_files(n.select(path.alias("path"), "raw"), root).write.format("noop").mode("overwrite").save()
+    found = sync.scanned(vault.memory_files(s, root), exclude=("-Users-alice-Documents-src3",))
+    return found.select("path", "display", "project", "volatile", F.sha2("raw", 256).alias("content_hash"))
+
+
+@query("sync_states", CTE + S.NOTES + """ SELECT path, sha256(raw) AS source_hash, date AS synced, 'p:' || path AS source, doc_id % 20 = 9 AS volatile
+FROM notes JOIN docs USING (path) WHERE contains(path, '/auto-memory/')""")
+def sync_states(s: SparkSession, d: str) -> DataFrame:
+    """What the copies say of their sources."""
+    n = vault.notes(s, d).withColumn("date", M.value(M.frontmatter(F.col("raw")), "date"))
+    volatile = F.when(F.col("doc_id") % 20 == 9, "true")
+    fields = {"source_hash": F.sha2("raw", 256), "synced": F.col("date"), "source": F.concat(F.lit('"p:'), "path", F.lit('"')), "volatile": volatile}
+    return sync.states(n.select("path", M.formatted(fields).alias("raw")))
+
+
+@query("archived_ids", """WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 > 0 THEN '20240101-120000-' ELSE '' END || left(md5(CAST(conv_id AS VARCHAR)), 12) AS stem FROM conversations)
+SELECT DISTINCT session_id FROM (SELECT stem AS session_id FROM t UNION ALL SELECT CASE WHEN conv_id % 3 > 0 THEN substr(stem, 17) ELSE left(stem, 8) END FROM t)""")
+def archived_ids(s: SparkSession, d: str) -> DataFrame:
+    """Of transcripts whose names begin with a time, and of others."""
+    i = F.col("session")
+    stem = F.concat(F.when(i % 3 > 0, "20240101-120000-").otherwise(""), F.left(F.md5(i.cast("string").cast("binary")), F.lit(12)))
+    paths = vault.messages(s, d).select("session").distinct().select(F.concat(F.lit("projects/p/transcripts/"), stem, F.lit(".jsonl")).alias("path"))
+    return curation.archived_ids(paths)
+
+
 @query("state_rows", "SELECT 's' || user_id AS session_id, event_type AS phase, event_id FROM events WHERE event_id % 10 > 0")
 def state_rows(s: SparkSession, d: str) -> DataFrame:
     """State written as JSON lines, one in ten of them broken off; corrupt ones are skipped."""
@@ -226,6 +274,37 @@ def queue_remaining(s: SparkSession, d: str) -> DataFrame:
     return hooks.remaining(e.where("event_type = 'error'"), done, 5).select("path")
 
 
+@query("memo_queue", "SELECT 's' || user_id AS session_id, count(*) AS attempts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_attempt FROM events WHERE event_type = 'error' GROUP BY user_id")
+def memo_queue(s: SparkSession, d: str) -> DataFrame:
+    """Attempts of each pending session; errors count as attempts."""
+    e = vault.session_events(s, d).where("kind = 'error'").select("session_id", F.col("ts").alias("at"))
+    return hooks.queue_state(e).select("session_id", "attempts", F.date_format("last_attempt", "yyyy-MM-dd HH:mm:ss").alias("last_attempt"))
+
+
+IMPORTED = (
+    CTE + RENDERED + NOTE.replace("SELECT session, CAST(0 AS BIGINT) AS part", ", parts AS (SELECT session, CAST(0 AS BIGINT) AS part")
+    + """), w AS (SELECT conv_id AS session, count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0 AS viable FROM conversations GROUP BY 1),
+f AS (SELECT session, sha256(string_agg(raw, '' ORDER BY part)) AS content_hash FROM parts GROUP BY session)
+SELECT w.session, CASE WHEN viable THEN 'imported' ELSE 'skipped' END AS action, CASE WHEN viable THEN content_hash END AS content_hash FROM w LEFT JOIN f USING (session)"""
+)
+
+
+@query("imported_sessions", IMPORTED)
+def imported_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions worth archiving are written as files from their parts, and read again; others are skipped."""
+    m = vault.messages(s, d)
+    viable = hooks.viable(m.select(F.col("session").alias("session_id"), "text")).select(F.col("session_id").alias("session"))
+    parts = transcripts.notes(transcripts.turns(m.join(viable, "session", "left_semi")))
+    path = F.concat(F.lit("projects/p/transcripts/"), F.col("session").cast("string"), F.lit(".md"))
+    root = store.fresh(s, "imported")
+    store.write_parts(parts.select(path.alias("path"), "part", "raw"), root).write.format("noop").mode("overwrite").save()
+    made = vault.markdown(s, root)
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1).cast("long")
+    files = made.select(stem.alias("session"), F.sha2("raw", 256).alias("content_hash"))
+    action = F.when(F.col("content_hash").isNotNull(), "imported").otherwise("skipped")
+    return m.select("session").distinct().join(files, "session", "left").select("session", action.alias("action"), "content_hash")
+
+
 @query("memory_read", CTE + S.NOTES + " SELECT path, sha256(raw) AS content_hash FROM notes WHERE path = 'topics/d8.md'")
 def memory_read(s: SparkSession, d: str) -> DataFrame:
     return vault.read_note(vault.notes(s, d), "topics/d8.md").select("path", F.sha2("raw", 256).alias("content_hash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import tempfile
 import uuid
@@ -63,3 +64,23 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
     return files.select("path", "raw").mapInArrow(run, "path string, bytes long")
+
+
+def write_parts(parts: DataFrame, root: str) -> DataFrame:
+    """Writes files from their parts (path below root, part, raw), each streamed in the order of its parts, however long it is; path and bytes of each. A file appears whole or not at all."""
+    dealt = parts.select("path", "part", "raw").repartition("path").sortWithinPartitions("path", "part").select("path", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for path, own in itertools.groupby(rows, lambda row: row[0]):
+            to, size = posixpath.join(base, path), 0
+            fs.create_dir(posixpath.dirname(to), recursive=True)
+            part = f"{posixpath.dirname(to)}/.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as f:
+                for _, raw in own:
+                    size += f.write((raw or "").encode())
+            fs.move(part, to)
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64())})
+
+    return dealt.mapInArrow(run, "path string, bytes long")

@@ -89,6 +89,27 @@ def log_files(spark: SparkSession, root: str, min_bytes: int = 1024) -> DataFram
     )
 
 
+def log_samples(spark: SparkSession, root: str, min_bytes: int = 1024, most: int = 11) -> DataFrame:
+    """project, session, bytes, lines (those that aren't blank, counted up to `most`) of each log file of at least min_bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root).drop("content")
+    files = files.where(F.col("length") >= min_bytes).select("path", F.col("length").alias("bytes"))
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(root).where(F.trim("value") != "")
+    counts = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.least(F.count("*"), F.lit(most)).alias("lines"))
+    name = F.split("path", "/")
+    session = F.regexp_replace(F.element_at(name, -1), r"\.jsonl$", "")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = files.withColumn("at", plain("path")).join(counts.withColumn("at", plain("path")).drop("path"), "at", "left")
+    return joined.select(F.element_at(name, -2).alias("project"), session.alias("session"), "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def memory_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder, path, raw, modified, bytes of the notes that a tool keeps by itself, <folder>/memory/*.md below root; undecodable files are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+    found = files.where(F.col("path").rlike(r"/[^/]+/memory/[^/]+\.md$") & F.is_valid_utf8(F.col("content").cast("string")))
+    path = F.regexp_extract("path", r"([^/]+/memory/[^/]+)$", 1)
+    return found.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("folder"), path.alias("path"), F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, title, content, type, project, date: an archive made from documents by arithmetic."""
     i, s = F.col("doc_id"), F.col("doc_id").cast("string")

@@ -69,6 +69,21 @@ def queue_state(marks: DataFrame) -> DataFrame:
     return marks.groupBy("session_id").agg(F.count("*").alias("attempts"), F.max("at").alias("last_attempt"))
 
 
+def upserted(marks: DataFrame, to: str, checkpoint: str) -> StreamingQuery:
+    """Stream of marks (session_id, at) into a queue of pending sessions: attempts and latest attempt of each, a version of the queue for each batch below `to`.
+    A batch adds to the version before it, so one that runs again writes the same."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = queue_state(batch)
+        if number:
+            before = batch.sparkSession.read.parquet(f"{to}/v={number - 1}")
+            both = before.unionByName(now).groupBy("session_id")
+            now = both.agg(F.sum("attempts").alias("attempts"), F.max("last_attempt").alias("last_attempt"))
+        now.write.mode("overwrite").parquet(f"{to}/v={number}")
+
+    return marks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def pending(queue: DataFrame, done: DataFrame) -> DataFrame:
     """path and enqueued_at (its first) of the jobs that aren't done."""
     return queue.join(done.select("path"), "path", "left_anti").groupBy("path").agg(F.min("enqueued_at").alias("enqueued_at"))

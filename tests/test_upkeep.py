@@ -255,3 +255,21 @@ def test_nudges_by_counting():
         counts = np.arange(1, 61)
         unsaved = ~np.logical_or.accumulate(np.array(saved))
         assert fired == counts[unsaved & (counts >= 20) & ((counts - 20) % 15 == 0)].tolist()
+
+
+def test_queue_stream(spark, tmp_path):
+    schema = "session_id string, at long"
+    first, second = [("a", 1), ("b", 2), ("a", 5)], [("a", 3), ("c", 9)]
+    for n, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        hooks.upserted(stream, str(tmp_path / "q"), str(tmp_path / "ck")).awaitTermination(120)
+        got = {r.session_id: (r.attempts, r.last_attempt) for r in spark.read.parquet(str(tmp_path / f"q/v={n}")).collect()}
+        assert got == ({"a": (2, 5), "b": (1, 2)} if n == 0 else {"a": (3, 5), "b": (1, 2), "c": (1, 9)})
+
+
+def test_parts(spark, tmp_path):
+    rows = [("a/x.md", n, f"part {n}\n") for n in range(300)] + [("b.md", 0, None), ("b.md", 2, "z"), ("b.md", 1, "é")]
+    made = store.write_parts(spark.createDataFrame(rows, "path string, part long, raw string").repartition(6), str(tmp_path))
+    assert {r.path: r.bytes for r in made.collect()}["b.md"] == 3
+    assert (tmp_path / "a/x.md").read_text() == "".join(f"part {n}\n" for n in range(300)) and (tmp_path / "b.md").read_text() == "éz"
