@@ -20,16 +20,21 @@ def blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 #: The lines of vault.logs, and their blocks, straight from conversations.
-LINES = """WITH c AS (SELECT 's' || conv_id AS file, conv_id, turn AS seq, role, coalesce(text, '') AS text, make_timestamp((1704067200 + conv_id * 3600 + turn * 100) * 1000000) AS ts,
+LINES = (
+    """WITH c AS (SELECT 's' || conv_id AS file, conv_id, turn AS seq, role, coalesce(text, '') AS text, make_timestamp((1704067200
+  + conv_id * 3600 + turn * 100) * 1000000) AS ts,
   role = 'assistant' AS reply, role = 'user' AND turn % 4 IN (2, 3) AS answer,
   ['Bash', 'Read', 'Write', 'Edit', 'Grep', 'Glob', 'Task', 'Other'][(conv_id + turn) % 8 + 1] AS tool,
   '[main ' || left(md5(coalesce(text, '')), 8) || '] ' || left(coalesce(text, ''), 200) AS output FROM conversations),
-b AS (SELECT file, seq, role AS type, 0 AS nth, 'thinking' AS block, left(text, 40) AS text, NULL AS id, NULL AS name, FALSE AS is_error FROM c WHERE reply
+b AS (SELECT file, seq, role AS type, 0 AS nth, 'thinking' AS block, left(text, 40) AS text, NULL AS id, NULL AS
+  name, FALSE AS is_error FROM c WHERE reply
   UNION ALL SELECT file, seq, role, 1, 'text', text, NULL, NULL, FALSE FROM c WHERE reply
   UNION ALL SELECT file, seq, role, 2, 'tool_use', NULL, conv_id || '-' || seq, tool, FALSE FROM c WHERE reply
-  UNION ALL SELECT file, seq, role, 0, 'tool_result', output, conv_id || '-' || (seq - 1), NULL, seq % 8 = 2 FROM c WHERE answer
+  UNION ALL SELECT file, seq, role, 0, 'tool_result', output, conv_id || '-' || (seq - 1), NULL, seq % 8 = 2 FROM
+  c WHERE answer
   UNION ALL SELECT file, seq, role, 1, 'text', text, NULL, NULL, FALSE FROM c WHERE answer
   UNION ALL SELECT file, seq, role, 0, 'text', text, NULL, NULL, FALSE FROM c WHERE NOT reply AND NOT answer)"""
+)
 CALLS = """, u AS (SELECT file, id, name FROM b WHERE block = 'tool_use'), r AS (SELECT file, id, text AS result, is_error FROM b WHERE block = 'tool_result'),
 k AS (SELECT coalesce(u.file, r.file) AS file, coalesce(u.id, r.id) AS id, coalesce(name, 'unknown') AS name, result, is_error
   FROM u FULL OUTER JOIN r ON u.file = r.file AND u.id = r.id)"""
@@ -48,20 +53,30 @@ def tool_calls(s: SparkSession, d: str) -> DataFrame:
     return transcripts.tool_calls(blocks(s, d)).select("file", "id", "name", F.sha2(F.coalesce("result", F.lit("")), 256).alias("result_hash"), "is_error")
 
 
-TOOL_MARKDOWN = r""", m AS (SELECT k.*, c.text, c.conv_id FROM k LEFT JOIN c ON c.file = k.file AND k.id = c.conv_id || '-' || c.seq AND c.reply),
+TOOL_MARKDOWN = (
+    r""", m AS (SELECT k.*, c.text, c.conv_id FROM k LEFT JOIN c ON c.file = k.file AND k.id = c.conv_id || '-' || c.seq
+  AND c.reply),
 f AS (SELECT file, id, name, CASE name
-  WHEN 'Bash' THEN CASE WHEN left(text, 10) <> '' THEN '*' || left(text, 10) || '*' || chr(10) || chr(10) ELSE '' END || '```bash' || chr(10) || left(text, 30) || chr(10) || '```'
+  WHEN 'Bash' THEN CASE WHEN left(text, 10) <> '' THEN '*' || left(text, 10) || '*' || chr(10) || chr(10) ELSE
+  '' END || '```bash' || chr(10) || left(text, 30) || chr(10) || '```'
   WHEN 'Read' THEN 'Reading: `/src/' || conv_id || '`'
-  WHEN 'Write' THEN 'Writing to: `/src/' || conv_id || '`' || CASE WHEN text <> '' THEN chr(10) || chr(10) || '```' || chr(10) || left(text, 500)
+  WHEN 'Write' THEN 'Writing to: `/src/' || conv_id || '`' || CASE WHEN text <> '' THEN chr(10) || chr(10) || '```'
+  || chr(10) || left(text, 500)
     || CASE WHEN length(left(text, 600)) > 500 THEN '...' ELSE '' END || chr(10) || '```' ELSE '' END
-  WHEN 'Edit' THEN 'Editing: `/src/' || conv_id || '`' || chr(10) || chr(10) || '```diff' || chr(10) || '- ' || left(substr(text, 5, 250), 200)
-    || CASE WHEN length(substr(text, 5, 250)) > 200 THEN '...' ELSE '' END || chr(10) || '+ ' || left(text, 200) || CASE WHEN length(left(text, 250)) > 200 THEN '...' ELSE '' END
+  WHEN 'Edit' THEN 'Editing: `/src/' || conv_id || '`' || chr(10) || chr(10) || '```diff' || chr(10) || '- ' ||
+  left(substr(text, 5, 250), 200)
+    || CASE WHEN length(substr(text, 5, 250)) > 200 THEN '...' ELSE '' END || chr(10) || '+ ' || left(text, 200)
+  || CASE WHEN length(left(text, 250)) > 200 THEN '...' ELSE '' END
     || chr(10) || '```'
-  WHEN 'Grep' THEN 'Searching for `' || left(text, 8) || '` in `/src`' WHEN 'Glob' THEN 'Finding files: `' || left(text, 8) || '` in `/src`'
+  WHEN 'Grep' THEN 'Searching for `' || left(text, 8) || '` in `/src`' WHEN 'Glob' THEN 'Finding files: `' || left(text,
+  8) || '` in `/src`'
   WHEN 'Task' THEN 'Launching general agent: ' || left(text, 10) WHEN 'unknown' THEN '' END AS body,
-  CASE WHEN result IS NOT NULL THEN CASE WHEN is_error THEN chr(10) || chr(10) || '**Error:**' ELSE chr(10) || chr(10) || '**Result:**' END || chr(10) || chr(10) || '```' || chr(10)
+  CASE WHEN result IS NOT NULL THEN CASE WHEN is_error THEN chr(10) || chr(10) || '**Error:**' ELSE chr(10) ||
+  chr(10) || '**Result:**' END || chr(10) || chr(10) || '```' || chr(10)
     || result || chr(10) || '```' ELSE '' END AS outcome FROM m)
-SELECT file, id, '#### Tool: ' || name || chr(10) || chr(10) || body || outcome AS markdown FROM f WHERE name <> 'Other'"""
+SELECT file, id, '#### Tool: ' || name || chr(10) || chr(10) || body || outcome AS markdown FROM f WHERE name <>
+  'Other'"""
+)
 
 
 @query("tool_markdown", LINES + CALLS + TOOL_MARKDOWN)
@@ -73,12 +88,17 @@ def tool_markdown(s: SparkSession, d: str) -> DataFrame:
 
 @query("block_stats", LINES + r""", h AS (SELECT file, regexp_extract(text, '\[[\w\-/]+ ([a-f0-9]{7,})\]', 1) AS hash, min(seq) AS pos FROM b
   WHERE block = 'tool_result' AND regexp_matches(text, '\[[\w\-/]+ ([a-f0-9]{7,})\]') GROUP BY 1, 2),
-n AS (SELECT file, name, count(*) AS n FROM b WHERE block = 'tool_use' GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, name) AS nth FROM n),
-t AS (SELECT file, string_agg(name || ' ' || n, ', ' ORDER BY nth) AS top_tools FROM o WHERE nth <= 5 GROUP BY file),
+n AS (SELECT file, name, count(*) AS n FROM b WHERE block = 'tool_use' GROUP BY 1, 2), o AS (SELECT *, row_number()
+  OVER (PARTITION BY file ORDER BY n DESC, name) AS nth FROM n),
+t AS (SELECT file, string_agg(name || ' ' || n, ', ' ORDER BY nth) AS top_tools FROM o WHERE nth <= 5 GROUP BY
+  file),
 s AS (SELECT file, string_agg(hash, ' ' ORDER BY pos, hash) AS commits FROM h GROUP BY file),
-a AS (SELECT file, count(*) FILTER (block = 'text' AND type = 'user') AS users, count(*) FILTER (block = 'text' AND type = 'assistant') AS responses,
-  count(*) FILTER (block = 'tool_use') AS tools, count(*) FILTER (block = 'thinking') AS thoughts, count(*) FILTER (is_error) AS errors FROM b GROUP BY file)
-SELECT a.*, coalesce(top_tools, '') AS top_tools, coalesce(commits, '') AS commits FROM a LEFT JOIN t USING (file) LEFT JOIN s USING (file)""")
+a AS (SELECT file, count(*) FILTER (block = 'text' AND type = 'user') AS users, count(*) FILTER (block = 'text'
+  AND type = 'assistant') AS responses,
+  count(*) FILTER (block = 'tool_use') AS tools, count(*) FILTER (block = 'thinking') AS thoughts, count(*) FILTER
+  (is_error) AS errors FROM b GROUP BY file)
+SELECT a.*, coalesce(top_tools, '') AS top_tools, coalesce(commits, '') AS commits FROM a LEFT JOIN t USING (file)
+  LEFT JOIN s USING (file)""")
 def block_stats(s: SparkSession, d: str) -> DataFrame:
     made = transcripts.block_stats(blocks(s, d))
     tools = F.array_join(F.transform("top_tools", lambda x: F.concat_ws(" ", x["name"], x["n"].cast("string"))), ", ")
@@ -97,12 +117,16 @@ def block_stats(s: SparkSession, d: str) -> DataFrame:
 @query("session_metadata", LINES + """ SELECT file, count(*) AS messages, CASE WHEN count(*) > 1 THEN strftime(min(ts), '%Y-%m-%d %H:%M:%S') END AS first,
   CASE WHEN count(*) > 1 THEN strftime(max(ts), '%Y-%m-%d %H:%M:%S') END AS last,
   CASE WHEN count(*) > 1 THEN greatest(1, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT)) END AS minutes,
-  coalesce(string_agg(DISTINCT CASE WHEN reply THEN CASE WHEN seq % 4 = 1 THEN 'claude-sonnet' ELSE 'claude-opus' END END, ', '
-    ORDER BY CASE WHEN reply THEN CASE WHEN seq % 4 = 1 THEN 'claude-sonnet' ELSE 'claude-opus' END END), '') AS models,
+  coalesce(string_agg(DISTINCT CASE WHEN reply THEN CASE WHEN seq % 4 = 1 THEN 'claude-sonnet' ELSE 'claude-opus'
+  END END, ', '
+    ORDER BY CASE WHEN reply THEN CASE WHEN seq % 4 = 1 THEN 'claude-sonnet' ELSE 'claude-opus' END END), '') AS
+  models,
   count(DISTINCT CASE WHEN conv_id % 5 = 0 AND seq > 3 THEN conv_id END) AS subagents,
-  CAST(CASE WHEN used THEN sum(CASE WHEN reply THEN length(text) + 3 END) END AS BIGINT) AS input_tokens, CAST(CASE WHEN used THEN sum(CASE WHEN reply THEN seq END) END AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN used THEN sum(CASE WHEN reply THEN length(text) + 3 END) END AS BIGINT) AS input_tokens, CAST(CASE
+  WHEN used THEN sum(CASE WHEN reply THEN seq END) END AS BIGINT) AS output_tokens,
   CAST(CASE WHEN used THEN sum(CASE WHEN reply THEN 3 END) END AS BIGINT) AS cache_read_tokens
-FROM (SELECT *, sum(CASE WHEN reply THEN length(text) + seq ELSE 0 END) OVER (PARTITION BY file) > 0 AS used FROM c) GROUP BY file, used""")
+FROM (SELECT *, sum(CASE WHEN reply THEN length(text) + seq ELSE 0 END) OVER (PARTITION BY file) > 0 AS used FROM
+  c) GROUP BY file, used""")
 def session_metadata(s: SparkSession, d: str) -> DataFrame:
     at = lambda c: F.date_format(
         F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")),
@@ -113,18 +137,25 @@ def session_metadata(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("log_signals", LINES + r""", l AS (SELECT c.*, reply AND tool IN ('Write', 'Edit') AS w FROM c)
-SELECT file, count(*) FILTER (role = 'user') AS users, count(*) FILTER (reply) AS assistants, count(*) FILTER (reply) AS tools, count(*) FILTER (w) AS writes,
-  count(*) FILTER (reply AND tool = 'Bash') AS bash, count(*) FILTER (reply AND tool = 'Read') AS reads, count(*) FILTER (reply AND tool = 'Task') AS subagents,
-  count(*) FILTER (answer) AS commits, count(*) FILTER (answer AND seq % 8 = 2) AS errors, count(*) FILTER (seq = 6) AS compactions,
-  arg_min(CASE WHEN seq % 4 = 1 THEN 'sonnet' ELSE 'opus' END, seq) FILTER (reply) AS model, CAST(floor(epoch(max(ts) - min(ts)) / 60) AS BIGINT) AS minutes FROM l GROUP BY file""")
+SELECT file, count(*) FILTER (role = 'user') AS users, count(*) FILTER (reply) AS assistants, count(*) FILTER (reply)
+  AS tools, count(*) FILTER (w) AS writes,
+  count(*) FILTER (reply AND tool = 'Bash') AS bash, count(*) FILTER (reply AND tool = 'Read') AS reads, count(*)
+  FILTER (reply AND tool = 'Task') AS subagents,
+  count(*) FILTER (answer) AS commits, count(*) FILTER (answer AND seq % 8 = 2) AS errors, count(*) FILTER (seq
+  = 6) AS compactions,
+  arg_min(CASE WHEN seq % 4 = 1 THEN 'sonnet' ELSE 'opus' END, seq) FILTER (reply) AS model, CAST(floor(epoch(max(ts)
+  - min(ts)) / 60) AS BIGINT) AS minutes FROM l GROUP BY file""")
 def log_signals(s: SparkSession, d: str) -> DataFrame:
     return transcripts.signals(vault.logs(s, d)).drop("first_message")
 
 
-@query("marked_turns", LINES + """, x AS (SELECT file, seq, role, text, CASE WHEN seq = 6 THEN TRUE ELSE FALSE END AS compact, CASE WHEN conv_id % 3 = 0 THEN 'a' || (seq // 5) END AS agent
+@query("marked_turns", LINES + """, x AS (SELECT file, seq, role, text, CASE WHEN seq = 6 THEN TRUE ELSE FALSE END AS compact, CASE WHEN conv_id %
+  3 = 0 THEN 'a' || (seq // 5) END AS agent
   FROM c WHERE role <> 'system' AND text <> ''),
-y AS (SELECT *, CASE WHEN compact THEN 'compaction' WHEN agent <> lag(agent) OVER (PARTITION BY file ORDER BY seq) THEN 'agent' END AS marker FROM x),
-z AS (SELECT *, greatest(1, sum(CASE WHEN marker IS NOT NULL OR role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY seq)) AS turn FROM y)
+y AS (SELECT *, CASE WHEN compact THEN 'compaction' WHEN agent <> lag(agent) OVER (PARTITION BY file ORDER BY seq)
+  THEN 'agent' END AS marker FROM x),
+z AS (SELECT *, greatest(1, sum(CASE WHEN marker IS NOT NULL OR role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION
+  BY file ORDER BY seq)) AS turn FROM y)
 SELECT file, seq, CAST(turn AS BIGINT) AS turn, marker FROM z""")
 def marked_turns(s: SparkSession, d: str) -> DataFrame:
     m = vault.messages(s, d).withColumn("file", F.concat(F.lit("s"), F.col("session").cast("string")))
@@ -133,21 +164,35 @@ def marked_turns(s: SparkSession, d: str) -> DataFrame:
     return transcripts.marked(m, "file").select("file", "seq", "turn", "marker")
 
 
-EXTRACT = """, e AS (SELECT file, seq, nth, CASE WHEN block = 'tool_use' THEN 'tool' WHEN block = 'thinking' THEN 'thinking' WHEN block = 'text' AND type = 'user' THEN 'user'
+EXTRACT = (
+    """, e AS (SELECT file, seq, nth, CASE WHEN block = 'tool_use' THEN 'tool' WHEN block = 'thinking' THEN 'thinking'
+  WHEN block = 'text' AND type = 'user' THEN 'user'
   WHEN block = 'text' AND type = 'assistant' THEN 'response' END AS kind, b.text, id, name FROM b),
-p AS (SELECT e.*, greatest(1, sum(CASE WHEN kind = 'user' AND e.text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY seq, nth)) AS turn FROM e),
-g AS (SELECT p.file, p.seq, p.nth, p.turn, p.kind, CASE WHEN kind <> 'tool' THEN p.text ELSE CASE WHEN p.name = 'Bash' THEN 'Bash: `' || left(c.text, 30) || '`'
-  WHEN p.name IN ('Read', 'Write', 'Edit') THEN p.name || ': /src/' || c.conv_id ELSE p.name END || CASE WHEN k.is_error THEN ' (ERROR)' ELSE '' END END AS text
-  FROM p LEFT JOIN c ON c.file = p.file AND c.seq = p.seq LEFT JOIN k ON k.file = p.file AND k.id = p.id AND p.kind = 'tool' WHERE kind IS NOT NULL),
+p AS (SELECT e.*, greatest(1, sum(CASE WHEN kind = 'user' AND e.text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY
+  file ORDER BY seq, nth)) AS turn FROM e),
+g AS (SELECT p.file, p.seq, p.nth, p.turn, p.kind, CASE WHEN kind <> 'tool' THEN p.text ELSE CASE WHEN p.name =
+  'Bash' THEN 'Bash: `' || left(c.text, 30) || '`'
+  WHEN p.name IN ('Read', 'Write', 'Edit') THEN p.name || ': /src/' || c.conv_id ELSE p.name END || CASE WHEN k.is_error
+  THEN ' (ERROR)' ELSE '' END END AS text
+  FROM p LEFT JOIN c ON c.file = p.file AND c.seq = p.seq LEFT JOIN k ON k.file = p.file AND k.id = p.id AND p.kind
+  = 'tool' WHERE kind IS NOT NULL),
 h AS (SELECT * FROM g WHERE text <> ''),
-t AS (SELECT file, turn, string_agg(text, chr(10) ORDER BY seq, nth) FILTER (kind = 'user') AS u, arg_min(text, seq * 10 + nth) FILTER (kind = 'thinking') AS i,
-  string_agg(text, chr(10) ORDER BY seq, nth) FILTER (kind = 'response') AS r, string_agg(text, ', ' ORDER BY seq, nth) FILTER (kind = 'tool') AS l FROM h GROUP BY file, turn),
-q AS (SELECT file, turn, concat_ws(chr(10), '**User:** ' || CASE WHEN length(u) > 1000 THEN left(u, 1000) || '...' ELSE u END, '**Thinking:** ' || CASE WHEN length(i) > 500
-  THEN left(i, 500) || '...' ELSE i END, '**Response:** ' || CASE WHEN length(r) > 1500 THEN left(r, 1500) || '...' ELSE r END, '**Tools:** ' || l) AS text FROM t),
-v AS (SELECT *, sum(length(text)) OVER w AS total, row_number() OVER w AS nth, count(*) OVER (PARTITION BY file) AS turns FROM q WINDOW w AS (PARTITION BY file ORDER BY turn)),
-o AS (SELECT *, sum(CASE WHEN total > 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY turn) AS passed FROM v)
-SELECT file AS session, CAST(turn AS BIGINT) AS turn, CASE WHEN total > 3000 THEN chr(10) || '[...' || (turns - nth + 1) || ' more turns truncated...]' ELSE text END AS text
+t AS (SELECT file, turn, string_agg(text, chr(10) ORDER BY seq, nth) FILTER (kind = 'user') AS u, arg_min(text,
+  seq * 10 + nth) FILTER (kind = 'thinking') AS i,
+  string_agg(text, chr(10) ORDER BY seq, nth) FILTER (kind = 'response') AS r, string_agg(text, ', ' ORDER BY seq,
+  nth) FILTER (kind = 'tool') AS l FROM h GROUP BY file, turn),
+q AS (SELECT file, turn, concat_ws(chr(10), '**User:** ' || CASE WHEN length(u) > 1000 THEN left(u, 1000) || '...'
+  ELSE u END, '**Thinking:** ' || CASE WHEN length(i) > 500
+  THEN left(i, 500) || '...' ELSE i END, '**Response:** ' || CASE WHEN length(r) > 1500 THEN left(r, 1500) || '...'
+  ELSE r END, '**Tools:** ' || l) AS text FROM t),
+v AS (SELECT *, sum(length(text)) OVER w AS total, row_number() OVER w AS nth, count(*) OVER (PARTITION BY file)
+  AS turns FROM q WINDOW w AS (PARTITION BY file ORDER BY turn)),
+o AS (SELECT *, sum(CASE WHEN total > 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY turn) AS passed
+  FROM v)
+SELECT file AS session, CAST(turn AS BIGINT) AS turn, CASE WHEN total > 3000 THEN chr(10) || '[...' || (turns -
+  nth + 1) || ' more turns truncated...]' ELSE text END AS text
 FROM o WHERE passed <= 1"""
+)
 
 
 @query("memo_extract", LINES + CALLS + EXTRACT)
@@ -155,7 +200,8 @@ def memo_extract(s: SparkSession, d: str) -> DataFrame:
     return transcripts.memo_extract(transcripts.memo_parts(blocks(s, d)), 3000)
 
 
-@query("message_roles", """SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 2 THEN 'unknown' WHEN role = 'user' THEN 'user' ELSE role END AS role
+@query("message_roles", """SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 2 THEN 'unknown' WHEN role
+  = 'user' THEN 'user' ELSE role END AS role
 FROM conversations""")
 def message_roles(s: SparkSession, d: str) -> DataFrame:
     """Messages that name their role, that name a type only, and that name neither."""
@@ -165,7 +211,8 @@ def message_roles(s: SparkSession, d: str) -> DataFrame:
     return m.select("session", "seq", transcripts.role_of(F.parse_json(line)).alias("role"))
 
 
-@query("message_times", """SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 < 2 THEN strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 100) * 1000000), '%Y-%m-%d %H:%M:%S') END AS at
+@query("message_times", """SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 < 2 THEN strftime(make_timestamp((1704067200 + conv_id
+  * 3600 + turn * 100) * 1000000), '%Y-%m-%d %H:%M:%S') END AS at
 FROM conversations""")
 def message_times(s: SparkSession, d: str) -> DataFrame:
     """ISO texts, milliseconds and texts that are neither."""
@@ -186,9 +233,11 @@ def prompt_summaries(s: SparkSession, d: str) -> DataFrame:
     return m.select("session", "seq", transcripts.prompt_summary(whole).alias("text"))
 
 
-@query("verbose_output", """WITH t AS (SELECT doc_id, 'total 9' || chr(10) || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: left(x, 40)), chr(10)) AS t FROM documents),
+@query("verbose_output", """WITH t AS (SELECT doc_id, 'total 9' || chr(10) || array_to_string(list_transform(string_split(coalesce(text, ''),
+  chr(10)), lambda x: left(x, 40)), chr(10)) AS t FROM documents),
 n AS (SELECT *, len(string_split(t, chr(10))) - 1 AS n FROM t)
-SELECT doc_id, CASE WHEN n - 1 >= 20 THEN '[...' || n || ' lines of file listing...]' || string_split(t, chr(10))[n + 1] ELSE t END AS text FROM n""")
+SELECT doc_id, CASE WHEN n - 1 >= 20 THEN '[...' || n || ' lines of file listing...]' || string_split(t, chr(10))[n
+  + 1] ELSE t END AS text FROM n""")
 def verbose_output(s: SparkSession, d: str) -> DataFrame:
     """Documents as listings of short lines: long ones are one line."""
     docs = vault.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -196,11 +245,15 @@ def verbose_output(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", transcripts.collapsed(F.concat(F.lit("total 9\n"), short)).alias("text"))
 
 
-@query("note_checks", """WITH m AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t, max(turn) AS last FROM conversations GROUP BY conv_id),
-n AS (SELECT CASE WHEN conv_id % 4 = 0 THEN '' ELSE '---' || chr(10) END || CASE WHEN conv_id % 3 = 0 THEN '<system-reminder>' ELSE '## Turn 1' || chr(10) END || t AS raw, last >= 6 AS compacted FROM m)
-SELECT count(*) AS notes, count(*) FILTER (contains(raw, '<system-reminder>')) AS leaks, CAST(0 AS BIGINT) AS prompts, count(*) FILTER (NOT starts_with(raw, '---')) AS no_frontmatter,
+@query("note_checks", """WITH m AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t, max(turn) AS last FROM conversations
+  GROUP BY conv_id),
+n AS (SELECT CASE WHEN conv_id % 4 = 0 THEN '' ELSE '---' || chr(10) END || CASE WHEN conv_id % 3 = 0 THEN '<system-reminder>'
+  ELSE '## Turn 1' || chr(10) END || t AS raw, last >= 6 AS compacted FROM m)
+SELECT count(*) AS notes, count(*) FILTER (contains(raw, '<system-reminder>')) AS leaks, CAST(0 AS BIGINT) AS prompts,
+  count(*) FILTER (NOT starts_with(raw, '---')) AS no_frontmatter,
   count(*) FILTER (length(raw) > 200 AND NOT regexp_matches(raw, '(?m)^## Turn \\d+')) AS no_turns,
-  count(*) FILTER (list_max(list_transform(string_split(raw, chr(10)), lambda x: length(x))) > 5000) AS overlong, count(*) FILTER (compacted) AS unmarked FROM n""")
+  count(*) FILTER (list_max(list_transform(string_split(raw, chr(10)), lambda x: length(x))) > 5000) AS overlong,
+  count(*) FILTER (compacted) AS unmarked FROM n""")
 def note_checks(s: SparkSession, d: str) -> DataFrame:
     """Sessions' texts as notes, some with a leaked tag, without frontmatter or without turns."""
     m = vault.messages(s, d).groupBy("session").agg(

@@ -149,21 +149,26 @@ def snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 RELATED = (
-    CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(split_part(content, chr(10), 1)), '[a-z]{{3,}}'),
-  lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory'), q AS (SELECT asks, unnest(terms) AS term FROM a),
+    (
+    CTE + S.ARCHIVE + rf""", a AS (SELECT path AS asks, list_distinct(list_slice(list_filter(regexp_extract_all(lower(split_part(content, chr(10),
+  1)), '[a-z]{{3,}}'),
+  lambda x: x NOT IN ('and', 'or', 'not', 'near')), 1, 8)) AS terms FROM archive WHERE type = 'auto-memory'), q
+  AS (SELECT asks, unnest(terms) AS term FROM a),
 tk AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS
   term FROM archive), len AS (SELECT path, count(*) FILTER (term <> '') AS l FROM tk GROUP BY path), st AS (SELECT
   count(*) AS n, avg(l) AS a FROM len),
 tf AS (SELECT path, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM q) GROUP BY path, term), df AS
   (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT asks, path, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 +
-  0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY asks,
+  0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (path), st GROUP BY
+  asks,
   path),
 r AS (SELECT *, row_number() OVER (PARTITION BY asks ORDER BY round(score, 6) DESC, path) AS nth FROM sc WHERE
   asks <> path), k AS (SELECT asks, r.path, row_number() OVER (PARTITION BY asks ORDER BY nth) AS rank FROM r JOIN
   archive USING (path) WHERE nth <= 7 AND type <> 'transcript')
 SELECT asks AS path, rank, path AS related FROM k WHERE rank <= 5"""
 )
+)
 
 
 @query("related_notes", RELATED)
@@ -589,13 +594,19 @@ TAGGED = "text"
 for _tag in transcripts.TAGS:
     TAGGED = f"regexp_replace({TAGGED}, '(?s)<{_tag}>.*?</{_tag}>', '', 'g')"
 RENDERED = (
+    (
     MSG
-    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM turned),
-ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' || chr(10) || right(c, 1250) ELSE c END AS t FROM cl),
-rd AS (SELECT session, CAST(turn AS BIGINT) AS turn, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY session, turn)
-  THEN '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) ELSE '' END || CASE WHEN role = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END || t AS markdown
+    + rf""", cl AS (SELECT *, trim(regexp_replace({TAGGED}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS c FROM
+  turned),
+ct AS (SELECT *, CASE WHEN length(c) > 5000 THEN left(c, 3500) || chr(10) || '... [truncated] ...' || chr(10) ||
+  right(c, 1250) ELSE c END AS t FROM cl),
+rd AS (SELECT session, CAST(turn AS BIGINT) AS turn, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY session,
+  turn)
+  THEN '## Turn ' || CAST(turn AS BIGINT) || chr(10) || chr(10) ELSE '' END || CASE WHEN role = 'user' THEN '**User:** '
+  ELSE '**Assistant:** ' END || t AS markdown
   FROM ct)"""
 )
+)
 
 
 @query("rendered_sessions", CTE + RENDERED + " SELECT session, turn, seq, markdown FROM rd")

@@ -36,21 +36,29 @@ def search_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("highlights", CTE + S.words(TERMS) + rf""", w AS (SELECT path FROM sc ORDER BY round(score, 6) DESC, path LIMIT 10),
-t AS (SELECT path, unnest(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> ''), 1) - 1 AS pos
+t AS (SELECT path, unnest(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS word, generate_subscripts(list_filter(regexp_split_to_array(content,
+  '\s+'), lambda x: x <> ''), 1) - 1 AS pos
   FROM archive JOIN w USING (path)),
-h AS (SELECT *, lower(regexp_replace(word, '[^\p{{L}}\p{{N}}]+', '', 'g')) IN ({LISTED}) AS hit, count(*) OVER (PARTITION BY path) AS words FROM t),
-c AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS hits FROM h),
-m AS (SELECT path, max(hits) AS most FROM c GROUP BY path), b AS (SELECT path, min(pos) AS start FROM c JOIN m USING (path) WHERE hits = most GROUP BY path)
-SELECT path, CASE WHEN start > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN hit THEN '>>>' || word || '<<<' ELSE word END, ' ' ORDER BY pos)
-  || CASE WHEN start + 50 < any_value(words) THEN '...' ELSE '' END AS snippet FROM h JOIN b USING (path) WHERE pos >= start AND pos < start + 50 GROUP BY path, start""")
+h AS (SELECT *, lower(regexp_replace(word, '[^\p{{L}}\p{{N}}]+', '', 'g')) IN ({LISTED}) AS hit, count(*) OVER
+  (PARTITION BY path) AS words FROM t),
+c AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT
+  ROW AND 49 FOLLOWING) AS hits FROM h),
+m AS (SELECT path, max(hits) AS most FROM c GROUP BY path), b AS (SELECT path, min(pos) AS start FROM c JOIN m
+  USING (path) WHERE hits = most GROUP BY path)
+SELECT path, CASE WHEN start > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN hit THEN '>>>' || word || '<<<'
+  ELSE word END, ' ' ORDER BY pos)
+  || CASE WHEN start + 50 < any_value(words) THEN '...' ELSE '' END AS snippet FROM h JOIN b USING (path) WHERE
+  pos >= start AND pos < start + 50 GROUP BY path, start""")
 def highlights(s: SparkSession, d: str) -> DataFrame:
     """The best window of each of the ten best documents."""
     best = search.bm25(keyword_index(s, d), TERMS).orderBy(F.round("score", 6).desc(), "path").limit(10).select("path")
     return search.best_windows(vault.archive(s, d).join(F.broadcast(best), "path", "left_semi"), TERMS)
 
 
-@query("fts_grammar", CTE + S.ARCHIVE + r""", t AS (SELECT path, type, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS w, ' ' || lower(regexp_replace(title, '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS n FROM archive)
-SELECT path, type FROM t WHERE (contains(w, ' of the ') AND (contains(w, ' han') OR contains(n, ' han')) AND NOT (contains(w, ' thing ') OR contains(n, ' thing ')))
+@query("fts_grammar", CTE + S.ARCHIVE + r""", t AS (SELECT path, type, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS w,
+  ' ' || lower(regexp_replace(title, '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS n FROM archive)
+SELECT path, type FROM t WHERE (contains(w, ' of the ') AND (contains(w, ' han') OR contains(n, ' han')) AND NOT
+  (contains(w, ' thing ') OR contains(n, ' thing ')))
   OR (contains(n, ' doc ') AND contains(n, ' 1')) OR regexp_matches(w, ' la (?:[^ ]+ ){0,3}que | que (?:[^ ]+ ){0,3}la ')""")
 def fts_grammar(s: SparkSession, d: str) -> DataFrame:
     """Words, phrases, NOT, a prefix, a column and NEAR."""
@@ -58,9 +66,11 @@ def fts_grammar(s: SparkSession, d: str) -> DataFrame:
     return search.matches(vault.archive(s, d), asked, "content", "title").select("path", "type")
 
 
-@query("knn_batch", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id, list_distance(v.e, q.e) AS distance
+@query("knn_batch", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id,
+  list_distance(v.e, q.e) AS distance
   FROM v q, v WHERE q.vec_id % 50 = 0)
-SELECT query, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), vec_id) AS rank FROM p) WHERE rank <= 5""")
+SELECT query, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query
+  ORDER BY round(distance, 9), vec_id) AS rank FROM p) WHERE rank <= 5""")
 def knn_batch(s: SparkSession, d: str) -> DataFrame:
     """The nearest vectors of every fiftieth one, the query set, in blocks of queries."""
     e = vault.table(s, d, "embeddings").select("vec_id", "embedding")
@@ -73,21 +83,25 @@ def knn_batch(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "content_routes",
-    CTE + S.NOTES + """ SELECT path, CASE WHEN contains(path, '/transcripts/') THEN 'transcript' WHEN contains(path, '/auto-memory/') THEN 'auto-memory' ELSE type END AS route FROM docs""",
+    CTE + S.NOTES + """ SELECT path, CASE WHEN contains(path, '/transcripts/') THEN 'transcript' WHEN contains(path, '/auto-memory/') THEN
+  'auto-memory' ELSE type END AS route FROM docs""",
 )
 def content_routes(s: SparkSession, d: str) -> DataFrame:
     return vault.notes(s, d).select("path", chunking.route(F.col("path"), F.col("raw")).alias("route"))
 
 
-@query("whole_chunks", CTE + S.NOTES + r""" SELECT path AS doc_path, type AS chunk_type, sha256('[Project: ' || project || ' | Title: ' || title || ']' || chr(10) || chr(10) || raw) AS content_hash
-FROM docs JOIN notes USING (path) WHERE type IN ('memo', 'concept') AND len(regexp_extract_all(raw, '\S+')) <= 1800""")
+@query("whole_chunks", CTE + S.NOTES + r""" SELECT path AS doc_path, type AS chunk_type, sha256('[Project: ' || project || ' | Title: ' || title || ']' ||
+  chr(10) || chr(10) || raw) AS content_hash
+FROM docs JOIN notes USING (path) WHERE type IN ('memo', 'concept') AND len(regexp_extract_all(raw, '\S+')) <=
+  1800""")
 def whole_chunks(s: SparkSession, d: str) -> DataFrame:
     made = chunking.chunks(vault.notes(s, d))
     return made.where(F.col("chunk_type").isin(*chunking.WHOLE_TYPES)).select("doc_path", "chunk_type", "content_hash")
 
 
 @query("shortened_results", CTE + S.ARCHIVE + r""", r AS (SELECT path, replace(content, '`', '') || chr(10) AS t FROM archive)
-SELECT path, '**Result:**' || chr(10) || '```' || CASE WHEN length(t) <= 500 THEN t ELSE left(t, 350) || chr(10) || chr(10) || '[...truncated ' || (length(t) - 450) || ' chars...]' || chr(10) || chr(10)
+SELECT path, '**Result:**' || chr(10) || '```' || CASE WHEN length(t) <= 500 THEN t ELSE left(t, 350) || chr(10)
+  || chr(10) || '[...truncated ' || (length(t) - 450) || ' chars...]' || chr(10) || chr(10)
   || right(t, 100) END || '```' || chr(10) || 'after' AS text FROM r""")
 def shortened_results(s: SparkSession, d: str) -> DataFrame:
     """Documents as tool results."""
@@ -105,7 +119,8 @@ def text_ends(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "note_overviews",
-    CTE + S.NOTES + r""" SELECT path, nullif(trim(regexp_extract(replace(raw, '## Summary', '## Overview'), '(?s)(## Overview.*?)\n## Open Threads', 1), chr(10)), '') AS overview FROM notes""",
+    CTE + S.NOTES + r""" SELECT path, nullif(trim(regexp_extract(replace(raw, '## Summary', '## Overview'), '(?s)(## Overview.*?)\n## Open Threads',
+  1), chr(10)), '') AS overview FROM notes""",
 )
 def note_overviews(s: SparkSession, d: str) -> DataFrame:
     raw = F.replace("raw", F.lit("## Summary"), F.lit("## Overview"))
@@ -114,7 +129,8 @@ def note_overviews(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "plain_topics",
-    CTE + S.NOTES + r""" SELECT path, sha256('topics:' || chr(10) || '  - x' || (doc_id % 7) || chr(10) || '  - y' || chr(10) || content) AS kept FROM notes JOIN docs USING (path)""",
+    CTE + S.NOTES + r""" SELECT path, sha256('topics:' || chr(10) || '  - x' || (doc_id % 7) || chr(10) || '  - y' || chr(10) || content)
+  AS kept FROM notes JOIN docs USING (path)""",
 )
 def plain_topics(s: SparkSession, d: str) -> DataFrame:
     """Notes whose topics are listed as quoted links."""
@@ -123,8 +139,10 @@ def plain_topics(s: SparkSession, d: str) -> DataFrame:
     return n.select("path", F.sha2(M.plain_topics(raw), 256).alias("kept"))
 
 
-@query("stamped_notes", CTE + S.NOTES + r""" SELECT path, sha256(CASE WHEN length(content) = 0 THEN raw ELSE '---' || chr(10) || trim(b, chr(10)) || chr(10) || 'input_tokens: ' || length(content)
-  || CASE WHEN doc_id % 7 > 0 THEN chr(10) || 'output_tokens: ' || (doc_id % 7) ELSE '' END || chr(10) || substr(raw, 4 + length(b)) END) AS stamped FROM notes JOIN fm USING (path, raw) JOIN docs USING (path)""")
+@query("stamped_notes", CTE + S.NOTES + r""" SELECT path, sha256(CASE WHEN length(content) = 0 THEN raw ELSE '---' || chr(10) || trim(b, chr(10)) || chr(10)
+  || 'input_tokens: ' || length(content)
+  || CASE WHEN doc_id % 7 > 0 THEN chr(10) || 'output_tokens: ' || (doc_id % 7) ELSE '' END || chr(10) || substr(raw,
+  4 + length(b)) END) AS stamped FROM notes JOIN fm USING (path, raw) JOIN docs USING (path)""")
 def stamped_notes(s: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
     fields = {"input_tokens": F.length(M.body(raw)), "output_tokens": F.col("doc_id") % 7}
@@ -134,8 +152,10 @@ def stamped_notes(s: SparkSession, d: str) -> DataFrame:
 # Names
 
 
-@query("project_names", r"""WITH p AS (SELECT DISTINCT url FROM pages), q AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS n FROM p)
-SELECT url, left(n, 50) AS safe, left(n, 50) || '-' || left(md5(url), 6) AS other, regexp_extract(url, '^https?://([^/]+)', 1) AS folder, 'repo' AS remote FROM q""")
+@query("project_names", r"""WITH p AS (SELECT DISTINCT url FROM pages), q AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(url,
+  '[^\p{L}\p{N}_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS n FROM p)
+SELECT url, left(n, 50) AS safe, left(n, 50) || '-' || left(md5(url), 6) AS other, regexp_extract(url, '^https?://([^/]+)',
+  1) AS folder, 'repo' AS remote FROM q""")
 def project_names(s: SparkSession, d: str) -> DataFrame:
     """Names made of addresses: safe, apart from another folder's, from a log folder and from a repository's address."""
     url = F.col("url")
@@ -154,7 +174,8 @@ def project_names(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "session_suffixes",
-    """SELECT conv_id AS session, CASE WHEN conv_id % 2 = 0 THEN left(md5(CAST(conv_id AS VARCHAR)), 8) END AS suffix FROM (SELECT DISTINCT conv_id FROM conversations)""",
+    """SELECT conv_id AS session, CASE WHEN conv_id % 2 = 0 THEN left(md5(CAST(conv_id AS VARCHAR)), 8) END AS suffix FROM
+  (SELECT DISTINCT conv_id FROM conversations)""",
 )
 def session_suffixes(s: SparkSession, d: str) -> DataFrame:
     """Of file names that end in a suffix, and of others."""
@@ -195,8 +216,10 @@ def project_logs(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("log_samples", """WITH l AS (SELECT conv_id, sum(strlen(coalesce(text, '')) + 1) AS bytes,
-  sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))) AS lines FROM conversations GROUP BY 1)
-SELECT 'p' || (conv_id % 7) AS project, 's' || conv_id AS session, CAST(bytes AS BIGINT) AS bytes, CAST(least(lines, 11) AS BIGINT) AS lines FROM l WHERE bytes >= 1024""")
+  sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> ''))) AS lines FROM conversations
+  GROUP BY 1)
+SELECT 'p' || (conv_id % 7) AS project, 's' || conv_id AS session, CAST(bytes AS BIGINT) AS bytes, CAST(least(lines,
+  11) AS BIGINT) AS lines FROM l WHERE bytes >= 1024""")
 def log_samples(s: SparkSession, d: str) -> DataFrame:
     m = vault.messages(s, d)
     texts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t"))))
@@ -208,7 +231,8 @@ def log_samples(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("memory_scan", CTE + S.NOTES + """, f AS (SELECT doc_id, project, raw FROM notes JOIN docs USING (path) WHERE contains(path, '/auto-memory/'))
-SELECT '-Users-alice-Documents-' || project || '/memory/' || CASE WHEN doc_id % 20 = 9 THEN 'm' ELSE 'd' END || doc_id || '.md' AS path, project AS display, project, FALSE AS volatile,
+SELECT '-Users-alice-Documents-' || project || '/memory/' || CASE WHEN doc_id % 20 = 9 THEN 'm' ELSE 'd' END ||
+  doc_id || '.md' AS path, project AS display, project, FALSE AS volatile,
   sha256(raw) AS content_hash FROM f WHERE project <> 'src3'""")
 def memory_scan(s: SparkSession, d: str) -> DataFrame:
     """Notes of a tool's memory written as its files and scanned, one project left out."""
@@ -232,8 +256,10 @@ def sync_states(s: SparkSession, d: str) -> DataFrame:
     return sync.states(n.select("path", M.formatted(fields).alias("raw")))
 
 
-@query("archived_ids", """WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 > 0 THEN '20240101-120000-' ELSE '' END || left(md5(CAST(conv_id AS VARCHAR)), 12) AS stem FROM conversations)
-SELECT DISTINCT session_id FROM (SELECT stem AS session_id FROM t UNION ALL SELECT CASE WHEN conv_id % 3 > 0 THEN substr(stem, 17) ELSE left(stem, 8) END FROM t)""")
+@query("archived_ids", """WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 > 0 THEN '20240101-120000-' ELSE '' END || left(md5(CAST(conv_id
+  AS VARCHAR)), 12) AS stem FROM conversations)
+SELECT DISTINCT session_id FROM (SELECT stem AS session_id FROM t UNION ALL SELECT CASE WHEN conv_id % 3 > 0 THEN
+  substr(stem, 17) ELSE left(stem, 8) END FROM t)""")
 def archived_ids(s: SparkSession, d: str) -> DataFrame:
     """Of transcripts whose names begin with a time, and of others."""
     i = F.col("session")
@@ -261,7 +287,8 @@ def log_errors(s: SparkSession, d: str) -> DataFrame:
     return vault.parse_errors(vault.jsonl(s, root)).agg(F.sum("lines").alias("lines"), F.sum("errors").alias("errors"))
 
 
-@query("queue_remaining", """WITH q AS (SELECT 's' || user_id AS path, min(ts) AS since FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50) GROUP BY 1)
+@query("queue_remaining", """WITH q AS (SELECT 's' || user_id AS path, min(ts) AS since FROM events WHERE event_type = 'error' AND user_id NOT
+  IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50) GROUP BY 1)
 SELECT path FROM (SELECT path, row_number() OVER (ORDER BY since, path) AS nth FROM q) WHERE nth > 5""")
 def queue_remaining(s: SparkSession, d: str) -> DataFrame:
     e = vault.table(s, d, "events").select(
@@ -274,7 +301,8 @@ def queue_remaining(s: SparkSession, d: str) -> DataFrame:
     return hooks.remaining(e.where("event_type = 'error'"), done, 5).select("path")
 
 
-@query("memo_queue", "SELECT 's' || user_id AS session_id, count(*) AS attempts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_attempt FROM events WHERE event_type = 'error' GROUP BY user_id")
+@query("memo_queue", "SELECT 's' || user_id AS session_id, count(*) AS attempts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') "
+    "AS last_attempt FROM events WHERE event_type = 'error' GROUP BY user_id")
 def memo_queue(s: SparkSession, d: str) -> DataFrame:
     """Attempts of each pending session; errors count as attempts."""
     e = vault.session_events(s, d).where("kind = 'error'").select("session_id", F.col("ts").alias("at"))
@@ -282,10 +310,14 @@ def memo_queue(s: SparkSession, d: str) -> DataFrame:
 
 
 IMPORTED = (
+    (
     CTE + RENDERED + NOTE.replace("SELECT session, CAST(0 AS BIGINT) AS part", ", parts AS (SELECT session, CAST(0 AS BIGINT) AS part")
-    + """), w AS (SELECT conv_id AS session, count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0 AS viable FROM conversations GROUP BY 1),
+    + """), w AS (SELECT conv_id AS session, count(*) >= 6 OR count(*) FILTER (contains(text, 'tool_use')) > 0 AS viable
+  FROM conversations GROUP BY 1),
 f AS (SELECT session, sha256(string_agg(raw, '' ORDER BY part)) AS content_hash FROM parts GROUP BY session)
-SELECT w.session, CASE WHEN viable THEN 'imported' ELSE 'skipped' END AS action, CASE WHEN viable THEN content_hash END AS content_hash FROM w LEFT JOIN f USING (session)"""
+SELECT w.session, CASE WHEN viable THEN 'imported' ELSE 'skipped' END AS action, CASE WHEN viable THEN content_hash
+  END AS content_hash FROM w LEFT JOIN f USING (session)"""
+)
 )
 
 
@@ -313,23 +345,30 @@ def memory_read(s: SparkSession, d: str) -> DataFrame:
 # Index, sync and reports
 
 
-@query("index_status", CTE + S.GRAPH + """, vec AS (SELECT path FROM embeddings JOIN archive ON archive.doc_id = vec_id // 3 * 31 % (SELECT count(*) FROM documents))
-SELECT 'documents' AS what, type AS name, count(*) AS count FROM docs GROUP BY type UNION ALL SELECT 'links', 'all', count(*) FROM resolved UNION ALL SELECT 'links', 'open', count(*) FILTER (is_broken) FROM resolved
-  UNION ALL SELECT 'tasks', 'all', count(*) FROM tasks UNION ALL SELECT 'tasks', 'open', count(*) FILTER (NOT completed) FROM tasks UNION ALL SELECT 'vectors', 'documents', count(DISTINCT path) FROM vec""")
+@query("index_status", CTE + S.GRAPH + """, vec AS (SELECT path FROM embeddings JOIN archive ON archive.doc_id = vec_id // 3 * 31 % (SELECT count(*) FROM
+  documents))
+SELECT 'documents' AS what, type AS name, count(*) AS count FROM docs GROUP BY type UNION ALL SELECT 'links', 'all',
+  count(*) FROM resolved UNION ALL SELECT 'links', 'open', count(*) FILTER (is_broken) FROM resolved
+  UNION ALL SELECT 'tasks', 'all', count(*) FROM tasks UNION ALL SELECT 'tasks', 'open', count(*) FILTER (NOT completed)
+  FROM tasks UNION ALL SELECT 'vectors', 'documents', count(DISTINCT path) FROM vec""")
 def index_status(s: SparkSession, d: str) -> DataFrame:
     _, docs, resolved, tasks = graph_tables(s, d)
     return index.described(docs, resolved, tasks, vault.chunk_vectors(s, d))
 
 
-@query("index_changes", CTE + S.NOTES + """, h AS (SELECT doc_id, CASE WHEN doc_id % 13 = 1 THEN 'new' WHEN doc_id % 13 = 0 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM notes)
+@query("index_changes", CTE + S.NOTES + """, h AS (SELECT doc_id, CASE WHEN doc_id % 13 = 1 THEN 'new' WHEN doc_id % 13 = 0 THEN 'deleted' WHEN doc_id % 5
+  = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM notes)
 SELECT action, count(*) AS notes FROM h GROUP BY action""")
 def index_changes(s: SparkSession, d: str) -> DataFrame:
     return index.changes(index_plan(s, d))
 
 
-@query("index_build", CTE + S.GRAPH + r""", t AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term FROM docs)
-SELECT 'documents' AS table_name, count(*) AS row_count FROM docs UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'headings', count(*) FROM heads
-  UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'aliases', count(*) FROM aliases UNION ALL SELECT 'hashes', count(*) FROM notes UNION ALL SELECT 'catalog', count(*) FROM docs
+@query("index_build", CTE + S.GRAPH + r""", t AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term
+  FROM docs)
+SELECT 'documents' AS table_name, count(*) AS row_count FROM docs UNION ALL SELECT 'links', count(*) FROM links
+  UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'headings', count(*) FROM heads
+  UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'aliases', count(*) FROM aliases UNION ALL SELECT
+  'hashes', count(*) FROM notes UNION ALL SELECT 'catalog', count(*) FROM docs
   UNION ALL SELECT 'postings', count(DISTINCT (path, term)) FROM t WHERE term <> ''""")
 def index_build(s: SparkSession, d: str) -> DataFrame:
     """Rows of each table of a full build, but for the chunks."""
@@ -337,8 +376,10 @@ def index_build(s: SparkSession, d: str) -> DataFrame:
     return index.status(version, s).where("table_name <> 'chunks'")
 
 
-@query("open_tasks_top", CTE + S.GRAPH + f""" SELECT doc_path, task_text, line_number, title, date FROM tasks LEFT JOIN docs ON path = doc_path WHERE NOT completed AND NOT contains(doc_path, '/transcripts/')
-  AND section = 'Open Threads' AND (date >= '{SINCE}' OR date IS NULL) ORDER BY date DESC NULLS LAST, doc_path, line_number LIMIT 50""")
+@query("open_tasks_top", CTE + S.GRAPH + f""" SELECT doc_path, task_text, line_number, title, date FROM tasks LEFT JOIN docs ON path = doc_path WHERE NOT completed
+  AND NOT contains(doc_path, '/transcripts/')
+  AND section = 'Open Threads' AND (date >= '{SINCE}' OR date IS NULL) ORDER BY date DESC NULLS LAST, doc_path,
+  line_number LIMIT 50""")
 def open_tasks_top(s: SparkSession, d: str) -> DataFrame:
     _, docs, _, tasks = graph_tables(s, d)
     return graph.newest_tasks(graph.open_tasks(tasks, docs, SINCE), 50).select("doc_path", "task_text", "line_number", "title", "date")
@@ -359,7 +400,8 @@ def outlinks(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "crystallization_top",
-    CTE + PAGES + f", t AS (SELECT link, refs, projects, {TIER} AS tier FROM refs) SELECT * FROM t ORDER BY CASE tier WHEN 'OVERDUE' THEN 1 WHEN 'READY' THEN 2 WHEN 'MATURING' THEN 3 ELSE 4 END, refs DESC, link LIMIT 30",
+    CTE + PAGES + f", t AS (SELECT link, refs, projects, {TIER} AS tier FROM refs) SELECT * FROM t ORDER BY CASE "
+    f"tier WHEN 'OVERDUE' THEN 1 WHEN 'READY' THEN 2 WHEN 'MATURING' THEN 3 ELSE 4 END, refs DESC, link LIMIT 30",
 )
 def crystallization_top(s: SparkSession, d: str) -> DataFrame:
     r = curation.link_refs(vault.page_links(s, d))
@@ -392,8 +434,10 @@ def sync_plan(s: SparkSession, d: str) -> DataFrame:
     return sync.plan(sync.sources(n), old)
 
 
-@query("synced_notes", CTE + S.NOTES + r""" SELECT path, sha256('---' || chr(10) || 'type: auto-memory' || chr(10) || 'source: ' || path || chr(10) || '---' || chr(10) || chr(10)
-  || rtrim(regexp_replace(raw, '(?s)^---.*?---\n*', ''), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || chr(10) || '## Vault Annotations' || chr(10)
+@query("synced_notes", CTE + S.NOTES + r""" SELECT path, sha256('---' || chr(10) || 'type: auto-memory' || chr(10) || 'source: ' || path || chr(10) || '---'
+  || chr(10) || chr(10)
+  || rtrim(regexp_replace(raw, '(?s)^---.*?---\n*', ''), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10)
+  || chr(10) || '## Vault Annotations' || chr(10)
   || CASE WHEN doc_id % 20 = 9 THEN 'mine ' || doc_id ELSE '' END) AS written FROM notes WHERE contains(path, '/auto-memory/')""")
 def synced_notes(s: SparkSession, d: str) -> DataFrame:
     """The copy that is written of each; the annotations of the copies that have some stay."""
