@@ -19,8 +19,8 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -118,44 +118,57 @@ def ranges(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out[len(bounds) :]
 
 
-def order_keys(ids: pd.Series, hashes: pd.Series) -> np.ndarray:
+def order_keys(ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
     """Rows of numbers in the order of the documents: those with an id first, ids descending, then the text's hash."""
-    none = ids.isna().to_numpy()
-    return np.stack([none.astype(np.int64), np.where(none, 0, ~ids.fillna(0).astype("int64").to_numpy()), hashes.to_numpy()], axis=1)
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    known = ids.cast(pa.int64()).fill_null(0).to_numpy()
+    return np.stack([none.astype(np.int64), np.where(none, 0, ~known), hashes], axis=1)
+
+
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of each text."""
+    return np.array([xxhash.xxh64_intdigest(t, common.SEED) for t in common.raw(texts)], np.uint64).view(np.int64)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows part, guest, doc_id, text, dealt by part and sorted, so that in each part, read in order, a document's next one follows it; a part's last row is a guest, the first of the next part."""
+    """Rows part, guest, doc_id, text, dealt by part and sorted, so that in each part, read in order, a document's next one follows it; a part's last
+    row is a guest, the first of the next part. docs: doc_id, text (not null)."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = docs.withColumn("hash", F.xxhash64("text"))
-    count = docs.count()
     # Bounds of the ranges, as a sort by ranges takes them: from a sample of keys whose size is bounded by the number of ranges.
-    share = min(1.0, PER_RANGE * parts / max(count, 1))
-    sample = hashed.where(F.rand(7) < share).select(F.col("doc_id").cast("long"), "hash").toPandas()
-    keys = order_keys(sample["doc_id"].astype("Int64"), sample["hash"])
+    share = min(1.0, PER_RANGE * parts / max(docs.count(), 1))
+    sample = docs.where(F.rand(7) < share).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash")).toArrow().combine_chunks()
+    keys = order_keys(sample["doc_id"].combine_chunks(), sample["hash"].to_numpy()) if sample.num_rows else np.empty((0, 3), np.int64)
     keys = keys[np.lexsort(keys.T[::-1])]
-    bounds = np.unique(keys[:: max(1, len(keys) // parts)][1:], axis=0) if len(keys) else np.empty((0, 3), np.int64)
-
-    @F.pandas_udf("long")
-    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series(ranges(order_keys(ids, hashes), bounds))
-
-    marked = hashed.withColumn("range", place(F.col("doc_id").cast("long"), "hash"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.bitwise_not(F.col("doc_id").cast("long")).alias("down"), "hash"))
-    heads = sorted((r["range"], r["first"]) for r in marked.groupBy("range").agg(first.alias("first")).collect())  # a row for each range
-    spans = spark.createDataFrame(
-        [(r, i, (i or len(heads)) - 1, f["none"], f["down"], f["hash"]) for i, (r, f) in enumerate(heads)],
-        "range long, part int, before int, none boolean, down long, first long",
-    )
-    joined = marked.join(F.broadcast(spans), "range")
-    is_head = (F.col("hash") == F.col("first")) & (F.isnull("doc_id") == F.col("none")) & F.bitwise_not(F.col("doc_id").cast("long")).eqNullSafe(F.col("down"))
-    own, guest = (F.struct(F.col(c).alias("part"), F.lit(n).alias("guest")) for c, n in (("part", 0), ("before", 1)))
-    spread = joined.withColumn(
-        "at",
-        F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))),
-    ).select("at.part", "at.guest", "doc_id", "text", "hash")
-    return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
+    bounds = np.unique(keys[:: max(1, len(keys) // parts)][1:], axis=0)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = order_keys(batch.column(0), text_hashes(batch.column(1)))
+            of = ranges(keys, bounds)
+            order = np.lexsort((*keys.T[::-1], of))
+            first = order[np.r_[True, of[order][1:] != of[order][:-1]][: len(order)]]
+            yield pa.RecordBatch.from_pydict({"range": of[first], "none": keys[first, 0], "down": keys[first, 1], "hash": keys[first, 2]})
+
+    found = docs.select("doc_id", "text").mapInArrow(firsts, "range long, none long, down long, hash long")
+    rows = found.groupBy("range").agg(F.min(F.struct("none", "down", "hash")).alias("first")).collect()  # a row for each range
+    heads = sorted((r["range"], tuple(r["first"])) for r in rows)
+    part_of, head_of = np.zeros(len(bounds) + 1, np.int32), np.zeros((len(bounds) + 1, 3), np.int64)
+    for part, (n, first) in enumerate(heads):
+        part_of[n], head_of[n] = part, first
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = order_keys(batch.column(0), text_hashes(batch.column(1)))
+            of = ranges(keys, bounds)
+            guests = np.flatnonzero((keys == head_of[of]).all(axis=1))
+            own, before = part_of[of], (part_of[of[guests]] - 1) % max(len(heads), 1)
+            out = batch.take(pa.array(np.r_[np.arange(len(of)), guests]))
+            marks = [pa.array(np.r_[own, before], pa.int32()), pa.array(np.r_[np.zeros(len(of)), np.ones(len(guests))], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*marks, *out.columns], names=["part", "guest", "doc_id", "text"])
+
+    spread = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "part int, guest int, doc_id long, text string")
+    return spread.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
