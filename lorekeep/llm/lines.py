@@ -33,7 +33,7 @@ from . import common
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard, copies of it at least, and probes that a copy answers, on average.
-SHARD_KEYS, SALTS, GROUP_PROBES = 65_536, 2, 1_000_000
+SHARD_KEYS, SALTS, GROUP_PROBES = 65_536, 8, 1_000_000
 WHITE = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 ADDED = ("kept_text", "n_lines", "n_dropped")
