@@ -143,10 +143,11 @@ def edge(tmp_path_factory):
         }
     )
     out = {}
-    for name, take in (("edge", None), ("empty", 0)):
+    for name, take in (("edge", None), ("empty", 0), ("unlabelled", None)):
         d = tmp_path_factory.mktemp(name)
         for n, t in (("documents", docs), ("embeddings", emb), ("conversations", conv), ("labels", labels)):
-            pq.write_table(t if take is None else t.slice(0, 0), d / f"{n}.parquet")
+            none = take == 0 or (name, n) == ("unlabelled", "labels")
+            pq.write_table(t.slice(0, 0) if none else t, d / f"{n}.parquet")
         out[name] = str(d)
     return out
 
@@ -177,7 +178,7 @@ def test_extra_columns_stay(spark, edge):
 
 
 def test_pipeline_on_edge_tables(spark, edge):
-    made = corpus_pipeline.run(spark, edge["edge"]).toPandas()
+    made = corpus_pipeline.run(spark, edge["unlabelled"]).toPandas()
     assert len(made) and set(made.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}
     assert corpus_pipeline.run(spark, edge["empty"]).count() == 0
 
