@@ -18,6 +18,7 @@ matter; empty table: empty result. Offsets count code points.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import math
 import random
@@ -76,7 +77,7 @@ class Automaton:
 
     def __init__(self, samples: list[str], alpha: float = 0.05) -> None:
         self.seen, self.ends, self.dots = [0], [0], [0]
-        self.next: list[dict[str, int]] = [{}]
+        self.next: list[dict[str, int]] | dict[int, dict[str, int]] = [{}]
         self.uses: list[dict[str, int]] = [{}]
         self.bound = math.sqrt(0.5 * math.log(2.0 / alpha))
         for s in samples:
@@ -105,6 +106,9 @@ class Automaton:
         self.states = red
         self.table = {r: ({c: math.log(n / self.seen[r]) for c, n in self.uses[r].items()}, math.log(max(self.ends[r], 0.5) / self.seen[r])) for r in red}
         self.missing = {r: math.log(0.5 / (self.seen[r] + 40.0)) for r in red}
+        # What is sent with the tasks: the states that are left.
+        self.next, self.ends = {r: self.next[r] for r in red}, {r: self.ends[r] for r in red}
+        del self.seen, self.uses, self.dots
 
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > self.bound * (n1**-0.5 + n2**-0.5)
@@ -157,6 +161,12 @@ class Automaton:
         return total + self.table[at][1] if at in self.table else total - 12.0
 
 
+@functools.cache
+def inferred() -> Grammar:
+    """The grammar, inferred once in a process."""
+    return Grammar()
+
+
 class Grammar:
     """All formats' automata and the model of ordinary text (its letters are likelier than digits, capitals and marks)."""
 
@@ -297,7 +307,7 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     common.bounded_batches(docs.sparkSession)
-    grammar = Grammar()  # a few hundred states, sent with the task
+    grammar = inferred()  # a few hundred states, sent with the task
     fields = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in BASE_KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
