@@ -82,11 +82,8 @@ def tasks(notes: DataFrame) -> DataFrame:
     """doc_path, task_text, completed, line_number, section: the last heading above. Each note's row gives its tasks: nothing is shuffled."""
     marked = F.transform(M.lines(F.col("raw")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
     heads = F.filter("marked", lambda x: x["line"].rlike(M.HEADING))
-    found = notes.select("path", marked.alias("marked")).select(
-        "path",
-        heads.alias("heads"),
-        F.explode(F.filter("marked", lambda x: x["line"].rlike(M.TASK))).alias("x"),
-    )
+    items = F.filter("marked", lambda x: x["line"].rlike(M.TASK))
+    found = notes.select("path", marked.alias("marked")).select("path", heads.alias("heads"), items.alias("items")).select("path", "heads", F.explode("items").alias("x"))
     above = F.try_element_at(F.filter("heads", lambda h: h["n"] < F.col("x.n")), F.lit(-1))["line"]
     line = F.col("x.line")
     return found.select(

@@ -83,7 +83,8 @@ def catalog(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
     """term, path, tf, length: the inverted index. stemmed: terms are stems of words without accents; words are counted by document first, so each goes to Python once for each document that has it."""
     text = text_of(docs, stemmed)
-    t = docs.select("path", length(text).alias("length"), F.explode(F.filter(tokens(text), lambda w: w != "")).alias("term"))
+    # The length is a column before the words are rows, so a text is counted once.
+    t = docs.select("path", length(text).alias("length"), tokens(text).alias("t")).select("path", "length", F.explode("t").alias("term")).where("term <> ''")
     p = t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     return p.withColumn("term", stems("term")).groupBy("term", "path").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if stemmed else p
 
