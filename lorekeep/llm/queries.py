@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, licenses, lines, mixing, quality, secrets, simhash, sketch
+from . import audit, bpe, chat, embeddings, licenses, lines, mixing, quality, secrets, simhash, sketch
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
+    "op11_audit": audit.op11_audit,
 }
-ORACLE_SQL = {"op1_mix": mixing.SQL, "op6_embeddings": embeddings.SQL, "op8_lines": lines.SQL}
+ORACLE_SQL = {"op1_mix": mixing.SQL, "op6_embeddings": embeddings.SQL, "op8_lines": lines.SQL, "op11_audit": audit.SQL}
