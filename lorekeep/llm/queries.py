@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, bpe, chat, embeddings, licenses, lines, merkle, mixing, quality, secrets, simhash, sketch
+from . import audit, bpe, chat, embeddings, licenses, lines, merkle, mixing, pii, quality, secrets, simhash, sketch
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_audit": audit.op11_audit,
     "op12_merkle": merkle.op12_merkle,
+    "op13_pii": pii.op13_pii,
 }
 ORACLE_SQL = {"op1_mix": mixing.SQL, "op6_embeddings": embeddings.SQL, "op8_lines": lines.SQL, "op11_audit": audit.SQL, "op12_merkle": merkle.SQL}
