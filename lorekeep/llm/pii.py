@@ -41,7 +41,7 @@ KINDS = (*BASE_KINDS, *LABELS[1:])
 #: Parts of the fixed base patterns; on bytes, so that classes are ASCII's alone.
 LOCAL, DOMAIN = re.compile(rb"[A-Za-z0-9._%+-]+\Z"), re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(rb"[0-9]++(?:\.[0-9]++)++")
+DOTTED = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(rb"[0-9]")
@@ -89,10 +89,12 @@ CUES = {
     "handle": "twitter instagram telegram username handle login",
     "at": "at",
     "dot": "dot",
+    "ending": "com org net edu de fr es",
 }
 CUE = {word: kind for kind, words in CUES.items() for word in words.split()}
-#: Cues that may start a field; "at" tells only near a node.
-STARTING = frozenset(w.encode() for w, kind in CUE.items() if kind != "at")
+#: Cues that tell only near a node, and those that may start a field.
+QUIET = ("at", "ending")
+STARTING = frozenset(w.encode() for w, kind in CUE.items() if kind not in QUIET)
 TOKEN = re.compile(r"@?\w+(?:['._%+/\-]+\w+)*+")
 NEAR, ROUNDS, DAMPING, CONFIDENCE, NODES = 4, 20, 0.5, 0.6, 8192
 CHAIN, BROKEN, SAME, SIMILAR = range(4)
@@ -147,7 +149,7 @@ class Tokens:
         """Numbers of the tokens that are nodes of the field."""
         near: set[int] = set()
         of_base = [x for a, b, _ in self.base for x in range(*np.searchsorted(self.spans[:, 1], [a, b], "right").tolist())]
-        marks = (i for i, w in enumerate(self.words()) if w[0] == "@" or CUE.get(w.lower(), "at") != "at" or any(c.isdigit() for c in w))
+        marks = (i for i, w in enumerate(self.words()) if w[0] == "@" or CUE.get(w.lower(), "at") not in QUIET or any(c.isdigit() for c in w))
         for i in itertools.chain(of_base, marks):
             near.update(range(max(0, i - NEAR), min(len(self), i + NEAR + 1)))
         if not near:
@@ -242,7 +244,7 @@ class Field:
 
 
 #: Drawn documents that the field is trained on.
-DRAWN = 700
+DRAWN = 900
 
 
 class Draw:
@@ -269,12 +271,13 @@ class Draw:
             words.insert(self.draw.randint(0, len(words)), self.plain())
         if self.draw.random() < 0.4:
             words.insert(self.draw.randint(0, len(words)), "at")
-        return " ".join([words[0].capitalize(), *words[1:]]) + self.pick(".|.|!|?|.\n")
+        made = " ".join([words[0].capitalize(), *words[1:]]) + self.pick(".|.|!|?|.\n")
+        return made.upper() if self.draw.random() < 0.1 else made
 
     def plain(self) -> str:
         """Numbers, marks and words that are no personal data."""
         d = self.digits
-        number = self.pick("8|89|899|8999|899999|1989|2009|8.9|8.9.9|89.9.|8,999|89%|$89.99|89:99|99-99|999-9999|89/99|aaa9|9aa9a99aa9a9|8899-99-99|99.99.2099|2019-89-99|#899|v8.9")
+        number = self.pick("8|89|aa9aa99aa9a9999aaa9a9aa99|899|8999|899999|1989|2009|8.9|8.9.9|89.9.|8,999|89%|$89.99|89:99|99-99|999-9999|89/99|aaa9|9aa9a99aa9a9|8899-99-99|99.99.2099|2019-89-99|#899|v8.9")
         return self.pick(f"{d(number)}|{d(number)}|{self.word().capitalize()}|{self.word().capitalize()} {self.word().capitalize()}|call {self.word()}|born {self.word()}|at|dot|account {self.word()}")
 
     def base(self) -> tuple[str, str, str]:
@@ -335,6 +338,9 @@ class Draw:
                     # A later form with a mark less is the same account; one with a letter more isn't.
                     later.append((again, "none" if again.endswith("x") and label == "handle" else label))
             pieces.append((self.word() + " " + self.sentence(), "none"))
+        if self.draw.random() < 0.5:  # a word with a capital that comes again, near a number or not, and is no name
+            again = (self.word() + self.word()).capitalize()
+            later += [(form, "none") for form in self.draw.sample([again, f"{again}'s", f"{again} {self.digits('89')}", again], 3)]
         for body, label in later:
             pieces += [(self.sentence() + " " + self.word().capitalize() + " " + self.word(), "none"), (body, label), (self.word() + " " + self.sentence(), "none")]
         text, spans = "", []
@@ -346,7 +352,7 @@ class Draw:
         return text, spans
 
 
-def trained(seed: int = 11, drawn: int = DRAWN, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Field:
+def trained(seed: int = 11, drawn: int = DRAWN, steps: int = 300, rate: float = 0.05, decay: float = 3e-5) -> Field:
     """The field, by the composite likelihood of the labels of drawn documents: each node's label given its features, and given these and its neighbours' labels.
 
     The second part alone would leave it to a node's neighbours to say what its own features can.

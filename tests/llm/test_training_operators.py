@@ -155,7 +155,7 @@ def edge(tmp_path_factory):
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_edges(spark, edge, name):
     n = len(queries.QUERIES[name](spark, edge["edge"]).toPandas())
-    expected = {"op6_embeddings": 13, "op9_chat": 4}.get(name, 20)
+    expected = {"op6_embeddings": 13, "op9_chat": 4, "op11_audit": 600}.get(name, 20)
     assert n == expected
     empty = queries.QUERIES[name](spark, edge["empty"]).toPandas()
     assert len(empty) == (1 if name == "op9_chat" else 0)
