@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lorekeep.functions.words import folded, stems
+from lorekeep.operators import ranked
 
 #: Words that a keyword query leaves out.
 STOPWORDS = (
@@ -69,6 +70,7 @@ class Index(NamedTuple):
 
     catalog: DataFrame  # path, title, type, project, date, length
     postings: DataFrame  # term, path, tf, length; stored in the order of term
+    ranked: ranked.Ranked | None = None  # the same in blocks, for many queries; made anew for each search if it isn't stored
 
 
 def text_of(docs: DataFrame, stemmed: bool) -> Column:
@@ -136,25 +138,14 @@ def bm25_scan(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.7
     return each.groupBy("path").agg(F.sum(weight(k1, b)).alias("score"))
 
 
-#: A table of at most so many rows may be broadcast; it is counted first.
-BROADCAST_ROWS = 50_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def bm25_batch(index: Index, queries: DataFrame, k: int, query_key: str = "item_id", k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
-    """Best k documents of each query (query_key, terms): the asked terms, if few, go to the postings, so a hot term isn't one task."""
-    asked = queries.select(query_key, F.explode(F.array_distinct("terms")).alias("term"))
+    """Best k documents of each query (query_key, terms), with score and rank, by blocks of postings that are skipped where their bound is too low."""
+    asked = queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct("terms")).alias("term"))
     if stemmed:
         asked = asked.withColumn("term", stems(folded(F.col("term")))).distinct()
-    wanted = index.postings.join(small_side(asked.select("term").distinct()), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(small_side(asked.join(df, "term")), "term").crossJoin(statistics(index.catalog))
-    scored = hits.groupBy(query_key, "path").agg(F.sum(weight(k1, b)).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.round("score", 6).desc(), "path")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    by = index.ranked or ranked.built(index.catalog, index.postings)
+    found = ranked.topk(by, asked, statistics(index.catalog), k, k1, b)
+    return ranked.merged(found, by, k).withColumnRenamed("query", query_key)
 
 
 #: Words of a title that a keyword query would read as operators.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import markdown as M
 from lorekeep.operators import chunking, context, curation, extract, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
-from lorekeep.plans.registry import CTE, ORACLE_SQL, QUERIES, derived, graph_tables, keyword_index, query, question_vector
+from lorekeep.plans.registry import CTE, ORACLE_SQL, QUERIES, derived, graph_tables, keyword_index, query, question_vector, ranked_index
 from lorekeep.sources import vault
 from lorekeep.streaming import hooks
 
@@ -133,13 +133,13 @@ SELECT item_id, path, round(score, 6) AS score, rank FROM (SELECT *, row_number(
 @query("bm25_batch", BATCH)
 def bm25_batch(s: SparkSession, d: str) -> DataFrame:
     b = vault.table(s, d, "benchmark").select("item_id", search.keywords_of(F.col("text")).alias("terms"))
-    return search.bm25_batch(keyword_index(s, d), b, 3)
+    return search.bm25_batch(ranked_index(s, d), b, 3)
 
 
 @query("bm25_stemmed")
 def bm25_stemmed(s: SparkSession, d: str) -> DataFrame:
     b = vault.table(s, d, "benchmark").select("item_id", search.keywords_of(F.col("text")).alias("terms"))
-    return search.bm25_batch(keyword_index(s, d, stemmed=True), b, 3, stemmed=True)
+    return search.bm25_batch(ranked_index(s, d, stemmed=True), b, 3, stemmed=True)
 
 
 @query("snippets", CTE + S.NOTES + r""" SELECT path, substr(regexp_replace(content, '\s+', ' ', 'g'), 1, 200) || CASE WHEN length(content) > 200 THEN '...'
@@ -175,7 +175,7 @@ SELECT asks AS path, rank, path AS related FROM k WHERE rank <= 5"""
 def related_notes(s: SparkSession, d: str) -> DataFrame:
     """Every note of the tool's own memory asks, by its first line."""
     asking = vault.archive(s, d).where(F.col("type") == "auto-memory").select("path", F.substring_index("content", "\n", 1).alias("title"))
-    return search.related(keyword_index(s, d), asking)
+    return search.related(ranked_index(s, d), asking)
 
 
 # Extraction

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEPT: dict[tuple[str, str], str] = {}
 
@@ -36,6 +37,21 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, whatever is asked of it."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table of at most so many rows may be broadcast; it is counted first.
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def kept(spark: SparkSession, name: str, write: Callable[[str], object]) -> DataFrame:
     """The table that write(path) makes as Parquet, once for each application and name; later calls read it."""
     key = (spark.sparkContext.applicationId, name)
