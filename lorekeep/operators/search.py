@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lorekeep.functions.words import folded, stems
-from lorekeep.operators import ranked
+from lorekeep.operators import fulltext, ranked
 
 #: Words that a keyword query leaves out.
 STOPWORDS = (
@@ -167,87 +166,25 @@ def related(index: Index, asking: DataFrame, most: int = 5) -> DataFrame:
     )
 
 
-TOKEN = re.compile(r'"([^"]*)"|NEAR\s*\(|[()]|[^\s()"]+')
-
+def matches(docs: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Documents that a query of words, "phrases", word*, column:, NEAR(a b, n), AND, OR, NOT and parentheses holds for; see fulltext.Parser. For stored documents use fulltext.matching."""
+    return docs.join(fulltext.matching(fulltext.positions(docs, *(columns or ("content",))), query, columns or ("content",)), "path", "left_semi")
 
-def condition(query: str, columns: tuple[str, ...] = ("content",)) -> Column:
-    """A keyword query as a condition. Words are joined by AND, OR and NOT (left but not right), NOT before AND before OR; parentheses group; "quoted" words stand
-    together; word* begins a word; column:... looks in one column; NEAR(a b, n) has its words or phrases with at most n (10) words between them, in any order.
-    """
-    spaced_of = {c: F.concat(F.lit(" "), F.lower(F.regexp_replace(F.col(c), BETWEEN, " ")), F.lit(" ")) for c in columns}
-    parts = [(m[0], m[1]) for m in TOKEN.finditer(query)]
-    at = 0
-
-    def within(text: str, prefix: bool, of: str | None) -> Column:
-        words = " " + " ".join(re.sub(r"[\W_]+", " ", text.lower()).split()) + ("" if prefix else " ")
-        return functools.reduce(lambda a, b: a | b, [spaced_of[c].contains(words) for c in ([of] if of else columns)])
-
-    def near(of: str | None) -> Column:
-        nonlocal at
-        inside = ""
-        while at < len(parts) and parts[at][0] != ")":
-            inside += parts[at][0] + " "
-            at += 1
-        at += 1
-        words, _, gap = inside.partition(",")
-        phrases = [" ".join(re.sub(r"[\W_]+", " ", (a or b).lower()).split()) for a, b in re.findall(r'"([^"]*)"|(\S+)', words)]
-        between = rf"(?: [^ ]+){{0,{int(gap.strip() or 10)}}} "
-        orders = ["(?= )" + between.join(map(re.escape, order)) + "(?= )" for order in itertools.permutations(phrases)]
-        found = "|".join(x.replace("(?= )", "", 1) for x in orders)
-        return functools.reduce(lambda a, b: a | b, [spaced_of[c].rlike(f" (?:{found})") for c in ([of] if of else columns)])
-
-    def one(of: str | None = None) -> Column:
-        nonlocal at
-        word, quoted = parts[at]
-        at += 1
-        if word == "(":
-            inner = either()
-            at += 1
-            return inner
-        if word.startswith("NEAR") and word.endswith("("):
-            return near(of)
-        if quoted is not None:
-            return within(quoted, False, of)
-        name, colon, rest = word.partition(":")
-        if colon and name in columns:
-            if rest == "NEAR" and at < len(parts) and parts[at][0] == "(":
-                at += 1
-                return near(name)
-            if rest:
-                return within(rest.rstrip("*"), rest.endswith("*"), name)
-            return one(name)
-        return within(word.rstrip("*"), word.endswith("*"), of)
-
-    def negated() -> Column:
-        nonlocal at
-        left = one()
-        while at < len(parts) and parts[at][0] == "NOT":
-            at += 1
-            left = left & ~one()
-        return left
-
-    def both() -> Column:
-        nonlocal at
-        left = negated()
-        while at < len(parts) and parts[at][0] not in ("OR", ")"):
-            at += parts[at][0] == "AND"
-            left = left & negated()
-        return left
-
-    def either() -> Column:
-        nonlocal at
-        left = both()
-        while at < len(parts) and parts[at][0] == "OR":
-            at += 1
-            left = left | both()
-        return left
-
-    return either()
 
+def text_search(index: Index, stored: DataFrame, docs: DataFrame, query: str, columns: tuple[str, ...] = ("content",)) -> DataFrame:
+    """path, score, snippet of the documents that a query holds for, scored by its words; a query that can't be parsed is looked for as it is.
 
-def matches(docs: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Documents that a keyword query holds for; see condition()."""
-    return docs.where(condition(query, columns or ("content",)))
+    docs gives the first characters only; stored: fulltext.positions of the documents.
+    """
+    try:
+        tree = fulltext.parse(query, columns)
+    except fulltext.QueryError:
+        return contains(docs, query).select("path", "score", "snippet")
+    found = fulltext.matching(stored, query, columns)
+    words = [w for p in fulltext.phrases(tree, wanted=True) for i, w in enumerate(p.words) if not (p.prefix and i == len(p.words) - 1)]
+    scored = found.join(bm25(index, words), "path", "left") if words else found.withColumn("score", F.lit(None).cast("double"))
+    scored = scored.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return scored.join(docs.select("path", F.left("content", F.lit(200)).alias("snippet")), "path")
 
 
 def contains(docs: DataFrame, text: str, column: str = "content") -> DataFrame:

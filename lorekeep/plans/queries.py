@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
-from lorekeep.operators import chunking, context, curation, extract, graph, index, search, sync, transcripts
+from lorekeep.operators import chunking, context, curation, extract, fulltext, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
 from lorekeep.plans.registry import CTE, ORACLE_SQL, QUERIES, derived, graph_tables, keyword_index, query, question_vector, ranked_index
 from lorekeep.sources import vault
@@ -33,13 +33,29 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     r"'g'))) || ' ' AS w FROM archive) SELECT path, type FROM t WHERE (contains(w, ' of the ') AND contains(w, ' hand ')) OR contains(w, ' la que "
     r"')")
 def fts_boolean(s: SparkSession, d: str) -> DataFrame:
-    return search.matches(vault.archive(s, d), '"of the" hand OR "la que"').select("path", "type")
+    found = fulltext.matching(derived(s, d, "positions"), '"of the" hand OR "la que"')
+    return derived(s, d, "catalog").join(found, "path", "left_semi").select("path", "type")
 
 
 @query("like_fallback", CTE + S.ARCHIVE + " SELECT path, -1.0::DOUBLE AS score, substr(content, 1, 200) AS snippet FROM archive WHERE "
     "contains(lower(content), 'thing,')")
 def like_fallback(s: SparkSession, d: str) -> DataFrame:
-    return search.contains(vault.archive(s, d), "thing,").select("path", "score", "snippet")
+    """The comma is no part of the grammar, so the query is looked for as it is."""
+    return search.text_search(keyword_index(s, d), derived(s, d, "positions"), vault.archive(s, d), "thing,")
+
+
+@query("fts_ranked", CTE + S.words(["hand", "with"]) + r""", t AS (SELECT path, content, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS w FROM archive)
+  SELECT t.path, round(score, 6) AS score, substr(content, 1, 200) AS snippet FROM t JOIN sc USING (path) WHERE contains(w, ' hand with ')""")
+def fts_ranked(s: SparkSession, d: str) -> DataFrame:
+    """A phrase, from positions, with scores and the start of each text."""
+    return search.text_search(keyword_index(s, d), derived(s, d, "positions"), vault.archive(s, d), '"hand with"')
+
+
+@query("prefix_terms", CTE + S.ARCHIVE + r""", t AS (SELECT DISTINCT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term FROM archive)
+  SELECT term, count(*) AS df FROM t WHERE starts_with(term, 'han') GROUP BY term""")
+def prefix_terms(s: SparkSession, d: str) -> DataFrame:
+    """A range of the dictionary."""
+    return derived(s, d, "terms").where(F.col("term").startswith("han")).select("term", "df")
 
 
 @query("knn_l2", CTE + S.ARCHIVE + ", " + S.vectors(20) + " SELECT vec_id, path, round(distance, 6) AS distance FROM near")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import extract, ranked, search
+from lorekeep.operators import extract, fulltext, ranked, search
 from lorekeep.sources import store, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def written(df: DataFrame) -> Callable[[str], None]:
 
 
 def derived(s: SparkSession, d: str, name: str) -> DataFrame:
-    """documents (without content), links (resolved), tasks, tags, catalog, postings or stems (postings of stems) of the archive, and what ranked searches read: numbered, places, blocks, terms."""
+    """documents (without content), links (resolved), tasks, tags, catalog, postings or stems (postings of stems) of the archive, and what ranked searches read: numbered, places, blocks, terms; positions: of words in content and title."""
     makers: dict[str, Callable[[], Callable[[str], None]]] = {
         "documents": lambda: written(extract.documents(vault.notes(s, d)).drop("content")),
         "links": lambda: written(extract.resolved(extract.links(vault.notes(s, d)), derived(s, d, "documents"))),
@@ -51,10 +51,11 @@ def derived(s: SparkSession, d: str, name: str) -> DataFrame:
         "tags": lambda: written(extract.tags(derived(s, d, "documents"))),
         "catalog": lambda: written(search.catalog(vault.archive(s, d))),
         "postings": lambda: lambda path: search.write_postings(search.postings(vault.archive(s, d)), path),
+        "positions": lambda: lambda path: fulltext.write_positions(fulltext.positions(vault.archive(s, d), "content", "title"), path),
         "numbered": lambda: written(ranked.numbered(derived(s, d, "catalog"))),
         "places": lambda: written(ranked.places(derived(s, d, "numbered"))),
         "blocks": lambda: written(ranked.blocks(derived(s, d, "postings"), derived(s, d, "places"))),
-        "terms": lambda: written(ranked.terms(derived(s, d, "postings"))),
+        "terms": lambda: lambda path: fulltext.write_terms(ranked.terms(derived(s, d, "postings")), path),
         "stem_blocks": lambda: written(ranked.blocks(derived(s, d, "stems"), derived(s, d, "places"))),
         "stem_terms": lambda: written(ranked.terms(derived(s, d, "stems"))),
         "stems": lambda: lambda path: search.write_postings(search.postings(vault.archive(s, d), stemmed=True), path),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markdown as M
-from lorekeep.operators import chunking, curation, graph, index, search, sync, transcripts
+from lorekeep.operators import chunking, curation, fulltext, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
 from lorekeep.plans.queries import FUSION, NOTE, PAGES, QUESTION, RENDERED, RRF_FUSED, SINCE, TERMS, TIER, index_plan
 from lorekeep.plans.registry import CTE, derived, graph_tables, keyword_index, query, question_vector
@@ -63,7 +63,8 @@ SELECT path, type FROM t WHERE (contains(w, ' of the ') AND (contains(w, ' han')
 def fts_grammar(s: SparkSession, d: str) -> DataFrame:
     """Words, phrases, NOT, a prefix, a column and NEAR."""
     asked = '(content:"of the" han* NOT thing) OR (title:doc title:1*) OR content:NEAR(la que, 3)'
-    return search.matches(vault.archive(s, d), asked, "content", "title").select("path", "type")
+    found = fulltext.matching(derived(s, d, "positions"), asked, ("content", "title"))
+    return derived(s, d, "catalog").join(found, "path", "left_semi").select("path", "type")
 
 
 @query("knn_batch", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id,
