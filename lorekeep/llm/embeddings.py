@@ -12,9 +12,10 @@
   cell too, from that edge's end, and expands there; a node found by a visitor visits the visitor's home in turn. Rounds
   of visits go on until no query has a new cell to see.
 * What is found is verified by cosine in double precision.
-* Recall is audited: some AUDIT nodes with few links, with many, and any, are compared with all vectors; the audit is the mean over nodes that have a
-  link. Below GOAL the work is repeated with twice the overlap, and in the end done exactly, in blocks of all rows; above EXACT_ROWS nodes
-  that is refused with an error which tells the recall.
+* Recall is audited on nodes drawn by a hash of their number, whatever was found for them: they are compared with all vectors, until LINKED of them have a
+  link or the last of the steps AUDIT is done. The audit is the mean share of links found, of nodes with up to MANY links and of those with more apart; the lower
+  one counts. Below GOAL the work is repeated with twice the overlap, and in the end done exactly, in blocks of all rows, in rounds of bounded copies. The recall is a
+  column of the result.
 
 Candidates of the graph come from the cell's own similarities, block by block: a cell has a bounded size. Pairs aren't written: a task counts links and
 returns a forest of linked nodes for the components. A ball of b near-equal, not equal, vectors spans b / SHARD cells or so, which its nodes all
@@ -27,6 +28,7 @@ counts as a link; its component_id is the smallest vec_id that it reaches, null
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +44,8 @@ SAMPLE, FAN, SHARD, LARGEST, GUESTS, VISITS = 8192, 128, 1500, 6000, 4096, 4096
 #: Levels of centroids at most, and the share of a cell that the largest child may take; beyond it a cell is split by a hash.
 DEPTH, LOPSIDED = 7, 0.9
 OVERLAP, DEGREE, CANDIDATES, ALPHA, BEAM, REACH = 3, 12, 32, 1.2, 8, 0.8
-#: Audited nodes of each kind; nodes with more links than MANY are of the second; rows of the exact way at most, and of its blocks.
-AUDIT, MANY, GOAL, EXACT_ROWS, BLOCK = 64, 16, 0.95, 4_000_000, 16_384
+#: Audited nodes, by step; linked ones that are enough; a kind of nodes counts by itself if so many of it were seen; rows of a block of the exact way, and copies of a row in one of its rounds.
+AUDIT, LINKED, SEEN, MANY, GOAL, BLOCK, COPIES = (1024, 4096, 16_384), 200, 8, 16, 0.95, 16_384, 64
 #: Numbers of a matrix that a task holds at once, about; cosines this near to the threshold are summed again; share of a cell that is much.
 AT_ONCE, NEAR, MUCH = 1 << 20, 1e-9, 0.05
 
@@ -529,8 +531,9 @@ def found_links(nodes: DataFrame, count: int, least: float, overlap: int) -> tup
 
 
 def exact_links(nodes: DataFrame, count: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """The same by comparing blocks of all rows, each pair of blocks once."""
+    """The same by comparing blocks of all rows, each pair of blocks once; a round of pairs has at most about COPIES copies of each row."""
     blocks = max(1, -(-count // BLOCK))
+    rounds = -(-blocks // COPIES)
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = nodes.select("node", "n", "dim", "v", own.alias("own")).withColumn("pair", F.explode(pairs))
@@ -555,37 +558,49 @@ def exact_links(nodes: DataFrame, count: int, least: float) -> tuple[DataFrame,
         out.add(COUNT, node[counts > 0], counts[counts > 0])
         return out.table()
 
-    made = common.written(
-        dealt.select("dim", "pair.i", "pair.j", "own", "node", "n", "v").groupBy("dim", "i", "j").applyInArrow(compare, FOUND),
-        "vector-links",
-    )
+    dealt = dealt.select("dim", "pair.i", "pair.j", "own", "node", "n", "v")
+    of_round = lambda k: dealt.where((F.col("i") + F.col("j")) % rounds == k).groupBy("dim", "i", "j").applyInArrow(compare, FOUND)
+    made = functools.reduce(DataFrame.unionByName, [common.written(of_round(k), "vector-links") for k in range(rounds)])
     found = made.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("found"))
     return common.written(found, "vector-counts"), made.where(F.col("kind") == LINK).select("a", "b")
 
 
-def audit(nodes: DataFrame, found: DataFrame, least: float, each: int = AUDIT) -> float:
-    """Mean over audited nodes that have a true link of the share of their links that were found; brute force over all nodes, one pass.
-
-    Audited are `each` nodes with up to MANY links found, as many with more, and as many of all, linked or not, by the order of a hash.
-    """
-    first = lambda df: df.select("node").orderBy(F.xxhash64("node", F.lit(9))).limit(each)
-    few, many, some = (first(df) for df in (found.where(F.col("found") <= MANY), found.where(F.col("found") > MANY), nodes))
-    asked = few.unionByName(many).unionByName(some).distinct()
-    picked = nodes.join(F.broadcast(asked), "node").select("node", "dim", "v").toPandas()  # at most 3 * each rows
-    groups = {int(d): (g["node"].to_numpy(), unit(np.stack([np.asarray(v, np.float64) for v in g["v"]]))) for d, g in picked.groupby("dim")}
+def true_links(nodes: DataFrame, picked: DataFrame, least: float) -> DataFrame:
+    """node, true_links (to other nodes' rows) of the picked nodes, a bounded number: brute force over all nodes in one pass, each task adds up what its rows have."""
+    rows = picked.select("node", "dim", "v").toPandas()
+    groups = {int(d): (g["node"].to_numpy(), unit(np.stack([np.asarray(v, np.float64) for v in g["v"]]))) for d, g in rows.groupby("dim")}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {dim: np.zeros(len(ids), np.int64) for dim, (ids, _) in groups.items()}
         for batch in batches:
             for dim, (ids, x) in groups.items():
                 part = batch.filter(pa.array(batch["dim"].to_numpy() == dim))
                 if len(part):
-                    hit = (unit(vectors(part["v"])) @ x.T >= least) & (part["node"].to_numpy()[:, None] != ids)
-                    yield pa.RecordBatch.from_pydict({"node": ids, "true_links": (hit * part["n"].to_numpy()[:, None]).sum(axis=0).astype(np.int64)})
-
-    true = nodes.select("node", "dim", "n", "v").mapInArrow(count, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    share = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("true_links"))
-    row = true.where("true_links > 0").join(found, "node", "left").agg(F.avg(share), F.count("*")).head()
-    return row[0] if row[1] else 1.0
+                    mine, n, node = unit(vectors(part["v"])), part["n"].to_numpy(), part["node"].to_numpy()
+                    for at in range(0, len(ids), 2048):
+                        hit = (mine @ x[at : at + 2048].T >= least) & (node[:, None] != ids[at : at + 2048])
+                        sums[dim][at : at + 2048] += n @ hit
+        for dim, (ids, _) in groups.items():
+            some = sums[dim] > 0
+            yield pa.RecordBatch.from_pydict({"node": ids[some], "true_links": sums[dim][some]})
+
+    return nodes.select("node", "dim", "n", "v").mapInArrow(count, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
+
+
+def audit(nodes: DataFrame, found: DataFrame, least: float, steps: tuple[int, ...] = AUDIT) -> float:
+    """Share of the links that were found, the mean over nodes that have one, of nodes with few and with many links apart: the lower of both. 1.0 if no drawn node has a link."""
+    recall = 1.0
+    for most in steps:
+        drawn = nodes.select("node").orderBy(F.xxhash64("node", F.lit(9)), "node").limit(most)  # whatever was found for them
+        true = true_links(nodes, nodes.join(F.broadcast(drawn), "node"), least)
+        share = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("true_links"))
+        kinds = true.join(found, "node", "left").groupBy((F.col("true_links") > MANY).alias("many")).agg(F.avg(share).alias("share"), F.count("*").alias("n")).collect()
+        linked = sum(k.n for k in kinds)
+        if linked:
+            recall = min([sum(k.share * k.n for k in kinds) / linked, *[k.share for k in kinds if k.n >= SEEN]])
+        if linked >= LINKED:
+            break
+    return recall
 
 
 def near_duplicates(table: DataFrame, least: float = 0.9, overlap: int = OVERLAP, goal: float = GOAL) -> tuple[DataFrame, float]:
@@ -601,10 +616,8 @@ def near_duplicates(table: DataFrame, least: float = 0.9, overlap: int = OVERLAP
             recall = audit(nodes, found, least)
             if recall >= goal:
                 break
-        elif count <= EXACT_ROWS:
-            (found, links), recall = exact_links(nodes, count, least), 1.0
         else:
-            raise RuntimeError(f"audited recall {recall:.3f} of {goal} over {count} vectors, too many for the exact way")
+            (found, links), recall = exact_links(nodes, count, least), 1.0
     marks = nodes.drop("v", "dim").join(components(links).withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left")
     marks = common.written(marks.withColumn("component", F.coalesce("component", "node")), "vector-components")
     reached = marks.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -617,7 +630,8 @@ def near_duplicates(table: DataFrame, least: float = 0.9, overlap: int = OVERLAP
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "embeddings"))[0]
+    found, recall = near_duplicates(common.table(spark, sf_dir, "embeddings"))
+    return found.withColumn("recall", F.lit(recall))
 
 
 SQL = """
@@ -626,5 +640,5 @@ g AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM g GROUP BY a)
-SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept, 1.0::DOUBLE AS recall FROM c LEFT JOIN n USING (vec_id)
 """

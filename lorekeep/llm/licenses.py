@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased and its words are put one space apart. Each rule is a regular expression over these words, written by hand, with
-its optional and alternative parts, and gated by a keyword: a rule runs only around the places where its keyword stands. Rules are ordered by priority:
+its optional and alternative parts, and gated by a keyword: a rule runs only over texts that have its keyword. Rules are ordered by priority:
 notices and identifiers, addresses, full names, tags, and last names that only tell a group. A detection that lies within an interval
 found by a rule of higher priority, or found before by the same priority, is suppressed, so one notice gives one label; the base
 phrases are always reported beside these.
@@ -334,8 +334,6 @@ licensed licen 5 (?<!not )(?<!never )(?<!nor )licen[cs]ed (?:to you )?under (?:t
 licensed licen 5 see (?:the )?(?:accompanying )?(?:file )?licen[cs]e(?: file)?(?: txt| md)?(?: file)? for (?:details|more|the full|full|licen)
 licensed licen 5 (?:subject to|under) the (?:terms of the )?(?:following )?licen[cs]e (?:agreement|terms|below|in the)
 """.strip()
-#: A rule runs over the text within so many characters of its keyword.
-NEAR = 400
 WEIGHTS = {1: 0.95, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.5}
 
 
@@ -375,21 +373,6 @@ def words_of(text: bytes) -> bytes:
     return b" ".join(WORD.findall(text.lower()))
 
 
-def around(words: bytes, gate: bytes) -> list[tuple[int, int]]:
-    """Parts of the words, whole ones, within NEAR characters of the keyword; parts that touch are one."""
-    out: list[tuple[int, int]] = []
-    at = words.find(gate)
-    while at >= 0:
-        a = words.rfind(b" ", 0, max(0, at - NEAR)) + 1
-        b = words.find(b" ", at + len(gate) + NEAR)
-        b = len(words) if b < 0 else b
-        if out and a <= out[-1][1]:
-            a = out.pop()[0]
-        out.append((a, b))
-        at = words.find(gate, at + len(gate))
-    return out
-
-
 class Scanner:
     def __init__(self, ordered: list[Rule] | None = None) -> None:
         self.by_gate: dict[bytes, list[Rule]] = {}
@@ -402,8 +385,7 @@ class Scanner:
         found = []
         for gate, gated in self.by_gate.items():
             if gate in words:
-                parts = around(words, gate)
-                found += [Found(*m.span(), r) for r in gated for a, b in parts for m in r.pattern.finditer(words, a, b)]
+                found += [Found(*m.span(), r) for r in gated for m in r.pattern.finditer(words)]
         kept: list[Found] = []
         for priority in sorted({f.rule.priority for f in found}):
             level = sorted((f for f in found if f.rule.priority == priority), key=lambda f: (f.start, -f.end))

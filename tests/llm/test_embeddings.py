@@ -80,9 +80,10 @@ def test_exact(spark, monkeypatch):
     r = made.toPandas().sort_values("vec_id")
     s = brute(x)
     assert recall == 1.0 and r.n_links.tolist() == s.sum(1).tolist() and r.component_id.tolist() == roots(s).tolist()
-    monkeypatch.setattr(embeddings, "EXACT_ROWS", 10)
-    with pytest.raises(RuntimeError, match="recall"):
-        embeddings.near_duplicates(table(spark, x[:50]), goal=1.01)
+    monkeypatch.setattr(embeddings, "BLOCK", 300)
+    monkeypatch.setattr(embeddings, "COPIES", 2)  # in rounds
+    again = embeddings.near_duplicates(table(spark, x), goal=1.01)[0].toPandas().sort_values("vec_id")
+    assert again.n_links.tolist() == r.n_links.tolist() and again.component_id.tolist() == r.component_id.tolist()
 
 
 def test_audit_sees_lost_links(spark):
@@ -97,6 +98,26 @@ def test_audit_sees_lost_links(spark):
     assert embeddings.audit(nodes, counts(true * 0), 0.9) == 0.0
 
 
+def test_audit_of_rare_links(spark):
+    """Pairs that are lost as a whole are seen: the audit of 200 pairs among 20,000 vectors reads about the share that was found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 32))
+    x[1:400:2] = x[0:400:2] + 0.05 * rng.normal(size=(200, 32))
+    nodes = common.written(embeddings.nodes_of(embeddings.keyed(table(spark, x))), "test-vectors")
+    v = np.array([r.v for r in nodes.orderBy("node").select("v").collect()])
+    ids = [r.node for r in nodes.orderBy("node").select("node").collect()]
+    links = brute(v).sum(1)
+    linked = np.flatnonzero(links)
+    assert len(linked) == 400
+    of_pair = {}
+    for i in linked:
+        of_pair[i] = min(i, int(np.argmax(np.where(np.arange(len(v)) == i, -1, v @ v[i] / np.linalg.norm(v, axis=1)))))
+    for kept in (1.0, 0.5, 0.05):
+        stay = set(sorted(set(of_pair.values()))[: int(200 * kept)])
+        found = spark.createDataFrame([(ids[i], 1) for i in linked if of_pair[i] in stay] or [(-1, 1)], "node long, found long")
+        assert abs(embeddings.audit(nodes, found, 0.9) - kept) < 0.12
+
+
 def test_odd_rows(spark):
     """Repeated and missing ids, other lengths, unusable vectors."""
     nan, inf = float("nan"), float("inf")

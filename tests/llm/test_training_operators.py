@@ -244,9 +244,18 @@ def test_licenses(results, texts):
         assert r.base_labels[i] == ",".join(sorted({x for _, x in places}))
         if places:
             assert (r.first_word[i], r.last_word[i]) == (min(places)[0], max(k for k, _ in places))
-        if len(w) < 3000:
-            found = plain_detections(" ".join(w).encode())
-            assert r.labels[i] == ",".join(sorted({x for _, _, x in found} | {x for _, x in places}))
+        found = plain_detections(" ".join(w).encode())
+        assert r.labels[i] == ",".join(sorted({x for _, _, x in found} | {x for _, x in places}))
+
+
+def test_detections_far_from_their_keyword():
+    """Long names and lists of years between the parts of a notice."""
+    of = lambda text: [f.rule.label for f in licenses.Scanner().detections(licenses.words_of(text.encode()))]
+    names = " ".join(f"{'long' * 30}{i}" for i in range(9))
+    notice = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products"
+    assert of(notice.format(names)) == of(notice.format("the copyright holder"))
+    years = " ".join(str(1900 + i) for i in range(90))
+    assert of(f"copyright {years} Foo all rights reserved") == of("copyright 1900 Foo all rights reserved")
 
 
 FOUND = {
