@@ -72,6 +72,18 @@ def labelled(seed: int = 7, each: int = 240) -> list[tuple[str, str]]:
     ]
 
 
+def ordinary(seed: int = 9, many: int = 600) -> list[str]:
+    """Runs of credential characters that are none: words of letters and numbers, joined by nothing or by a mark, with and without capitals."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices(LOWER, k=draw.randint(2, 9)))
+    out = []
+    for _ in range(many):
+        mark, form = draw.choice(["", "/", "_", "-", "."]), draw.choice([str, str.capitalize, str])
+        parts = [form(word()) if draw.random() < 0.85 else str(draw.randint(0, 9999)) for _ in range(16)]
+        out.append(mark.join(parts)[: draw.choice((40, 60, 120))])
+    return out
+
+
 class Automaton:
     """Probabilistic automaton of one format, inferred by merging the states of a prefix tree in breadth-first order."""
 
@@ -170,7 +182,7 @@ def inferred() -> Grammar:
 class Grammar:
     """All formats' automata and the model of ordinary text (its letters are likelier than digits, capitals and marks)."""
 
-    def __init__(self, threshold: float = 0.35) -> None:
+    def __init__(self, kept: float = 0.995) -> None:
         by: dict[str, list[str]] = {}
         for kind, s in labelled():
             by.setdefault(kind, []).append(s)
@@ -178,7 +190,15 @@ class Grammar:
         self.lengths = {kind: tuple(sum(len(p) if isinstance(p, str) else p[i] for p in parts) for i in (1, 2)) for kind, parts in FORMATS.items()}
         self.lengths |= {kind: (self.lengths[kind][0], math.inf) for kind in OPEN}
         self.plain = {c: math.log(0.85 / 26) for c in LOWER} | {c: math.log(0.06 / 26) for c in UPPER} | {c: math.log(0.04 / 10) for c in DIGIT} | {c: math.log(0.05 / 6) for c in "+/_.=-"}
-        self.threshold = threshold
+        self.thresholds = self.learnt(kept)
+
+    def learnt(self, kept: float) -> dict[str, float]:
+        """Threshold of each format: halfway between what all but 1 - kept of fresh credentials reach and the best of ordinary runs (0 at least, the even chance)."""
+        fresh: dict[str, list[float]] = {kind: [] for kind in FORMATS}
+        for kind, s in labelled(seed=8):
+            fresh[kind].append(self.walk(kind, s, 0, {})[1])
+        plain = {kind: max([0.0, *(self.walk(kind, s, 0, {})[1] for s in ordinary() if kind not in LITERALS)]) for kind in FORMATS}
+        return {kind: (sorted(scores)[int((1 - kept) * len(scores))] + plain[kind]) / 2 for kind, scores in fresh.items()}
 
     def score(self, s: str) -> tuple[str, float]:
         """Best format and its mean log likelihood ratio for each character."""
@@ -238,7 +258,7 @@ class Grammar:
         met: dict[str, dict] = {kind: {} for kind in FORMATS}
         for start, kind in starts:
             end, score = self.walk(kind, s, start, met[kind])
-            if score >= self.threshold:
+            if score >= self.thresholds[kind]:
                 scored.setdefault((end, kind), (-score, start))
         out: list[tuple[int, int, str]] = []
         first = lambda x: (False, x[1], x[0]) if x[3] in LITERALS else (True, *x)
