@@ -1,14 +1,22 @@
-"""Index life cycle: full and incremental builds of the derived tables in versioned folders."""
+"""Index life cycle: the derived tables in immutable segments.
+
+A version is a list of segments. A build writes one segment with the rows of what changed, and the paths that it takes away from earlier ones; a reader joins these marks to the
+rows. Statistics of a search (documents, lengths, document frequencies) come from the rows that hold. Compaction merges the newest segments by size.
+"""
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep.operators import chunking, curation, extract, search
+from lorekeep.sources import store
 
 TABLES = ("documents", "links", "tasks", "headings", "tags", "aliases", "chunks", "hashes", "catalog", "postings")
 KEYS = {"documents": "path", "links": "source_path", "hashes": "path", "catalog": "path", "postings": "path"}
@@ -20,76 +28,167 @@ def hashes(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.sha2(F.col("raw").cast("binary"), 256).alias("content_hash"))
 
 
-def derived(notes: DataFrame) -> dict[str, DataFrame]:
-    docs = extract.documents(notes)
+def derived(notes: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+    """The tables but for documents, from the notes and these."""
     return {
-        "documents": docs, "links": extract.links(notes), "tasks": extract.tasks(notes), "headings": extract.headings(notes), "tags": extract.tags(docs),
+        "links": extract.links(notes), "tasks": extract.tasks(notes), "headings": extract.headings(notes), "tags": extract.tags(docs),
         "aliases": extract.tags(docs, "aliases", "alias"), "chunks": chunking.chunks(notes), "hashes": hashes(notes), "catalog": search.catalog(docs),
         "postings": search.postings(docs),
     }
 
 
-def written(tables: dict[str, DataFrame], version: str) -> None:
-    """Writes the tables, and stats: table_name and row_count of each, observed while they are written."""
-    seen = {}
-    for name, t in tables.items():
-        if name == "postings":
-            search.write_postings(t, f"{version}/{name}")
-            continue
-        seen[name] = Observation()
-        t.observe(seen[name], F.count("*").alias("rows")).write.parquet(f"{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    counts = [(name, o.get["rows"]) for name, o in seen.items()] + [("postings", spark.read.parquet(f"{version}/postings").count())] * ("postings" in tables)
-    spark.createDataFrame(counts, "table_name string, row_count long").coalesce(1).write.parquet(f"{version}/stats")
+class Segment(NamedTuple):
+    """An immutable part of an index: a folder with the rows of some notes in each table, and gone: paths whose rows in earlier segments don't hold any more."""
+
+    path: str
+    rows: int  # notes
+
+
+def segments(version: str, spark: SparkSession) -> list[Segment]:
+    """What a version is made of, the oldest first; their number is kept small by compact()."""
+    return [Segment(r.path, r.rows) for r in spark.read.parquet(f"{version}/segments").orderBy("nth").collect()]
+
+
+def versioned(made: list[Segment], version: str, spark: SparkSession) -> str:
+    """Writes the list of segments that a version is; readers move by its name, so a build that fails changes nothing."""
+    rows = [(i, x.path, x.rows) for i, x in enumerate(made)]
+    spark.createDataFrame(rows, "nth int, path string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{version}/segments")
+    return version
+
 
+def written(notes: DataFrame, gone: DataFrame, root: str) -> Segment:
+    """A new segment of these notes: documents first, as other tables are made of them, then the rest; stats: rows of each table, observed while they are written."""
+    spark, path, seen = notes.sparkSession, f"{root.rstrip('/')}/s-{uuid.uuid4().hex}", {}
 
-def with_vectors(version: str, spark: SparkSession, embedder: Embedder, cache: DataFrame | None) -> None:
-    """Writes vectors: the chunks with their embeddings, those of the cache (content_hash, provider, model, embedding) taken from it; and cache, for the next build."""
+    def write(name: str, table: DataFrame) -> None:
+        seen[name] = Observation()
+        table.observe(seen[name], F.count("*").alias("rows")).write.parquet(f"{path}/{name}")
+
+    write("documents", extract.documents(notes))
+    for name, table in derived(notes, spark.read.parquet(f"{path}/documents")).items():
+        if name == "postings":
+            search.write_postings(table, f"{path}/{name}")
+        else:
+            write(name, table)
+    write("gone", gone.select("path"))
+    counts = [(name, o.get["rows"]) for name, o in seen.items()]
+    spark.createDataFrame(counts, "table_name string, row_count long").coalesce(1).write.parquet(f"{path}/stats")
+    return Segment(path, seen["documents"].get["rows"])
+
+
+def live(made: list[Segment], table: str, spark: SparkSession) -> DataFrame:
+    """Rows of a table in all segments, without those whose path a later segment has marked as gone."""
+    if table == "cache":
+        parts = [spark.read.parquet(f"{x.path}/cache") for x in made if exists(f"{x.path}/cache", spark)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    at = lambda df, i: df.withColumn("segment", F.lit(i))
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [at(spark.read.parquet(f"{x.path}/{table}"), i) for i, x in enumerate(made)])
+    if len(made) == 1:
+        return rows.drop("segment")
+    marks = functools.reduce(DataFrame.unionByName, [at(spark.read.parquet(f"{x.path}/gone"), i) for i, x in enumerate(made[1:], 1)])
+    last = store.small_side(marks.groupBy(F.col("path").alias("gone_path")).agg(F.max("segment").alias("gone_at")))
+    key = KEYS.get(table, "doc_path")
+    return rows.join(last, (F.col(key) == F.col("gone_path")) & (F.col("segment") < F.col("gone_at")), "left_anti").drop("segment")
+
+
+def exists(path: str, spark: SparkSession) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read(version: str, table: str, spark: SparkSession) -> DataFrame:
+    """A table of TABLES as it is in a version; cache: content_hash, provider, model, embedding; vectors: the chunks with the embeddings of the version's embedder."""
+    made = segments(version, spark)
+    if table != "vectors":
+        return live(made, table, spark)
+    by = spark.read.parquet(f"{version}/embedder").head()
+    return chunking.to_embed(live(made, "chunks", spark), live(made, "cache", spark), by.provider, by.model)[0]
+
+
+def with_vectors(made: list[Segment], version: str, spark: SparkSession, embedder: Embedder) -> None:
+    """Adds to the last segment the embeddings that no segment has: of each text once, by its hash. A change of model asks for all of them."""
     embed, provider, model = embedder
-    made = spark.read.parquet(f"{version}/chunks")
-    if cache is None:
-        every = chunking.embedded(made, embed)
-    else:
-        found, missing = chunking.to_embed(made, cache, provider, model)
-        every = found.unionByName(chunking.embedded(missing, embed))
-    every.write.parquet(f"{version}/vectors")
-    vectors = spark.read.parquet(f"{version}/vectors").groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    now = vectors.select("content_hash", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "embedding")
-    if cache is not None:  # a result replaces an earlier one of its provider, model and text
-        now = now.unionByName(cache.join(now, ["content_hash", "provider", "model"], "left_anti").select(now.columns))
-    now.write.parquet(f"{version}/cache")
+    wanted = live(made, "chunks", spark).groupBy("content_hash").agg(F.first("content").alias("content"))
+    known = [x for x in made if exists(f"{x.path}/cache", spark)]
+    if known:
+        wanted = chunking.to_embed(wanted, live(known, "cache", spark), provider, model)[1]
+    rows = chunking.embedded(wanted, embed).select("content_hash", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "embedding")
+    rows.write.mode("overwrite").parquet(f"{made[-1].path}/cache")
+    spark.createDataFrame([(provider, model)], "provider string, model string").coalesce(1).write.mode("overwrite").parquet(f"{version}/embedder")
+
+
+def named(root: str) -> str:
+    return f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
 
 
 def full(notes: DataFrame, root: str, embedder: Embedder | None = None) -> str:
-    """Write every table below a new version and return it; readers move by the returned name, so a failed build changes nothing."""
-    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    written(derived(notes), version)
+    """A version of one segment, with every table of all notes."""
+    spark, version = notes.sparkSession, named(root)
+    made = [written(notes, notes.select("path").limit(0), root)]
     if embedder:
-        with_vectors(version, notes.sparkSession, embedder, None)
-    return version
+        with_vectors(made, version, spark, embedder)
+    return versioned(made, version, spark)
 
 
 def incremental(notes: DataFrame, before: str, root: str, embedder: Embedder | None = None) -> str:
-    """A new version in which only new and changed notes are derived again; rows of deleted or changed notes go, others are copied."""
-    spark: SparkSession = notes.sparkSession
-    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    curation.hash_plan(hashes(notes), spark.read.parquet(f"{before}/hashes")).write.parquet(f"{version}/plan")
+    """A version with one more segment: only new and changed notes are derived and written; rows of deleted and changed ones are marked as gone. The plan is kept with the version."""
+    spark, version = notes.sparkSession, named(root)
+    curation.hash_plan(hashes(notes), read(before, "hashes", spark)).write.parquet(f"{version}/plan")
     plan = spark.read.parquet(f"{version}/plan")
-    fresh = derived(notes.join(plan.where("action in ('new', 'updated')"), "path", "left_semi"))
-    stays = plan.where("action = 'unchanged'").select("path")
-    tables = {}
-    for name in TABLES:
-        key = KEYS.get(name, "doc_path")
-        old = spark.read.parquet(f"{before}/{name}").join(stays.withColumnRenamed("path", key), key, "left_semi")
-        tables[name] = old.unionByName(fresh[name], allowMissingColumns=True)
-    written(tables, version)
+    fresh = notes.join(store.small_side(plan.where("action in ('new', 'updated')").select("path")), "path", "left_semi")
+    return added(fresh, plan.where("action in ('updated', 'deleted')"), before, version, root, embedder)
+
+
+def added(fresh: DataFrame, gone: DataFrame, before: str | None, version: str, root: str, embedder: Embedder | None = None) -> str:
+    """A version with one more segment of these notes, after which the gone paths of earlier segments don't hold."""
+    spark = fresh.sparkSession
+    made = [*(segments(before, spark) if before else []), written(fresh, gone, root)]
     if embedder:
-        with_vectors(version, spark, embedder, spark.read.parquet(f"{before}/cache"))
-    return version
+        with_vectors(made, version, spark, embedder)
+    return versioned(made, version, spark)
+
+
+def compacted(before: str, root: str, ratio: int = 4) -> str:
+    """A version whose newest segments are one, as far back as a segment has fewer than ratio times the notes of all after it; the same version if none has.
+
+    So the number of segments grows with the logarithm of the index, and a note is rewritten as often.
+    """
+    spark = SparkSession.active()
+    made = segments(before, spark)
+    first, rows = len(made) - 1, made[-1].rows
+    while first and made[first - 1].rows < ratio * max(rows, 1):
+        first -= 1
+        rows += made[first].rows
+    if first == len(made) - 1:
+        return before
+    old, path = made[first:], f"{root.rstrip('/')}/s-{uuid.uuid4().hex}"
+    for table in TABLES:
+        rows_of = live(old, table, spark)
+        search.write_postings(rows_of, f"{path}/{table}") if table == "postings" else rows_of.write.parquet(f"{path}/{table}")
+    gone = functools.reduce(DataFrame.unionByName, [spark.read.parquet(f"{x.path}/gone") for x in old]).distinct()
+    (gone if first else gone.limit(0)).write.parquet(f"{path}/gone")
+    if any(exists(f"{x.path}/cache", spark) for x in old):
+        live([x for x in old if exists(f"{x.path}/cache", spark)], "cache", spark).write.parquet(f"{path}/cache")
+    version = named(root)
+    if exists(f"{before}/embedder", spark):
+        spark.read.parquet(f"{before}/embedder").coalesce(1).write.parquet(f"{version}/embedder")
+    return versioned([*made[:first], Segment(path, spark.read.parquet(f"{path}/documents").count())], version, spark)
+
+
+def followed(changed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Stream of changed notes (path, raw; raw null: deleted) into an index below root: a segment for each batch, in version batch-<number>. A path stands once in a batch.
+    A batch that runs again writes its version again, from the one before it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        notes = batch.persist()
+        added(notes.where("raw is not null"), notes, f"{root}/batch-{number - 1}" if number else None, f"{root}/batch-{number}", root)
+        notes.unpersist()
+
+    return changed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def searchable(version: str, spark: SparkSession) -> search.Index:
-    return search.Index(spark.read.parquet(f"{version}/catalog"), spark.read.parquet(f"{version}/postings"))
+    return search.Index(read(version, "catalog", spark), read(version, "postings", spark))
 
 
 def changes(plan: DataFrame) -> DataFrame:
@@ -115,8 +214,5 @@ def described(docs: DataFrame, resolved: DataFrame, tasks: DataFrame, vectors: D
 
 def status(version: str, spark: SparkSession) -> DataFrame:
     """Rows of each table."""
-    parts = [spark.read.parquet(f"{version}/{t}").agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [read(version, t, spark).agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in TABLES]
+    return functools.reduce(DataFrame.unionByName, parts)

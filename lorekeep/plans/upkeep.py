@@ -364,19 +364,39 @@ def index_changes(s: SparkSession, d: str) -> DataFrame:
     return index.changes(index_plan(s, d))
 
 
-@query("index_build", CTE + S.GRAPH + r""", t AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term
+BUILT = (
+    CTE + S.GRAPH + r""", t AS (SELECT path, unnest(string_split(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term
   FROM docs)
 SELECT 'documents' AS table_name, count(*) AS row_count FROM docs UNION ALL SELECT 'links', count(*) FROM links
   UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'headings', count(*) FROM heads
   UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'aliases', count(*) FROM aliases UNION ALL SELECT
   'hashes', count(*) FROM notes UNION ALL SELECT 'catalog', count(*) FROM docs
-  UNION ALL SELECT 'postings', count(DISTINCT (path, term)) FROM t WHERE term <> ''""")
+  UNION ALL SELECT 'postings', count(DISTINCT (path, term)) FROM t WHERE term <> ''"""
+)
+
+
+@query("index_build", BUILT)
 def index_build(s: SparkSession, d: str) -> DataFrame:
     """Rows of each table of a full build, but for the chunks."""
     version = index.full(vault.notes(s, d).select("path", "raw"), store.fresh(s, "index"))
     return index.status(version, s).where("table_name <> 'chunks'")
 
 
+@query("index_segments", BUILT)
+def index_segments(s: SparkSession, d: str) -> DataFrame:
+    """The same after a first build of an earlier state, two builds with changes and a compaction: notes are new, changed and deleted on the way."""
+    last = vault.notes(s, d)
+    i, root = F.col("doc_id"), store.fresh(s, "index")
+    changed = F.when(i % 10 == 1, F.concat("raw", F.lit("\n- [ ] an old task\n"))).otherwise(F.col("raw"))
+    extra = last.where(i % 50 == 7).withColumn("path", F.concat("path", F.lit(".old.md")))  # deleted later
+    first = last.where(i % 10 != 3).withColumn("raw", changed).unionByName(extra)
+    second = last.where(i % 20 != 3).withColumn("raw", F.when(i % 20 == 1, changed).otherwise(F.col("raw"))).unionByName(extra)
+    version = index.full(first.select("path", "raw"), root)
+    for state in (second, last):
+        version = index.incremental(state.select("path", "raw"), version, root)
+    return index.status(index.compacted(version, root), s).where("table_name <> 'chunks'")
+
+
 @query("open_tasks_top", CTE + S.GRAPH + f""" SELECT doc_path, task_text, line_number, title, date FROM tasks LEFT JOIN docs ON path = doc_path WHERE NOT completed
   AND NOT contains(doc_path, '/transcripts/')
   AND section = 'Open Threads' AND (date >= '{SINCE}' OR date IS NULL) ORDER BY date DESC NULLS LAST, doc_path,

@@ -147,15 +147,15 @@ def test_vectors_and_cache(spark, tmp_path):
 
     notes = lambda *rows: spark.createDataFrame(list(rows), "path string, raw string")
     old = index.full(notes(("a", "one"), ("b", "two")), str(tmp_path), (embed, "p", "m"))
-    assert {r.table_name: r.row_count for r in spark.read.parquet(f"{old}/stats").collect()}["documents"] == 2
+    assert {r.table_name: r.row_count for r in index.status(old, spark).collect()}["documents"] == 2
 
     def refuse(texts):
         assert set(texts) == {"three"}, texts
         return embed(texts)
 
     new = index.incremental(notes(("a", "one"), ("c", "three")), old, str(tmp_path), (refuse, "p", "m"))
-    assert {r.doc_path: r.embedding for r in spark.read.parquet(f"{new}/vectors").collect()} == {"a": [3.0, 1.0], "c": [5.0, 1.0]}
-    assert spark.read.parquet(f"{new}/cache").count() == 3 and calls == []
+    assert {r.doc_path: r.embedding for r in index.read(new, "vectors", spark).collect()} == {"a": [3.0, 1.0], "c": [5.0, 1.0]}
+    assert index.read(new, "cache", spark).count() == 3 and calls == []
     found = search.bm25(index.searchable(new, spark), ["three"]).collect()
     assert [r.path for r in found] == ["c"]
 
