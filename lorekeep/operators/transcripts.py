@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lorekeep.functions import markdown as M
+from lorekeep.operators import scans
+from lorekeep.sources import store
 
 #: Message types that are left out, tags that are stripped, and limits of characters.
 SKIPPED = ("file-history-snapshot", "progress", "summary", "queue-operation", "system")
@@ -101,18 +103,18 @@ def cleaned(text: Column) -> Column:
 
 def deduplicated(messages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """One row of each key, at the first one's place, with the longest text; rows without a time all stay."""
-    w = Window.partitionBy(*key)
-    first = F.row_number().over(w.orderBy("seq"))
-    richest = F.max_by(text, F.struct(F.length(text), -F.col("seq"))).over(w)
-    m = messages.withColumn("_nth", first).withColumn(text, F.when(F.col("ts").isNull(), F.col(text)).otherwise(richest))
-    return m.where((F.col("_nth") == 1) | F.col("ts").isNull()).drop("_nth")
+    columns = messages.columns
+    rest = F.struct(*[c for c in columns if c not in key])
+    known = messages.where("ts is not null").groupBy(*key).agg(F.min_by(rest, "seq").alias("_row"), F.max_by(text, F.struct(F.length(text), -F.col("seq"))).alias("_text"))
+    own = lambda c: F.col("_text") if c == text else F.col(c) if c in key else F.col("_row")[c]
+    return known.select(*[own(c).alias(c) for c in columns]).unionByName(messages.where("ts is null"))
 
 
 def turns(messages: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
     """messages with turn: a user text begins one; what comes before the first belongs to turn 1."""
-    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = messages.where(~F.col("role").isin(*SKIPPED) & (F.coalesce("text", F.lit("")) != ""))
-    return m.withColumn("turn", F.greatest(F.lit(1), F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w)).cast("int"))
+    m = scans.running(m, [session], [order], {"turn": F.when(F.col("role") == "user", 1).otherwise(0)})
+    return m.withColumn("turn", F.greatest(F.lit(1), "turn").cast("int"))
 
 
 def turn_table(turned: DataFrame, session: str = "session") -> DataFrame:
@@ -174,13 +176,13 @@ def collapsed(texts: pd.Series) -> pd.Series:
 
 def marked(messages: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
     """messages (with agent and compact) with turn and marker: a user text, a compaction and another agent each begin a turn; marker names the latter two."""
-    w = Window.partitionBy(session).orderBy(order)
-    before = F.last("agent", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    said = ~F.col("role").isin(*SKIPPED) & (F.coalesce("text", F.lit("")) != "")
+    m = scans.running(messages.where(said), [session], [order], lasts={"agent_before": F.col("agent")})
     compact = F.coalesce("compact", F.lit(False)) | F.coalesce(F.col("text").startswith(CONTINUED), F.lit(False))
-    marker = F.when(compact, "compaction").when(F.col("agent").isNotNull() & before.isNotNull() & (F.col("agent") != before), "agent")
-    m = messages.where(~F.col("role").isin(*SKIPPED) & (F.coalesce("text", F.lit("")) != "")).withColumn("marker", marker)
+    other = F.col("agent").isNotNull() & F.col("agent_before").isNotNull() & (F.col("agent") != F.col("agent_before"))
+    m = m.withColumn("marker", F.when(compact, "compaction").when(other, "agent")).drop("agent_before")
     begins = F.when(F.col("marker").isNotNull() | (F.col("role") == "user"), 1).otherwise(0)
-    return m.withColumn("turn", F.greatest(F.lit(1), F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).cast("int"))
+    return scans.running(m, [session], [order], {"turn": begins}).withColumn("turn", F.greatest(F.lit(1), "turn").cast("int"))
 
 
 def block_stats(found: DataFrame) -> DataFrame:
@@ -334,8 +336,8 @@ def memo_parts(found: DataFrame) -> DataFrame:
     said = said.when(name.isin("Read", "Write", "Edit"), F.concat(name, F.lit(": "), got("file_path"))).otherwise(name)
     said = F.concat(said, F.when(F.coalesce("failed", F.lit(False)), " (ERROR)").otherwise(""))
     begins = F.when(text & (F.col("type") == "user") & (F.coalesce("text", F.lit("")) != ""), 1).otherwise(0)
-    w = Window.partitionBy("file").orderBy("seq", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.withColumn("turn", F.greatest(F.lit(1), F.sum(begins).over(w)).cast("int")).withColumn("kind", kind)
+    b = scans.running(b, ["file"], ["seq", "nth"], {"turn": begins})
+    b = b.withColumn("turn", F.greatest(F.lit(1), "turn").cast("int")).withColumn("kind", kind)
     said = F.when(use, said).otherwise(F.col("text"))
     return b.select(
         F.col("file").alias("session"),
@@ -372,13 +374,11 @@ def memo_extract(parts: DataFrame, budget: int = MEMO_ALL) -> DataFrame:
         return F.when(F.size(kind) > 0, F.concat(F.lit(f"**{label}:** "), cut))
 
     t = gathered.select("session", "turn", F.concat_ws("\n", *[part(k) for k in limits]).alias("text"))
-    own = Window.partitionBy("session").orderBy("turn")
-    t = t.withColumn("total", F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    t = t.withColumn("nth", F.row_number().over(own)).withColumn("turns", F.count("*").over(Window.partitionBy("session")))
-    past = F.col("total") > budget
-    t = t.withColumn("passed", F.sum(F.when(past, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("passed <= 1")
+    t = scans.running(t, ["session"], ["turn"], {"total": F.length("text"), "nth": F.lit(1)})
+    turns = t.groupBy("session").agg(F.count("*").alias("turns")).withColumnRenamed("session", "_of")
+    t = t.join(store.small_side(turns), F.col("session").eqNullSafe(F.col("_of"))).where(F.col("total") - F.length("text") <= budget)
     left_out = F.concat(F.lit("\n[..."), (F.col("turns") - F.col("nth") + 1).cast("string"), F.lit(" more turns truncated...]"))
-    return t.select("session", "turn", F.when(past, left_out).otherwise(F.col("text")).alias("text"))
+    return t.select("session", "turn", F.when(F.col("total") > budget, left_out).otherwise(F.col("text")).alias("text"))
 
 
 def rendered(turned: DataFrame, session: str = "session") -> DataFrame:

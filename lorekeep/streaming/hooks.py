@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorekeep.operators import transcripts
+from lorekeep.operators import scans, transcripts
 
 FIRST, AGAIN = 20, 15
 
@@ -36,8 +36,8 @@ def nudges(events: DataFrame, first: int = FIRST, again: int = AGAIN) -> DataFra
 
 def nudges_batch(events: DataFrame, first: int = FIRST, again: int = AGAIN, *order: str) -> DataFrame:
     """The same over stored events, by their order (ts if none is given; without ties, else these decide at random)."""
-    w = Window.partitionBy("session_id").orderBy(*(order or ("ts",))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = events.withColumn("count", F.count("*").over(w)).withColumn("saved", F.max(F.col("memo_saved").cast("int")).over(w))
+    saved = F.coalesce(F.col("memo_saved").cast("int"), F.lit(0))
+    e = scans.running(events, ["session_id"], list(order or ("ts",)), {"count": F.lit(1), "saved": saved})
     return e.where((F.col("saved") == 0) & (F.col("count") >= first) & ((F.col("count") - first) % again == 0)).select("session_id", "count")
 
 
