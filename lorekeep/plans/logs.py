@@ -25,8 +25,8 @@ LINES = (
   + conv_id * 3600 + turn * 100) * 1000000) AS ts,
   role = 'assistant' AS reply, role = 'user' AND turn % 4 IN (2, 3) AS answer,
   ['Bash', 'Read', 'Write', 'Edit', 'Grep', 'Glob', 'Task', 'Other'][(conv_id + turn) % 8 + 1] AS tool,
-  '[main ' || left(md5(coalesce(text, '')), 8) || '] ' || left(coalesce(text, ''), 200) AS output FROM conversations),
-b AS (SELECT file, seq, role AS type, 0 AS nth, 'thinking' AS block, left(text, 40) AS text, NULL AS id, NULL AS
+  '[main ' || left(md5(coalesce(text, '')), 8) || '] ' || coalesce(text, '') AS output FROM conversations),
+b AS (SELECT file, seq, role AS type, 0 AS nth, 'thinking' AS block, text, NULL AS id, NULL AS
   name, FALSE AS is_error FROM c WHERE reply
   UNION ALL SELECT file, seq, role, 1, 'text', text, NULL, NULL, FALSE FROM c WHERE reply
   UNION ALL SELECT file, seq, role, 2, 'tool_use', NULL, conv_id || '-' || seq, tool, FALSE FROM c WHERE reply
@@ -35,7 +35,8 @@ b AS (SELECT file, seq, role AS type, 0 AS nth, 'thinking' AS block, left(text,
   UNION ALL SELECT file, seq, role, 1, 'text', text, NULL, NULL, FALSE FROM c WHERE answer
   UNION ALL SELECT file, seq, role, 0, 'text', text, NULL, NULL, FALSE FROM c WHERE NOT reply AND NOT answer)"""
 )
-CALLS = """, u AS (SELECT file, id, name FROM b WHERE block = 'tool_use'), r AS (SELECT file, id, text AS result, is_error FROM b WHERE block = 'tool_result'),
+CALLS = """, u AS (SELECT file, id, name FROM b WHERE block = 'tool_use'), r AS (SELECT file, id, CASE WHEN length(text) > 1500 THEN left(text, 1050) ||
+  chr(10) || '... [truncated] ...' || chr(10) || right(text, 375) ELSE text END AS result, is_error FROM b WHERE block = 'tool_result'),
 k AS (SELECT coalesce(u.file, r.file) AS file, coalesce(u.id, r.id) AS id, coalesce(name, 'unknown') AS name, result, is_error
   FROM u FULL OUTER JOIN r ON u.file = r.file AND u.id = r.id)"""
 
@@ -57,33 +58,29 @@ TOOL_MARKDOWN = (
     r""", m AS (SELECT k.*, c.text, c.conv_id FROM k LEFT JOIN c ON c.file = k.file AND k.id = c.conv_id || '-' || c.seq
   AND c.reply),
 f AS (SELECT file, id, name, CASE name
-  WHEN 'Bash' THEN CASE WHEN left(text, 10) <> '' THEN '*' || left(text, 10) || '*' || chr(10) || chr(10) ELSE
-  '' END || '```bash' || chr(10) || left(text, 30) || chr(10) || '```'
+  WHEN 'Bash' THEN '*about assistant*' || chr(10) || chr(10) || '```bash' || chr(10) || text || chr(10) || '```'
   WHEN 'Read' THEN 'Reading: `/src/' || conv_id || '`'
   WHEN 'Write' THEN 'Writing to: `/src/' || conv_id || '`' || CASE WHEN text <> '' THEN chr(10) || chr(10) || '```'
-  || chr(10) || left(text, 500)
-    || CASE WHEN length(left(text, 600)) > 500 THEN '...' ELSE '' END || chr(10) || '```' ELSE '' END
+  || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN '...' ELSE '' END || chr(10) || '```' ELSE '' END
   WHEN 'Edit' THEN 'Editing: `/src/' || conv_id || '`' || chr(10) || chr(10) || '```diff' || chr(10) || '- ' ||
-  left(substr(text, 5, 250), 200)
-    || CASE WHEN length(substr(text, 5, 250)) > 200 THEN '...' ELSE '' END || chr(10) || '+ ' || left(text, 200)
-  || CASE WHEN length(left(text, 250)) > 200 THEN '...' ELSE '' END
-    || chr(10) || '```'
-  WHEN 'Grep' THEN 'Searching for `' || left(text, 8) || '` in `/src`' WHEN 'Glob' THEN 'Finding files: `' || left(text,
-  8) || '` in `/src`'
-  WHEN 'Task' THEN 'Launching general agent: ' || left(text, 10) WHEN 'unknown' THEN '' END AS body,
+  left(array_to_string(list_reverse(string_split(text, '')), ''), 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END
+  || chr(10) || '+ ' || left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END || chr(10) || '```'
+  WHEN 'Grep' THEN 'Searching for `' || md5(text) || '` in `/src`' WHEN 'Glob' THEN 'Finding files: `' || md5(text) || '` in `/src`'
+  WHEN 'Task' THEN 'Launching general agent: about assistant' WHEN 'Other' THEN '```json' || chr(10) || left(CAST(to_json(struct_pack(
+    command := text, content := text, description := 'about assistant', file_path := '/src/' || conv_id, new_string := text,
+    old_string := array_to_string(list_reverse(string_split(text, '')), ''), path := '/src', pattern := md5(text), subagent_type := 'general')) AS VARCHAR), 500)
+    || chr(10) || '```' WHEN 'unknown' THEN '' END AS body,
   CASE WHEN result IS NOT NULL THEN CASE WHEN is_error THEN chr(10) || chr(10) || '**Error:**' ELSE chr(10) ||
   chr(10) || '**Result:**' END || chr(10) || chr(10) || '```' || chr(10)
     || result || chr(10) || '```' ELSE '' END AS outcome FROM m)
-SELECT file, id, '#### Tool: ' || name || chr(10) || chr(10) || body || outcome AS markdown FROM f WHERE name <>
-  'Other'"""
+SELECT file, id, '#### Tool: ' || name || chr(10) || chr(10) || body || outcome AS markdown FROM f"""
 )
 
 
 @query("tool_markdown", LINES + CALLS + TOOL_MARKDOWN)
 def tool_markdown(s: SparkSession, d: str) -> DataFrame:
-    """Of tools that have a form of their own; others are shown as JSON."""
-    made = transcripts.tool_text(transcripts.tool_calls(blocks(s, d)))
-    return made.where("name <> 'Other'").select("file", "id", F.col("text").alias("markdown"))
+    """Tools in a form of their own, others as JSON."""
+    return transcripts.tool_text(transcripts.tool_calls(blocks(s, d))).select("file", "id", F.col("text").alias("markdown"))
 
 
 @query("block_stats", LINES + r""", h AS (SELECT file, regexp_extract(text, '\[[\w\-/]+ ([a-f0-9]{7,})\]', 1) AS hash, min(seq) AS pos FROM b
@@ -171,7 +168,7 @@ EXTRACT = (
 p AS (SELECT e.*, greatest(1, sum(CASE WHEN kind = 'user' AND e.text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY
   file ORDER BY seq, nth)) AS turn FROM e),
 g AS (SELECT p.file, p.seq, p.nth, p.turn, p.kind, CASE WHEN kind <> 'tool' THEN p.text ELSE CASE WHEN p.name =
-  'Bash' THEN 'Bash: `' || left(c.text, 30) || '`'
+  'Bash' THEN 'Bash: `' || left(c.text, 100) || '`'
   WHEN p.name IN ('Read', 'Write', 'Edit') THEN p.name || ': /src/' || c.conv_id ELSE p.name END || CASE WHEN k.is_error
   THEN ' (ERROR)' ELSE '' END END AS text
   FROM p LEFT JOIN c ON c.file = p.file AND c.seq = p.seq LEFT JOIN k ON k.file = p.file AND k.id = p.id AND p.kind
@@ -233,16 +230,17 @@ def prompt_summaries(s: SparkSession, d: str) -> DataFrame:
     return m.select("session", "seq", transcripts.prompt_summary(whole).alias("text"))
 
 
-@query("verbose_output", """WITH t AS (SELECT doc_id, 'total 9' || chr(10) || array_to_string(list_transform(string_split(coalesce(text, ''),
-  chr(10)), lambda x: left(x, 40)), chr(10)) AS t FROM documents),
-n AS (SELECT *, len(string_split(t, chr(10))) - 1 AS n FROM t)
-SELECT doc_id, CASE WHEN n - 1 >= 20 THEN '[...' || n || ' lines of file listing...]' || string_split(t, chr(10))[n
-  + 1] ELSE t END AS text FROM n""")
+@query("verbose_output", """WITH t AS (SELECT doc_id, string_split('total 9' || chr(10) || coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(l[1:len(l) - 1]) AS line, generate_subscripts(l[1:len(l) - 1], 1) AS i FROM t WHERE len(l) < 22),
+g AS (SELECT *, length(line) >= 50 AS long, i - row_number() OVER (PARTITION BY doc_id, length(line) >= 50 ORDER BY i) AS run FROM u),
+r AS (SELECT doc_id, long, min(i) AS i, count(*) AS n, string_agg(line || chr(10), '' ORDER BY i) AS body FROM g GROUP BY doc_id, long, run),
+s AS (SELECT doc_id, string_agg(CASE WHEN long AND n >= 10 THEN '[...' || n || ' similar lines...]' ELSE body END, '' ORDER BY i) AS body FROM r GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(l) >= 22 THEN '[...' || (len(l) - 1) || ' lines of file listing...]' ELSE body END || l[len(l)] AS text
+FROM t LEFT JOIN s USING (doc_id)""")
 def verbose_output(s: SparkSession, d: str) -> DataFrame:
-    """Documents as listings of short lines: long ones are one line."""
+    """Documents as listings, whole: long ones, and runs of long lines, are one line."""
     docs = vault.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.left(x, F.lit(40))), "\n")
-    return docs.select("doc_id", transcripts.collapsed(F.concat(F.lit("total 9\n"), short)).alias("text"))
+    return docs.select("doc_id", transcripts.collapsed(F.concat(F.lit("total 9\n"), "text")).alias("text"))
 
 
 @query("note_checks", """WITH m AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t, max(turn) AS last FROM conversations

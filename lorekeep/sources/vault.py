@@ -168,14 +168,13 @@ TOOLS = ("Bash", "Read", "Write", "Edit", "Grep", "Glob", "Task", "Other")
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, seq, value: conversations as lines of a log in its polymorphic JSON: replies are a thought, a text and a tool use, some prompts have the tool's result before their text, others are plain text."""
     m = messages(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
-    text, seq, session = F.col("text"), F.col("seq"), F.col("session")
+    text, seq, session, role = F.col("text"), F.col("seq"), F.col("session"), F.col("role")
     of = lambda n: F.concat(session.cast("string"), F.lit("-"), n.cast("string"))
     at = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    cut = lambda n: F.left(text, F.lit(n))
     tool = F.get(F.array(*map(F.lit, TOOLS)), ((session + seq) % len(TOOLS)).cast("int"))
     given = F.struct(
-        cut(30).alias("command"), cut(600).alias("content"), cut(10).alias("description"), F.concat(F.lit("/src/"), session.cast("string")).alias("file_path"),
-        cut(250).alias("new_string"), F.substring(text, 5, 250).alias("old_string"), F.lit("/src").alias("path"), cut(8).alias("pattern"), F.lit("general").alias("subagent_type"),
+        text.alias("command"), text.alias("content"), F.concat(F.lit("about "), role).alias("description"), F.concat(F.lit("/src/"), session.cast("string")).alias("file_path"),
+        text.alias("new_string"), F.reverse(text).alias("old_string"), F.lit("/src").alias("path"), F.md5(text.cast("binary")).alias("pattern"), F.lit("general").alias("subagent_type"),
     )
     block = "struct<type: string, thinking: string, text: string, id: string, tool_use_id: string, name: string, content: string, is_error: boolean, input: struct<command: string, "
     block += "content: string, description: string, file_path: string, new_string: string, old_string: string, path: string, pattern: string, subagent_type: string>>"
@@ -184,8 +183,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = ("type", "thinking", "text", "id", "tool_use_id", "name", "content", "is_error", "input")
         return F.struct(*[(F.lit(kind) if n == "type" else fields.get(n, F.lit(None))).alias(n) for n in names]).cast(block)
 
-    reply = F.array(made("thinking", thinking=cut(40)), made("text", text=text), made("tool_use", id=of(seq), name=tool, input=given))
-    output = F.concat(F.lit("[main "), F.left(F.md5(text.cast("binary")), F.lit(8)), F.lit("] "), cut(200))
+    reply = F.array(made("thinking", thinking=text), made("text", text=text), made("tool_use", id=of(seq), name=tool, input=given))
+    output = F.concat(F.lit("[main "), F.left(F.md5(text.cast("binary")), F.lit(8)), F.lit("] "), text)
     answer = F.array(made("tool_result", tool_use_id=of(seq - 1), content=output, is_error=seq % 8 == 2), made("text", text=text))
     is_reply, is_answer = F.col("role") == "assistant", (F.col("role") == "user") & (seq % 4).isin(2, 3)
     usage = F.struct(F.length(text).alias("input_tokens"), seq.cast("int").alias("output_tokens"), F.lit(3).alias("cache_read_input_tokens"))
