@@ -133,9 +133,12 @@ def test_routes_and_chunks(spark):
     ] and made[made.doc_path == "m"].chunk_type.tolist() == ["memo"]
     assert len(made[made.doc_path == "c"]) == 2 and set(made[made.doc_path == "c"].chunk_type) == {"frontmatter", "content"}
     long = "**Result:**\n```" + "x" * 300 + "y" * 300 + "```\n**Result:**\n```short```"
-    cut = chunking.shortened_results(long)
+    cut = value(spark, chunking.results_shortened(F.lit(long)))
     assert cut == "**Result:**\n```" + "x" * 300 + "y" * 50 + "\n\n[...truncated 150 chars...]\n\n" + "y" * 100 + "```\n**Result:**\n```short```"
-    assert "[...truncated" in chunking.turn_chunks("## Turn 1\n" + long, "[p]")[0][1]
+    turn = spark.createDataFrame([("projects/a/transcripts/u", "## Turn 1\n" + long), ("m", long)], "path string, raw string")
+    assert {r.doc_path: "[...truncated" in r.content for r in chunking.chunks(turn).collect()} == {"projects/a/transcripts/u": True, "m": False}
+    plain = "a ```" + "z" * 900 + "``` b **Result:**\n```" + "w" * 900
+    assert value(spark, chunking.results_shortened(F.lit(plain))) == plain  # no mark before it, no fence behind it
     assert value(spark, chunking.first_words(F.lit(" a  b c d"), 3)) == " a  b c" and value(spark, chunking.last_words(F.lit("a b\n c d "), 3)) == "b\n c d "
 
 
