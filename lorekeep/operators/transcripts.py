@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lorekeep.functions import formats
 from lorekeep.functions import markdown as M
 from lorekeep.operators import scans
 from lorekeep.sources import store
@@ -251,7 +252,7 @@ def fenced(text: Column, kind: str = "") -> Column:
 
 
 def tool_text(calls: DataFrame) -> DataFrame:
-    """calls (name, input as JSON, result, is_error) with text: each tool use as markdown by the tool's own form."""
+    """calls (name, input as JSON, result, is_error and, if known, duration_ms) with text: each tool use as markdown by the tool's own form."""
     got = lambda key, other="": F.coalesce(F.get_json_object("input", f"$.{key}"), F.lit(other))
     cut = lambda c, n: F.concat(F.left(c, F.lit(n)), F.when(F.length(c) > n, "...").otherwise(""))
     code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
@@ -284,7 +285,8 @@ def tool_text(calls: DataFrame) -> DataFrame:
             fenced(M.truncated(collapsed("result"), TOOL_RESULT)),
         ),
     )
-    return calls.withColumn("text", F.concat(F.lit("#### Tool: "), "name", F.lit("\n\n"), body, F.coalesce(result, F.lit(""))))
+    took = F.col("duration_ms") if "duration_ms" in calls.columns else F.lit(None).cast("long")
+    return calls.withColumn("text", F.concat(formats.titled(F.col("name"), took), F.lit("\n\n"), body, F.coalesce(result, F.lit(""))))
 
 
 def notes(turned: DataFrame, session: str = "session") -> DataFrame:

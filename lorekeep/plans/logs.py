@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions import formats
 from lorekeep.operators import transcripts
 from lorekeep.plans.registry import query
 from lorekeep.sources import vault
@@ -197,6 +198,16 @@ def memo_extract(s: SparkSession, d: str) -> DataFrame:
     return transcripts.memo_extract(transcripts.memo_parts(blocks(s, d)), 3000)
 
 
+@query("session_sizes", """WITH b AS (SELECT conv_id, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, (max(turn) - min(turn)) * 9700 AS ms FROM conversations GROUP BY conv_id)
+SELECT conv_id AS session, CASE WHEN bytes < 1024 THEN bytes || 'B' WHEN bytes < 1048576 THEN printf('%.1fKB', bytes / 1024::DOUBLE) ELSE printf('%.1fMB', bytes / 1048576::DOUBLE) END AS size,
+  '#### Tool: session' || CASE WHEN ms >= 60000 THEN printf(' (%.1fm)', ms / 60000::DOUBLE) WHEN ms > 0 THEN printf(' (%.1fs)', ms / 1000::DOUBLE) ELSE '' END AS heading FROM b""")
+def session_sizes(s: SparkSession, d: str) -> DataFrame:
+    """How large each session is, and a heading with the time that it took."""
+    m = vault.messages(s, d)
+    per = m.groupBy("session").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"), ((F.max("seq") - F.min("seq")) * 9700).alias("ms"))
+    return per.select("session", formats.size(F.col("bytes")).alias("size"), formats.titled(F.lit("session"), F.col("ms")).alias("heading"))
+
+
 @query("message_roles", """SELECT conv_id AS session, turn AS seq, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 2 THEN 'unknown' WHEN role
   = 'user' THEN 'user' ELSE role END AS role
 FROM conversations""")

@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from lorekeep.functions import formats
 from lorekeep.functions import markdown as M
 from lorekeep.functions.words import folded, stem
 from lorekeep.operators import context, curation, extract, search, sync, transcripts
@@ -256,3 +257,15 @@ def test_curation_reports(spark):
     sizes = spark.createDataFrame([(1,), (999,), (1000,), (10_000_000,)], "bytes long")
     assert {r.size_class: (r.files, r.mean_bytes) for r in curation.by_size(sizes).collect()} == {"tiny": (2, 500.0), "small": (1, 1000.0), "huge": (1, 1e7)}
     assert curation.by_size(sizes.limit(0)).count() == 0
+
+
+def test_formats(spark):
+    """Sizes, durations and a tool's heading; ties to the even digit."""
+    sizes = {0: "0B", 1023: "1023B", 1024: "1.0KB", 1280: "1.2KB", 1300: "1.3KB", 1 << 20: "1.0MB", 5_900_000: "5.6MB"}
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formats.size(F.col("n")).alias("x"))
+    assert {r.n: r.x for r in df.collect()} == sizes
+    times = {0: None, 250: "0.2s", 59_900: "59.9s", 60_000: "1.0m", 90_000: "1.5m"}
+    df = spark.createDataFrame([(n,) for n in times], "n long").select("n", formats.duration(F.col("n")).alias("x"))
+    assert {r.n: r.x for r in df.collect()} == times
+    calls = spark.createDataFrame([("Glob", '{"pattern":"p"}', None, None, 61_000)], "name string, input string, result string, is_error boolean, duration_ms long")
+    assert transcripts.tool_text(calls).head().text.startswith("#### Tool: Glob (1.0m)\n\nFinding files")
