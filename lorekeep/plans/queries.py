@@ -58,18 +58,20 @@ def prefix_terms(s: SparkSession, d: str) -> DataFrame:
     return derived(s, d, "terms").where(F.col("term").startswith("han")).select("term", "df")
 
 
+def nearest_chunks(s: SparkSession, d: str, metric: str) -> DataFrame:
+    """The nearest vectors first, then the paths of these few."""
+    found = F.broadcast(search.nearest(vault.vectors(s, d), question_vector(s, d), 20, metric))  # 20 rows
+    return vault.archive(s, d).select("doc_id", "path").join(found, "doc_id").select("vec_id", "path", (F.round("distance", 6) + 0.0).alias("distance"))  # no -0.0
+
+
 @query("knn_l2", CTE + S.ARCHIVE + ", " + S.vectors(20) + " SELECT vec_id, path, round(distance, 6) AS distance FROM near")
 def knn_l2(s: SparkSession, d: str) -> DataFrame:
-    return search.nearest(vault.chunk_vectors(s, d), question_vector(s, d), 20).select("vec_id", "path", "distance")
+    return nearest_chunks(s, d, "l2")
 
 
 @query("knn_cosine", CTE + S.ARCHIVE + ", " + S.vectors(20, "cosine") + " SELECT vec_id, path, round(distance, 6) + 0.0 AS distance FROM near")
 def knn_cosine(s: SparkSession, d: str) -> DataFrame:
-    return search.nearest(vault.chunk_vectors(s, d), question_vector(s, d), 20, "cosine").select(
-        "vec_id",
-        "path",
-        (F.round("distance", 6) + 0.0).alias("distance"),
-    )
+    return nearest_chunks(s, d, "cosine")
 
 
 @query("best_chunk_per_doc", CTE + S.ARCHIVE + ", " + S.vectors(60) + " SELECT path, vec_id, round(distance, 6) AS distance FROM chunk")

@@ -60,7 +60,7 @@ def derived(s: SparkSession, d: str, name: str) -> DataFrame:
         "stem_terms": lambda: written(ranked.terms(derived(s, d, "stems"))),
         "stems": lambda: lambda path: search.write_postings(search.postings(vault.archive(s, d), stemmed=True), path),
     }
-    return store.kept(s, f"{d}:{name}", lambda path: makers[name]()(path))
+    return store.kept(s, f"{d}:{name}", lambda path: makers[name]()(path), of=f"{d}/documents.parquet")
 
 
 def graph_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -52,9 +52,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def kept(spark: SparkSession, name: str, write: Callable[[str], object]) -> DataFrame:
-    """The table that write(path) makes as Parquet, once for each application and name; later calls read it."""
-    key = (spark.sparkContext.applicationId, name)
+def state(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Names, sizes and times of a file or of the files in a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def kept(spark: SparkSession, name: str, write: Callable[[str], object], of: str) -> DataFrame:
+    """The table that write(path) makes as Parquet from the table at `of`, once for each application, name and state of that table; later calls read it."""
+    key = (spark.sparkContext.applicationId, name, state(spark, of))
     if key not in _KEPT:
         path = fresh(spark, "kept")
         write(path)

@@ -145,13 +145,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "path", raw.alias("raw"))
 
 
-def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, path, embedding: three chunk vectors for a document, dealt over all documents."""
-    d = archive(spark, sf_dir).select("doc_id", "path")
-    n = F.broadcast(d.agg(F.count("*").alias("n")))  # one row
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, doc_id, embedding: three chunk vectors for a document, dealt over all documents."""
+    n = F.broadcast(table(spark, sf_dir, "documents").agg(F.count("*").alias("n")))  # one row
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").crossJoin(n)
-    v = v.withColumn("doc_id", F.floor(F.col("vec_id") / 3) * 31 % F.col("n"))
-    return v.join(d, "doc_id").select("vec_id", "path", "embedding")
+    return v.select("vec_id", (F.floor(F.col("vec_id") / 3) * 31 % F.col("n")).alias("doc_id"), "embedding")
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, path, embedding of each vector that has a document."""
+    return vectors(spark, sf_dir).join(archive(spark, sf_dir).select("doc_id", "path"), "doc_id").select("vec_id", "path", "embedding")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,8 +201,11 @@ def test_files(spark, tmp_path):
     assert {
         r.path: r.raw for r in vault.markdown(spark, str(tmp_path)).collect()
     } == {"projects/a/memos/x.md": "text é"}  # Spark's reader leaves empty files out
-    kept = [store.kept(spark, f"{tmp_path}:n", spark.range(3).write.parquet) for _ in range(2)]
+    of = str(tmp_path / "topics")
+    kept = [store.kept(spark, f"{tmp_path}:n", spark.range(3).write.parquet, of) for _ in range(2)]
     assert [df.count() for df in kept] == [3, 3] and kept[0].inputFiles() == kept[1].inputFiles()
+    (tmp_path / "topics/new.md").write_text("x")  # the table below has changed
+    assert store.kept(spark, f"{tmp_path}:n", spark.range(4).write.parquet, of).count() == 4
     with pytest.raises(ValueError, match="archive"):
         vault.read_note(files, "../secret")
 
