@@ -196,24 +196,21 @@ def vault_files(s: SparkSession, d: str) -> DataFrame:
     return vault.markdown(s, root).select("path", F.sha2("raw", 256).alias("content_hash"), "bytes")
 
 
+def written_logs(s: SparkSession, d: str) -> str:
+    """Sessions as files in project folders, each written message by message, so none is held whole; their root."""
+    path = F.concat(F.lit("p"), (F.col("session") % 7).cast("string"), F.lit("/s"), F.col("session").cast("string"), F.lit(".jsonl"))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    root = store.fresh(s, "logs")
+    parts = vault.messages(s, d).select(path.alias("path"), F.col("seq").alias("part"), line.alias("raw"))
+    store.write_parts(parts, root).write.format("noop").mode("overwrite").save()
+    return root
+
+
 @query("project_logs", """WITH l AS (SELECT conv_id % 7 AS p, conv_id, sum(strlen(coalesce(text, '')) + 1) AS bytes FROM conversations GROUP BY 1, 2)
 SELECT 'p' || p AS project, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes FROM l WHERE bytes >= 1024 GROUP BY p""")
 def project_logs(s: SparkSession, d: str) -> DataFrame:
     """Logs written as files in project folders; small ones don't count."""
-    m = vault.messages(s, d)
-    one = m.groupBy("session").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))),
-                lambda x: F.concat(x["t"], F.lit("\n")),
-            ),
-            "",
-        ).alias("raw")
-    )
-    path = F.concat(F.lit("p"), (F.col("session") % 7).cast("string"), F.lit("/s"), F.col("session").cast("string"), F.lit(".jsonl"))
-    root = store.fresh(s, "logs")
-    store.write_files(one.select(path.alias("path"), "raw"), root).write.format("noop").mode("overwrite").save()
-    return vault.log_files(s, root).select("project", "sessions", "bytes")
+    return vault.log_files(s, written_logs(s, d)).select("project", "sessions", "bytes")
 
 
 @query("log_samples", """WITH l AS (SELECT conv_id, sum(strlen(coalesce(text, '')) + 1) AS bytes,
@@ -222,13 +219,7 @@ def project_logs(s: SparkSession, d: str) -> DataFrame:
 SELECT 'p' || (conv_id % 7) AS project, 's' || conv_id AS session, CAST(bytes AS BIGINT) AS bytes, CAST(least(lines,
   11) AS BIGINT) AS lines FROM l WHERE bytes >= 1024""")
 def log_samples(s: SparkSession, d: str) -> DataFrame:
-    m = vault.messages(s, d)
-    texts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t"))))
-    one = m.groupBy("session").agg(F.array_join(F.transform(texts, lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("raw"))
-    path = F.concat(F.lit("p"), (F.col("session") % 7).cast("string"), F.lit("/s"), F.col("session").cast("string"), F.lit(".jsonl"))
-    root = store.fresh(s, "logs")
-    store.write_files(one.select(path.alias("path"), "raw"), root).write.format("noop").mode("overwrite").save()
-    return vault.log_samples(s, root)
+    return vault.log_samples(s, written_logs(s, d))
 
 
 @query("memory_scan", CTE + S.NOTES + """, f AS (SELECT doc_id, project, raw FROM notes JOIN docs USING (path) WHERE contains(path, '/auto-memory/'))
