@@ -17,8 +17,9 @@ Near copies at a shingle resemblance of 0.8 differ in some 15 % of their bits, t
 stage of a pipeline therefore takes WIDE words of 64 bits, buckets by runs of bits dealt over pairs of words and links by the difference over all
 words; the number of runs sets how many of the pairs at 0.8 meet (99 %, one standard deviation below their mean; more above), at every number of
 documents. These links make groups of candidates only: within a group sets of shingles are compared, and a document goes if its resemblance to
-one that stays is 0.8 or more. A group of up to PART distinct sets is one step, by doc_id; a larger one goes in rounds, each against up to LEADERS
-of its sets, until all are decided. So the work in a group is its size times the number of its sets that stay.
+one that stays is 0.8 or more, by doc_id: the smallest of all that are alike stays. A group of up to PART distinct sets is one step; a larger one goes in
+rounds, each against its LEADERS undecided sets of smallest doc_id, until all are decided, which gives the same. So the work in a group is its size times
+the number of its sets that stay.
 
 Defined cases: null or empty text, or no words: fingerprint zero, linked like any other; null doc_id: gets its
 fingerprint's component and links nothing; repeated doc_id or rows: one node if their texts are equal, else linked only by their texts; very long
@@ -34,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -345,7 +346,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def decided(sets: DataFrame) -> DataFrame:
-    """id and name of the sets of each group (grp, id, name, hashes) that go: each is alike one of its group that stays, and no two that stay are alike."""
+    """id and name of the sets of each group (grp, id, name, hashes) that go: by id and name, a set stays unless it is alike one of its group before it that stays."""
     left, gone = sets, []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +376,11 @@ def decided(sets: DataFrame) -> DataFrame:
         spread = left.join(common.small_side(sizes), "grp").withColumn("part", F.pmod(F.xxhash64("id", "name", F.lit(3)), F.col("parts")).cast("int"))
         rows = spread.withColumn("lead", F.lit(False))
         if large := sizes.where("parts > 1").count():
-            cell = F.pmod(F.xxhash64("id", "name", F.lit(7)), F.lit(LEADERS))
-            picked = left.join(
-                common.small_side(sizes.where("parts > 1"), large),
-                "grp",
-            ).groupBy("grp", "parts", cell.alias("cell")).agg(F.min(F.struct("id", "name")).alias("x"))
-            picked = common.written(picked.select("grp", "parts", "x.id", "x.name"), "near-copy-leaders")
+            # All sets before these are decided, so their own order decides them. Partitions pass on their first ones only.
+            w = Window.partitionBy("grp").orderBy("id", "name")
+            within = left.select("grp", "id", "name").join(common.small_side(sizes.where("parts > 1"), large), "grp")
+            picked = within.distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= LEADERS).drop("nth")
+            picked = common.written(picked, "near-copy-leaders")
             lead = left.join(common.small_side(picked), ["grp", "id", "name"]).withColumn(
                 "part",
                 F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
@@ -404,7 +404,7 @@ def decided(sets: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles resemble each other by 0.8 or more one stays, in groups of up to PART sets the smallest doc_id; rows of one doc_id stay together, as do rows without an id."""
+    """Of documents whose five-word shingles resemble each other by 0.8 or more one stays, the smallest doc_id; rows of one doc_id stay together, as do rows without an id."""
     words = names(WIDE)
     marked = common.written(with_sets(docs, keep=False), "simhash")
     nodes = common.written(marked.groupBy(*words).agg(F.min("doc_id").alias("id")), "simhash-nodes")
