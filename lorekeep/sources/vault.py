@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.sources import archives
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def overviews(spark: SparkSession, root: str) -> DataFrame:
-    """path, raw, modified, bytes of projects/*/_project.md. Spark's readers hide names that begin with an underscore, so the driver lists these names, one a project, and tasks read the files."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/projects/*/_project.md")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
-    rows = [(f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in found]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for uri in batch.column(0).to_pylist():
-                fs, name = FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://"))
-                with fs.open_input_stream(name) as f:
-                    texts.append(f.read().decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[1:]], names=["path", "raw", "ms", "bytes"])
-
-    listed = spark.createDataFrame(rows, "path string, ms long, bytes long").repartition(max(1, len(rows) // 1000))
-    return listed.mapInArrow(read, "path string, raw string, ms long, bytes long").select("path", "raw", F.timestamp_millis("ms").alias("modified"), "bytes")
-
-
 def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> DataFrame:
     """path (relative to root), raw, modified and bytes of each note below projects/ and directly in topics/.
 
     Names that begin with an underscore are left out, but for _project.md unless keyword_only; so are templates and, unless
-    keyword_only, views and archived notes. Undecodable bytes become replacement characters. Spark's reader leaves empty files out.
+    keyword_only, views and archived notes. Undecodable bytes become replacement characters.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
-    text = F.when(
-        F.is_valid_utf8(F.col("content").cast("string")),
-        F.col("content").cast("string"),
-    ).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    f = files.select("path", text.alias("raw"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
-    if not keyword_only:
-        f = f.unionByName(overviews(spark, root))
-    f = f.withColumn("path", F.regexp_replace("path", r"^.*?/(projects|topics)/", "$1/"))
-    name = F.element_at(F.split("path", "/"), -1)
-    f = f.where((F.col("path").startswith("projects/") | F.col("path").rlike(r"^topics/[^/]+$")) & ~F.col("path").contains("/_templates/"))
-    if keyword_only:
-        return f.where(~name.startswith("_"))
+    f = archives.registered(spark).read.format(archives.NOTES).option("keyword_only", str(keyword_only).lower()).load(root)
     archived = F.col("raw").rlike(r"(?s)^---(?:(?!---).)*?\nstatus:\s*[\"']?archived")
-    return f.where((~name.startswith("_") | (name == "_project.md")) & ~F.col("path").contains("/_views/") & ~archived)
+    return (f if keyword_only else f.where(~archived)).select("path", "raw", "modified", "bytes")
 
 
 def read_note(notes: DataFrame, path: str) -> DataFrame:
@@ -90,16 +57,8 @@ def log_files(spark: SparkSession, root: str, min_bytes: int = 1024) -> DataFram
 
 
 def log_samples(spark: SparkSession, root: str, min_bytes: int = 1024, most: int = 11) -> DataFrame:
-    """project, session, bytes, lines (those that aren't blank, counted up to `most`) of each log file of at least min_bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root).drop("content")
-    files = files.where(F.col("length") >= min_bytes).select("path", F.col("length").alias("bytes"))
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(root).where(F.trim("value") != "")
-    counts = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.least(F.count("*"), F.lit(most)).alias("lines"))
-    name = F.split("path", "/")
-    session = F.regexp_replace(F.element_at(name, -1), r"\.jsonl$", "")
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    joined = files.withColumn("at", plain("path")).join(counts.withColumn("at", plain("path")).drop("path"), "at", "left")
-    return joined.select(F.element_at(name, -2).alias("project"), session.alias("session"), "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
+    """project, session, bytes, lines (those that aren't blank, counted up to `most`; no more are read) of each log file of at least min_bytes."""
+    return archives.registered(spark).read.format(archives.LOGS).option("min_bytes", min_bytes).option("most", most).load(root)
 
 
 def memory_files(spark: SparkSession, root: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.operators import scans, transcripts
+from lorekeep.sources import archives, store
 
 FIRST, AGAIN = 20, 15
 
@@ -99,6 +100,34 @@ def remaining(queue: DataFrame, done: DataFrame, most: int) -> DataFrame:
     return pending(queue, done).join(drained(queue, done, most).select("path"), "path", "left_anti")
 
 
+def enqueued(jobs: DataFrame, root: str) -> None:
+    """Appends jobs to the stored queue at root, all of them or none."""
+    archives.registered(jobs.sparkSession)
+    jobs.write.format(archives.QUEUE).mode("append").save(root)
+
+
+def stored(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The stored queue; a queue that nothing was written to needs a schema."""
+    read = archives.registered(spark).read.format(archives.QUEUE)
+    return (read.schema(schema) if schema else read).load(root)
+
+
+def taken(spark: SparkSession, root: str, done: DataFrame, most: int) -> DataFrame:
+    """Takes the oldest `most` jobs that aren't done from the stored queue: it is replaced by what remains. Parts of the queue as it was stay readable until archives.swept()."""
+    queue = stored(spark, root)
+    first = store.written(drained(queue, done, most), "taken")  # what is taken is fixed before the queue changes
+    left = pending(queue, done).join(F.broadcast(first.select("path")), "path", "left_anti")  # at most `most` rows
+    left.write.format(archives.QUEUE).mode("overwrite").save(root)
+    return first
+
+
+def appended(marks: DataFrame, root: str, checkpoint: str, writer: str = "") -> StreamingQuery:
+    """Stream of marks appended to the stored queue at root, each batch once; queue_state(stored()) tells its state."""
+    archives.registered(marks.sparkSession)
+    out = marks.writeStream.format(archives.QUEUE).option("path", root).option("writer", writer).option("checkpointLocation", checkpoint)
+    return out.trigger(availableNow=True).start()
+
+
 def viable(lines: DataFrame, least: int = 6) -> DataFrame:
     """Sessions worth archiving: enough lines, or a tool in use."""
     return lines.groupBy("session_id").agg(
