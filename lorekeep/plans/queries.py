@@ -9,7 +9,7 @@ from lorekeep.functions import markdown as M
 from lorekeep.operators import chunking, context, curation, extract, fulltext, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
 from lorekeep.plans.registry import CTE, ORACLE_SQL, QUERIES, derived, graph_tables, keyword_index, query, question_vector, ranked_index
-from lorekeep.sources import vault
+from lorekeep.sources import store, vault
 from lorekeep.streaming import hooks
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -730,14 +730,25 @@ def phases_once(s: SparkSession, d: str) -> DataFrame:
     return hooks.phases_first(e, "ts", "event_id").select("session_id", "phase", "event_id")
 
 
-@query("queue_drain", "SELECT 's' || user_id AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM "
-    "events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id ORDER BY min(ts), "
-    "path LIMIT 10")
+#: Jobs of a stored queue: a session's day with errors, done if it also has a purchase.
+JOBS_SQL = """WITH e AS (SELECT 's' || user_id || '/' || strftime(ts, '%Y-%m-%d') AS path, ts, event_type FROM events),
+q AS (SELECT path, min(ts) AS since FROM e WHERE event_type = 'error' AND path NOT IN (SELECT path FROM e WHERE event_type = 'purchase') GROUP BY 1)"""
+
+
+def queue_jobs(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The folder of a queue to which the jobs were appended, and the jobs that are done."""
+    day = F.concat("session_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    e = vault.session_events(s, d).select(day.alias("path"), F.col("ts").alias("enqueued_at"), "kind")
+    root = store.fresh(s, "queue")
+    hooks.enqueued(e.where("kind = 'error'").drop("kind"), root)
+    return root, e.where("kind = 'purchase'").select("path").distinct()
+
+
+@query("queue_drain", JOBS_SQL + " SELECT path, strftime(since, '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM q ORDER BY since, path LIMIT 10")
 def queue_drain(s: SparkSession, d: str) -> DataFrame:
-    e = vault.session_events(s, d)
-    queue = e.where("kind = 'error'").select(F.col("session_id").alias("path"), F.col("ts").alias("enqueued_at"))
-    done = e.where("kind = 'purchase'").select(F.col("session_id").alias("path")).distinct()
-    return hooks.drained(queue, done, 10).select("path", F.date_format("enqueued_at", "yyyy-MM-dd HH:mm:ss").alias("enqueued_at"))
+    """The oldest ten jobs, taken from the stored queue."""
+    root, done = queue_jobs(s, d)
+    return hooks.taken(s, root, done, 10).select("path", F.date_format("enqueued_at", "yyyy-MM-dd HH:mm:ss").alias("enqueued_at"))
 
 
 @query("activity_windows", "SELECT event_type AS kind, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) "

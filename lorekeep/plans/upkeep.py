@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import markdown as M
 from lorekeep.operators import chunking, curation, fulltext, graph, index, search, sync, transcripts
 from lorekeep.plans import sql as S
-from lorekeep.plans.queries import FUSION, NOTE, PAGES, QUESTION, RENDERED, RRF_FUSED, SINCE, TERMS, TIER, index_plan
+from lorekeep.plans.queries import FUSION, JOBS_SQL, NOTE, PAGES, QUESTION, RENDERED, RRF_FUSED, SINCE, TERMS, TIER, index_plan, queue_jobs
 from lorekeep.plans.registry import CTE, derived, graph_tables, keyword_index, query, question_vector
 from lorekeep.sources import store, vault
 from lorekeep.streaming import hooks
@@ -279,18 +279,12 @@ def log_errors(s: SparkSession, d: str) -> DataFrame:
     return vault.parse_errors(vault.jsonl(s, root)).agg(F.sum("lines").alias("lines"), F.sum("errors").alias("errors"))
 
 
-@query("queue_remaining", """WITH q AS (SELECT 's' || user_id AS path, min(ts) AS since FROM events WHERE event_type = 'error' AND user_id NOT
-  IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50) GROUP BY 1)
-SELECT path FROM (SELECT path, row_number() OVER (ORDER BY since, path) AS nth FROM q) WHERE nth > 5""")
+@query("queue_remaining", JOBS_SQL + " SELECT path FROM (SELECT path, row_number() OVER (ORDER BY since, path) AS nth FROM q) WHERE nth > 5")
 def queue_remaining(s: SparkSession, d: str) -> DataFrame:
-    e = vault.table(s, d, "events").select(
-        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("path"),
-        F.col("ts").alias("enqueued_at"),
-        "event_type",
-        "value",
-    )
-    done = e.where("event_type = 'purchase' and value > 50").select("path").distinct()
-    return hooks.remaining(e.where("event_type = 'error'"), done, 5).select("path")
+    """What the stored queue holds after its oldest five jobs were taken."""
+    root, done = queue_jobs(s, d)
+    hooks.taken(s, root, done, 5)
+    return hooks.stored(s, root).select("path")
 
 
 @query("memo_queue", "SELECT 's' || user_id AS session_id, count(*) AS attempts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') "
