@@ -45,14 +45,23 @@ def role_of(message: Column) -> Column:
     return F.coalesce(F.try_variant_get(message, "$.role", "string"), F.when(kind == "human", "user").otherwise(kind), F.lit("unknown"))
 
 
+def content_of(message: Column) -> Column:
+    return F.coalesce(*[F.try_variant_get(message, path, "variant") for path in ("$.message.content", "$.content", "$.message")])
+
+
+def listed(content: str) -> Column:
+    """Content (variant) as an array of blocks."""
+    return F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array(content))
+
+
 def blocks(messages: DataFrame) -> DataFrame:
-    """file, seq, type, ts, nth, block type, text, id, name, is_error, input (JSON) of each content block; content may be text, one block or a list of blocks (message: variant)."""
+    """file, seq, type, ts, nth, block type, text, id, name, is_error, input (JSON) and, of results, meta (what the message tells of the tool's run, JSON) of each content block; content
+    may be text, one block or a list of blocks (message: variant)."""
     get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
     m = F.col("message")
-    content = F.coalesce(*[get(m, path, "variant") for path in ("$.message.content", "$.content", "$.message")])
-    head = messages.where(m.isNotNull()).select("file", "seq", get(m, "$.type").alias("type"), get(m, "$.timestamp").alias("ts"), content.alias("content"))
-    many = F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array("content"))
-    b = head.select("file", "seq", "type", "ts", F.posexplode(many).alias("nth", "b"))
+    meta = F.to_json(get(m, "$.toolUseResult", "variant"))
+    head = messages.where(m.isNotNull()).select("file", "seq", get(m, "$.type").alias("type"), get(m, "$.timestamp").alias("ts"), content_of(m).alias("content"), meta.alias("meta"))
+    b = head.select("file", "seq", "type", "ts", "meta", F.posexplode(listed("content")).alias("nth", "b"))
     v = F.col("b")
     return b.select(
         "file", "seq", "type", "ts", "nth",
@@ -62,9 +71,28 @@ def blocks(messages: DataFrame) -> DataFrame:
         get(v, "$.name").alias("name"),
         F.coalesce(get(v, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
         F.to_json(get(v, "$.input", "variant")).alias("input"),
+        F.when(get(v, "$.type") == "tool_result", F.col("meta")).alias("meta"),
     )
 
 
+def texts(messages: DataFrame) -> DataFrame:
+    """file, seq, nth, role, ts, text of what each message (variant) says, in one narrow stage: a user's text blocks are joined by lines before tags, which
+    may span blocks, go and a prompt that a command expanded (told by isMeta too) becomes one line; of other roles each text that isn't blank is a row."""
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    m = F.col("message")
+
+    def text(v: Column) -> Column:
+        own = F.when(F.coalesce(get(v, "$.type"), F.lit("text")) == "text", get(v, "$.text"))
+        return F.when(F.schema_of_variant(v) == "STRING", get(v, "$")).otherwise(own)
+
+    some = F.filter(F.transform(listed("content"), text), lambda t: t.isNotNull() & (t != ""))
+    head = messages.where(m.isNotNull()).select("file", "seq", role_of(m).alias("role"), get(m, "$.timestamp").alias("ts"), F.coalesce(get(m, "$.isMeta", "boolean"), F.lit(False)).alias("meta"), content_of(m).alias("content"))
+    t = head.select("file", "seq", "role", "ts", "meta", some.alias("texts")).where(F.size("texts") > 0)
+    t = t.withColumn("joined", M.without_system_tags(F.array_join("texts", "\n"), TAGS))
+    own = F.when(F.col("role").isin("user", "human"), F.array(prompt_summary(F.col("joined"), F.col("meta")))).otherwise(F.col("texts"))
+    return t.select("file", "seq", "role", "ts", F.posexplode(F.filter(own, lambda x: x.rlike(r"\S"))).alias("nth", "text"))
+
+
 def metadata(messages: DataFrame) -> DataFrame:
     """Of each file (message: variant): messages, first and last time and whole minutes (at least 1; null below two times), its models in order, how many other agents, and tokens."""
     get = lambda path, kind="string": F.try_variant_get("message", path, kind)
@@ -131,11 +159,14 @@ def turn_table(turned: DataFrame, session: str = "session") -> DataFrame:
 
 
 def tool_calls(found: DataFrame) -> DataFrame:
-    """Tool uses beside their results, matched by id within a session; the first result counts, one without a use is named unknown."""
+    """Tool uses beside their results, matched by id within a session; the first result counts, one without a use is named unknown. duration_ms: what the result's message tells, else null."""
     use = found.where("block = 'tool_use'").select("file", "id", "name", "input")
+    took = lambda key: F.nullif(F.get_json_object("meta", f"$.{key}").try_cast("double"), F.lit(0.0))
+    found = found.withColumn("duration_ms", F.coalesce(took("durationMs"), took("totalDurationMs")))
     result = found.where("block = 'tool_result'").groupBy("file", "id").agg(
         F.min_by("text", F.struct("seq", "nth")).alias("result"),
         F.min_by("is_error", F.struct("seq", "nth")).alias("is_error"),
+        F.min_by("duration_ms", F.struct("seq", "nth")).alias("duration_ms"),
     )
     return use.join(result, ["file", "id"], "full_outer").withColumn("name", F.coalesce("name", F.lit("unknown"))).withColumn(
         "result",
@@ -325,6 +356,8 @@ MEMO_USER, MEMO_THOUGHT, MEMO_REPLY, MEMO_COMMAND, MEMO_ALL = 1000, 500, 1500, 1
 
 def memo_parts(found: DataFrame) -> DataFrame:
     """session, turn, seq, nth, kind (user, thinking, response, tool), text of what blocks() found, and of tool uses what a memo says of them; failed ones are marked."""
+    took = lambda key: F.nullif(F.get_json_object("meta", f"$.{key}").try_cast("double"), F.lit(0.0))
+    found = found.withColumn("duration_ms", F.coalesce(took("durationMs"), took("totalDurationMs")))
     result = found.where("block = 'tool_result'").groupBy("file", "id").agg(F.min_by("is_error", F.struct("seq", "nth")).alias("failed"))
     b = found.drop("is_error").join(result, ["file", "id"], "left")
     text, use = F.col("block") == "text", F.col("block") == "tool_use"
@@ -384,11 +417,12 @@ def memo_extract(parts: DataFrame, budget: int = MEMO_ALL) -> DataFrame:
 
 
 def rendered(turned: DataFrame, session: str = "session") -> DataFrame:
-    """session, turn, seq, markdown of each message, the first one of a turn under its heading: a session is its parts in order, and none is held whole."""
-    w = Window.partitionBy(session, "turn").orderBy("seq")
+    """session, turn, seq (and nth, if there are several texts of a message), markdown of each text, the first one of a turn under its heading: a session is its parts in order, and none is held whole."""
+    order = [c for c in ("seq", "nth") if c in turned.columns]
+    w = Window.partitionBy(session, "turn").orderBy(*order)
     head = F.when(F.row_number().over(w) == 1, F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n\n"))).otherwise("")
     who = F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** ")
-    return turned.select(session, "turn", "seq", F.concat(head, who, cleaned(F.col("text"))).alias("markdown"))
+    return turned.select(session, "turn", *order, F.concat(head, who, cleaned(F.col("text"))).alias("markdown"))
 
 
 def quality(notes: DataFrame, path: str = "path", text: str = "raw") -> DataFrame:

@@ -241,6 +241,46 @@ def prompt_summaries(s: SparkSession, d: str) -> DataFrame:
     return m.select("session", "seq", transcripts.prompt_summary(whole).alias("text"))
 
 
+#: What session_lines() says, straight from conversations.
+SAID = r"""WITH c AS (SELECT 's' || conv_id AS file, conv_id, turn AS seq, role, coalesce(text, '') AS text FROM conversations),
+x AS (SELECT file, seq, 0 AS nth, role, CASE turn_kind WHEN 0 THEN 'Before after ' || conv_id WHEN 2 THEN '[Skill invoked: Own — ' || conv_id || ']'
+    ELSE trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) END AS text
+  FROM (SELECT *, seq % 6 AS turn_kind FROM c WHERE role = 'user')
+  UNION ALL SELECT file, seq, 0, role, text FROM c WHERE role <> 'user'
+  UNION ALL SELECT file, seq, CASE WHEN regexp_matches(text, '\S') THEN 1 ELSE 0 END, role, 'and ' || seq FROM c WHERE role <> 'user'),
+said AS (SELECT * FROM x WHERE regexp_matches(text, '\S'))"""
+
+
+def session_lines(s: SparkSession, d: str) -> DataFrame:
+    """file, seq, message (variant): prompts with a tag that begins in one block and ends in the next, prompts marked as a command's, plain ones beside a result; replies of three texts, one blank."""
+    m = vault.messages(s, d).withColumn("text", F.coalesce("text", F.lit("")))
+    n, own = F.col("seq") % 6, F.col("session").cast("string")
+    block = lambda text, kind="text": F.struct(F.lit(kind).alias("type"), F.when(F.lit(kind == "text"), text).alias("text"), F.when(F.lit(kind != "text"), text).alias("content"))
+    tagged = F.array(block(F.concat(F.lit("Before <system-reminder>"), "text")), block(F.concat(F.lit("hidden</system-reminder>after "), own)))
+    command = F.array(block(F.lit("# Own Skill")), block(F.concat(F.lit("ARGUMENTS: "), own, F.lit("\n"), "text")))
+    plain = F.array(block(F.lit("done"), "tool_result"), block(F.col("text")))
+    reply = F.array(block(F.col("text")), block(F.lit("  ")), block(F.concat(F.lit("and "), F.col("seq").cast("string"))))
+    content = F.when(F.col("role") != "user", reply).when(n == 0, tagged).when(n == 2, command).otherwise(plain)
+    meta = F.when((F.col("role") == "user") & (n == 2), True)
+    line = F.to_json(F.struct(F.col("role").alias("type"), meta.alias("isMeta"), F.struct("role", content.alias("content")).alias("message")))
+    return m.select(F.concat(F.lit("s"), own).alias("file"), F.col("seq").cast("long").alias("seq"), F.parse_json(line).alias("message"))
+
+
+@query("message_texts", SAID + " SELECT file, seq, CAST(nth AS BIGINT) AS nth, role, text FROM said")
+def message_texts(s: SparkSession, d: str) -> DataFrame:
+    return transcripts.texts(session_lines(s, d)).select("file", "seq", "nth", "role", "text")
+
+
+@query("rendered_logs", SAID + r""", t AS (SELECT *, greatest(1, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY file ORDER BY seq)) AS turn FROM said WHERE role <> 'system'),
+u AS (SELECT *, trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS v, row_number() OVER (PARTITION BY file, turn ORDER BY seq, nth) AS place FROM t)
+SELECT file AS session, CAST(turn AS BIGINT) AS turn, seq, CAST(nth AS BIGINT) AS nth, CASE WHEN place = 1 THEN '## Turn ' || turn || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN role = 'user' THEN '**User:** ' ELSE '**Assistant:** ' END ||
+  CASE WHEN length(v) > 5000 THEN left(v, 3500) || chr(10) || '... [truncated] ...' || chr(10) || right(v, 1250) ELSE v END AS markdown FROM u""")
+def rendered_logs(s: SparkSession, d: str) -> DataFrame:
+    """Logs turned and rendered from their messages: joined user texts, commands as one line."""
+    return transcripts.rendered(transcripts.turns(transcripts.texts(session_lines(s, d)).withColumnRenamed("file", "session")))
+
+
 @query("verbose_output", """WITH t AS (SELECT doc_id, string_split('total 9' || chr(10) || coalesce(text, ''), chr(10)) AS l FROM documents),
 u AS (SELECT doc_id, unnest(l[1:len(l) - 1]) AS line, generate_subscripts(l[1:len(l) - 1], 1) AS i FROM t WHERE len(l) < 22),
 g AS (SELECT *, length(line) >= 50 AS long, i - row_number() OVER (PARTITION BY doc_id, length(line) >= 50 ORDER BY i) AS run FROM u),

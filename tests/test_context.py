@@ -4,7 +4,6 @@ import json
 import math
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from lorekeep.functions import formats
@@ -269,3 +268,30 @@ def test_formats(spark):
     assert {r.n: r.x for r in df.collect()} == times
     calls = spark.createDataFrame([("Glob", '{"pattern":"p"}', None, None, 61_000)], "name string, input string, result string, is_error boolean, duration_ms long")
     assert transcripts.tool_text(calls).head().text.startswith("#### Tool: Glob (1.0m)\n\nFinding files")
+
+
+def test_texts_of_messages(spark):
+    """User texts are joined before tags go; isMeta makes a prompt a command's; results carry their durations."""
+    use = {"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "t1", "name": "Bash", "input": {}}, "plain", {"type": "text", "text": " "}, {"type": "text", "text": "<command-name>x</command-name>"}]}}
+    lines = [
+        {"type": "user", "message": {"content": [{"type": "text", "text": "a <command-name>x"}, {"type": "tool_result", "tool_use_id": "t", "content": "no"}, "y</command-name> b", {"type": "text", "text": "c"}]}},
+        {"type": "human", "content": "one <system-reminder>z</system-reminder>"},
+        {"type": "user", "isMeta": True, "message": {"content": "no heading"}},
+        {"type": "user", "message": {"content": [{"type": "text", "text": "# Save Memo Command"}, {"type": "text", "text": "ARGUMENTS: now"}]}},
+        {"type": "user", "message": {"content": "<system-reminder>all</system-reminder>"}},
+        {"type": "user", "message": {"content": []}},
+        {"type": "user", "content": {"type": "text", "text": "dict"}},
+        use,
+        {"type": "user", "toolUseResult": {"durationMs": 0, "totalDurationMs": 90000}, "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "ok"}]}},
+        {"type": "user", "toolUseResult": "text", "message": {"content": [{"type": "tool_result", "tool_use_id": "t2", "content": "ok"}]}},
+    ]
+    df = spark.createDataFrame([("f", i, json.dumps(x)) for i, x in enumerate(lines)] + [("f", 99, None)], "file string, seq long, value string")
+    df = df.select("file", "seq", F.parse_json("value").alias("message"))
+    got = [(r.seq, r.nth, r.role, r.text) for r in transcripts.texts(df).orderBy("seq", "nth").collect()]
+    assert got == [
+        (0, 0, "user", "a  b\nc"), (1, 0, "user", "one"), (2, 0, "user", "[Skill invoked: Unknown]"), (3, 0, "user", "[Skill invoked: Save Memo — now]"),
+        (6, 0, "user", "dict"), (7, 0, "assistant", "plain"), (7, 1, "assistant", "<command-name>x</command-name>"),
+    ]
+    assert "Exchange" not in transcripts.texts(df)._jdf.queryExecution().executedPlan().toString()
+    calls = {r.id: r for r in transcripts.tool_text(transcripts.tool_calls(transcripts.blocks(df))).collect()}
+    assert calls["t1"].text.startswith("#### Tool: Bash (1.5m)") and calls["t2"].duration_ms is None and calls["t2"].text.startswith("#### Tool: unknown\n")
