@@ -113,7 +113,7 @@ class NoteReader(Pruned):
                 name = f.base_name
                 hidden = name.startswith("_") and (keyword_only or name != "_project.md")
                 aside = "/_templates/" in path or (not keyword_only and "/_views/" in path)
-                if f.type == FileType.File and name.endswith(".md") and not name.startswith(".") and not hidden and not aside:
+                if f.type == FileType.File and f.size and name.endswith(".md") and not name.startswith(".") and not hidden and not aside:
                     yield path, f.mtime_ns // 1_000_000, f.size
 
         return packed(sorted(found()))
@@ -145,7 +145,7 @@ class NoteReader(Pruned):
 class Notes(DataSource):
     """path below the root, project and folder (null where a note has none; topics: folder topics), raw, modified, bytes of each note.
 
-    Option keyword_only: overviews and everything else that begins with an underscore left out, views read. Undecodable bytes become replacement characters.
+    Option keyword_only: overviews and everything else that begins with an underscore left out, views read. Undecodable bytes become replacement characters; empty files are left out.
     """
 
     @classmethod

@@ -16,7 +16,7 @@ def markdown(spark: SparkSession, root: str, keyword_only: bool = False) -> Data
     """path (relative to root), raw, modified and bytes of each note below projects/ and directly in topics/.
 
     Names that begin with an underscore are left out, but for _project.md unless keyword_only; so are templates and, unless
-    keyword_only, views and archived notes. Undecodable bytes become replacement characters.
+    keyword_only, views and archived notes. Undecodable bytes become replacement characters; empty files are left out.
     """
     f = archives.registered(spark).read.format(archives.NOTES).option("keyword_only", str(keyword_only).lower()).load(root)
     archived = F.col("raw").rlike(r"(?s)^---(?:(?!---).)*?\nstatus:\s*[\"']?archived")

@@ -38,7 +38,7 @@ def notes(tmp_path):
 def test_notes(spark, notes):
     got = {r.path: r.raw for r in vault.markdown(spark, notes).collect()}
     assert got == {
-        "projects/a/_project.md": "overview", "projects/a/memos/y.md": "y", "projects/a/memos/empty.md": "",
+        "projects/a/_project.md": "overview", "projects/a/memos/y.md": "y",
         "projects/b/memos/deep/z.md": "z", "projects/b/transcripts/bad.md": "a�b", "topics/t.md": "t",
     }
     words = {r.path for r in vault.markdown(spark, notes, keyword_only=True).collect()}
