@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -171,15 +171,18 @@ def matches(docs: DataFrame, query: str, *columns: str) -> DataFrame:
     return docs.join(fulltext.matching(fulltext.positions(docs, *(columns or ("content",))), query, columns or ("content",)), "path", "left_semi")
 
 
-def text_search(index: Index, stored: DataFrame, docs: DataFrame, query: str, columns: tuple[str, ...] = ("content",)) -> DataFrame:
+def text_search(
+    index: Index | Callable[[], Index], stored: DataFrame | Callable[[], DataFrame], docs: DataFrame, query: str, columns: tuple[str, ...] = ("content",)
+) -> DataFrame:
     """path, score, snippet of the documents that a query holds for, scored by its words; a query that can't be parsed is looked for as it is.
 
-    docs gives the first characters only; stored: fulltext.positions of the documents.
+    docs gives the first characters only; stored: fulltext.positions of the documents. Both it and the index may be functions, called only if the query is one that needs them.
     """
     try:
         tree = fulltext.parse(query, columns)
     except fulltext.QueryError:
         return contains(docs, query).select("path", "score", "snippet")
+    index, stored = index() if callable(index) else index, stored() if callable(stored) else stored
     found = fulltext.matching(stored, query, columns)
     words = [w for p in fulltext.phrases(tree, wanted=True) for i, w in enumerate(p.words) if not (p.prefix and i == len(p.words) - 1)]
     scored = found.join(bm25(index, words), "path", "left") if words else found.withColumn("score", F.lit(None).cast("double"))

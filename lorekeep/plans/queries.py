@@ -41,7 +41,7 @@ def fts_boolean(s: SparkSession, d: str) -> DataFrame:
     "contains(lower(content), 'thing,')")
 def like_fallback(s: SparkSession, d: str) -> DataFrame:
     """The comma is no part of the grammar, so the query is looked for as it is."""
-    return search.text_search(keyword_index(s, d), derived(s, d, "positions"), vault.archive(s, d), "thing,")
+    return search.text_search(lambda: keyword_index(s, d), lambda: derived(s, d, "positions"), vault.archive(s, d), "thing,")
 
 
 @query("fts_ranked", CTE + S.words(["hand", "with"]) + r""", t AS (SELECT path, content, ' ' || trim(lower(regexp_replace(content, '[^\p{L}\p{N}]+', ' ', 'g'))) || ' ' AS w FROM archive)
