@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lorekeep.operators import chunking, curation, extract, search
+from lorekeep.operators import chunking, curation, extract, inverted, search
 from lorekeep.sources import store
 
 TABLES = ("documents", "links", "tasks", "headings", "tags", "aliases", "chunks", "hashes", "catalog", "postings")
@@ -33,7 +33,7 @@ def derived(notes: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "links": extract.links(notes), "tasks": extract.tasks(notes), "headings": extract.headings(notes), "tags": extract.tags(docs),
         "aliases": extract.tags(docs, "aliases", "alias"), "chunks": chunking.chunks(notes), "hashes": hashes(notes), "catalog": search.catalog(docs),
-        "postings": search.postings(docs),
+        "postings": search.postings(inverted.dealt(docs)),
     }
 
 
@@ -164,7 +164,7 @@ def compacted(before: str, root: str, ratio: int = 4) -> str:
     old, path = made[first:], f"{root.rstrip('/')}/s-{uuid.uuid4().hex}"
     for table in TABLES:
         rows_of = live(old, table, spark)
-        search.write_postings(rows_of, f"{path}/{table}") if table == "postings" else rows_of.write.parquet(f"{path}/{table}")
+        search.write_postings(inverted.dealt(rows_of, rows), f"{path}/{table}") if table == "postings" else rows_of.write.parquet(f"{path}/{table}")
     gone = functools.reduce(DataFrame.unionByName, [spark.read.parquet(f"{x.path}/gone") for x in old]).distinct()
     (gone if first else gone.limit(0)).write.parquet(f"{path}/gone")
     if any(exists(f"{x.path}/cache", spark) for x in old):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lorekeep.functions.words import folded, stems
-from lorekeep.operators import fulltext, ranked
+from lorekeep.operators import fulltext, inverted, ranked
 
 #: Words that a keyword query leaves out.
 STOPWORDS = (
@@ -68,7 +68,7 @@ class Index(NamedTuple):
     """What a keyword search reads: a row for each document, and a row for each of its words."""
 
     catalog: DataFrame  # path, title, type, project, date, length
-    postings: DataFrame  # term, path, tf, length; stored in the order of term
+    postings: DataFrame  # term, path, tf, length; stored by term in parts of documents
     ranked: ranked.Ranked | None = None  # the same in blocks, for many queries; made anew for each search if it isn't stored
 
 
@@ -81,18 +81,24 @@ def catalog(docs: DataFrame) -> DataFrame:
     return docs.select("path", *[c for c in ("title", "type", "project", "date") if c in docs.columns], length(F.col("content")).alias("length"))
 
 
+def joined(text: Column) -> Column:
+    """Lower-cased words between single spaces."""
+    return F.lower(F.regexp_replace(text, BETWEEN, " "))
+
+
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """term, path, tf, length: the inverted index. stemmed: terms are stems of words without accents; words are counted by document first, so each goes to Python once for each document that has it."""
-    text = text_of(docs, stemmed)
-    # The length is a column before the words are rows, so a text is counted once.
-    t = docs.select("path", length(text).alias("length"), tokens(text).alias("t")).select("path", "length", F.explode("t").alias("term")).where("term <> ''")
-    p = t.groupBy("term", "path").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return p.withColumn("term", stems("term")).groupBy("term", "path").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")) if stemmed else p
+    """term, path, tf, length: the inverted index of docs, in which a path stands once. stemmed: terms are stems of words without accents."""
+    return inverted.postings(docs, joined(text_of(docs, stemmed)), stemmed)
 
 
 def write_postings(made: DataFrame, to: str) -> None:
-    """In ranges of term and path, so a hot term is many files, and sorted in small row groups, so a search reads those of its terms only."""
-    made.repartitionByRange("term", "path").sortWithinPartitions("term", "path").write.option("parquet.block.size", 8 << 20).parquet(to)
+    """Each task's postings sorted by term, in small row groups, so a search reads those of its terms only, and a hot term is in many files. made: of documents that are dealt (inverted.dealt)."""
+    made.sortWithinPartitions("term", "path").write.option("parquet.block.size", 8 << 20).parquet(to)
+
+
+def text_blocks(docs: DataFrame, placed: DataFrame, stemmed: bool = False) -> DataFrame:
+    """ranked.text_blocks() of the words that postings() has."""
+    return ranked.text_blocks(docs.select("path", "content"), joined(text_of(docs, stemmed)), placed, stemmed)
 
 
 def indexed(docs: DataFrame, stemmed: bool = False) -> Index:
