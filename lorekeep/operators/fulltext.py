@@ -1,6 +1,6 @@
 """Full-text queries answered from positional postings: a parser that reports errors, and a condition over the positions of a query's words.
 
-Postings hold, for each term, column and document, the sorted positions of the term. They are stored in the order of terms, front-coded and delta-coded by the Parquet writer, so
+Postings hold, for each term, column and document, the sorted positions of the term. They are stored in the order of terms in parts of documents, front-coded and delta-coded by the Parquet writer, so
 a query reads the row groups of its words and prefixes and no text. A document's postings of the query's words meet in one row; phrases are intersections of shifted position lists, NEAR is one
 pass over the merged lists, AND, OR and NOT combine the answers.
 """
@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators import inverted
+
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -178,16 +180,15 @@ def phrases(node: Node, wanted: bool = False) -> Iterator[Phrase]:
 
 
 def positions(docs: DataFrame, *columns: str) -> DataFrame:
-    """term, path, column, positions (from 0, sorted) of each word of some columns."""
-    listed = F.array(*[F.struct(F.lit(c).alias("column"), F.array_remove(F.split(F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", " ")), " "), "").alias("words")) for c in columns])
-    each = docs.select("path", F.explode(listed).alias("x")).select("path", "x.column", F.posexplode("x.words").alias("at", "term"))
-    return each.groupBy("term", "path", "column").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    """term, path, column, positions (from 0, sorted) of each word of some columns of docs, in which a path stands once."""
+    each = [inverted.positions(docs, F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", " ")), c) for c in columns]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def write_positions(made: DataFrame, to: str) -> None:
-    """In ranges of term and path, sorted, in small row groups; terms are front-coded and positions delta-coded by the file format."""
-    coded = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": 8 << 20}
-    made.repartitionByRange("term", "path", "column").sortWithinPartitions("term", "path", "column").write.options(**coded).parquet(to)
+    """Each task's positions sorted by term, in small row groups; terms are front-coded and positions delta-coded by the file format, paths by a dictionary. made: of documents that are dealt (inverted.dealt)."""
+    coded = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#path": "true", "parquet.enable.dictionary#column": "true"}
+    made.sortWithinPartitions("term", "path", "column").write.options(**coded).option("parquet.block.size", 8 << 20).parquet(to)
 
 
 def write_terms(made: DataFrame, to: str) -> None:
