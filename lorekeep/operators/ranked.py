@@ -1,9 +1,9 @@
 """Best documents of many keyword queries without scoring every posting.
 
-Documents are numbered in the order of their paths and cut into shards of SHARD documents; a shard keeps one row for each term: its postings in blocks, one for each
+Documents are numbered in the order of their paths and cut into shards of SHARD documents; a shard keeps its postings by term; a search has them in blocks, one for each
 range of RANGE documents, and of each block the highest count and the least length, which bound the score of anything in it. The ranges of all terms are the same, so the sum of
 a query's bounds tells which ranges can still hold one of the best k; they are visited from the highest sum down, until the k-th score found is above the next sum.
-The bounds hold for any average length, so they are stored once and used with the statistics of the day.
+The bounds hold for any average length.
 
 Queries go to every shard in parts, a shard gives on no more than k documents for each query, and a window merges them by number, which is the order of the paths.
 """
@@ -14,12 +14,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators import inverted
 from lorekeep.sources import store
 
-SHARD, RANGE, PART = 16_384, 32, 4_096
+SHARD, RANGE, PART = 32_768, 32, 65_536
+#: Queries that a task has as Python objects at a time.
+HELD = 4_096
 #: Scores are ranked after rounding to so many places; ties go by path.
 PLACES = 6
 SLACK = 10.0**-PLACES
@@ -28,7 +32,7 @@ FIRST = 16
 
 
 class Ranked(NamedTuple):
-    """places: path, shard, doc. blocks: shard, term, blocks (range, most_tf, least_length, postings (doc, tf, length)). terms: term, df."""
+    """places: path, shard, doc. blocks: shard, term, docs, tf, length (lists; see lists()). terms: term, df."""
 
     places: DataFrame
     blocks: DataFrame
@@ -51,17 +55,34 @@ def places(written: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def blocks(postings: DataFrame, placed: DataFrame) -> DataFrame:
-    """shard, term and its blocks. A row has the postings of one shard, at most SHARD."""
-    p = postings.join(placed, "path").select("shard", "term", F.expr(f"doc div {RANGE}").cast("int").alias("range"), "doc", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
-    own = F.sort_array(F.collect_list(F.struct("doc", "tf", "length")))
-    each = p.groupBy("shard", "term", "range").agg(F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), own.alias("postings"))
-    return each.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("range", "most_tf", "least_length", "postings"))).alias("blocks"))
+    """shard, term, docs, tf, length (lists, sorted by docs) from postings. A row has the postings of one shard, at most SHARD. Of stored texts, text_blocks() makes the same without moving a row for each posting."""
+    p = postings.join(placed, "path").select("shard", "term", F.struct("doc", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length")).alias("x"))
+    each = p.groupBy("shard", "term").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return each.select("shard", "term", F.col("x.doc").alias("docs"), F.col("x.tf").alias("tf"), F.col("x.length").alias("length"))
+
+
+def text_blocks(docs: DataFrame, text: Column, placed: DataFrame, stemmed: bool = False) -> DataFrame:
+    """The same from documents (path) and their words between single spaces; only texts are shuffled: to their number, then to their shard. A term has a row or more in a shard."""
+    shards = placed.agg(F.max("shard")).head()[0]
+    numbered_texts = docs.select("path", text.alias("text")).join(placed, "path").drop("path").repartition((shards or 0) + 1, "shard")
+    return inverted.blocks(numbered_texts, F.col("text"), stemmed)
 
 
 def terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def block_terms(made: DataFrame) -> DataFrame:
+    """term, df from blocks: a document is in one row of a term only."""
+    return made.groupBy("term").agg(F.sum(F.size("docs").cast("long")).alias("df"))
+
+
+def postings(made: DataFrame, placed: DataFrame) -> DataFrame:
+    """term, path, tf, length from blocks."""
+    each = made.select("shard", "term", F.explode(F.arrays_zip("docs", "tf", "length")).alias("x")).select("shard", "term", F.col("x.docs").alias("doc"), F.col("x.tf").cast("long").alias("tf"), "x.length")
+    return each.join(placed, ["shard", "doc"]).select("term", "path", "tf", "length")
+
+
 def built(catalog: DataFrame, postings: DataFrame, shard: int = SHARD) -> Ranked:
     """Written in the shared folder, for postings that no stored index has."""
     p = store.written(postings, "postings")
@@ -91,20 +112,24 @@ class List(NamedTuple):
 
 
 def lists(table: pa.Table) -> dict[str, List]:
-    """By term."""
-    column = table["blocks"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    block, ends = column.values, column.offsets.to_numpy()
-    inner = block.field("postings")
-    first = inner.offsets.to_numpy()
-    rows = inner.values
-    ranges, most, least = (block.field(c).to_numpy() for c in ("range", "most_tf", "least_length"))
-    docs, tf, length = (rows.field(c).to_numpy() for c in ("doc", "tf", "length"))
-    out = {}
-    for i, term in enumerate(table["term"].to_pylist()):
-        a, b = ends[i], ends[i + 1]
-        x, y = first[a], first[b]
-        out[term] = List(ranges[a:b], most[a:b], least[a:b], first[a : b + 1] - x, docs[x:y], tf[x:y], length[x:y])
+    """By term, from the rows of a shard; a term's rows hold different documents."""
+    table = table.combine_chunks()
+    coded = table["term"].combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    sizes = pc.list_value_length(table["docs"]).to_numpy()
+    flat = lambda c: pc.list_flatten(table[c]).to_numpy()
+    docs, term = flat("docs"), np.repeat(coded.indices.to_numpy(), sizes)
+    order = np.lexsort((docs, term))
+    docs, term, tf, length = docs[order], term[order], flat("tf")[order], flat("length")[order]
+    ranges = docs // RANGE
+    first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(ranges, prepend=-1) != 0))
+    most, least = np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)
+    ranges, block = ranges[first], np.append(first, len(docs))
+    at, out = term[first].searchsorted(np.arange(len(coded.dictionary) + 1)), {}
+    for i, name in enumerate(coded.dictionary.to_pylist()):
+        a, b = at[i], at[i + 1]
+        x, y = block[a], block[b]
+        out[name] = List(ranges[a:b], most[a:b], least[a:b], block[a : b + 1] - x, docs[x:y], tf[x:y], length[x:y])
     return out
 
 
@@ -181,9 +206,9 @@ def topk(ranked: Ranked, asked: DataFrame, statistics: DataFrame, k: int, k1: fl
         if not these.num_rows or not rows.num_rows:
             return schema.empty_table()
         of, weights, out, sizes = lists(rows), Weights(these["avg"][0].as_py(), k1, b), [], []
-        for asks in these["terms"].to_pylist():
+        for asks in (x for at in range(0, these.num_rows, HELD) for x in these["terms"].slice(at, HELD).to_pylist()):
             docs, scores, read = best([(x["term"], x["idf"]) for x in asks], of, weights, k)
-            out.append((docs, scores, np.full(len(docs), read)))
+            out.append((docs.astype(np.int32), scores, np.full(len(docs), read)))
             sizes.append(len(docs))
         docs, scores, read = map(np.concatenate, zip(*out, strict=True))
         queries = these["query"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import extract, fulltext, ranked, search
+from lorekeep.operators import extract, fulltext, inverted, ranked, search
 from lorekeep.sources import store, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,22 +43,22 @@ def written(df: DataFrame) -> Callable[[str], None]:
 
 
 def derived(s: SparkSession, d: str, name: str) -> DataFrame:
-    """documents (without content), links (resolved), tasks, tags, catalog, postings or stems (postings of stems) of the archive, and what ranked searches read: numbered, places, blocks, terms; positions: of words in content and title."""
+    """documents (without content), links (resolved), tasks, tags, catalog and postings of the archive, terms (the dictionary), and what ranked searches read: numbered, places, blocks or stem_blocks and their terms; positions: of words in content and title."""
     makers: dict[str, Callable[[], Callable[[str], None]]] = {
         "documents": lambda: written(extract.documents(vault.notes(s, d)).drop("content")),
         "links": lambda: written(extract.resolved(extract.links(vault.notes(s, d)), derived(s, d, "documents"))),
         "tasks": lambda: written(extract.tasks(vault.notes(s, d))),
         "tags": lambda: written(extract.tags(derived(s, d, "documents"))),
         "catalog": lambda: written(search.catalog(vault.archive(s, d))),
-        "postings": lambda: lambda path: search.write_postings(search.postings(vault.archive(s, d)), path),
-        "positions": lambda: lambda path: fulltext.write_positions(fulltext.positions(vault.archive(s, d), "content", "title"), path),
+        "postings": lambda: lambda path: search.write_postings(search.postings(inverted.dealt(vault.archive(s, d))), path),
+        "positions": lambda: lambda path: fulltext.write_positions(fulltext.positions(inverted.dealt(vault.archive(s, d)), "content", "title"), path),
         "numbered": lambda: written(ranked.numbered(derived(s, d, "catalog"))),
         "places": lambda: written(ranked.places(derived(s, d, "numbered"))),
-        "blocks": lambda: written(ranked.blocks(derived(s, d, "postings"), derived(s, d, "places"))),
+        "blocks": lambda: written(search.text_blocks(vault.archive(s, d), derived(s, d, "places"))),
         "terms": lambda: lambda path: fulltext.write_terms(ranked.terms(derived(s, d, "postings")), path),
-        "stem_blocks": lambda: written(ranked.blocks(derived(s, d, "stems"), derived(s, d, "places"))),
-        "stem_terms": lambda: written(ranked.terms(derived(s, d, "stems"))),
-        "stems": lambda: lambda path: search.write_postings(search.postings(vault.archive(s, d), stemmed=True), path),
+        "stem_blocks": lambda: written(search.text_blocks(vault.archive(s, d), derived(s, d, "places"), stemmed=True)),
+        "block_terms": lambda: written(ranked.block_terms(derived(s, d, "blocks"))),
+        "stem_terms": lambda: written(ranked.block_terms(derived(s, d, "stem_blocks"))),
     }
     return store.kept(s, f"{d}:{name}", lambda path: makers[name]()(path), of=f"{d}/documents.parquet")
 
@@ -68,11 +68,12 @@ def graph_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return vault.notes(s, d), derived(s, d, "documents"), derived(s, d, "links"), derived(s, d, "tasks")
 
 
-def keyword_index(s: SparkSession, d: str, stemmed: bool = False) -> search.Index:
-    return search.Index(derived(s, d, "catalog"), derived(s, d, "stems" if stemmed else "postings"))
+def keyword_index(s: SparkSession, d: str) -> search.Index:
+    return search.Index(derived(s, d, "catalog"), derived(s, d, "postings"))
 
 
 def ranked_index(s: SparkSession, d: str, stemmed: bool = False) -> search.Index:
-    """The same with its blocks."""
-    blocks, terms = ("stem_blocks", "stem_terms") if stemmed else ("blocks", "terms")
-    return keyword_index(s, d, stemmed)._replace(ranked=ranked.Ranked(derived(s, d, "places"), derived(s, d, blocks), derived(s, d, terms)))
+    """Blocks of words or stems; its postings are those of the blocks."""
+    blocks, terms = (derived(s, d, n) for n in (("stem_blocks", "stem_terms") if stemmed else ("blocks", "block_terms")))
+    places = derived(s, d, "places")
+    return search.Index(derived(s, d, "catalog"), ranked.postings(blocks, places), ranked.Ranked(places, blocks, terms))
