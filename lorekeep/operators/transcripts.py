@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -200,10 +200,16 @@ def shortened(text: str) -> str:
     return out + rest
 
 
-@F.pandas_udf(StringType())
-def collapsed(texts: pd.Series) -> pd.Series:
+#: Tool results that a task has as Python objects at a time.
+HELD = 64
+
+
+@F.arrow_udf(StringType())
+def collapsed(texts: pa.Array) -> pa.Array:
     """shortened() of each tool result: the number of lines that a match had can't be put in by a built-in replacement."""
-    return texts.map(shortened, na_action="ignore")
+    held = (texts.slice(at, HELD).to_pylist() for at in range(0, len(texts), HELD))
+    made = [pa.array([x if x is None else shortened(x) for x in part], pa.string()) for part in held]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 def marked(messages: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
