@@ -62,10 +62,11 @@ def blocks(postings: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def text_blocks(docs: DataFrame, text: Column, placed: DataFrame, stemmed: bool = False) -> DataFrame:
-    """The same from documents (path) and their words between single spaces; only texts are shuffled: to their number, then to their shard. A term has a row or more in a shard."""
-    shards = placed.agg(F.max("shard")).head()[0]
-    numbered_texts = docs.select("path", text.alias("text")).join(placed, "path").drop("path").repartition((shards or 0) + 1, "shard")
-    return inverted.blocks(numbered_texts, F.col("text"), stemmed)
+    """The same from documents (path) and their words between single spaces; only texts are shuffled: to their number, then to the documents next to theirs. A term has a row or more in a shard."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = F.expr(f"doc div {inverted.PART}")
+    numbered_texts = docs.select("path", text.alias("text")).join(placed, "path").drop("path")
+    return inverted.blocks(numbered_texts.repartition(inverted.parts(placed.count(), tasks), "shard", near), F.col("text"), stemmed)
 
 
 def terms(postings: DataFrame) -> DataFrame:
