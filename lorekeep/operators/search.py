@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lorekeep.functions.words import folded, stems
 from lorekeep.operators import fulltext, inverted, ranked
+from lorekeep.sources import store
 
 #: Words that a keyword query leaves out.
 STOPWORDS = (
@@ -149,8 +150,11 @@ def bm25_batch(index: Index, queries: DataFrame, k: int, query_key: str = "item_
     if stemmed:
         asked = asked.withColumn("term", stems(folded(F.col("term")))).distinct()
     by = index.ranked or ranked.built(index.catalog, index.postings)
-    found = ranked.topk(by, asked, statistics(index.catalog), k, k1, b)
-    return ranked.merged(found, by, k).withColumnRenamed("query", query_key)
+    sets = store.written(asked.groupBy("query").agg(F.sort_array(F.collect_set("term")).alias("terms")), "sets")
+    firsts = sets.groupBy("terms").agg(F.min("query").alias("first"))  # one query of those that ask the same is searched
+    found = ranked.topk(by, firsts.select(F.col("first").alias("query"), F.explode("terms").alias("term")), statistics(index.catalog), k, k1, b)
+    best = ranked.merged(found, by, k).withColumnRenamed("query", "first")
+    return sets.join(firsts, "terms").select("query", "first").join(best, "first").drop("first").withColumnRenamed("query", query_key)
 
 
 #: Words of a title that a keyword query would read as operators.

@@ -42,8 +42,13 @@ def written(df: DataFrame) -> Callable[[str], None]:
     return lambda path: df.write.parquet(path)
 
 
+def places(catalog: DataFrame) -> DataFrame:
+    tasks = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked.places(ranked.numbered(catalog), ranked.size(catalog.count(), tasks))
+
+
 def derived(s: SparkSession, d: str, name: str) -> DataFrame:
-    """documents (without content), links (resolved), tasks, tags, catalog and postings of the archive, terms (the dictionary), and what ranked searches read: numbered, places, blocks or stem_blocks and their terms; positions: of words in content and title."""
+    """documents (without content), links (resolved), tasks, tags, catalog and postings of the archive, terms (the dictionary), and what ranked searches read: places, blocks or stem_blocks and their terms; positions: of words in content and title."""
     makers: dict[str, Callable[[], Callable[[str], None]]] = {
         "documents": lambda: written(extract.documents(vault.notes(s, d)).drop("content")),
         "links": lambda: written(extract.resolved(extract.links(vault.notes(s, d)), derived(s, d, "documents"))),
@@ -52,8 +57,7 @@ def derived(s: SparkSession, d: str, name: str) -> DataFrame:
         "catalog": lambda: written(search.catalog(vault.archive(s, d))),
         "postings": lambda: lambda path: search.write_postings(search.postings(inverted.dealt(vault.archive(s, d))), path),
         "positions": lambda: lambda path: fulltext.write_positions(fulltext.positions(inverted.dealt(vault.archive(s, d)), "content", "title"), path),
-        "numbered": lambda: written(ranked.numbered(derived(s, d, "catalog"))),
-        "places": lambda: written(ranked.places(derived(s, d, "numbered"))),
+        "places": lambda: written(places(derived(s, d, "catalog"))),
         "blocks": lambda: written(search.text_blocks(vault.archive(s, d), derived(s, d, "places"))),
         "terms": lambda: lambda path: fulltext.write_terms(ranked.terms(derived(s, d, "postings")), path),
         "stem_blocks": lambda: written(search.text_blocks(vault.archive(s, d), derived(s, d, "places"), stemmed=True)),
